@@ -1,0 +1,5 @@
+"""No streaming operator: every input is a finite batch.
+
+`sources.collection.Collection.upsert` is keyed and idempotent, so a caller with
+a stream can call it from ``foreachBatch``.
+"""
