@@ -19,7 +19,7 @@ from braidsearch.operators.ranking import rounded
 from braidsearch.plans import ingest, retrieve
 from braidsearch.session import fresh_path, materialize, spread
 from braidsearch.sources import corpus, models
-from braidsearch.sources.collection import Collection, latest_by_content
+from braidsearch.sources.collection import Collection
 
 ENTRY_DIR = "/root/testdata/sf0.001"
 EMBEDDING_DIM = 64
@@ -87,20 +87,20 @@ def corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "model")
-    models.save_model(spark, bm25.fit(build_index(_docs(spark, sf_dir))), path)
+    bm25.fit(build_index(_docs(spark, sf_dir)), path)
     return models.load_model(spark, path).vocabulary.select("term", "df")
 
 
 def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     collection = Collection.create(spark, fresh_path(spark, "collection"), "documents")
-    collection.upsert(collection.encode(latest_by_content(docs)))
+    collection.upsert(collection.encode(docs))
     # the second batch brings the English documents again, with a new category
     category = F.try_element_at("metadata", F.lit("category"))
     again = docs.filter(category == "en").withColumn(
         "metadata", F.create_map(F.lit("category"), F.lit("updated"))
     )
-    collection.upsert(collection.encode(latest_by_content(again)))
+    collection.upsert(collection.encode(again))
     rows = collection.read()
     return rows.select("content_id", "doc_id", _titled(rows)[1])
 
@@ -109,7 +109,7 @@ def collection_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     collection = Collection.create(spark, fresh_path(spark, "collection"), "documents")
     for _ in range(2):
-        collection.rebuild(collection.encode(docs))
+        collection.rebuild(collection.encode(docs, merge=False))
     return collection.read().select("doc_id", "content_id")
 
 

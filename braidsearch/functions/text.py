@@ -36,8 +36,7 @@ def _text(text: Column) -> Column:
 
 def simple_tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    spaced = F.regexp_replace(F.lower(_text(text)), SEPARATORS, " ")
-    return F.array_remove(F.split(F.trim(spaced), " "), "")
+    return F.array_remove(F.split(F.lower(_text(text)), SEPARATORS), "")
 
 
 def whitespace_tokens(text: Column) -> Column:

@@ -69,8 +69,12 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
     A document without terms keeps the zero vector.
     """
 
-    def digits(term: Column, start: int) -> Column:
-        return F.conv(F.substring(F.md5(term), start, 8), 16, 10).cast("bigint")
+    def bucket(term: Column) -> Column:
+        return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+
+    def is_odd(term: Column) -> Column:
+        # the last of digits 9-16 decides their parity
+        return F.substring(F.md5(term), 16, 1).isin(*"13579bdf")
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def fold(buckets: pa.Array, counts: pa.Array) -> pa.Array:
@@ -85,9 +89,11 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
         return list_column((sums / np.where(length == 0, 1.0, length)).astype(np.float32))
 
     def embed(_text: Column, terms: Column) -> Column:
-        buckets = F.transform(terms, lambda t: (digits(t["term"], 1) % dim).cast("int"))
+        # Two arguments on purpose: `terms` then stays a column of its own. Spark cannot
+        # call a Python function on the nested lambdas that count the terms.
+        buckets = F.transform(terms, lambda t: bucket(t["term"]))
         counts = F.transform(
-            terms, lambda t: F.when(digits(t["term"], 9) % 2 == 0, t["tf"]).otherwise(-t["tf"])
+            terms, lambda t: F.when(is_odd(t["term"]), -t["tf"]).otherwise(t["tf"])
         )
         return fold(buckets, counts)
 
@@ -97,10 +103,22 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
 def model_embedder(load_model: Callable[[], Callable], dim: int, batch_size: int = 64) -> Embedder:
     """Slot for a real model: ``load_model`` runs once per Python worker and returns
     a function from an array of texts to a ``(rows, dim)`` float32 array."""
+
+    def load() -> Callable:
+        model = load_model()
+
+        def checked(texts: np.ndarray) -> np.ndarray:
+            vectors = model(texts)
+            if vectors.shape != (len(texts), dim):
+                raise ValueError(f"expected vectors of width {dim}, found {vectors.shape}")
+            return vectors
+
+        return checked
+
     predict = predict_batch_udf(
-        load_model, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
+        load, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )
-    return lambda text, _terms: check_width(predict(text), dim)
+    return lambda text, _terms: predict(text)
 
 
 def hyperplanes(bits: int, dim: int) -> np.ndarray:

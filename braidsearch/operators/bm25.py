@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from braidsearch.functions.text import Analyzer, simple_tokens, term_id
 from braidsearch.operators.index import count_terms, postings
-from braidsearch.operators.ranking import BROADCAST_ROWS, broadcast_within, top_by_score
+from braidsearch.operators.ranking import broadcast_within, fits_broadcast, top_by_score
 from braidsearch.session import fresh_path
 
 # Parameters of the two weightings and the floor of negative Okapi idf.
@@ -73,16 +73,20 @@ def okapi_idf(n_docs: int, mean_idf: float) -> Column:
 
 
 def fit(index: DataFrame, path: str | None = None) -> Bm25Model:
-    """Fit the model; the vocabulary is written to ``path`` (default: the shared work folder)."""
+    """Fit the model and save it under ``path`` (default: the shared work folder).
+
+    ``path/df`` holds the vocabulary, ``path/stats`` one row of scalars.
+    """
     spark = index.sparkSession
-    stats = corpus_stats(index).first()
+    path = path or fresh_path(spark, "model")
+    stats = corpus_stats(index).select("n_docs", "avgdl").first()
     if stats.n_docs == 0:
         raise ValueError("cannot fit BM25 on an empty corpus")
-    path = path or fresh_path(spark, "vocabulary")
-    doc_freq(index).select("term", term_id(F.col("term")).alias("term_id"), "df").write.mode(
-        "overwrite"
-    ).parquet(path)
-    return model_of(int(stats.n_docs), float(stats.avgdl), spark.read.parquet(path))
+    vocabulary = doc_freq(index).select("term", term_id(F.col("term")).alias("term_id"), "df")
+    vocabulary.write.mode("overwrite").parquet(f"{path}/df")
+    one_row = spark.createDataFrame([stats], "n_docs long, avgdl double").coalesce(1)
+    one_row.write.mode("overwrite").parquet(f"{path}/stats")
+    return model_of(int(stats.n_docs), float(stats.avgdl), spark.read.parquet(f"{path}/df"))
 
 
 def model_of(n_docs: int, avgdl: float, vocabulary: DataFrame) -> Bm25Model:
@@ -142,13 +146,12 @@ def question_terms(questions: DataFrame, analyzer: Analyzer = simple_tokens) ->
     return counted.select("query_id", F.inline("terms")).withColumnRenamed("tf", "qtf")
 
 
-def with_df(q_terms: DataFrame, model: Bm25Model) -> DataFrame:
-    """Attach ``df`` to question terms, 1 for a term no document has.
+def with_df(q_terms: DataFrame, model: Bm25Model, n_terms: int) -> DataFrame:
+    """Attach ``df`` to the ``n_terms`` question terms, 1 for a term no document has.
 
     The vocabulary grows with the corpus, the question terms do not: the terms are
     what is broadcast, and the vocabulary is only streamed past them.
     """
-    n_terms = q_terms.count()
     wanted = broadcast_within(q_terms.select("term").distinct(), n_terms)
     known = model.vocabulary.join(wanted, "term", "left_semi").select("term", "df")
     return q_terms.join(broadcast_within(known, n_terms), "term", "left").withColumn(
@@ -156,19 +159,28 @@ def with_df(q_terms: DataFrame, model: Bm25Model) -> DataFrame:
     )
 
 
-def encode_queries(q_terms: DataFrame, model: Bm25Model) -> DataFrame:
-    """Sparse question vectors ``(query_id, term, weight)``; the weights of a question sum to 1."""
+def encode_queries(
+    q_terms: DataFrame, model: Bm25Model, n_terms: int | None = None
+) -> DataFrame:
+    """Sparse question vectors ``(query_id, term, weight)``; the weights of a question sum to 1.
+
+    ``n_terms`` is the number of rows of ``q_terms`` where it is already known.
+    """
     idf = F.log((F.lit(float(model.n_docs)) + 1) / (F.col("df") + 0.5))
-    weighted = with_df(q_terms, model).withColumn("idf", idf)
+    n_terms = q_terms.count() if n_terms is None else n_terms
+    weighted = with_df(q_terms, model, n_terms).withColumn("idf", idf)
     per_question = Window.partitionBy("query_id")
     return weighted.select(
         "query_id", "term", (F.col("idf") / F.sum("idf").over(per_question)).alias("weight")
     )
 
 
-def okapi_queries(q_terms: DataFrame, model: Bm25Model) -> DataFrame:
+def okapi_queries(
+    q_terms: DataFrame, model: Bm25Model, n_terms: int | None = None
+) -> DataFrame:
     """Okapi question weights ``(query_id, term, weight)``; only terms the corpus has."""
-    wanted = broadcast_within(q_terms, q_terms.count())
+    n_terms = q_terms.count() if n_terms is None else n_terms
+    wanted = broadcast_within(q_terms, n_terms)
     idf = okapi_idf(model.n_docs, model.mean_idf)
     return model.vocabulary.join(wanted, "term").select(
         "query_id", "term", (F.col("qtf") * idf).alias("weight")
@@ -189,7 +201,7 @@ def sparse_scores(doc_weights: DataFrame, query_weights: DataFrame, rows: int) -
     postings of one hot term are spread over `SALTS` tasks.
     """
     q = query_weights.withColumnRenamed("weight", "query_weight")
-    if rows <= BROADCAST_ROWS:
+    if fits_broadcast(rows):
         matched = doc_weights.join(F.broadcast(q), "term")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -202,9 +214,14 @@ def sparse_scores(doc_weights: DataFrame, query_weights: DataFrame, rows: int) -
 
 
 def okapi_topk(
-    q_terms: DataFrame, index: DataFrame, model: Bm25Model, k: int = 5
+    q_terms: DataFrame,
+    index: DataFrame,
+    model: Bm25Model,
+    k: int = 5,
+    n_terms: int | None = None,
 ) -> DataFrame:
     """Best ``k`` matching documents of each question by Okapi BM25."""
+    n_terms = q_terms.count() if n_terms is None else n_terms
     doc_weights = weigh_terms(index, okapi_weight(model, F.col("tf")))
-    scores = sparse_scores(doc_weights, okapi_queries(q_terms, model), q_terms.count())
+    scores = sparse_scores(doc_weights, okapi_queries(q_terms, model, n_terms), n_terms)
     return top_by_score(scores, k)

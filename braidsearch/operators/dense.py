@@ -15,6 +15,7 @@ def dense_topk(
     k: int = 5,
     dim: int = DEFAULT_DIM,
     metric: str = "dot",
+    n_questions: int | None = None,
 ) -> DataFrame:
     """Exact best ``k`` of ``(doc_id, embedding)`` per ``(query_id, embedding)``.
 
@@ -22,7 +23,7 @@ def dense_topk(
     """
     if metric not in ("dot", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    return topk(questions, vectors, Scoring(k=k, dim=dim, metric=metric))
+    return topk(questions, vectors, Scoring(k=k, dim=dim, metric=metric), n_questions)
 
 
 def add_bucket(vectors: DataFrame, bits: int, dim: int = DEFAULT_DIM) -> DataFrame:

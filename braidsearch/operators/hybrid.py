@@ -46,12 +46,18 @@ def _packed_queries(questions: DataFrame, query_weights: DataFrame) -> DataFrame
 
 
 def padded_okapi_topk(
-    questions: DataFrame, q_terms: DataFrame, index: DataFrame, model: Bm25Model, k: int = 5
+    questions: DataFrame,
+    q_terms: DataFrame,
+    index: DataFrame,
+    model: Bm25Model,
+    k: int = 5,
+    n_questions: int | None = None,
+    n_terms: int | None = None,
 ) -> DataFrame:
     """Okapi top-k that always fills its ``k`` rows: documents without a match score 0."""
-    asked = _packed_queries(questions.select("query_id"), okapi_queries(q_terms, model))
+    asked = _packed_queries(questions.select("query_id"), okapi_queries(q_terms, model, n_terms))
     rows = _weighted_rows(index, lambda tf: okapi_weight(model, tf))
-    return topk(asked, rows, Scoring(k=k, metric=None, sparse=True))
+    return topk(asked, rows, Scoring(k=k, metric=None, sparse=True), n_questions)
 
 
 def convex_topk(
@@ -62,6 +68,8 @@ def convex_topk(
     k: int = 3,
     alpha: float = 0.5,
     dim: int = DEFAULT_DIM,
+    n_questions: int | None = None,
+    n_terms: int | None = None,
 ) -> DataFrame:
     """Best ``k`` by ``alpha * dense + (1 - alpha) * sparse``.
 
@@ -70,7 +78,8 @@ def convex_topk(
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be between 0 and 1")
     asked = _packed_queries(
-        questions.select("query_id", "embedding"), encode_queries(q_terms, model)
+        questions.select("query_id", "embedding"), encode_queries(q_terms, model, n_terms)
     )
     rows = _weighted_rows(index, lambda tf: vector_weight(model, tf))
-    return topk(asked, rows, Scoring(k=k, dim=dim, metric="dot", sparse=True, alpha=alpha))
+    scoring = Scoring(k=k, dim=dim, metric="dot", sparse=True, alpha=alpha)
+    return topk(asked, rows, scoring, n_questions)

@@ -37,6 +37,11 @@ def top_by_score(df: DataFrame, k: int, ascending: bool = False) -> DataFrame:
     )
 
 
-def broadcast_within(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if ``rows``, a proven bound of its size, is within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def fits_broadcast(rows: int) -> bool:
+    return rows <= BROADCAST_ROWS
+
+
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast ``df`` only if ``rows``, a proven bound of its size, fits; else leave the
+    join to Spark, which shuffles and splits skewed partitions."""
+    return F.broadcast(df) if fits_broadcast(rows) else df

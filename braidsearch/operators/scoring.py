@@ -171,7 +171,9 @@ def score_batch(best: Best, block: Block, scoring: Scoring, batch: pa.RecordBatc
         best.add(ids, -keys if scoring.metric == "l2" else keys, allowed)
 
 
-def topk(questions: DataFrame, stored: DataFrame, scoring: Scoring) -> DataFrame:
+def topk(
+    questions: DataFrame, stored: DataFrame, scoring: Scoring, n_questions: int | None = None
+) -> DataFrame:
     """Ranked list of the best ``scoring.k`` stored rows per question.
 
     ``questions``: ``query_id`` and, as the scoring needs, ``embedding``, ``terms``
@@ -181,7 +183,7 @@ def topk(questions: DataFrame, stored: DataFrame, scoring: Scoring) -> DataFrame
     wanted += ["terms", "weights"] if scoring.sparse else []
     questions = questions.select("query_id", *wanted)
     stored = stored.select("doc_id", *wanted)
-    n_questions = questions.count()
+    n_questions = questions.count() if n_questions is None else n_questions
     ascending = scoring.metric == "l2"
     if n_questions <= BLOCK_QUESTIONS:
         found = _one_block(questions, stored, scoring)

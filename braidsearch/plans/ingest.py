@@ -7,10 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from braidsearch.functions.text import Analyzer, simple_tokens
 from braidsearch.functions.vectors import DEFAULT_DIM, Embedder
 from braidsearch.operators.bm25 import Bm25Model, fit
-from braidsearch.session import materialize
-from braidsearch.sources.collection import Collection, latest_by_content
+from braidsearch.sources.collection import Collection
 from braidsearch.sources.corpus import write_corpus
-from braidsearch.sources.models import save_model
 
 
 def ingest_upsert(
@@ -28,11 +26,8 @@ def ingest_upsert(
     number still counts in the statistics.
     """
     collection = Collection.create(spark, path, "documents", dim, "dot")
-    rows = materialize(collection.encode(latest_by_content(docs), analyzer, embedder), "batch")
-    model = fit(rows)
-    save_model(spark, model, model_path)
-    collection.upsert(rows)
-    return collection, model
+    collection.upsert(collection.encode(docs, analyzer, embedder))
+    return collection, fit(collection.last_batch(), model_path)
 
 
 def ingest_rebuild(
@@ -47,8 +42,6 @@ def ingest_rebuild(
 ) -> tuple[Collection, Bm25Model]:
     """Replace the collection at ``path``, write the corpus file, fit and save BM25."""
     collection = Collection.create(spark, path, "documents", dim, "l2")
-    collection.rebuild(collection.encode(docs, analyzer, embedder))
+    collection.rebuild(collection.encode(docs, analyzer, embedder, merge=False))
     write_corpus(docs, corpus_path)
-    model = fit(collection.read())
-    save_model(spark, model, model_path)
-    return collection, model
+    return collection, fit(collection.read(), model_path)

@@ -27,10 +27,11 @@ TOP_K = 3
 
 @dataclass(frozen=True)
 class Questions:
-    """A question table with its terms and vectors; ``count`` bounds what is broadcast."""
+    """A question table with its terms and vectors; the counts bound what is broadcast."""
 
     rows: DataFrame
     count: int
+    n_terms: int
 
     @property
     def terms(self) -> DataFrame:
@@ -60,20 +61,34 @@ class Retriever:
         asked = context.clean_questions(questions).select("query_id", "question")
         counted = count_terms(asked, self.analyzer, text="question")
         embedding = self.embed()(F.col("question"), F.col("terms"))
-        return Questions(counted.withColumn("embedding", embedding), asked.count())
+        size = counted.agg(
+            F.count("*").alias("questions"),
+            F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms"),
+        ).first()
+        return Questions(counted.withColumn("embedding", embedding), size.questions, size.terms)
 
     def sparse(self, asked: Questions, k: int = DEPTH) -> DataFrame:
-        return okapi_topk(asked.terms, self.index, self.model, k)
+        return okapi_topk(asked.terms, self.index, self.model, k, asked.n_terms)
 
     def padded(self, asked: Questions, k: int = DEPTH) -> DataFrame:
-        return hybrid.padded_okapi_topk(asked.rows, asked.terms, self.index, self.model, k)
+        return hybrid.padded_okapi_topk(
+            asked.rows, asked.terms, self.index, self.model, k, asked.count, asked.n_terms
+        )
 
     def dense(self, asked: Questions, k: int = DEPTH, metric: str = "l2") -> DataFrame:
-        return dense_topk(asked.rows, self.index, k, self.dim, metric)
+        return dense_topk(asked.rows, self.index, k, self.dim, metric, asked.count)
 
     def hybrid(self, asked: Questions, k: int = TOP_K, alpha: float = 0.5) -> DataFrame:
         return hybrid.convex_topk(
-            asked.rows, asked.terms, self.index, self.model, k, alpha, self.dim
+            asked.rows,
+            asked.terms,
+            self.index,
+            self.model,
+            k,
+            alpha,
+            self.dim,
+            asked.count,
+            asked.n_terms,
         )
 
     def ensemble(

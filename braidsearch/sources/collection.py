@@ -21,26 +21,24 @@ from braidsearch.functions.vectors import (
     hashed_embedder,
 )
 from braidsearch.operators.index import count_terms
-from braidsearch.operators.ranking import BROADCAST_ROWS
+from braidsearch.operators.ranking import broadcast_within
 from braidsearch.schemas import COLLECTION_META
 from braidsearch.session import fanout
 from braidsearch.sources.tables import path_exists, read_bucketed, write_bucketed
 
 
 def latest_by_content(docs: DataFrame) -> DataFrame:
-    """One row per text: the one with the highest ``seq``, and how many ``copies`` there were.
+    """The document that stands for each text: ``(content_id, doc_id, copies)``.
 
-    ``max_by`` and the count combine copies map-side, so a text that fills a third
-    of the batch reaches its reducer as one row per task.
+    The highest ``seq`` (default: ``doc_id``) wins. Only keys and numbers are
+    shuffled, and they combine map-side: a text that fills a third of the batch
+    reaches its reducer as one row per task.
     """
-    if "seq" not in docs.columns:
-        docs = docs.withColumn("seq", F.col("doc_id"))
-    keyed = docs.withColumn("content_id", content_key(F.col("text")))
-    newest = keyed.groupBy("content_id").agg(
-        F.max_by(F.struct("doc_id", "seq", "text", "metadata"), F.col("seq")).alias("row"),
-        F.count("*").alias("copies"),
+    seq = F.col("seq") if "seq" in docs.columns else F.col("doc_id")
+    keyed = docs.select(content_key(F.col("text")).alias("content_id"), "doc_id", seq.alias("seq"))
+    return keyed.groupBy("content_id").agg(
+        F.max_by("doc_id", "seq").alias("doc_id"), F.count("*").alias("copies")
     )
-    return newest.select("content_id", "row.*", "copies")
 
 
 @dataclass(frozen=True)
@@ -97,40 +95,55 @@ class Collection:
         docs: DataFrame,
         analyzer: Analyzer = simple_tokens,
         embedder: Embedder | None = None,
+        merge: bool = True,
     ) -> DataFrame:
-        """Documents as rows of this collection, moved to their buckets before the analysis."""
-        if "content_id" not in docs.columns:
-            docs = docs.withColumn("content_id", content_key(F.col("text")))
-        if "seq" not in docs.columns:
-            docs = docs.withColumn("seq", F.col("doc_id"))
-        if "copies" not in docs.columns:
-            docs = docs.withColumn("copies", F.lit(1).cast("bigint"))
-        keys = ["doc_id", "content_id", "seq", "copies", "text", "metadata"]
-        placed = docs.select(*keys).repartition(self.buckets, "doc_id")
+        """``(doc_id, text, metadata[, seq])`` as rows of this collection.
+
+        Texts are shuffled once, to their buckets, and analysed there. With ``merge``
+        equal texts become the row of the latest one, so each is analysed and
+        embedded once; ``copies`` keeps their number. ``doc_id`` is unique in ``docs``.
+        A given ``embedding`` column is kept and must have the collection's width.
+        """
+        given = [c for c in ("embedding",) if c in docs.columns]
+        placed = docs.select("doc_id", "text", "metadata", *given)
+        placed = placed.repartition(self.buckets, "doc_id")
+        if merge:
+            # hash-joined within the buckets, so the texts are not sorted
+            placed = placed.join(latest_by_content(docs).hint("shuffle_hash"), "doc_id")
+        else:
+            placed = placed.withColumn("content_id", content_key(F.col("text")))
+            placed = placed.withColumn("copies", F.lit(1).cast("bigint"))
         counted = count_terms(placed, analyzer)
+        if given:
+            return counted.withColumn("embedding", check_width(F.col("embedding"), self.dim))
         embed = embedder or hashed_embedder(self.dim)
-        return counted.withColumn(
-            "embedding", check_width(embed(F.col("text"), F.col("terms")), self.dim)
-        )
+        return counted.withColumn("embedding", embed(F.col("text"), F.col("terms")))
 
     def upsert(self, rows: DataFrame) -> None:
-        """Add encoded rows, at most one per text; a text already stored is replaced.
+        """Add encoded, merged rows; a text already stored is replaced.
 
         Stored rows are only streamed past the keys of the batch when these are few
         enough to broadcast, and are not shuffled then; a larger batch is joined by
         shuffle.
         """
         version = self.version()
+        added = rows.withColumn("version", F.lit(version + 1))
         if version:
             keys = rows.select("content_id")
-            if keys.count() <= BROADCAST_ROWS:
-                keys = F.broadcast(keys)
-            rows = self.read().join(keys, "content_id", "left_anti").unionByName(rows)
-        self._write(rows, version + 1)
+            kept = self.read().join(
+                broadcast_within(keys, keys.count()), "content_id", "left_anti"
+            )
+            added = kept.unionByName(added)
+        self._write(added, version + 1)
 
     def rebuild(self, rows: DataFrame) -> None:
         """Replace everything; rows with the same text stay separate."""
-        self._write(rows, self.version() + 1)
+        version = self.version() + 1
+        self._write(rows.withColumn("version", F.lit(version)), version)
+
+    def last_batch(self) -> DataFrame:
+        """The rows that the latest upsert or rebuild brought."""
+        return self.read().filter(F.col("version") == self.version())
 
     def _folder(self, version: int) -> str:
         return f"{self.path}/v{version:06d}"

@@ -1,4 +1,4 @@
-"""Saving and loading a fitted BM25 model: Parquet tables, or one JSON object for exchange."""
+"""Loading a BM25 model saved by `bm25.fit`, and its exchange as one JSON object."""
 
 from __future__ import annotations
 
@@ -14,15 +14,6 @@ from braidsearch.sources.tables import path_exists
 EXPORT_TERMS = 1_000_000
 
 
-def save_model(spark: SparkSession, model: Bm25Model, path: str) -> None:
-    """Write ``path/stats`` (one row) and ``path/df`` (the vocabulary)."""
-    stats = spark.createDataFrame(
-        [(model.n_docs, model.avgdl)], "n_docs long, avgdl double"
-    )
-    model.vocabulary.write.mode("overwrite").parquet(f"{path}/df")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-
 def load_model(spark: SparkSession, path: str) -> Bm25Model:
     if not path_exists(spark, f"{path}/stats"):
         raise FileNotFoundError(f"no BM25 model at {path}; run the ingestion first")
