@@ -1,0 +1,117 @@
+import math
+
+import pytest
+from conftest import EDGE_TEXTS
+from pyspark.sql import functions as F
+
+from braidsearch.functions import text as tx
+
+
+def one(spark, column, value):
+    frame = spark.createDataFrame([(value,)], "text string")
+    return frame.select(column(F.col("text")).alias("out")).first().out
+
+
+def test_simple_tokens(spark):
+    assert one(spark, tx.simple_tokens, "  Hello, WORLD-wide web's 3.5 ") == [
+        "hello", "world", "wide", "web", "s", "3", "5",
+    ]
+    assert one(spark, tx.simple_tokens, "Über Zürich") == ["über", "zürich"]
+    assert one(spark, tx.simple_tokens, "") == []
+    assert one(spark, tx.simple_tokens, None) == []
+    assert one(spark, tx.simple_tokens, " .,; ") == []
+
+
+def test_whitespace_tokens_keep_case_and_punctuation(spark):
+    text = " A b,\tC d e\nf "
+    assert one(spark, tx.whitespace_tokens, text) == text.split()
+    assert one(spark, tx.whitespace_tokens, "") == []
+
+
+def test_word_tokens(spark):
+    words = one(spark, tx.word_tokens, "The state-of-the-art ship's hull, again.")
+    assert words == ["the", "state-of-the-art", "ship", "'s", "hull", "again"]
+    dropped = one(spark, lambda t: tx.word_tokens(t, ["the", "again"]), "The hull again")
+    assert dropped == ["hull"]
+
+
+def test_stop_words_follow_the_language(spark):
+    rows = [("the river and the sea", "en"), ("the river et la mer", "fr"), ("the sea", "xx")]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    out = frame.select(tx.word_tokens_by_language(F.col("text"), F.col("lang")).alias("t"))
+    assert [r.t for r in out.collect()] == [
+        ["river", "sea"], ["the", "river", "mer"], ["the", "sea"],
+    ]
+
+
+def test_light_stem(spark):
+    stem = tx.stemmed(tx.word_tokens)
+    assert one(spark, stem, "ponies classes cats glass virus ship's") == [
+        "pony", "class", "cat", "glass", "virus", "ship", "'s",
+    ]
+
+
+def test_term_counts(spark):
+    counts = one(spark, lambda t: tx.term_counts(tx.simple_tokens(t)), "b a b c b a")
+    assert [(c.term, c.tf) for c in counts] == [("a", 2), ("b", 3), ("c", 1)]
+    assert one(spark, lambda t: tx.term_counts(tx.simple_tokens(t)), "") == []
+
+
+def test_term_counts_agree_with_grouping(spark, edge_docs):
+    tokens = tx.simple_tokens(F.col("text"))
+    local = edge_docs.select("doc_id", F.inline(tx.term_counts(tokens)))
+    grouped = (
+        edge_docs.select("doc_id", F.explode(tokens).alias("term"))
+        .groupBy("doc_id", "term")
+        .agg(F.count("*").cast("int").alias("tf"))
+    )
+    assert sorted(map(tuple, local.collect())) == sorted(map(tuple, grouped.collect()))
+
+
+def test_trim_strips_what_python_strips(spark):
+    for text in ["\t\n x y  ", " ", "", "x"]:
+        assert one(spark, tx.trim_whitespace, text) == text.strip()
+
+
+def test_snippet_and_score(spark):
+    for text in EDGE_TEXTS:
+        assert one(spark, tx.snippet, text) == text[:150].replace("\n", " ") + "..."
+    frame = spark.createDataFrame([(0.5,), (0.123456,), (0.0,)], "s double")
+    shown = [r.s for r in frame.select(tx.score_text(F.col("s")).alias("s")).collect()]
+    assert shown == ["0.5000", "0.1235", "0.0000"]
+
+
+def test_content_key_is_by_text(spark):
+    assert one(spark, tx.content_key, "a") == one(spark, tx.content_key, "a")
+    assert one(spark, tx.content_key, "a") != one(spark, tx.content_key, "A")
+
+
+@pytest.mark.parametrize(
+    ("term", "hashed"),
+    [
+        ("", 0),
+        ("hello", 0x248BFA47),
+        ("hello, world", 0x149BBB7F),
+        ("The quick brown fox jumps over the lazy dog", 0x2E4FF723),
+    ],
+)
+def test_murmur_published_values(spark, term, hashed):
+    assert one(spark, tx.murmur_term_id, term) == hashed
+
+
+def test_murmur_of_mixed_lengths_in_one_batch(spark):
+    terms = ["a" * n for n in range(9)] + ["é", None]
+    frame = spark.createDataFrame([(t,) for t in terms], "t string").coalesce(1)
+    together = [r.h for r in frame.select(tx.murmur_term_id("t").alias("h")).collect()]
+    alone = [one(spark, tx.murmur_term_id, t) for t in terms]
+    assert together == alone
+    assert together[-1] is None
+    assert len(set(together)) == len(terms)
+
+
+def test_term_id(spark):
+    import hashlib
+
+    wanted = int(hashlib.md5(b"sea").hexdigest()[:8], 16)
+    assert one(spark, tx.term_id, "sea") == wanted
+    assert not math.isnan(wanted)
