@@ -17,7 +17,7 @@ from braidsearch.operators import bm25, context, dense, fusion, rerank
 from braidsearch.operators.index import build_index, count_terms, index_rows, postings
 from braidsearch.operators.ranking import rounded
 from braidsearch.plans import ingest, retrieve
-from braidsearch.session import fresh_path, materialize, spread
+from braidsearch.session import fanout, fresh_path, materialize, spread
 from braidsearch.sources import corpus, models
 from braidsearch.sources.collection import Collection
 
@@ -93,7 +93,8 @@ def bm25_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    collection = Collection.create(spark, fresh_path(spark, "collection"), "documents")
+    path = fresh_path(spark, "collection")
+    collection = Collection.create(spark, path, "documents", buckets=fanout(docs))
     collection.upsert(collection.encode(docs))
     # the second batch brings the English documents again, with a new category
     category = F.try_element_at("metadata", F.lit("category"))
@@ -107,7 +108,8 @@ def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collection_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    collection = Collection.create(spark, fresh_path(spark, "collection"), "documents")
+    path = fresh_path(spark, "collection")
+    collection = Collection.create(spark, path, "documents", buckets=fanout(docs))
     for _ in range(2):
         collection.rebuild(collection.encode(docs, merge=False))
     return collection.read().select("doc_id", "content_id")
@@ -118,15 +120,17 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "collection")
-    collection, _ = ingest.ingest_upsert(spark, _docs(spark, sf_dir), path, f"{path}-model")
+    path, docs = fresh_path(spark, "collection"), _docs(spark, sf_dir)
+    collection, _ = ingest.ingest_upsert(
+        spark, docs, path, f"{path}-model", buckets=fanout(docs)
+    )
     return _ingested(collection)
 
 
 def ingest_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "collection")
+    path, docs = fresh_path(spark, "collection"), _docs(spark, sf_dir)
     collection, _ = ingest.ingest_rebuild(
-        spark, _docs(spark, sf_dir), path, f"{path}-corpus", f"{path}-model"
+        spark, docs, path, f"{path}-corpus", f"{path}-model", buckets=fanout(docs)
     )
     return _ingested(collection)
 

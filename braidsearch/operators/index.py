@@ -54,7 +54,7 @@ def build_index(
     runs in as many tasks as there are buckets.
     """
     spark = docs.sparkSession
-    buckets = buckets or fanout(spark)
+    buckets = buckets or fanout(docs)
     placed = docs.select("doc_id", "text").repartition(buckets, "doc_id")
     rows = index_rows(placed, analyzer, embedder)
     return write_bucketed(rows, path or fresh_path(spark, "index"), "doc_id", buckets)

@@ -19,13 +19,14 @@ def ingest_upsert(
     analyzer: Analyzer = simple_tokens,
     embedder: Embedder | None = None,
     dim: int = DEFAULT_DIM,
+    buckets: int | None = None,
 ) -> tuple[Collection, Bm25Model]:
     """Fit BM25 on the batch, save it, and upsert the batch into the collection at ``path``.
 
     Equal texts are merged first, so each is analysed and embedded once; their
     number still counts in the statistics.
     """
-    collection = Collection.create(spark, path, "documents", dim, "dot")
+    collection = Collection.create(spark, path, "documents", dim, "dot", buckets)
     collection.upsert(collection.encode(docs, analyzer, embedder))
     return collection, fit(collection.last_batch(), model_path)
 
@@ -39,9 +40,10 @@ def ingest_rebuild(
     analyzer: Analyzer = simple_tokens,
     embedder: Embedder | None = None,
     dim: int = DEFAULT_DIM,
+    buckets: int | None = None,
 ) -> tuple[Collection, Bm25Model]:
     """Replace the collection at ``path``, write the corpus file, fit and save BM25."""
-    collection = Collection.create(spark, path, "documents", dim, "l2")
+    collection = Collection.create(spark, path, "documents", dim, "l2", buckets)
     collection.rebuild(collection.encode(docs, analyzer, embedder, merge=False))
     write_corpus(docs, corpus_path)
     return collection, fit(collection.read(), model_path)

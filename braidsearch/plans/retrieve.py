@@ -16,6 +16,7 @@ from braidsearch.operators.dense import dense_topk
 from braidsearch.operators.index import build_index, count_terms
 from braidsearch.operators.ranking import broadcast_within
 from braidsearch.operators.rerank import Scorer, attach, overlap_score, rerank
+from braidsearch.session import materialize
 from braidsearch.sources.collection import Collection
 from braidsearch.sources.models import load_model
 
@@ -24,6 +25,9 @@ DEPTH = 5
 WEIGHTS = (0.5, 0.5)
 TOP_K = 3
 
+# Document ids that a filter may name.
+NAMED_IDS = 5000
+
 
 @dataclass(frozen=True)
 class Questions:
@@ -43,7 +47,8 @@ class Retriever:
     """An index with its model, and the documents whose text and metadata answers need.
 
     ``index`` has ``doc_id, content_id, dl, terms`` and, for the searches that use
-    vectors, ``embedding``; ``docs`` has ``doc_id, text, metadata``.
+    vectors, ``embedding``; ``docs`` has ``doc_id, text, metadata``. ``bucketed`` says
+    that ``docs`` is a table bucketed by ``doc_id``, so that few ids touch few files.
     """
 
     index: DataFrame
@@ -52,20 +57,24 @@ class Retriever:
     analyzer: Analyzer = simple_tokens
     embedder: Embedder | None = None
     dim: int = DEFAULT_DIM
+    bucketed: bool = False
 
     def embed(self) -> Embedder:
         return self.embedder or hashed_embedder(self.dim)
 
     def ask(self, questions: DataFrame) -> Questions:
-        """Clean ``(query_id, question)``, analyse and embed it."""
+        """Clean, analyse and embed ``(query_id, question)``, once for every later use."""
         asked = context.clean_questions(questions).select("query_id", "question")
-        counted = count_terms(asked, self.analyzer, text="question")
-        embedding = self.embed()(F.col("question"), F.col("terms"))
-        size = counted.agg(
+        rows = count_terms(asked, self.analyzer, text="question")
+        if "embedding" in self.index.columns:
+            embedding = self.embed()(F.col("question"), F.col("terms"))
+            rows = rows.withColumn("embedding", embedding)
+        rows = materialize(rows, "questions")
+        size = rows.agg(
             F.count("*").alias("questions"),
             F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms"),
         ).first()
-        return Questions(counted.withColumn("embedding", embedding), size.questions, size.terms)
+        return Questions(rows, size.questions, size.terms)
 
     def sparse(self, asked: Questions, k: int = DEPTH) -> DataFrame:
         return okapi_topk(asked.terms, self.index, self.model, k, asked.n_terms)
@@ -99,8 +108,17 @@ class Retriever:
         return fusion.rrf(lists, weights, self.index, 2 * depth * asked.count)
 
     def with_text(self, ranked: DataFrame, asked: Questions, per_question: int) -> DataFrame:
-        """Ranked rows with text, metadata and question; documents are read only now."""
-        texts = attach(ranked, self.docs, per_question * asked.count)
+        """Ranked rows with text, metadata and question; documents are read only now.
+
+        From a bucketed table only the buckets of the ranked documents are read, as
+        long as these are few enough to be named in the filter.
+        """
+        docs, bound = self.docs, per_question * asked.count
+        if self.bucketed and bound <= NAMED_IDS:
+            ranked = materialize(ranked, "ranked")
+            named = ranked.select("doc_id").distinct().collect()
+            docs = docs.filter(F.col("doc_id").isin([row.doc_id for row in named]))
+        texts = attach(ranked, docs, bound)
         wording = broadcast_within(asked.rows.select("query_id", "question"), asked.count)
         return texts.join(wording, "query_id")
 
@@ -141,7 +159,7 @@ def open_retriever(
     rows = collection.read()
     model = load_model(spark, model_path)
     docs = rows.select("doc_id", "text", "metadata")
-    return Retriever(rows, docs, model, analyzer, embedder, collection.dim)
+    return Retriever(rows, docs, model, analyzer, embedder, collection.dim, bucketed=True)
 
 
 def hybrid_prompts(

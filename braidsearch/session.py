@@ -51,21 +51,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return os.path.join(workdir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def fanout(spark: SparkSession) -> int:
-    """Partitions of an explicit repartition; sized with ``spark.sql.shuffle.partitions``."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fanout(scan: DataFrame) -> int:
+    """Partitions for an explicit repartition of a scanned table.
+
+    As many as the scan has splits, at least one per core, and at most
+    ``spark.sql.shuffle.partitions``, the setting by which a cluster is sized.
+    """
+    spark = scan.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(scan: DataFrame, key: str) -> DataFrame:
     """Spread a scan with fewer splits than cores (one small file); leave large scans alone.
 
     Large inputs already arrive as thousands of splits, and shuffling their whole
     text only to move it would be the most costly step of the job.
     """
-    spark = df.sparkSession
-    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        return df.repartition(fanout(spark), key)
-    return df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() < cores:
+        return scan.repartition(fanout(scan), key)
+    return scan
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

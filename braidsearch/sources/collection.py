@@ -23,7 +23,6 @@ from braidsearch.functions.vectors import (
 from braidsearch.operators.index import count_terms
 from braidsearch.operators.ranking import broadcast_within
 from braidsearch.schemas import COLLECTION_META
-from braidsearch.session import fanout
 from braidsearch.sources.tables import path_exists, read_bucketed, write_bucketed
 
 
@@ -58,10 +57,15 @@ class Collection:
         metric: str = "dot",
         buckets: int | None = None,
     ) -> Collection:
-        """Create the collection unless it exists; then width and metric must agree."""
+        """Create the collection unless it exists; then width and metric must agree.
+
+        ``buckets`` (default: ``spark.sql.shuffle.partitions``) stay for its lifetime:
+        size them for the corpus it is to hold.
+        """
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not path_exists(spark, f"{path}/meta"):
             meta = spark.createDataFrame(
-                [(name, dim, metric, buckets or fanout(spark))], COLLECTION_META
+                [(name, dim, metric, buckets)], COLLECTION_META
             )
             meta.coalesce(1).write.mode("ignore").parquet(f"{path}/meta")
         found = Collection.open(spark, path)

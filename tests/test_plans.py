@@ -88,6 +88,34 @@ def test_ingest_then_ask(spark, docs, questions, tmp_path):
     assert prompts(retrieve.open_retriever(spark, path, model_path)) == prompts(built)
 
 
+def scanned_rows(node):
+    """Rows read by the scans of a finished plan, by scan name."""
+    name, rows = node.nodeName(), {}
+    if name.startswith("Scan "):
+        rows[name] = node.metrics().apply("numOutputRows").value()
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else []
+    inner += [node.plan()] if "QueryStage" in name else []
+    inner += [node.children().apply(i) for i in range(node.children().size())]
+    for child in inner:
+        rows.update(scanned_rows(child))
+    return rows
+
+
+def test_answers_read_only_the_buckets_they_need(spark, tmp_path):
+    path, model_path = str(tmp_path / "c"), str(tmp_path / "m")
+    rows = [(n, f"text number {n}", {}) for n in range(200)]
+    ingest.ingest_upsert(
+        spark, spark.createDataFrame(rows, DOCUMENTS), path, model_path, buckets=16
+    )
+    opened = retrieve.open_retriever(spark, path, model_path)
+    asked = opened.ask(spark.createDataFrame([(0, "number 77")], QUESTIONS))
+    found = opened.with_text(opened.hybrid(asked, 1), asked, 1)
+    assert [r.doc_id for r in found.collect()] == [77]
+    scans = scanned_rows(found._jdf.queryExecution().executedPlan())
+    read = [n for name, n in scans.items() if "braid_" in name]
+    assert len(read) == 1 and 0 < read[0] < 40
+
+
 def test_upsert_counts_copies_in_its_model(spark, tmp_path):
     rows = [(1, "sea salt", {}), (2, "sea salt", {}), (3, "bread", {})]
     docs = spark.createDataFrame(rows, DOCUMENTS)
