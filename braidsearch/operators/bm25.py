@@ -18,7 +18,12 @@ from pyspark.sql.window import Window
 
 from braidsearch.functions.text import Analyzer, simple_tokens, term_id
 from braidsearch.operators.index import count_terms, postings
-from braidsearch.operators.ranking import broadcast_within, fits_broadcast, top_by_score
+from braidsearch.operators.ranking import (
+    broadcast_within,
+    fits_broadcast,
+    text_bytes,
+    top_by_score,
+)
 from braidsearch.session import fresh_path
 
 # Parameters of the two weightings and the floor of negative Okapi idf.
@@ -146,29 +151,34 @@ def question_terms(questions: DataFrame, analyzer: Analyzer = simple_tokens) ->
     return counted.select("query_id", F.inline("terms")).withColumnRenamed("tf", "qtf")
 
 
-def with_df(q_terms: DataFrame, model: Bm25Model, n_terms: int) -> DataFrame:
-    """Attach ``df`` to the ``n_terms`` question terms, 1 for a term no document has.
+def terms_size(q_terms: DataFrame) -> int:
+    """Bytes of a table of question terms, measured before it is broadcast."""
+    return q_terms.agg(text_bytes(F.col("term"))).first()[0]
+
+
+def with_df(q_terms: DataFrame, model: Bm25Model, size: int) -> DataFrame:
+    """Attach ``df`` to question terms of ``size`` bytes, 1 for a term no document has.
 
     The vocabulary grows with the corpus, the question terms do not: the terms are
     what is broadcast, and the vocabulary is only streamed past them.
     """
-    wanted = broadcast_within(q_terms.select("term").distinct(), n_terms)
+    wanted = broadcast_within(q_terms.select("term").distinct(), size)
     known = model.vocabulary.join(wanted, "term", "left_semi").select("term", "df")
-    return q_terms.join(broadcast_within(known, n_terms), "term", "left").withColumn(
+    return q_terms.join(broadcast_within(known, size), "term", "left").withColumn(
         "df", F.coalesce("df", F.lit(1))
     )
 
 
 def encode_queries(
-    q_terms: DataFrame, model: Bm25Model, n_terms: int | None = None
+    q_terms: DataFrame, model: Bm25Model, size: int | None = None
 ) -> DataFrame:
     """Sparse question vectors ``(query_id, term, weight)``; the weights of a question sum to 1.
 
-    ``n_terms`` is the number of rows of ``q_terms`` where it is already known.
+    ``size`` is that of ``q_terms`` in bytes, where it is already known.
     """
     idf = F.log((F.lit(float(model.n_docs)) + 1) / (F.col("df") + 0.5))
-    n_terms = q_terms.count() if n_terms is None else n_terms
-    weighted = with_df(q_terms, model, n_terms).withColumn("idf", idf)
+    size = terms_size(q_terms) if size is None else size
+    weighted = with_df(q_terms, model, size).withColumn("idf", idf)
     per_question = Window.partitionBy("query_id")
     return weighted.select(
         "query_id", "term", (F.col("idf") / F.sum("idf").over(per_question)).alias("weight")
@@ -176,11 +186,11 @@ def encode_queries(
 
 
 def okapi_queries(
-    q_terms: DataFrame, model: Bm25Model, n_terms: int | None = None
+    q_terms: DataFrame, model: Bm25Model, size: int | None = None
 ) -> DataFrame:
     """Okapi question weights ``(query_id, term, weight)``; only terms the corpus has."""
-    n_terms = q_terms.count() if n_terms is None else n_terms
-    wanted = broadcast_within(q_terms, n_terms)
+    size = terms_size(q_terms) if size is None else size
+    wanted = broadcast_within(q_terms, size)
     idf = okapi_idf(model.n_docs, model.mean_idf)
     return model.vocabulary.join(wanted, "term").select(
         "query_id", "term", (F.col("qtf") * idf).alias("weight")
@@ -192,16 +202,16 @@ def weigh_terms(index: DataFrame, weight: Column) -> DataFrame:
     return postings(index).select("doc_id", "term", weight.alias("weight"))
 
 
-def sparse_scores(doc_weights: DataFrame, query_weights: DataFrame, rows: int) -> DataFrame:
+def sparse_scores(doc_weights: DataFrame, query_weights: DataFrame, size: int) -> DataFrame:
     """``(query_id, doc_id, score)`` of every pair sharing a term.
 
-    ``rows`` bounds ``query_weights``. Within the broadcast limit the postings stay
+    ``size`` bounds the bytes of ``query_weights``. Within the broadcast limit the postings stay
     where they are: with an index bucketed by ``doc_id`` the sum needs no shuffle
     either. Beyond it both sides are shuffled by term and salt, so that the
     postings of one hot term are spread over `SALTS` tasks.
     """
     q = query_weights.withColumnRenamed("weight", "query_weight")
-    if fits_broadcast(rows):
+    if fits_broadcast(size):
         matched = doc_weights.join(F.broadcast(q), "term")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
@@ -218,10 +228,10 @@ def okapi_topk(
     index: DataFrame,
     model: Bm25Model,
     k: int = 5,
-    n_terms: int | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Best ``k`` matching documents of each question by Okapi BM25."""
-    n_terms = q_terms.count() if n_terms is None else n_terms
+    size = terms_size(q_terms) if size is None else size
     doc_weights = weigh_terms(index, okapi_weight(model, F.col("tf")))
-    scores = sparse_scores(doc_weights, okapi_queries(q_terms, model, n_terms), n_terms)
+    scores = sparse_scores(doc_weights, okapi_queries(q_terms, model, size), size)
     return top_by_score(scores, k)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidsearch.operators.ranking import broadcast_within, keep_top, rounded
+from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, keep_top, rounded
 
 # Fixed value: the rank constant of the fusion formula.
 RANK_CONSTANT = 60
@@ -45,7 +45,7 @@ def rrf(
     and the first seen (list order, then rank) stands for it. ``content`` maps
     ``doc_id`` to ``content_id``; ``bound`` is the greatest number of list entries.
     """
-    entries = broadcast_within(candidate_union(lists, weights), bound)
+    entries = broadcast_within(candidate_union(lists, weights), bound * ROW_BYTES)
     keyed = content.select("doc_id", "content_id").join(entries, "doc_id")
     seen = F.struct("list_no", "rank")
     fused = keyed.groupBy("query_id", "content_id").agg(

@@ -15,6 +15,7 @@ from braidsearch.operators.bm25 import (
     encode_queries,
     okapi_queries,
     okapi_weight,
+    terms_size,
     vector_weight,
 )
 from braidsearch.operators.scoring import Scoring, topk
@@ -52,12 +53,13 @@ def padded_okapi_topk(
     model: Bm25Model,
     k: int = 5,
     n_questions: int | None = None,
-    n_terms: int | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Okapi top-k that always fills its ``k`` rows: documents without a match score 0."""
-    asked = _packed_queries(questions.select("query_id"), okapi_queries(q_terms, model, n_terms))
+    size = terms_size(q_terms) if size is None else size
+    asked = _packed_queries(questions.select("query_id"), okapi_queries(q_terms, model, size))
     rows = _weighted_rows(index, lambda tf: okapi_weight(model, tf))
-    return topk(asked, rows, Scoring(k=k, metric=None, sparse=True), n_questions)
+    return topk(asked, rows, Scoring(k=k, metric=None, sparse=True), n_questions, size)
 
 
 def convex_topk(
@@ -69,7 +71,7 @@ def convex_topk(
     alpha: float = 0.5,
     dim: int = DEFAULT_DIM,
     n_questions: int | None = None,
-    n_terms: int | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Best ``k`` by ``alpha * dense + (1 - alpha) * sparse``.
 
@@ -77,9 +79,10 @@ def convex_topk(
     """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be between 0 and 1")
+    size = terms_size(q_terms) if size is None else size
     asked = _packed_queries(
-        questions.select("query_id", "embedding"), encode_queries(q_terms, model, n_terms)
+        questions.select("query_id", "embedding"), encode_queries(q_terms, model, size)
     )
     rows = _weighted_rows(index, lambda tf: vector_weight(model, tf))
     scoring = Scoring(k=k, dim=dim, metric="dot", sparse=True, alpha=alpha)
-    return topk(asked, rows, scoring, n_questions)
+    return topk(asked, rows, scoring, n_questions, size)

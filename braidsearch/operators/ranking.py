@@ -12,8 +12,11 @@ from pyspark.sql.window import Window
 
 SCORE_DIGITS = 6
 
-# Rows that may be broadcast (some 100 MB as a hash table); larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+# Bytes that may be broadcast or sent along with a task; larger sides are shuffled.
+BROADCAST_BYTES = 128 << 20
+
+# Bytes counted for a row of numbers, or for a row besides its text.
+ROW_BYTES = 64
 
 
 def rounded(score: Column) -> Column:
@@ -37,11 +40,16 @@ def top_by_score(df: DataFrame, k: int, ascending: bool = False) -> DataFrame:
     )
 
 
-def fits_broadcast(rows: int) -> bool:
-    return rows <= BROADCAST_ROWS
+def fits_broadcast(size: int) -> bool:
+    return size <= BROADCAST_BYTES
 
 
-def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast ``df`` only if ``rows``, a proven bound of its size, fits; else leave the
+def broadcast_within(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast ``df`` only if ``size``, a proven bound of its bytes, fits; else leave the
     join to Spark, which shuffles and splits skewed partitions."""
-    return F.broadcast(df) if fits_broadcast(rows) else df
+    return F.broadcast(df) if fits_broadcast(size) else df
+
+
+def text_bytes(text: Column) -> Column:
+    """Aggregate: bytes of all rows that hold ``text`` and some numbers."""
+    return F.coalesce(F.sum(F.octet_length(text) + ROW_BYTES), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from braidsearch.functions.columns import let
 from braidsearch.functions.text import simple_tokens
-from braidsearch.operators.ranking import broadcast_within, keep_top, rounded
+from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, keep_top, rounded
 
 # A scorer maps (question, text) to a double; a pandas_udf over both columns fits as well.
 Scorer = Callable[[Column, Column], Column]
@@ -47,7 +47,7 @@ def overlap_score(question: Column, text: Column) -> Column:
 
 def attach(ranked: DataFrame, table: DataFrame, bound: int) -> DataFrame:
     """Join ranked rows to their documents; ``bound`` is the greatest number of ranked rows."""
-    return table.join(broadcast_within(ranked, bound), "doc_id")
+    return table.join(broadcast_within(ranked, bound * ROW_BYTES), "doc_id")
 
 
 def rerank_scores(candidates: DataFrame, scorer: Scorer = overlap_score) -> DataFrame:

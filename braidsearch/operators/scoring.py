@@ -5,7 +5,7 @@ make a row of each. Each task multiplies its vectors with a block of questions a
 keeps its best k per question, so a task emits at most ``questions * k`` rows and
 only those are shuffled.
 
-A question block is bounded by `BLOCK_QUESTIONS`. One block travels to the tasks
+A question block is bounded by `BLOCK_QUESTIONS` and by the bytes of its terms. One block travels to the tasks
 with the function. More questions than that are never gathered: vectors and
 questions are then both cut into bounded pieces by hash, and each piece of
 vectors meets each piece of questions in its own group.
@@ -23,7 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidsearch.functions.vectors import bucket_numbers, matrix
-from braidsearch.operators.ranking import SCORE_DIGITS, top_by_score
+from braidsearch.operators.ranking import (
+    BROADCAST_BYTES,
+    SCORE_DIGITS,
+    fits_broadcast,
+    top_by_score,
+)
 
 BLOCK_QUESTIONS = 4096
 GROUP_VECTORS = 50_000
@@ -172,12 +177,17 @@ def score_batch(best: Best, block: Block, scoring: Scoring, batch: pa.RecordBatc
 
 
 def topk(
-    questions: DataFrame, stored: DataFrame, scoring: Scoring, n_questions: int | None = None
+    questions: DataFrame,
+    stored: DataFrame,
+    scoring: Scoring,
+    n_questions: int | None = None,
+    size: int = 0,
 ) -> DataFrame:
     """Ranked list of the best ``scoring.k`` stored rows per question.
 
     ``questions``: ``query_id`` and, as the scoring needs, ``embedding``, ``terms``
-    and ``weights``. ``stored``: the same with ``doc_id``.
+    and ``weights``. ``stored``: the same with ``doc_id``. ``n_questions`` and the bytes
+    of their terms, ``size``, decide whether one block holds them all.
     """
     wanted = ["embedding"] if scoring.metric else []
     wanted += ["terms", "weights"] if scoring.sparse else []
@@ -185,10 +195,12 @@ def topk(
     stored = stored.select("doc_id", *wanted)
     n_questions = questions.count() if n_questions is None else n_questions
     ascending = scoring.metric == "l2"
-    if n_questions <= BLOCK_QUESTIONS:
+    if n_questions <= BLOCK_QUESTIONS and fits_broadcast(size):
         found = _one_block(questions, stored, scoring)
     else:
-        found = _block_pairs(questions, n_questions, stored, scoring)
+        # twice as many blocks as needed, since a hash does not fill them evenly
+        blocks = 2 * max(-(-n_questions // BLOCK_QUESTIONS), -(-size // BROADCAST_BYTES))
+        found = _block_pairs(questions, blocks, stored, scoring)
     return top_by_score(found, scoring.k, ascending)
 
 
@@ -205,9 +217,8 @@ def _one_block(questions: DataFrame, stored: DataFrame, scoring: Scoring) -> Dat
 
 
 def _block_pairs(
-    questions: DataFrame, n_questions: int, stored: DataFrame, scoring: Scoring
+    questions: DataFrame, blocks: int, stored: DataFrame, scoring: Scoring
 ) -> DataFrame:
-    blocks = -(-2 * n_questions // BLOCK_QUESTIONS)
     pieces = -(-stored.select("doc_id").count() // GROUP_VECTORS) or 1
 
     def numbered(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int):

@@ -14,7 +14,7 @@ from braidsearch.operators import context, fusion, hybrid
 from braidsearch.operators.bm25 import Bm25Model, fit, okapi_topk
 from braidsearch.operators.dense import dense_topk
 from braidsearch.operators.index import build_index, count_terms
-from braidsearch.operators.ranking import broadcast_within
+from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, text_bytes
 from braidsearch.operators.rerank import Scorer, attach, overlap_score, rerank
 from braidsearch.session import materialize
 from braidsearch.sources.collection import Collection
@@ -31,11 +31,12 @@ NAMED_IDS = 5000
 
 @dataclass(frozen=True)
 class Questions:
-    """A question table with its terms and vectors; the counts bound what is broadcast."""
+    """A question table with its terms and vectors, and the sizes that allow a broadcast."""
 
     rows: DataFrame
     count: int
-    n_terms: int
+    text_size: int
+    terms_size: int
 
     @property
     def terms(self) -> DataFrame:
@@ -70,18 +71,19 @@ class Retriever:
             embedding = self.embed()(F.col("question"), F.col("terms"))
             rows = rows.withColumn("embedding", embedding)
         rows = materialize(rows, "questions")
-        size = rows.agg(
-            F.count("*").alias("questions"),
-            F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms"),
-        ).first()
-        return Questions(rows, size.questions, size.terms)
+        per_term = F.transform("terms", lambda t: F.octet_length(t["term"]) + ROW_BYTES)
+        terms_size = F.sum(F.aggregate(per_term, F.lit(0), lambda total, n: total + n))
+        sizes = rows.agg(
+            F.count("*"), text_bytes(F.col("question")), F.coalesce(terms_size, F.lit(0))
+        )
+        return Questions(rows, *sizes.first())
 
     def sparse(self, asked: Questions, k: int = DEPTH) -> DataFrame:
-        return okapi_topk(asked.terms, self.index, self.model, k, asked.n_terms)
+        return okapi_topk(asked.terms, self.index, self.model, k, asked.terms_size)
 
     def padded(self, asked: Questions, k: int = DEPTH) -> DataFrame:
         return hybrid.padded_okapi_topk(
-            asked.rows, asked.terms, self.index, self.model, k, asked.count, asked.n_terms
+            asked.rows, asked.terms, self.index, self.model, k, asked.count, asked.terms_size
         )
 
     def dense(self, asked: Questions, k: int = DEPTH, metric: str = "l2") -> DataFrame:
@@ -97,7 +99,7 @@ class Retriever:
             alpha,
             self.dim,
             asked.count,
-            asked.n_terms,
+            asked.terms_size,
         )
 
     def ensemble(
@@ -119,7 +121,7 @@ class Retriever:
             named = ranked.select("doc_id").distinct().collect()
             docs = docs.filter(F.col("doc_id").isin([row.doc_id for row in named]))
         texts = attach(ranked, docs, bound)
-        wording = broadcast_within(asked.rows.select("query_id", "question"), asked.count)
+        wording = broadcast_within(asked.rows.select("query_id", "question"), asked.text_size)
         return texts.join(wording, "query_id")
 
     def reranked(

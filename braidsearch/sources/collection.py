@@ -21,7 +21,7 @@ from braidsearch.functions.vectors import (
     hashed_embedder,
 )
 from braidsearch.operators.index import count_terms
-from braidsearch.operators.ranking import broadcast_within
+from braidsearch.operators.ranking import broadcast_within, text_bytes
 from braidsearch.schemas import COLLECTION_META
 from braidsearch.sources.tables import path_exists, read_bucketed, write_bucketed
 
@@ -134,9 +134,8 @@ class Collection:
         added = rows.withColumn("version", F.lit(version + 1))
         if version:
             keys = rows.select("content_id")
-            kept = self.read().join(
-                broadcast_within(keys, keys.count()), "content_id", "left_anti"
-            )
+            size = keys.agg(text_bytes(F.col("content_id"))).first()[0]
+            kept = self.read().join(broadcast_within(keys, size), "content_id", "left_anti")
             added = kept.unionByName(added)
         self._write(added, version + 1)
 

@@ -109,7 +109,7 @@ def test_whitespace_analyzer(spark, docs, questions):
 
 def test_many_questions_take_the_salted_join(monkeypatch, index, model, q_terms):
     wanted = ranked_rows(bm25.okapi_topk(q_terms, index, model, k=3))
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 2)
     ranked = bm25.okapi_topk(q_terms, index, model, k=3)
     plan = ranked._jdf.queryExecution().toString()
     assert "salt" in plan
@@ -131,7 +131,7 @@ def test_query_weights_do_not_depend_on_the_join(monkeypatch, q_terms, model):
         return sorted((r.query_id, r.term, round(r.weight, 12)) for r in found)
 
     wanted = rows()
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 1)
     assert rows() == wanted
 
 
@@ -161,7 +161,7 @@ def test_packed_vectors_hold_the_same_weights(index, model):
 def test_sparse_dot_is_brute_force(index, model, q_terms):
     weights = bm25.encode_queries(q_terms, model)
     doc_weights = bm25.encode_documents(index, model)
-    scores = bm25.sparse_scores(doc_weights, weights, rows=100).collect()
+    scores = bm25.sparse_scores(doc_weights, weights, size=100).collect()
     wanted = sparse_dot(PLAIN, ASKED)
     assert scores
     for row in scores:

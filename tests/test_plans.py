@@ -30,7 +30,9 @@ def ids(df):
 def test_questions_are_cleaned_and_counted(retriever, spark):
     rows = [(0, "  sea salt "), (1, "  "), (2, "sea sea")]
     asked = retriever.ask(spark.createDataFrame(rows, QUESTIONS))
-    assert (asked.count, asked.n_terms) == (2, 3)
+    assert (asked.count, asked.rows.count(), asked.terms.count()) == (2, 2, 3)
+    assert asked.text_size == 2 * 64 + len("sea salt") + len("sea sea")
+    assert asked.terms_size == 3 * 64 + len("sea") + len("salt") + len("sea")
 
 
 def test_reranked_is_within_fused_is_within_lists(retriever, asked):

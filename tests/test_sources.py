@@ -76,7 +76,7 @@ def test_upsert(spark, tmp_path):
 
 
 def test_large_batches_are_joined_by_shuffle(monkeypatch, spark, tmp_path):
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 0)
     collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16)
     collection.upsert(collection.encode(batch(spark, [(1, "a", "1"), (2, "b", "1")])))
     collection.upsert(collection.encode(batch(spark, [(3, "a", "2")])))
