@@ -17,7 +17,7 @@ from braidsearch.operators import bm25, context, dense, fusion, rerank
 from braidsearch.operators.index import build_index, count_terms, index_rows, postings
 from braidsearch.operators.ranking import rounded
 from braidsearch.plans import ingest, retrieve
-from braidsearch.session import fanout, fresh_path, materialize, spread
+from braidsearch.session import fanout, fresh_path, spread
 from braidsearch.sources import corpus, models
 from braidsearch.sources.collection import Collection
 
@@ -272,8 +272,7 @@ def vector_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nonzero(embedded: DataFrame) -> DataFrame:
-    written = materialize(embedded, "embedded")
-    cells = written.select("id", F.posexplode("embedding").alias("bucket", "value"))
+    cells = embedded.select("id", F.posexplode_outer("embedding").alias("bucket", "value"))
     return cells.filter(F.col("value") != 0).select(
         "id",
         F.col("bucket").cast("bigint").alias("bucket"),

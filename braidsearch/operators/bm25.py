@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from braidsearch.functions.text import Analyzer, simple_tokens, term_id
-from braidsearch.operators.index import count_terms, postings
+from braidsearch.operators.index import count_terms, postings, unfold_terms
 from braidsearch.operators.ranking import (
     broadcast_within,
     fits_broadcast,
@@ -53,7 +53,7 @@ def copies_of(index: DataFrame) -> Column:
 
 def doc_freq(index: DataFrame) -> DataFrame:
     """``(term, df)``. Terms are distinct within a row, and hot terms combine map-side."""
-    listed = index.select(copies_of(index).alias("copies"), F.explode("terms.term").alias("term"))
+    listed = unfold_terms(index, copies_of(index).alias("copies"))
     return listed.groupBy("term").agg(F.sum("copies").alias("df"))
 
 
@@ -148,7 +148,7 @@ def sparse_vectors(index: DataFrame, model: Bm25Model) -> DataFrame:
 def question_terms(questions: DataFrame, analyzer: Analyzer = simple_tokens) -> DataFrame:
     """``(query_id, question)`` to ``(query_id, term, qtf)``."""
     counted = count_terms(questions, analyzer, text="question")
-    return counted.select("query_id", F.inline("terms")).withColumnRenamed("tf", "qtf")
+    return unfold_terms(counted, "query_id").withColumnRenamed("tf", "qtf")
 
 
 def terms_size(q_terms: DataFrame) -> int:

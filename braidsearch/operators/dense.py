@@ -9,6 +9,11 @@ from braidsearch.functions.vectors import DEFAULT_DIM, hyperplanes, lsh_bucket
 from braidsearch.operators.scoring import Scoring, topk
 
 
+# Bits of a bucket number, and buckets that a filter may name.
+MAX_BITS = 16
+NAMED_BUCKETS = 2000
+
+
 def dense_topk(
     questions: DataFrame,
     vectors: DataFrame,
@@ -55,13 +60,17 @@ def lsh_topk(
 ) -> DataFrame:
     """Approximate best ``k`` by dot product: only vectors at most one bit away are scored.
 
-    ``vectors`` may carry a ``bucket`` column (see `write_buckets`); the probed
-    buckets, at most ``2**bits`` numbers, then prune the folders that are read.
+    ``vectors`` may carry a ``bucket`` column (see `write_buckets`); then only the
+    folders of the probed buckets are read, as long as a filter can name these.
     """
-    if bits > 16:
-        raise ValueError("at most 16 bits, so that the probed buckets stay a small broadcast")
+    if bits > MAX_BITS:
+        raise ValueError(f"at most {MAX_BITS} bits, so that the probed buckets stay few")
     if "bucket" in vectors.columns:
-        wanted = F.broadcast(probes(questions, bits, dim))
-        vectors = vectors.join(wanted, "bucket", "left_semi")
+        wanted = probes(questions, bits, dim)
+        named = [row.bucket for row in wanted.limit(NAMED_BUCKETS + 1).collect()]
+        if len(named) <= NAMED_BUCKETS:
+            vectors = vectors.filter(F.col("bucket").isin(named))
+        else:
+            vectors = vectors.join(F.broadcast(wanted), "bucket", "left_semi")
     scoring = Scoring(k=k, dim=dim, metric="dot", planes=hyperplanes(bits, dim))
     return topk(questions, vectors, scoring)

@@ -7,7 +7,7 @@ are picked, before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidsearch.functions.columns import let
@@ -62,4 +62,14 @@ def build_index(
 
 def postings(index: DataFrame) -> DataFrame:
     """The index in long form: ``(doc_id, dl, term, tf)``."""
-    return index.select("doc_id", "dl", F.inline("terms"))
+    return unfold_terms(index, "doc_id", "dl")
+
+
+def unfold_terms(counted: DataFrame, *keep: str | Column) -> DataFrame:
+    """One row ``(*keep, term, tf)`` per entry of ``terms``.
+
+    The outer form on purpose: for the inner one Spark infers a filter on
+    ``size(terms)`` and moves it below, where the text is analysed once more.
+    """
+    unfolded = counted.select(*keep, F.inline_outer("terms"))
+    return unfolded.filter(F.col("term").isNotNull())

@@ -13,7 +13,7 @@ from braidsearch.functions.vectors import DEFAULT_DIM, Embedder, hashed_embedder
 from braidsearch.operators import context, fusion, hybrid
 from braidsearch.operators.bm25 import Bm25Model, fit, okapi_topk
 from braidsearch.operators.dense import dense_topk
-from braidsearch.operators.index import build_index, count_terms
+from braidsearch.operators.index import build_index, count_terms, unfold_terms
 from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, text_bytes
 from braidsearch.operators.rerank import Scorer, attach, overlap_score, rerank
 from braidsearch.session import materialize
@@ -40,7 +40,7 @@ class Questions:
 
     @property
     def terms(self) -> DataFrame:
-        return self.rows.select("query_id", F.inline("terms")).withColumnRenamed("tf", "qtf")
+        return unfold_terms(self.rows, "query_id").withColumnRenamed("tf", "qtf")
 
 
 @dataclass(frozen=True)

@@ -169,13 +169,19 @@ def test_lsh_recall(spark):
     assert hits / 50 >= 0.8
 
 
-def test_lsh_from_stored_buckets(spark, tmp_path):
+def test_lsh_from_stored_buckets(monkeypatch, spark, tmp_path):
     asked, stored = clustered(spark)
     path = str(tmp_path / "buckets")
     dense.write_buckets(stored, path, 6, 16)
     kept = spark.read.parquet(path)
     ranked = dense.lsh_topk(asked, kept, 5, 6, 16)
-    assert ranked_rows(ranked) == ranked_rows(dense.lsh_topk(asked, stored, 5, 6, 16))
+    wanted = ranked_rows(dense.lsh_topk(asked, stored, 5, 6, 16))
+    assert ranked_rows(ranked) == wanted
+    one = dense.lsh_topk(asked.filter("query_id = 0"), kept, 5, 6, 16)
+    assert ranked_rows(one) == {0: wanted[0]}
+    assert "PartitionFilters: [bucket" in one._jdf.queryExecution().toString()
+    monkeypatch.setattr(dense, "NAMED_BUCKETS", 3)
+    assert ranked_rows(dense.lsh_topk(asked, kept, 5, 6, 16)) == wanted
     with pytest.raises(ValueError, match="16 bits"):
         dense.lsh_topk(asked, kept, 5, 20, 16)
 
