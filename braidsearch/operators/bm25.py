@@ -1,4 +1,4 @@
-"""BM25: corpus statistics, the two weightings, and sparse top-k.
+"""BM25: corpus statistics, the two weightings, and scores of all matching pairs.
 
 Two weightings live side by side and never share an idf:
 
@@ -22,7 +22,6 @@ from braidsearch.operators.ranking import (
     broadcast_within,
     fits_broadcast,
     text_bytes,
-    top_by_score,
 )
 from braidsearch.session import fresh_path
 
@@ -223,15 +222,10 @@ def sparse_scores(doc_weights: DataFrame, query_weights: DataFrame, size: int) -
     return matched.groupBy("query_id", "doc_id").agg(score.alias("score"))
 
 
-def okapi_topk(
-    q_terms: DataFrame,
-    index: DataFrame,
-    model: Bm25Model,
-    k: int = 5,
-    size: int | None = None,
+def okapi_scores(
+    q_terms: DataFrame, index: DataFrame, model: Bm25Model, size: int | None = None
 ) -> DataFrame:
-    """Best ``k`` matching documents of each question by Okapi BM25."""
+    """Okapi BM25 score of every matching (question, document) pair."""
     size = terms_size(q_terms) if size is None else size
     doc_weights = weigh_terms(index, okapi_weight(model, F.col("tf")))
-    scores = sparse_scores(doc_weights, okapi_queries(q_terms, model, size), size)
-    return top_by_score(scores, k)
+    return sparse_scores(doc_weights, okapi_queries(q_terms, model, size), size)

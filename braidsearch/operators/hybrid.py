@@ -1,7 +1,8 @@
 """Searches over index rows that hold terms and vector together.
 
-Every document has a score here, matching or not, so these run through
-`scoring.topk`: one pass over the index, nothing shuffled but the best k per task.
+Dense and padded searches score every document, matching or not, so these run
+through `scoring.topk`: one pass over the index, nothing shuffled but the best k
+per task.
 """
 
 from __future__ import annotations
@@ -46,20 +47,26 @@ def _packed_queries(questions: DataFrame, query_weights: DataFrame) -> DataFrame
     )
 
 
-def padded_okapi_topk(
+def okapi_topk(
     questions: DataFrame,
     q_terms: DataFrame,
     index: DataFrame,
     model: Bm25Model,
     k: int = 5,
+    pad: bool = True,
     n_questions: int | None = None,
     size: int | None = None,
 ) -> DataFrame:
-    """Okapi top-k that always fills its ``k`` rows: documents without a match score 0."""
+    """Best ``k`` documents of each question by Okapi BM25.
+
+    With ``pad`` the list always has ``k`` rows while there are documents: those
+    without a match score 0. Without it only matching documents are listed.
+    """
     size = terms_size(q_terms) if size is None else size
     asked = _packed_queries(questions.select("query_id"), okapi_queries(q_terms, model, size))
     rows = _weighted_rows(index, lambda tf: okapi_weight(model, tf))
-    return topk(asked, rows, Scoring(k=k, metric=None, sparse=True), n_questions, size)
+    scoring = Scoring(k=k, metric=None, sparse=True, matched=not pad)
+    return topk(asked, rows, scoring, n_questions, size)
 
 
 def convex_topk(

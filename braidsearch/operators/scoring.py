@@ -46,6 +46,7 @@ class Scoring:
 
     ``metric`` is "dot" or "l2" (squared distance, smaller is better), or None when
     there is no dense part. ``alpha`` weighs the dense part against the sparse one.
+    ``matched`` limits the pairs to those that share a term.
     ``planes`` limits the pairs to those whose buckets differ in at most one bit.
     """
 
@@ -54,6 +55,7 @@ class Scoring:
     metric: str | None = "dot"
     sparse: bool = False
     alpha: float = 1.0
+    matched: bool = False
     planes: np.ndarray | None = None
 
 
@@ -81,8 +83,11 @@ class Block:
         counts = np.bincount(codes, minlength=len(self.vocabulary))
         self.start = np.concatenate([[0], np.cumsum(counts)])
 
-    def sparse_scores(self, terms: pa.ListArray, weights: pa.ListArray) -> np.ndarray:
-        """(documents, questions) sums of document weight times question weight."""
+    def sparse_scores(
+        self, terms: pa.ListArray, weights: pa.ListArray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, questions) sums of document weight times question weight, and
+        the number of shared terms."""
         rows, width = len(terms), len(self.ids)
         code = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.vocabulary), -1)
         code = code.to_numpy()
@@ -96,7 +101,9 @@ class Block:
         entry = np.repeat(self.start[code], shared) + step
         cell = np.repeat(doc, shared) * width + self.owner[entry]
         amount = np.repeat(doc_weight, shared) * self.weight[entry]
-        return np.bincount(cell, weights=amount, minlength=rows * width).reshape(rows, width)
+        sums = np.bincount(cell, weights=amount, minlength=rows * width)
+        counts = np.bincount(cell, minlength=rows * width)
+        return sums.reshape(rows, width), counts.reshape(rows, width)
 
     def dense_scores(self, vectors: np.ndarray, metric: str) -> np.ndarray:
         dots = vectors @ self.dense.T
@@ -169,9 +176,10 @@ def score_batch(best: Best, block: Block, scoring: Scoring, batch: pa.RecordBatc
                 allowed = (differing & (differing - 1)) == 0
         if scoring.sparse:
             share = 1.0 - scoring.alpha if scoring.metric else 1.0
-            scores = scores + share * block.sparse_scores(
-                _chunk(part["terms"]), _chunk(part["weights"])
-            )
+            sums, counts = block.sparse_scores(_chunk(part["terms"]), _chunk(part["weights"]))
+            scores = scores + share * sums
+            if scoring.matched:
+                allowed = counts > 0 if allowed is None else allowed & (counts > 0)
         keys = _round(scores)
         best.add(ids, -keys if scoring.metric == "l2" else keys, allowed)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from braidsearch.functions.text import Analyzer, simple_tokens
 from braidsearch.functions.vectors import DEFAULT_DIM, Embedder, hashed_embedder
 from braidsearch.operators import context, fusion, hybrid
-from braidsearch.operators.bm25 import Bm25Model, fit, okapi_topk
+from braidsearch.operators.bm25 import Bm25Model, fit
 from braidsearch.operators.dense import dense_topk
 from braidsearch.operators.index import build_index, count_terms, unfold_terms
 from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, text_bytes
@@ -79,11 +79,14 @@ class Retriever:
         return Questions(rows, *sizes.first())
 
     def sparse(self, asked: Questions, k: int = DEPTH) -> DataFrame:
-        return okapi_topk(asked.terms, self.index, self.model, k, asked.terms_size)
+        return self._okapi(asked, k, pad=False)
 
     def padded(self, asked: Questions, k: int = DEPTH) -> DataFrame:
-        return hybrid.padded_okapi_topk(
-            asked.rows, asked.terms, self.index, self.model, k, asked.count, asked.terms_size
+        return self._okapi(asked, k, pad=True)
+
+    def _okapi(self, asked: Questions, k: int, pad: bool) -> DataFrame:
+        return hybrid.okapi_topk(
+            asked.rows, asked.terms, self.index, self.model, k, pad, asked.count, asked.terms_size
         )
 
     def dense(self, asked: Questions, k: int = DEPTH, metric: str = "l2") -> DataFrame:

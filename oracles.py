@@ -315,6 +315,9 @@ ORACLES = {
         corpus(), asked(), QUERY_WEIGHTS,
         select="SELECT query_id AS id, term, round(weight, 6) AS weight FROM qw",
     ),
+    "bm25_scores": query(
+        *SPARSE, select=f"SELECT query_id, doc_id, {zero('score')} AS score FROM okapi"
+    ),
     "bm25_okapi_topk": query(
         *SPARSE, ranked("best", "okapi", "score", 5), select=RANKED + "best"
     ),

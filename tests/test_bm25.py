@@ -6,8 +6,8 @@ from conftest import ASKED, EDGE_TEXTS, TEXTS, document_rows, ranked_rows
 from pyspark.sql import functions as F
 
 from braidsearch.functions.text import whitespace_tokens
-from braidsearch.operators import bm25, ranking
-from braidsearch.operators.hybrid import padded_okapi_topk
+from braidsearch.operators import bm25, ranking, scoring
+from braidsearch.operators.hybrid import okapi_topk
 from braidsearch.operators.index import build_index
 from braidsearch.schemas import DOCUMENTS, QUESTIONS
 
@@ -55,21 +55,22 @@ def test_corpus_of_empty_texts_scores_nothing(spark, questions):
     index = build_index(spark.createDataFrame([(1, "", {}), (2, "", {})], DOCUMENTS))
     model = bm25.fit(index)
     terms = bm25.question_terms(questions)
-    assert bm25.okapi_topk(terms, index, model).count() == 0
-    padded = ranked_rows(padded_okapi_topk(questions, terms, index, model, k=5))
+    assert bm25.okapi_scores(terms, index, model).count() == 0
+    assert okapi_topk(questions, terms, index, model, pad=False).count() == 0
+    padded = ranked_rows(okapi_topk(questions, terms, index, model, k=5))
     assert all(entries == [(1, 0.0), (2, 0.0)] for entries in padded.values())
 
 
-def test_okapi_topk_is_brute_force(index, model, q_terms):
+def test_okapi_topk_is_brute_force(questions, index, model, q_terms):
     wanted = top(okapi(PLAIN, ASKED), 3)
-    found = ranked_rows(bm25.okapi_topk(q_terms, index, model, k=3))
+    found = ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad=False))
     matched = {q: [e for e in entries if e[1] != 0] for q, entries in wanted.items()}
     close(found, {q: entries for q, entries in matched.items() if entries})
 
 
 def test_padded_topk_is_brute_force(questions, index, model, q_terms):
     for k in (1, 3, 50):
-        found = ranked_rows(padded_okapi_topk(questions, q_terms, index, model, k))
+        found = ranked_rows(okapi_topk(questions, q_terms, index, model, k))
         close(found, top(okapi(PLAIN, ASKED), k))
 
 
@@ -82,7 +83,7 @@ def test_negative_mean_idf_ranks_unmatched_first(spark):
     model = bm25.fit(index)
     assert model.mean_idf < 0
     terms = bm25.question_terms(questions)
-    found = ranked_rows(padded_okapi_topk(questions, terms, index, model, k=2))
+    found = ranked_rows(okapi_topk(questions, terms, index, model, k=2))
     close(found, top(okapi(texts, asked), 2))
     assert found[0][0] == (4, 0.0)
 
@@ -103,17 +104,43 @@ def test_whitespace_analyzer(spark, docs, questions):
     index = build_index(docs, whitespace_tokens)
     model = bm25.fit(index)
     terms = bm25.question_terms(questions, whitespace_tokens)
-    found = ranked_rows(padded_okapi_topk(questions, terms, index, model, k=4))
+    found = ranked_rows(okapi_topk(questions, terms, index, model, k=4))
     close(found, top(okapi(PLAIN, ASKED, tokens=str.split), 4))
 
 
+def pair_scores(df):
+    return {(r.query_id, r.doc_id): round(r.score, 9) for r in df.collect()}
+
+
+def test_pair_scores_are_brute_force(index, model, q_terms):
+    found = pair_scores(bm25.okapi_scores(q_terms, index, model))
+    wanted = okapi(PLAIN, ASKED)
+    assert found
+    for (q, d), score in found.items():
+        assert score == pytest.approx(wanted[q][d])
+    assert all(s == 0 for q in wanted for d, s in wanted[q].items() if (q, d) not in found)
+
+
 def test_many_questions_take_the_salted_join(monkeypatch, index, model, q_terms):
-    wanted = ranked_rows(bm25.okapi_topk(q_terms, index, model, k=3))
+    wanted = pair_scores(bm25.okapi_scores(q_terms, index, model))
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 2)
+    scores = bm25.okapi_scores(q_terms, index, model)
+    assert "salt" in scores._jdf.queryExecution().toString()
+    assert pair_scores(scores) == wanted
+
+
+@pytest.mark.parametrize("pad", [True, False])
+def test_many_questions_meet_the_index_in_pieces(
+    monkeypatch, questions, index, model, q_terms, pad
+):
+    wanted = ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad))
+    monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 2)
+    monkeypatch.setattr(scoring, "GROUP_VECTORS", 2)
+    assert ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad)) == wanted
+    monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 4096)
     monkeypatch.setattr(ranking, "BROADCAST_BYTES", 2)
-    ranked = bm25.okapi_topk(q_terms, index, model, k=3)
-    plan = ranked._jdf.queryExecution().toString()
-    assert "salt" in plan
-    assert ranked_rows(ranked) == wanted
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 200)
+    assert ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad)) == wanted
 
 
 def test_query_weights_sum_to_one(q_terms, model):
@@ -189,10 +216,10 @@ def test_copies_count_like_documents(spark):
     assert sorted(a.vocabulary.collect()) == sorted(b.vocabulary.collect())
 
 
-def test_partitioning_does_not_change_ranks(docs, q_terms):
+def test_partitioning_does_not_change_ranks(docs, questions, q_terms):
     def lists(frame, buckets):
         index = build_index(frame, buckets=buckets)
-        return ranked_rows(bm25.okapi_topk(q_terms, index, bm25.fit(index)))
+        return ranked_rows(okapi_topk(questions, q_terms, index, bm25.fit(index)))
 
     assert lists(docs, 1) == lists(docs.repartition(5), 7)
 
