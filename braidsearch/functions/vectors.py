@@ -61,6 +61,17 @@ def list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
 
 
+def big_endian_words(digests: pa.Array) -> np.ndarray:
+    """16-byte digests as rows of four unsigned 32-bit numbers."""
+    if len(digests) == 0:
+        return np.empty((0, 4), dtype=np.int64)
+    digests = digests.cast(pa.binary())
+    _, offsets, data = digests.buffers()
+    first = np.frombuffer(offsets, dtype=np.int32)[digests.offset]
+    words = np.frombuffer(data, dtype=">u4", count=4 * len(digests), offset=int(first))
+    return words.reshape(-1, 4).astype(np.int64)
+
+
 def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
     """Signed feature hashing of counted terms to ``dim`` numbers of unit length.
 
@@ -69,33 +80,24 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
     A document without terms keeps the zero vector.
     """
 
-    def bucket(term: Column) -> Column:
-        return (F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-
-    def is_odd(term: Column) -> Column:
-        # the last of digits 9-16 decides their parity
-        return F.substring(F.md5(term), 16, 1).isin(*"13579bdf")
-
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def fold(buckets: pa.Array, counts: pa.Array) -> pa.Array:
-        rows = len(buckets)
+    def fold(digests: pa.Array, counts: pa.Array) -> pa.Array:
+        rows = len(digests)
         if rows == 0:
             return pa.array([], pa.list_(pa.float32()))
-        row = np.repeat(np.arange(rows), buckets.value_lengths().to_numpy())
-        cell = row * dim + buckets.flatten().to_numpy()
-        sums = np.bincount(cell, weights=counts.flatten().to_numpy(), minlength=rows * dim)
-        sums = sums.reshape(rows, dim)
+        row = np.repeat(np.arange(rows), digests.value_lengths().to_numpy())
+        words = big_endian_words(digests.flatten())
+        signed = counts.flatten().to_numpy() * np.where(words[:, 1] % 2 == 0, 1, -1)
+        cell = row * dim + words[:, 0] % dim
+        sums = np.bincount(cell, weights=signed, minlength=rows * dim).reshape(rows, dim)
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         return list_column((sums / np.where(length == 0, 1.0, length)).astype(np.float32))
 
     def embed(_text: Column, terms: Column) -> Column:
         # Two arguments on purpose: `terms` then stays a column of its own. Spark cannot
         # call a Python function on the nested lambdas that count the terms.
-        buckets = F.transform(terms, lambda t: bucket(t["term"]))
-        counts = F.transform(
-            terms, lambda t: F.when(is_odd(t["term"]), -t["tf"]).otherwise(t["tf"])
-        )
-        return fold(buckets, counts)
+        digests = F.transform(terms, lambda t: F.unhex(F.md5(t["term"])))
+        return fold(digests, terms["tf"])
 
     return embed
 

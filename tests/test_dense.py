@@ -117,6 +117,13 @@ def test_hashed_embedder(spark, edge_docs):
     assert any(not any(row.v) for row in rows)
 
 
+def test_corpus_without_terms_embeds_to_zero(spark):
+    rows = spark.createDataFrame([(1, ""), (2, "...")], "doc_id long, text string")
+    embed = vx.hashed_embedder(4)
+    found = count_terms(rows).select(embed(F.col("text"), F.col("terms")).alias("v"))
+    assert [r.v for r in found.collect()] == [[0.0] * 4] * 2
+
+
 def test_convex_topk_is_brute_force(spark, docs, questions):
     embed = vx.hashed_embedder(32)
     index = build_index(docs, embedder=embed)
