@@ -267,9 +267,7 @@ def bm25_whitespace_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = F.col("embedding")
-    first = F.transform(
-        F.slice(vector, 1, 10), lambda x: F.format_string("%.4f", x.cast("double"))
-    )
+    first = F.transform(F.slice(vector, 1, 10), lambda x: tx.score_text(x.cast("double")))
     return _table(spark, sf_dir, "embeddings").select(
         "vec_id",
         F.size(vector).cast("bigint").alias("dim"),

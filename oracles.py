@@ -374,7 +374,7 @@ ORACLES = {
         *ENSEMBLE, RERANKED, META,
         select="""SELECT query_id, rank, coalesce(title, 'Unknown') AS title,
             coalesce(category, 'Unknown') AS category,
-            printf('%.4f', round(relevance_score::DECIMAL(18, 6), 4)::DOUBLE) AS score_text,
+            printf('%.4f', relevance_score) AS score_text,
             replace(substr(coalesce(text, ''), 1, 150), chr(10), ' ') || '...' AS snippet
             FROM top JOIN meta USING (doc_id)""",
     ),

@@ -76,9 +76,11 @@ def test_trim_strips_what_python_strips(spark):
 def test_snippet_and_score(spark):
     for text in EDGE_TEXTS:
         assert one(spark, tx.snippet, text) == text[:150].replace("\n", " ") + "..."
-    frame = spark.createDataFrame([(0.5,), (0.123456,), (0.0,)], "s double")
+    scores = [0.5, 0.123456, 0.0, 0.12335, 0.12345, 0.03125, 0.09375, 0.00006, 1234567.56785]
+    scores += [-s for s in scores if s]
+    frame = spark.createDataFrame([(s,) for s in scores], "s double")
     shown = [r.s for r in frame.select(tx.score_text(F.col("s")).alias("s")).collect()]
-    assert shown == ["0.5000", "0.1235", "0.0000"]
+    assert shown == [f"{s:.4f}" for s in scores]
 
 
 def test_content_key_is_by_text(spark):
