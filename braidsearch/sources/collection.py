@@ -21,7 +21,7 @@ from braidsearch.functions.vectors import (
     hashed_embedder,
 )
 from braidsearch.operators.index import count_terms
-from braidsearch.operators.ranking import broadcast_within, text_bytes
+from braidsearch.operators.ranking import fits_broadcast, text_bytes
 from braidsearch.schemas import COLLECTION_META
 from braidsearch.sources.tables import path_exists, read_bucketed, write_bucketed
 
@@ -126,19 +126,25 @@ class Collection:
     def upsert(self, rows: DataFrame) -> None:
         """Add encoded, merged rows; a text already stored is replaced.
 
-        Stored rows are only streamed past the keys of the batch when these are few
-        enough to broadcast, and are not shuffled then; a larger batch is joined by
-        shuffle.
+        Stored rows are never shuffled. They are streamed past the keys of the batch
+        when these are few enough to broadcast; for a larger batch the ids of replaced
+        rows are found by key and then dropped within the buckets.
         """
         version = self.version()
         added = rows.withColumn("version", F.lit(version + 1))
         if version:
             keys = rows.select("content_id")
-            size = keys.agg(text_bytes(F.col("content_id"))).first()[0]
-            kept = self.read().join(broadcast_within(keys, size), "content_id", "left_anti")
-            added = kept.unionByName(added)
+            added = self._without(keys).unionByName(added)
         self._write(added, version + 1)
 
+    def _without(self, keys: DataFrame) -> DataFrame:
+        stored = self.read()
+        if fits_broadcast(keys.agg(text_bytes(F.col("content_id"))).first()[0]):
+            return stored.join(F.broadcast(keys), "content_id", "left_anti")
+        replaced = stored.select("doc_id", "content_id").join(keys, "content_id", "left_semi")
+        dropped = replaced.select("doc_id").hint("shuffle_hash")
+        return stored.join(dropped, "doc_id", "left_anti")
+
     def rebuild(self, rows: DataFrame) -> None:
         """Replace everything; rows with the same text stay separate."""
         version = self.version() + 1

@@ -66,6 +66,17 @@ def test_prompts_for_every_question(retriever, questions):
             assert ASKED[row.query_id] in row.prompt
 
 
+def test_records_are_written_whole(spark, retriever, questions, tmp_path):
+    records = retrieve.reranked_prompts(retriever, questions)
+    records.write.json(str(tmp_path / "json"))
+    records.write.parquet(str(tmp_path / "parquet"))
+    for back in (
+        spark.read.schema(records.schema).json(str(tmp_path / "json")),
+        spark.read.parquet(str(tmp_path / "parquet")),
+    ):
+        assert sorted(back.collect()) == sorted(records.collect())
+
+
 def test_no_relevant_document_leaves_an_empty_context(retriever, questions):
     rows = retrieve.reranked_prompts(retriever, questions, threshold=0.99).collect()
     assert len(rows) == len(ASKED)

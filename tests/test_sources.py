@@ -81,6 +81,11 @@ def test_large_batches_are_joined_by_shuffle(monkeypatch, spark, tmp_path):
     collection.upsert(collection.encode(batch(spark, [(1, "a", "1"), (2, "b", "1")])))
     collection.upsert(collection.encode(batch(spark, [(3, "a", "2")])))
     assert state(collection) == [(2, "b", "1"), (3, "a", "2")]
+    keys = collection.read().select("content_id")
+    plan = collection._without(keys)._jdf.queryExecution().executedPlan().toString()
+    # the first scan is the one of the stored rows
+    above = plan.split("FileScan")[0]
+    assert "ShuffledHashJoin [doc_id" in above and "Exchange" not in above
 
 
 def test_rebuild_keeps_copies(spark, tmp_path):
