@@ -175,6 +175,11 @@ def term_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.select("term", tx.term_id(F.col("term")).alias("term_id"))
 
 
+def term_ids_murmur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bm25.doc_freq(_rows(spark, sf_dir))
+    return vocabulary.select("term", tx.murmur_term_id("term").alias("term_id"))
+
+
 def vocab_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bm25.doc_freq(_rows(spark, sf_dir))
     return vocabulary.orderBy(F.desc("df"), "term").limit(10)
@@ -409,7 +414,7 @@ def rag_rerank_prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED = [
     doc_source, corpus_roundtrip, bm25_model_roundtrip, collection_upsert, collection_rebuild,
     ingest_report, ingest_upsert, ingest_rebuild,
-    question_clean, tokens_word, tokens_stemmed, term_ids, vocab_top10,
+    question_clean, tokens_word, tokens_stemmed, term_ids, term_ids_murmur, vocab_top10,
     term_freq, doc_lengths, doc_freq, vocab_size, bm25_stats, bm25_fit, okapi_idf,
     sparse_doc_vector, sparse_query_vector,
     bm25_scores, bm25_okapi_topk, bm25_padded_topk, bm25_whitespace_topk,

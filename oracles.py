@@ -239,6 +239,41 @@ def words(stem: bool) -> str:
     )
 
 
+def murmur(words: str, tail: str, n: str) -> str:
+    """32-bit Murmur3 with seed 0 of 4-byte words, the number made of the bytes left, and the length."""
+
+    def whole(x: str) -> str:
+        return f"(({x}) & 4294967295::UBIGINT)"
+
+    def rotate(x: str, bits: int) -> str:
+        return whole(f"(({x}) << {bits}) | (({x}) >> {32 - bits})")
+
+    def mix(x: str) -> str:
+        scrambled = rotate(whole(f"{x} * 3432918353::UBIGINT"), 15)
+        return whole(f"{scrambled} * 461845907::UBIGINT")
+
+    step = whole(f"{rotate(f'xor(h, {mix("w")})', 13)} * 5 + 3864292196::UBIGINT")
+    state = f"list_reduce({words}, lambda h, w: {step}, 0::UBIGINT)"
+    state = f"xor(xor({state}, {mix(tail)}), {n})"
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        state = f"[{state}]::UBIGINT[]"
+        state = f"list_transform({state}, lambda x: {whole(f'xor(x, x >> {shift}) * {factor}::UBIGINT')})[1]"
+    return f"list_transform([{state}]::UBIGINT[], lambda x: xor(x, x >> 16))[1]::BIGINT"
+
+
+MURMUR = f"""
+raw_bytes AS (SELECT term, df, hex(encode(term)) AS digits FROM df),
+bytes AS (SELECT term, df, list_transform(range(0, length(digits) // 2),
+        lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::UBIGINT) AS b FROM raw_bytes),
+hashed_words AS MATERIALIZED (SELECT term, df, len(b)::UBIGINT AS n,
+        list_transform(range(0, len(b) // 4), lambda j: b[4 * j + 1] + b[4 * j + 2] * 256
+            + b[4 * j + 3] * 65536 + b[4 * j + 4] * 16777216)::UBIGINT[] AS words,
+        list_sum(list_transform(range(0, len(b) % 4),
+            lambda j: b[len(b) // 4 * 4 + j + 1] << (8 * j))) AS tail
+    FROM bytes),
+ids AS (SELECT term, df, {murmur('words', 'coalesce(tail, 0)::UBIGINT', 'n')} AS term_id
+    FROM hashed_words)"""
+
 CENTROIDS = """
 vec AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 cells AS (SELECT label, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM vec),
@@ -293,6 +328,7 @@ ORACLES = {
     "tokens_word": words(stem=False),
     "tokens_stemmed": words(stem=True),
     "term_ids": query(corpus(), select=f"SELECT term, {hex8('term', 1)} AS term_id FROM df"),
+    "term_ids_murmur": query(corpus(), MURMUR, select="SELECT term, term_id FROM ids"),
     "vocab_top10": query(
         corpus(), select="SELECT term, df FROM df ORDER BY df DESC, term LIMIT 10"
     ),
