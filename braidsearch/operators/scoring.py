@@ -5,21 +5,23 @@ make a row of each. Each task multiplies its vectors with a block of questions a
 keeps its best k per question, so a task emits at most ``questions * k`` rows and
 only those are shuffled.
 
-A question block is bounded by `BLOCK_QUESTIONS` and by the bytes of its terms. One block travels to the tasks
-with the function. More questions than that are never gathered: vectors and
-questions are then both cut into bounded pieces by hash, and each piece of
-vectors meets each piece of questions in its own group.
+A question block is bounded by `BLOCK_QUESTIONS` and by the bytes of its terms. It
+travels to the tasks with the function. A few blocks more mean a few passes over
+the stored rows, still without shuffling these. Beyond `PASSES` the questions are
+not gathered at all: vectors and questions are both cut into bounded pieces by
+hash, and each piece of vectors meets each piece of questions in its own group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidsearch.functions.vectors import bucket_numbers, matrix
@@ -31,7 +33,8 @@ from braidsearch.operators.ranking import (
 )
 
 BLOCK_QUESTIONS = 4096
-GROUP_VECTORS = 50_000
+PASSES = 8
+GROUP_VECTORS = 10_000
 CELLS = 1 << 21
 
 CANDIDATES = pa.schema(
@@ -203,15 +206,23 @@ def topk(
     stored = stored.select("doc_id", *wanted)
     n_questions = questions.count() if n_questions is None else n_questions
     ascending = scoring.metric == "l2"
+    # twice as many blocks as needed, since a hash does not fill them evenly
+    blocks = 2 * max(-(-n_questions // BLOCK_QUESTIONS), -(-size // BROADCAST_BYTES))
     if n_questions <= BLOCK_QUESTIONS and fits_broadcast(size):
         found = _one_block(questions, stored, scoring)
+    elif blocks <= PASSES:
+        number = block_number("query_id", blocks)
+        parts = [questions.filter(number == block) for block in range(blocks)]
+        found = reduce(DataFrame.unionByName, [_one_block(p, stored, scoring) for p in parts])
     else:
-        # twice as many blocks as needed, since a hash does not fill them evenly
-        blocks = 2 * max(-(-n_questions // BLOCK_QUESTIONS), -(-size // BROADCAST_BYTES))
         found = _block_pairs(questions, blocks, stored, scoring)
     return top_by_score(found, scoring.k, ascending)
 
 
+def block_number(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+
 def _one_block(questions: DataFrame, stored: DataFrame, scoring: Scoring) -> DataFrame:
     block = Block(questions.toArrow(), scoring)
 
@@ -230,9 +241,9 @@ def _block_pairs(
     pieces = -(-stored.select("doc_id").count() // GROUP_VECTORS) or 1
 
     def numbered(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int):
-        mine = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        return df.withColumn(own, mine).withColumn(other, every).groupBy("block", "piece")
+        cut = df.withColumn(own, block_number(key, n_own)).withColumn(other, every)
+        return cut.groupBy("block", "piece")
 
     def best_of_pair(asked: pa.Table, rows: pa.Table) -> pa.Table:
         if asked.num_rows == 0:

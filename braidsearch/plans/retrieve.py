@@ -58,6 +58,7 @@ class Retriever:
     analyzer: Analyzer = simple_tokens
     embedder: Embedder | None = None
     dim: int = DEFAULT_DIM
+    metric: str = "l2"
     bucketed: bool = False
 
     def embed(self) -> Embedder:
@@ -89,7 +90,9 @@ class Retriever:
             asked.rows, asked.terms, self.index, self.model, k, pad, asked.count, asked.terms_size
         )
 
-    def dense(self, asked: Questions, k: int = DEPTH, metric: str = "l2") -> DataFrame:
+    def dense(self, asked: Questions, k: int = DEPTH, metric: str | None = None) -> DataFrame:
+        """Exact list by ``metric``, by default that of the collection."""
+        metric = metric or self.metric
         return dense_topk(asked.rows, self.index, k, self.dim, metric, asked.count)
 
     def hybrid(self, asked: Questions, k: int = TOP_K, alpha: float = 0.5) -> DataFrame:
@@ -164,7 +167,9 @@ def open_retriever(
     rows = collection.read()
     model = load_model(spark, model_path)
     docs = rows.select("doc_id", "text", "metadata")
-    return Retriever(rows, docs, model, analyzer, embedder, collection.dim, bucketed=True)
+    return Retriever(
+        rows, docs, model, analyzer, embedder, collection.dim, collection.metric, bucketed=True
+    )
 
 
 def hybrid_prompts(

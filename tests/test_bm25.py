@@ -1,5 +1,3 @@
-import math
-
 import pytest
 from brute import close, okapi, simple, sparse_dot, top
 from conftest import ASKED, EDGE_TEXTS, TEXTS, document_rows, ranked_rows
@@ -129,11 +127,13 @@ def test_many_questions_take_the_salted_join(monkeypatch, index, model, q_terms)
     assert pair_scores(scores) == wanted
 
 
+@pytest.mark.parametrize("passes", [8, 0])
 @pytest.mark.parametrize("pad", [True, False])
-def test_many_questions_meet_the_index_in_pieces(
-    monkeypatch, questions, index, model, q_terms, pad
+def test_many_questions_in_blocks(
+    monkeypatch, questions, index, model, q_terms, pad, passes
 ):
     wanted = ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad))
+    monkeypatch.setattr(scoring, "PASSES", passes)
     monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 2)
     monkeypatch.setattr(scoring, "GROUP_VECTORS", 2)
     assert ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad)) == wanted

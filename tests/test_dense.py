@@ -47,10 +47,12 @@ def test_exact_topk_is_brute_force(random_vectors, metric, k):
     close(found, top(scores(asked, rows, metric), k, descending=metric == "dot"))
 
 
+@pytest.mark.parametrize("passes", [8, 0])
 @pytest.mark.parametrize("metric", ["dot", "l2"])
-def test_many_questions_meet_vectors_in_pieces(monkeypatch, random_vectors, metric):
+def test_many_questions(monkeypatch, random_vectors, metric, passes):
     questions, stored, _, _ = random_vectors
     wanted = ranked_rows(dense.dense_topk(questions, stored, 4, 8, metric))
+    monkeypatch.setattr(scoring, "PASSES", passes)
     monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 4)
     monkeypatch.setattr(scoring, "GROUP_VECTORS", 10)
     assert ranked_rows(dense.dense_topk(questions, stored, 4, 8, metric)) == wanted
@@ -145,7 +147,8 @@ def test_convex_topk_is_brute_force(spark, docs, questions):
         convex_topk(asked, terms, index, model, 4, 1.5, 32)
 
 
-def test_convex_in_pieces(monkeypatch, docs, questions):
+@pytest.mark.parametrize("passes", [8, 0])
+def test_convex_of_many_questions(monkeypatch, docs, questions, passes):
     embed = vx.hashed_embedder(32)
     index = build_index(docs, embedder=embed)
     model = bm25.fit(index)
@@ -153,6 +156,7 @@ def test_convex_in_pieces(monkeypatch, docs, questions):
     asked = asked.withColumn("embedding", embed(F.col("question"), F.col("terms")))
     terms = bm25.question_terms(questions)
     wanted = ranked_rows(convex_topk(asked, terms, index, model, 4, dim=32))
+    monkeypatch.setattr(scoring, "PASSES", passes)
     monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 2)
     monkeypatch.setattr(scoring, "GROUP_VECTORS", 2)
     assert ranked_rows(convex_topk(asked, terms, index, model, 4, dim=32)) == wanted
