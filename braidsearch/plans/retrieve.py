@@ -119,17 +119,23 @@ class Retriever:
         """Ranked rows with text, metadata and question; documents are read only now.
 
         From a bucketed table only the buckets of the ranked documents are read, as
-        long as these are few enough to be named in the filter.
+        long as these are few enough to be named in the filter. The rows are spread by
+        question: a scorer gets even work, and ranking or grouping by question follows
+        without another shuffle.
         """
         docs, bound = self.docs, per_question * asked.count
         if self.bucketed and bound <= NAMED_IDS:
             ranked = materialize(ranked, "ranked")
             named = ranked.select("doc_id").distinct().collect()
             docs = docs.filter(F.col("doc_id").isin([row.doc_id for row in named]))
-        texts = attach(ranked, docs, bound)
+        texts = attach(ranked, docs, bound).repartition(self._spread(asked), "query_id")
         wording = broadcast_within(asked.rows.select("query_id", "question"), asked.text_size)
         return texts.join(wording, "query_id")
 
+    def _spread(self, asked: Questions) -> int:
+        most = int(self.index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(most, asked.count))
+
     def reranked(
         self,
         asked: Questions,
