@@ -23,7 +23,6 @@ from braidsearch.sources.collection import Collection
 
 ENTRY_DIR = "/root/testdata/sf0.001"
 EMBEDDING_DIM = 64
-LSH_BITS = 4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -334,7 +333,7 @@ def dense_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _vectors(spark, sf_dir)
     return _by_vector(
-        dense.lsh_topk(_centroids(vectors), vectors, 5, LSH_BITS, EMBEDDING_DIM)
+        dense.lsh_topk(_centroids(vectors), vectors, 5, dim=EMBEDDING_DIM)
     )
 
 

@@ -31,6 +31,11 @@ def dense_topk(
     return topk(questions, vectors, Scoring(k=k, dim=dim, metric=metric), n_questions)
 
 
+def bucket_bits(n_vectors: int, per_bucket: int = 32) -> int:
+    """Bits for about ``per_bucket`` vectors per bucket; the number of buckets follows the table."""
+    return max(1, min(MAX_BITS, (n_vectors // per_bucket).bit_length() - 1))
+
+
 def add_bucket(vectors: DataFrame, bits: int, dim: int = DEFAULT_DIM) -> DataFrame:
     """Add the hyperplane bucket of each vector, the partition column of a bucketed store."""
     return vectors.withColumn("bucket", lsh_bucket(F.col("embedding"), bits, dim))
@@ -55,14 +60,17 @@ def lsh_topk(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = 5,
-    bits: int = 8,
+    bits: int | None = None,
     dim: int = DEFAULT_DIM,
 ) -> DataFrame:
     """Approximate best ``k`` by dot product: only vectors at most one bit away are scored.
 
     ``vectors`` may carry a ``bucket`` column (see `write_buckets`); then only the
-    folders of the probed buckets are read, as long as a filter can name these.
+    folders of the probed buckets are read, as long as a filter can name these. A
+    stored table needs the ``bits`` it was written with; else they follow its size.
     """
+    if bits is None:
+        bits = bucket_bits(vectors.count())
     if bits > MAX_BITS:
         raise ValueError(f"at most {MAX_BITS} bits, so that the probed buckets stay few")
     if "bucket" in vectors.columns:

@@ -290,7 +290,9 @@ scored AS (SELECT query_id, vec_id AS doc_id, list_sum(list_transform(range(1, 6
 LSH_BUCKETS = """
 planes AS MATERIALIZED (SELECT p, list(1 - 2 * (('0x' || substr(md5(p || ':' || d), 1, 8))::BIGINT % 2)
         ORDER BY d)::DOUBLE[] AS plane
-    FROM range(4) a(p), range(64) b(d) GROUP BY p),
+    FROM range(16) a(p), range(64) b(d)
+    WHERE p < (SELECT least(16, greatest(1, floor(log2(count(*) // 32)))) FROM embeddings)
+    GROUP BY p),
 vb AS (SELECT vec_id, sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << p ELSE 0 END)::BIGINT
     AS b FROM vec, planes GROUP BY vec_id),
 cb AS (SELECT query_id, sum(CASE WHEN list_dot_product(c, plane) >= 0 THEN 1 << p ELSE 0 END)::BIGINT

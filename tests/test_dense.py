@@ -197,6 +197,11 @@ def test_lsh_from_stored_buckets(monkeypatch, spark, tmp_path):
         dense.lsh_topk(asked, kept, 5, 20, 16)
 
 
+def test_bits_follow_the_table():
+    sizes = [0, 31, 64, 500, 2000, 1 << 40]
+    assert [dense.bucket_bits(n) for n in sizes] == [1, 1, 1, 3, 5, 16]
+
+
 def test_bucket_matches_planes(spark):
     _, stored = clustered(spark)
     planes = vx.hyperplanes(6, 16)
