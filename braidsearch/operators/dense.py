@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +50,17 @@ def write_buckets(vectors: DataFrame, path: str, bits: int, dim: int = DEFAULT_D
     ).parquet(path)
 
 
-def probes(questions: DataFrame, bits: int, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Distinct buckets to read: each question's own and those one bit away; at most 2**bits."""
-    flips = F.array(F.lit(0), *(F.lit(1 << bit) for bit in range(bits))).cast("array<bigint>")
-    near = F.transform(flips, lambda flip: F.col("bucket").bitwiseXOR(flip))
+def probes(
+    questions: DataFrame, bits: int, dim: int = DEFAULT_DIM, radius: int = 2
+) -> DataFrame:
+    """Distinct buckets at most ``radius`` bits from a question's own; at most 2**bits."""
+    flips = [
+        F.lit(sum(1 << bit for bit in flipped))
+        for distance in range(radius + 1)
+        for flipped in combinations(range(bits), distance)
+    ]
+    flipped = F.array(*flips).cast("array<bigint>")
+    near = F.transform(flipped, lambda flip: F.col("bucket").bitwiseXOR(flip))
     bucketed = add_bucket(questions, bits, dim)
     return bucketed.select(F.explode(near).alias("bucket")).distinct()
 
@@ -62,8 +71,12 @@ def lsh_topk(
     k: int = 5,
     bits: int | None = None,
     dim: int = DEFAULT_DIM,
+    radius: int = 2,
 ) -> DataFrame:
-    """Approximate best ``k`` by dot product: only vectors at most one bit away are scored.
+    """Approximate best ``k`` by dot product: only vectors of near buckets are scored.
+
+    A bucket is near if at most ``radius`` bits differ; a larger radius finds more
+    and reads more.
 
     ``vectors`` may carry a ``bucket`` column (see `write_buckets`); then only the
     folders of the probed buckets are read, as long as a filter can name these. A
@@ -74,11 +87,13 @@ def lsh_topk(
     if bits > MAX_BITS:
         raise ValueError(f"at most {MAX_BITS} bits, so that the probed buckets stay few")
     if "bucket" in vectors.columns:
-        wanted = probes(questions, bits, dim)
+        wanted = probes(questions, bits, dim, radius)
         named = [row.bucket for row in wanted.limit(NAMED_BUCKETS + 1).collect()]
         if len(named) <= NAMED_BUCKETS:
             vectors = vectors.filter(F.col("bucket").isin(named))
         else:
             vectors = vectors.join(F.broadcast(wanted), "bucket", "left_semi")
-    scoring = Scoring(k=k, dim=dim, metric="dot", planes=hyperplanes(bits, dim))
+    scoring = Scoring(
+        k=k, dim=dim, metric="dot", planes=hyperplanes(bits, dim), radius=radius
+    )
     return topk(questions, vectors, scoring)

@@ -50,7 +50,7 @@ class Scoring:
     ``metric`` is "dot" or "l2" (squared distance, smaller is better), or None when
     there is no dense part. ``alpha`` weighs the dense part against the sparse one.
     ``matched`` limits the pairs to those that share a term.
-    ``planes`` limits the pairs to those whose buckets differ in at most one bit.
+    ``planes`` limits the pairs to those whose buckets differ in at most ``radius`` bits.
     """
 
     k: int
@@ -60,6 +60,7 @@ class Scoring:
     alpha: float = 1.0
     matched: bool = False
     planes: np.ndarray | None = None
+    radius: int = 0
 
 
 class Block:
@@ -176,7 +177,7 @@ def score_batch(best: Best, block: Block, scoring: Scoring, batch: pa.RecordBatc
             scores = scoring.alpha * block.dense_scores(vectors, scoring.metric)
             if scoring.planes is not None:
                 differing = bucket_numbers(vectors, scoring.planes)[:, None] ^ block.buckets
-                allowed = (differing & (differing - 1)) == 0
+                allowed = np.bitwise_count(differing) <= scoring.radius
         if scoring.sparse:
             share = 1.0 - scoring.alpha if scoring.metric else 1.0
             sums, counts = block.sparse_scores(_chunk(part["terms"]), _chunk(part["weights"]))

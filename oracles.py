@@ -299,7 +299,7 @@ cb AS (SELECT query_id, sum(CASE WHEN list_dot_product(c, plane) >= 0 THEN 1 <<
     AS b FROM cent, planes GROUP BY query_id),
 scored AS (SELECT query_id, vec_id AS doc_id, list_dot_product(c, v) AS score
     FROM cent JOIN cb USING (query_id), vec JOIN vb USING (vec_id)
-    WHERE bit_count(xor(cb.b, vb.b)) <= 1)"""
+    WHERE bit_count(xor(cb.b, vb.b)) <= 2)"""
 
 BY_VECTOR = "SELECT query_id, doc_id AS vec_id, score, rank FROM best"
 
