@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -429,11 +430,27 @@ def entry(spark: SparkSession) -> DataFrame:
     return rag_rerank_prompt_batch(spark, ENTRY_DIR)
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data subpackage and its pipeline, where they are installed."""
+    if not importlib.util.find_spec("braidsearch.llm"):
+        return {}, {}
+    from braidsearch.llm import oracles, queries as registered
+
+    found, sql = registered.queries(), dict(oracles.ORACLES)
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in REGISTERED}
+    return {query.__name__: query for query in REGISTERED} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES)
+    return dict(ORACLES) | _training_data()[1]

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import ENTRY_DIR, entry, oracle_sql, queries
+from __spark_entry__ import ENTRY_DIR, REGISTERED, entry, oracle_sql, queries
 from check_oracles import TABLES, rows_of
 
 
@@ -16,10 +16,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert {query.__name__ for query in REGISTERED} <= set(oracle_sql())
+    assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", [query.__name__ for query in REGISTERED])
 def test_query_matches_sql(spark, duck, name):
     frame = queries()[name](spark, ENTRY_DIR)
     relation = duck.sql(oracle_sql()[name])
