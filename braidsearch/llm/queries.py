@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidsearch.llm import decontaminate, licenses, secrets, topk
+from braidsearch.llm import (
+    decontaminate,
+    licenses,
+    lines,
+    neardup,
+    packing,
+    secrets,
+    sharding,
+    topk,
+    toxicity,
+)
 from braidsearch.session import fresh_path
 
 
@@ -17,6 +27,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(_documents(spark, sf_dir))
     seen = F.col("license")
@@ -32,6 +46,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     found = decontaminate.with_hits(docs, _table(spark, sf_dir, "benchmark"), "hits")
@@ -46,6 +64,24 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, "toxic")
+    severity = F.col("severity")
+    return toxicity.with_severity(docs, model, "severity").select(
+        "doc_id",
+        F.round(severity["expected_severity"], 6).alias("expected_severity"),
+        severity["grade"].alias("grade"),
+        F.round(severity["p_toxic"], 6).alias("p_toxic"),
+        (severity["p_toxic"] >= 0.5).alias("toxic"),
+    )
+
+
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(_documents(spark, sf_dir))
+    return found.select("doc_id", F.col("class").alias("class_id"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "secret-ledger")
     found = secrets.findings(_documents(spark, sf_dir), path)
@@ -69,13 +105,28 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("before", F.size(F.split("text", "\n")))
+    cleaned = lines.drop_recurring_lines(docs)
+    left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return cleaned.select(
+        "doc_id",
+        F.col("before").cast("bigint").alias("n_lines"),
+        left.cast("bigint").alias("n_kept"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "embeddings")
     vectors = table.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("vector"))
     return topk.exact_topk(vectors.filter("vec_id % 50 = 0"), vectors, 5)
 
 
-REGISTERED = [op2_license_scan, op5_decontaminate, op8_secret_scan, op10_exact_topk]
+REGISTERED = [
+    op1_length_buckets, op2_license_scan, op4_shard_table, op5_decontaminate, op6_toxicity,
+    op7_dart_minhash, op8_secret_scan, op9_line_templates, op10_exact_topk,
+]
 
 
 def queries() -> dict:

@@ -35,6 +35,12 @@ def words(text: Column) -> Column:
     return F.array_remove(pieces, "")
 
 
+def words_count(text: Column) -> Column:
+    """Number of words, counted without lower-casing any."""
+    pieces = F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    return F.size(F.array_remove(pieces, "")).cast("bigint")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not use, whatever the case."""
     taken = {name.lower() for name in df.columns}
