@@ -13,6 +13,7 @@ from braidsearch.llm import (
     packing,
     secrets,
     sharding,
+    tokenids,
     topk,
     toxicity,
 )
@@ -46,6 +47,20 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokenids.write_packed(_documents(spark, sf_dir), fresh_path(spark, "packed-ids"))
+    return rows.select(
+        "group",
+        "row",
+        "n_tokens",
+        F.size("doc_ids").alias("n_segments"),
+        "doc_ids",
+        "pieces",
+        "cu_seqlens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+    )
+
+
 def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"))
 
@@ -124,7 +139,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = [
-    op1_length_buckets, op2_license_scan, op4_shard_table, op5_decontaminate, op6_toxicity,
+    op1_length_buckets, op2_license_scan, op3_packed_ids, op4_shard_table, op5_decontaminate, op6_toxicity,
     op7_dart_minhash, op8_secret_scan, op9_line_templates, op10_exact_topk,
 ]
 
