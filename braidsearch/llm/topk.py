@@ -1,20 +1,21 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
-The components of a vector are cut into ``parts``; each part ranks all vectors by its own share
-of the score. Phase one gathers the best of every part's list and, from their sums, a score that
-the k-th answer surely reaches. A vector whose shares all lie below that score / ``parts`` cannot
-reach it, so this cutoff goes to all tasks. Phase two collects every vector with a share above
-the cutoff whose best possible score still reaches the bound, with the least and most its score
-can be. The k-th of the least scores prunes again. Phase three computes what remains in full.
+The components of a vector are cut into ``parts``; each part ranks all vectors by its own share of
+the score. Phase one gathers, for every question and part, the best ``LIST`` entries of each task's
+list with their scores; the k-th best of them is a score that the k-th answer surely reaches. A
+vector whose shares all lie below that score / ``parts`` cannot reach it, so this cutoff is safe
+and goes to all tasks. Phase two collects the entries of all lists with a share at the cutoff or
+above. Phase three resolves the shares they lack, in the task that holds the vector, and keeps the
+k best scores of each question; the best of all tasks' are the answer.
 
 Equal vectors are one entry with its smallest ids, as many as an answer can name, so a vector
 that a third of all rows hold costs no more than any other. Questions are asked in blocks of
 ``BLOCK`` (broadcast: 8 bytes a component); all vectors meet all questions inside tasks, which
-emit bounded lists and what may be an answer, never a row for each pair.
+emit bounded lists, never a row for each pair.
 
-Defined results: vectors that are null, of another width, or hold null or non-finite components
-take no part; ties go to the smaller id; rows that repeat an id and vector count once; fewer
-candidates than k give all of them; an empty table gives no rows.
+Defined results: vectors that are null, of another width than most, or hold null or non-finite
+components take no part; ties go to the smaller id; rows that repeat an id and vector count once;
+fewer candidates than k give all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql.window import Window
 from braidsearch.session import materialize
 
 PARTS = 4
+LIST = 32
 BLOCK = 4096
 # Scores that a task holds at once.
 CELLS = 1 << 22
@@ -56,14 +58,16 @@ def _distinct(vectors: DataFrame, ids: int) -> DataFrame:
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a batch ``(vec_id, vector)`` as whole numbers in doubles."""
-    values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-    rows = values.astype(np.float64).reshape(batch.num_rows, -1)
+    """Ids and vectors of a batch ``(vec_id, vector)``."""
+    rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
     return batch.column(0).to_numpy(zero_copy_only=False), rows
 
 
 def _shares(questions: np.ndarray, rows: np.ndarray, cuts: list[slice]) -> np.ndarray:
-    """Scores by part: part, question, row. Doubles hold sums of such products exactly."""
+    """Scores by part: part, question, row; in the fastest type that holds every sum exactly."""
+    most = rows.shape[1] * np.abs(questions).max(initial=0) * np.abs(rows).max(initial=0)
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    questions, rows = questions.astype(kind), rows.astype(kind)
     return np.stack([questions[:, cut] @ rows[:, cut].T for cut in cuts])
 
 
@@ -74,128 +78,85 @@ def _steps(batch: pa.RecordBatch, questions: int, parts: int) -> Iterator[tuple]
         yield ids[low : low + step], rows[low : low + step]
 
 
+def _best(question, vec_id, score, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best entries of each question; ties to the smaller id."""
+    order = np.lexsort((vec_id, -score, question))
+    question, vec_id, score = question[order], vec_id[order], score[order]
+    new = np.flatnonzero(np.append(True, question[1:] != question[:-1])[: len(question)])
+    place = np.arange(len(question)) - np.repeat(new, np.diff(np.append(new, len(question))))
+    keep = place < k
+    return question[keep], vec_id[keep], score[keep]
+
+
+def _entries(numbers: np.ndarray, question, vec_id, score) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(numbers[question]), pa.array(vec_id), pa.array(score.astype(np.int64))],
+        names=["query_id", "vec_id", "score"],
+    )
+
+
 def _phase_one(questions: np.ndarray, numbers: np.ndarray, cuts: list[slice], k: int):
-    """For each question and part, the best ``k`` shares of the task and its least share."""
+    """Of each question, the ``k`` best scores among the heads of a task's lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = (len(cuts), len(questions), 0)
-        best, owner = np.zeros(shape), np.zeros(shape, np.int64)
-        least = np.full(shape[:2], np.inf)
+        found = (np.zeros(0, np.int64),) * 3
         for batch in batches:
             for ids, rows in _steps(batch, len(questions), len(cuts)):
                 shares = _shares(questions, rows, cuts)
-                least = np.minimum(least, shares.min(axis=2))
-                top = np.argpartition(-shares, min(k, len(ids)) - 1, axis=2)[:, :, :k]
-                best = np.concatenate([best, np.take_along_axis(shares, top, 2)], axis=2)
-                owner = np.concatenate([owner, ids[top]], axis=2)
-                keep = np.argsort(-best, axis=2, kind="stable")[:, :, :k]
-                best = np.take_along_axis(best, keep, 2)
-                owner = np.take_along_axis(owner, keep, 2)
-        n = best.shape[2]
-        if n:
-            part, question, _ = np.indices(best.shape)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(numbers[question.ravel()]), pa.array(part.ravel()),
-                    pa.array(owner.ravel()), pa.array(best.ravel()),
-                    pa.array(np.repeat(least.ravel(), n)),
-                ],
-                names=["query_id", "part", "vec_id", "share", "least"],
-            )
+                scores = shares.sum(axis=0)
+                size = min(LIST, len(ids))
+                heads = np.argpartition(shares, len(ids) - size, axis=2)[:, :, len(ids) - size :]
+                # an entry may head several lists
+                listed = np.unique(np.arange(len(questions))[None, :, None] * len(ids) + heads)
+                question, row = listed // len(ids), listed % len(ids)
+                more = (question, ids[row], scores[question, row].astype(np.int64))
+                found = _best(*(np.concatenate(both) for both in zip(found, more, strict=True)), k)
+        yield _entries(numbers, *found)
 
     return run
 
 
-def _phase_two(questions, numbers, cuts, least, bound):
-    """Vectors whose best possible score reaches ``bound``, with the least it can be.
-
-    Shares are counted from the least one of their question and part, so none is negative.
-    """
-    cutoff = (bound - least.sum(axis=0)) / len(cuts)
+def _phase_two_and_three(questions, numbers, cuts, bound: np.ndarray, k: int):
+    """Entries with a share at the cutoff, their scores resolved: the ``k`` best of a task."""
+    # whole numbers, so that comparing stays in the type of the shares
+    cutoff = np.floor(bound / len(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (np.zeros(0, np.int64),) * 3
         for batch in batches:
             for ids, rows in _steps(batch, len(questions), len(cuts)):
-                shares = _shares(questions, rows, cuts) - least[:, :, None]
-                seen = shares >= cutoff[None, :, None]
-                low = np.where(seen, shares, 0).sum(axis=0)
-                unseen = len(cuts) - seen.sum(axis=0)
-                high = low + unseen * cutoff[:, None]
-                q, row = np.nonzero((unseen < len(cuts)) & (high >= len(cuts) * cutoff[:, None]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(numbers[q]), pa.array(ids[row]),
-                        pa.array(low[q, row]), pa.array(high[q, row]),
-                    ],
-                    names=["query_id", "vec_id", "low", "high"],
-                )
+                shares = _shares(questions, rows, cuts)
+                collected = (shares >= cutoff.astype(shares.dtype)[None, :, None]).any(axis=0)
+                scores = shares.sum(axis=0)
+                question, row = np.nonzero(collected & (scores >= bound.astype(shares.dtype)[:, None]))
+                more = (question, ids[row], scores[question, row].astype(np.int64))
+                found = _best(*(np.concatenate(both) for both in zip(found, more, strict=True)), k)
+        yield _entries(numbers, *found)
 
     return run
 
 
-def _bounds(lists: DataFrame, numbers: np.ndarray, parts: int, k: int):
-    """Least shares and the k-th best sum that phase one proves, by question."""
-    by_list = Window.partitionBy("query_id", "part").orderBy(F.desc("share"), "vec_id")
-    lists = lists.withColumn("n", F.row_number().over(by_list)).filter(F.col("n") <= k)
-    least = lists.groupBy("query_id", "part").agg(F.min("least").alias("least"))
-    sums = (
-        lists.join(least.withColumnRenamed("least", "floor"), ["query_id", "part"])
-        .groupBy("query_id", "vec_id")
-        .agg(F.sum(F.col("share") - F.col("floor")).alias("sum"))
-    )
-    by_sum = Window.partitionBy("query_id").orderBy(F.desc("sum"))
-    kth = (
-        sums.withColumn("n", F.row_number().over(by_sum))
-        .filter(F.col("n") <= k)
-        .groupBy("query_id")
-        .agg(F.when(F.count("*") == k, F.min("sum")).alias("sum"))
-    )
-    at = {number: n for n, number in enumerate(numbers.tolist())}
-    floor, bound = np.zeros((parts, len(numbers))), np.zeros(len(numbers))
-    for row in least.toArrow().to_pylist():
-        floor[row["part"], at[row["query_id"]]] = row["least"]
-    for row in kth.toArrow().to_pylist():
-        bound[at[row["query_id"]]] = row["sum"] or 0.0
-    return floor, bound + floor.sum(axis=0)
+ENTRIES = "query_id bigint, vec_id bigint, score bigint"
 
 
-def _asked(spark, entries, questions: np.ndarray, numbers: np.ndarray, k: int, parts: int):
+def _first(entries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best entries of each question, with their place ``n``."""
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return entries.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k)
+
+
+def _asked(entries: DataFrame, questions: np.ndarray, numbers: np.ndarray, k: int, parts: int):
     """One block: the best ``k`` distinct vectors of each question, ``query_id, vec_id, score``."""
     edges = np.linspace(0, questions.shape[1], parts + 1).astype(int)
     cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    lists = entries.mapInArrow(
-        _phase_one(questions, numbers, cuts, k),
-        "query_id bigint, part bigint, vec_id bigint, share double, least double",
-    )
-    least, bound = _bounds(materialize(lists, "topk-lists"), numbers, parts, k)
-    collected = entries.mapInArrow(
-        _phase_two(questions, numbers, cuts, least, bound),
-        "query_id bigint, vec_id bigint, low double, high double",
-    )
-    by_low = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    collected = materialize(collected, "topk-collected")
-    kth = (
-        collected.withColumn("n", F.row_number().over(by_low))
-        .filter(F.col("n") <= k)
-        .groupBy("query_id")
-        .agg(F.when(F.count("*") == k, F.min("low")).otherwise(0.0).alias("kth"))
-    )
-    left = collected.join(kth, "query_id").filter(F.col("high") >= F.col("kth"))
-    asked = spark.createDataFrame(
-        pa.table({"query_id": numbers, "question": pa.array(questions.astype(np.int64).tolist())})
-    )
-    full = F.aggregate(
-        F.zip_with("question", "vector", lambda a, b: a * b),
-        F.lit(0).cast("bigint"), lambda total, x: total + x,
-    )
-    scored = (
-        left.select("query_id", "vec_id")
-        .join(entries, "vec_id")
-        .join(F.broadcast(asked), "query_id")
-        .select("query_id", "vec_id", full.alias("score"))
-    )
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k).drop("n")
+    gathered = entries.mapInArrow(_phase_one(questions, numbers, cuts, k), ENTRIES)
+    at = {number: n for n, number in enumerate(numbers.tolist())}
+    bound = np.full(len(numbers), -(2.0**62))
+    # one row for each question of the block
+    for row in _first(gathered, k).filter(F.col("n") == k).toArrow().to_pylist():
+        bound[at[row["query_id"]]] = row["score"]
+    collected = entries.mapInArrow(_phase_two_and_three(questions, numbers, cuts, bound, k), ENTRIES)
+    return _first(collected, k).drop("n")
 
 
 def exact_topk(
@@ -228,7 +189,7 @@ def exact_topk(
         mine = mine.sort_by("vec_id")
         batch = mine.combine_chunks().to_batches()[0]
         numbers, rows = _matrix(batch)
-        found.append(materialize(_asked(spark, entries, rows, numbers, k + 1, parts), "topk-found"))
+        found.append(materialize(_asked(entries, rows, numbers, k + 1, parts), "topk-found"))
     if not found:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     best = found[0]
