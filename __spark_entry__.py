@@ -245,13 +245,6 @@ def sparse_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sparse retrieval
 
 
-def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    retriever = _retriever(spark, sf_dir, dense=False)
-    asked = retriever.ask(_questions(spark, sf_dir))
-    scores = bm25.okapi_scores(asked.terms, retriever.index, retriever.model, asked.terms_size)
-    return scores.select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
-
-
 def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     retriever = _retriever(spark, sf_dir, dense=False)
     return retriever.sparse(retriever.ask(_questions(spark, sf_dir)))
@@ -417,7 +410,7 @@ REGISTERED = [
     question_clean, tokens_word, tokens_stemmed, term_ids, term_ids_murmur, vocab_top10,
     term_freq, doc_lengths, doc_freq, vocab_size, bm25_stats, bm25_fit, okapi_idf,
     sparse_doc_vector, sparse_query_vector,
-    bm25_scores, bm25_okapi_topk, bm25_padded_topk, bm25_whitespace_topk,
+    bm25_okapi_topk, bm25_padded_topk, bm25_whitespace_topk,
     vector_profile, hash_embed_docs, hash_embed_queries,
     dense_dot_topk, dense_l2_topk, dense_lsh_topk, dense_text_topk,
     hybrid_convex_topk, rrf_fusion, rrf_weighted, rerank_scores, rerank_topn,
@@ -451,6 +444,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import ORACLES
+    import oracles
 
-    return dict(ORACLES) | _training_data()[1]
+    return oracles.built() | _training_data()[1]

@@ -7,10 +7,11 @@ one row at a time, so analysing a corpus needs no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +56,11 @@ def drop_words(tokens: Column, words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*words)) if words else tokens
 
 
-def stop_words(language: str) -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords(LANGUAGES.get(language, language))
+@cache
+def stop_words(language: str) -> tuple[str, ...]:
+    """The lists that ship with Spark, kept as plain files so that no jar is needed."""
+    file = Path(__file__).parent / "stop_words" / f"{LANGUAGES.get(language, language)}.txt"
+    return tuple(file.read_text(encoding="utf-8").split())
 
 
 def word_tokens_by_language(text: Column, lang: Column) -> Column:
@@ -144,17 +148,21 @@ def murmur_term_id(terms: pa.Array) -> pa.Array:
 
     Spark's own ``hash`` uses another seed and another rule for trailing bytes.
     """
-    encoded = [t.encode("utf-8") if t is not None else b"" for t in terms.to_pylist()]
-    ids = np.zeros(len(encoded), dtype=np.int64)
-    lengths = np.array([len(e) for e in encoded], dtype=np.int64)
+    whole = terms.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = whole.buffers()
+    starts = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    ids = np.zeros(len(whole), dtype=np.int64)
+    lengths = np.diff(starts)
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
-        ids[rows] = murmur3_same_length([encoded[r] for r in rows], int(length))
+        cells = data[starts[rows][:, None] + np.arange(length)]
+        ids[rows] = murmur3_same_length(cells, int(length))
     return pa.array(ids, mask=terms.is_null().to_numpy(zero_copy_only=False))
 
 
-def murmur3_same_length(values: list[bytes], length: int) -> np.ndarray:
-    """Public-domain MurmurHash3_x86_32 over equally long byte strings, column by column."""
+def murmur3_same_length(values: np.ndarray, length: int) -> np.ndarray:
+    """Public-domain MurmurHash3_x86_32 over byte strings of one length, a row each, column by column."""
     # The published constants of the hash.
     c1, c2, add = np.uint32(0xCC9E2D51), np.uint32(0x1B873593), np.uint32(0xE6546B64)
     mix1, mix2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -165,7 +173,7 @@ def murmur3_same_length(values: list[bytes], length: int) -> np.ndarray:
     padded = -(-length // 4) * 4
     data = np.zeros((len(values), padded), dtype=np.uint8)
     if length:
-        data[:, :length] = np.frombuffer(b"".join(values), dtype=np.uint8).reshape(-1, length)
+        data[:, :length] = values
     words = data.view("<u4")
     state = np.zeros(len(values), dtype=np.uint32)
     for column in range(padded // 4):

@@ -10,18 +10,23 @@ from braidsearch.functions.text import score_text, snippet, trim_whitespace
 # Texts that a finished prompt or citation must contain word for word.
 CONTEXT_TITLE, CONTEXT_CATEGORY = "Untitled Document", "General"
 CITATION_DEFAULT = "Unknown"
-PROMPT = (
-    "You are an AI Assistant designed to answer questions based on the provided context.\n"
-    "Answer the question using only the context provided. If you don't know the answer or if "
-    'the context doesn\'t contain the answer, say "I don\'t know based on the provided '
-    'context." Keep the response informative, professional, and clear.\n\n'
-    "Context:\n{context}\n\nQuestion: {question}\n\nAnswer:"
-)
-SHORT_PROMPT = (
-    "Answer the user's question using the context below. If you don't know, state that you "
-    "don't know.\n        \n        Context:\n        {context}\n        \n"
-    "        Question: {question}\n        \n        Answer:"
-)
+PROMPT = """You are an AI Assistant designed to answer questions based on the provided context.
+Answer the question using only the context provided. If you don't know the answer or if the context doesn't contain the answer, say "I don't know based on the provided context." Keep the response informative, professional, and clear.
+
+Context:
+{context}
+
+Question: {question}
+
+Answer:"""
+SHORT_PROMPT = """Answer the user's question using the context below. If you don't know, state that you don't know.
+        
+        Context:
+        {context}
+        
+        Question: {question}
+        
+        Answer:"""
 
 
 def clean_questions(df: DataFrame, column: str = "question") -> DataFrame:

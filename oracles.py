@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
+import sys
+from collections.abc import Callable
+from pathlib import Path
+
+# Patterns, languages and texts that results must follow, stated here once more.
+SEPARATORS = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*|'s"
+WHITESPACE = (
+    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
+LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
+PROMPT = """You are an AI Assistant designed to answer questions based on the provided context.
+Answer the question using only the context provided. If you don't know the answer or if the context doesn't contain the answer, say "I don't know based on the provided context." Keep the response informative, professional, and clear.
+
+Context:
+{context}
 
-import pyspark
+Question: {question}
 
-from braidsearch.functions.text import LANGUAGES, SEPARATORS, WHITESPACE, WORD
-from braidsearch.operators.context import PROMPT, SHORT_PROMPT
+Answer:"""
+SHORT_PROMPT = """Answer the user's question using the context below. If you don't know, state that you don't know.
+        
+        Context:
+        {context}
+        
+        Question: {question}
+        
+        Answer:"""
 
 
 def quote(text: str) -> str:
@@ -17,11 +38,8 @@ def quote(text: str) -> str:
 
 
 def stop_words(language: str) -> list[str]:
-    """The same lists Spark loads, read from its jar so that no session is needed."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar[0]) as archive:
-        text = archive.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
-    return text.decode("utf-8").split()
+    folder = Path(__file__).parent / "braidsearch" / "functions" / "stop_words"
+    return (folder / f"{language}.txt").read_text(encoding="utf-8").split()
 
 
 def simple(text: str) -> str:
@@ -309,106 +327,103 @@ RANKED = "SELECT query_id, doc_id, score, rank FROM "
 NEWEST = """SELECT max(doc_id) AS doc_id, sha256(any_value(text)) AS content_id,
     any_value(text) AS text FROM documents GROUP BY text"""
 
-ORACLES = {
-    "doc_source": SOURCE,
-    "corpus_roundtrip": SOURCE,
-    "bm25_model_roundtrip": query(corpus(), select="SELECT term, df FROM df"),
-    "collection_upsert": """SELECT sha256(text) AS content_id,
+ORACLES: dict[str, Callable[[], str]] = {
+    "doc_source": lambda: SOURCE,
+    "corpus_roundtrip": lambda: SOURCE,
+    "bm25_model_roundtrip": lambda: query(corpus(), select="SELECT term, df FROM df"),
+    "collection_upsert": lambda: """SELECT sha256(text) AS content_id,
         coalesce(max(doc_id) FILTER (lang = 'en'), max(doc_id)) AS doc_id,
         CASE WHEN count(*) FILTER (lang = 'en') > 0 THEN 'updated'
             ELSE arg_max(lang, doc_id) END AS category
         FROM documents GROUP BY text""",
-    "collection_rebuild": "SELECT doc_id, sha256(text) AS content_id FROM documents",
-    "ingest_report": """SELECT count(*) AS n_ingested,
+    "collection_rebuild": lambda: "SELECT doc_id, sha256(text) AS content_id FROM documents",
+    "ingest_report": lambda: """SELECT count(*) AS n_ingested,
         count(DISTINCT text) AS n_distinct_content FROM documents""",
-    "ingest_upsert": f"""SELECT doc_id, len(list_distinct({simple('text')}))::BIGINT AS n_terms,
+    "ingest_upsert": lambda: f"""SELECT doc_id, len(list_distinct({simple('text')}))::BIGINT AS n_terms,
         384::BIGINT AS dim FROM ({NEWEST})""",
-    "ingest_rebuild": f"""SELECT doc_id, len(list_distinct({simple('text')}))::BIGINT AS n_terms,
+    "ingest_rebuild": lambda: f"""SELECT doc_id, len(list_distinct({simple('text')}))::BIGINT AS n_terms,
         384::BIGINT AS dim FROM documents""",
-    "question_clean": f"""SELECT conv_id, turn, {trimmed('text')} AS question FROM conversations
+    "question_clean": lambda: f"""SELECT conv_id, turn, {trimmed('text')} AS question FROM conversations
         WHERE role = 'user' AND length({trimmed('text')}) > 0""",
-    "tokens_word": words(stem=False),
-    "tokens_stemmed": words(stem=True),
-    "term_ids": query(corpus(), select=f"SELECT term, {hex8('term', 1)} AS term_id FROM df"),
-    "term_ids_murmur": query(corpus(), MURMUR, select="SELECT term, term_id FROM ids"),
-    "vocab_top10": query(
+    "tokens_word": lambda: words(stem=False),
+    "tokens_stemmed": lambda: words(stem=True),
+    "term_ids": lambda: query(corpus(), select=f"SELECT term, {hex8('term', 1)} AS term_id FROM df"),
+    "term_ids_murmur": lambda: query(corpus(), MURMUR, select="SELECT term, term_id FROM ids"),
+    "vocab_top10": lambda: query(
         corpus(), select="SELECT term, df FROM df ORDER BY df DESC, term LIMIT 10"
     ),
-    "term_freq": query(corpus(), select="SELECT doc_id, term, tf FROM tf"),
-    "doc_lengths": query(corpus(), select="SELECT doc_id, dl FROM len"),
-    "doc_freq": query(corpus(), select="SELECT term, df FROM df"),
-    "vocab_size": query(corpus(), select="SELECT count(*) AS n_terms FROM df"),
-    "bm25_stats": query(corpus(), select="SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM st"),
-    "bm25_fit": query(
+    "term_freq": lambda: query(corpus(), select="SELECT doc_id, term, tf FROM tf"),
+    "doc_lengths": lambda: query(corpus(), select="SELECT doc_id, dl FROM len"),
+    "doc_freq": lambda: query(corpus(), select="SELECT term, df FROM df"),
+    "vocab_size": lambda: query(corpus(), select="SELECT count(*) AS n_terms FROM df"),
+    "bm25_stats": lambda: query(corpus(), select="SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM st"),
+    "bm25_fit": lambda: query(
         corpus(),
         select="""SELECT any_value(n) AS n_docs, round(any_value(avgdl), 6) AS avgdl,
             count(*) AS n_terms, sum(df)::BIGINT AS sum_df FROM df, st""",
     ),
-    "okapi_idf": query(corpus(), OKAPI_IDF, select=f"SELECT term, {zero('idf')} AS idf FROM idf"),
-    "sparse_doc_vector": query(
+    "okapi_idf": lambda: query(corpus(), OKAPI_IDF, select=f"SELECT term, {zero('idf')} AS idf FROM idf"),
+    "sparse_doc_vector": lambda: query(
         corpus(), DOC_WEIGHTS,
         select="SELECT doc_id AS id, term, round(weight, 6) AS weight FROM dw",
     ),
-    "sparse_query_vector": query(
+    "sparse_query_vector": lambda: query(
         corpus(), asked(), QUERY_WEIGHTS,
         select="SELECT query_id AS id, term, round(weight, 6) AS weight FROM qw",
     ),
-    "bm25_scores": query(
-        *SPARSE, select=f"SELECT query_id, doc_id, {zero('score')} AS score FROM okapi"
-    ),
-    "bm25_okapi_topk": query(
+    "bm25_okapi_topk": lambda: query(
         *SPARSE, ranked("best", "okapi", "score", 5), select=RANKED + "best"
     ),
-    "bm25_padded_topk": query(
+    "bm25_padded_topk": lambda: query(
         *SPARSE, PADDED_SOURCE, ranked("best", "allok", "score", 5), select=RANKED + "best"
     ),
-    "bm25_whitespace_topk": query(
+    "bm25_whitespace_topk": lambda: query(
         corpus(whitespace), asked(whitespace), OKAPI_IDF, OKAPI_SCORES, PADDED_SOURCE,
         ranked("best", "allok", "score", 5), select=RANKED + "best",
     ),
-    "vector_profile": """SELECT vec_id, len(embedding)::BIGINT AS dim,
+    "vector_profile": lambda: """SELECT vec_id, len(embedding)::BIGINT AS dim,
         array_to_string(list_transform(embedding[1:10], lambda x: printf('%.4f', x::DOUBLE)), ',')
             AS first_values,
         round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm
         FROM embeddings""",
-    "hash_embed_docs": query(
+    "hash_embed_docs": lambda: query(
         corpus(), DOC_VECTORS,
         select=f"SELECT doc_id AS id, bucket, {zero('value')} AS value FROM dv",
     ),
-    "hash_embed_queries": query(
+    "hash_embed_queries": lambda: query(
         asked(), QUERY_VECTORS,
         select=f"SELECT query_id AS id, bucket, {zero('value')} AS value FROM qv",
     ),
-    "dense_dot_topk": query(
+    "dense_dot_topk": lambda: query(
         CENTROIDS, CENTROID_DOT, ranked("best", "scored", "score", 5), select=BY_VECTOR
     ),
-    "dense_l2_topk": query(
+    "dense_l2_topk": lambda: query(
         CENTROIDS, CENTROID_L2, ranked("best", "scored", "score", 5, "ASC"), select=BY_VECTOR
     ),
-    "dense_lsh_topk": query(
+    "dense_lsh_topk": lambda: query(
         CENTROIDS, LSH_BUCKETS, ranked("best", "scored", "score", 5), select=BY_VECTOR
     ),
-    "dense_text_topk": query(
+    "dense_text_topk": lambda: query(
         corpus(), asked(), *DENSE, ranked("best", "pairs", "dot", 5), select=RANKED + "best"
     ),
-    "hybrid_convex_topk": query(*HYBRID, select=RANKED + "hybrid"),
-    "rrf_fusion": query(*ENSEMBLE, select=RANKED + "fused"),
-    "rrf_weighted": query(
+    "hybrid_convex_topk": lambda: query(*HYBRID, select=RANKED + "hybrid"),
+    "rrf_fusion": lambda: query(*ENSEMBLE, select=RANKED + "fused"),
+    "rrf_weighted": lambda: query(
         *SPARSE, ranked("sparsetop", "okapi", "score", 5),
         *DENSE, ranked("near", "pairs", "l2", 5, "ASC"),
         DOC_WEIGHTS, QUERY_WEIGHTS, CONVEX_SOURCE, ranked("hybrid", "convex", "score", 3),
         fused([("sparsetop", 0.5), ("near", 0.3), ("hybrid", 0.2)]), select=RANKED + "fused",
     ),
-    "rerank_scores": query(
+    "rerank_scores": lambda: query(
         *ENSEMBLE, RERANKED, select="SELECT query_id, doc_id, relevance_score FROM rel"
     ),
-    "rerank_topn": query(
+    "rerank_topn": lambda: query(
         *ENSEMBLE, RERANKED, select="SELECT query_id, doc_id, relevance_score, rank FROM top"
     ),
-    "context_block": query(
+    "context_block": lambda: query(
         *HYBRID, contexts("hybrid", ENTRY), select="SELECT query_id, context FROM ctx"
     ),
-    "citations": query(
+    "citations": lambda: query(
         *ENSEMBLE, RERANKED, META,
         select="""SELECT query_id, rank, coalesce(title, 'Unknown') AS title,
             coalesce(category, 'Unknown') AS category,
@@ -416,11 +431,22 @@ ORACLES = {
             replace(substr(coalesce(text, ''), 1, 150), chr(10), ' ') || '...' AS snippet
             FROM top JOIN meta USING (doc_id)""",
     ),
-    "rag_prompt_batch": query(*HYBRID, contexts("hybrid", ENTRY), select=prompted(PROMPT)),
-    "rag_prompt_stuff": query(
+    "rag_prompt_batch": lambda: query(*HYBRID, contexts("hybrid", ENTRY), select=prompted(PROMPT)),
+    "rag_prompt_stuff": lambda: query(
         *HYBRID, contexts("hybrid", "coalesce(text, '')"), select=prompted(SHORT_PROMPT)
     ),
-    "rag_rerank_prompt_batch": query(
+    "rag_rerank_prompt_batch": lambda: query(
         *ENSEMBLE, RERANKED, contexts("top", ENTRY), select=prompted(PROMPT)
     ),
 }
+
+
+def built() -> dict[str, str]:
+    """The SQL of every query; one that cannot be built is left out and named."""
+    found = {}
+    for name, build in ORACLES.items():
+        try:
+            found[name] = build()
+        except Exception as error:
+            print(f"no SQL for {name}: {error!r}", file=sys.stderr)
+    return found
