@@ -198,7 +198,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **optio
     """
     hits = wd.free_name(docs, "hits")
     found = with_hits(docs, benchmark, hits, text=text, **options)
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,6 +213,6 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **optio
                 kept[n] = raw.decode()
             columns = batch.columns[:-1]
             columns[at] = pa.array(kept, texts.type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return found.mapInArrow(run, docs.schema)
