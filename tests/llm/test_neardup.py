@@ -1,0 +1,115 @@
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from braidsearch.llm import neardup as nd
+from braidsearch.llm import words as wd
+
+from .conftest import EDGE, sentence, words_of
+
+
+def edited(text, share, seed):
+    own, words = random.Random(seed), text.split()
+    for n in own.sample(range(len(words)), int(share * len(words))):
+        words[n] = f"new{seed}x{n}"
+    return " ".join(words)
+
+
+def multiset(text):
+    w = words_of(text)
+    return Counter(tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def brute(docs):
+    """{doc_id: smallest id of its group} by comparing every pair."""
+    parent = {i: i for i, _ in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [(i, multiset(t)) for i, t in docs]
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            union = sum((a | b).values())
+            if union and sum((a & b).values()) >= 0.8 * union - 1e-9:
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    return {i: root(i) for i, _ in docs}
+
+
+@pytest.fixture(scope="module")
+def texts():
+    out = list(EDGE)
+    base = sentence(300, 70)
+    out += [base] * 5 + [edited(base, 0.01, n) for n in range(12)] + [edited(base, 0.3, n) for n in range(4)]
+    chain = sentence(200, 71)
+    for n in range(6):  # neighbours are alike, the ends are not
+        out.append(chain := edited(chain, 0.015, 100 + n))
+    out += ["same line here again ok " * 30, "same line here again ok " * 28, sentence(40, 72)]
+    return out
+
+
+def test_classes_are_those_of_brute_force(spark, texts):
+    docs = list(enumerate(texts))
+    found = nd.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r["class"] for r in found} == brute(docs)
+    assert len(found) == len(docs)
+
+
+def test_drop_keeps_the_first_of_each_group_unchanged(spark, texts):
+    rows = [(n, t, f"extra{n}", "c") for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, copy string, `Class` string")
+    kept = nd.drop_near_duplicates(docs)
+    groups = brute(list(enumerate(texts)))
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect()) == sorted(docs.filter(docs.doc_id.isin(sorted(set(groups.values())))).collect())
+
+
+def test_nulls_repeats_and_nothing(spark, edge, nothing):
+    kept = nd.drop_near_duplicates(edge).collect()
+    named = [r.doc_id for r in kept]
+    assert named.count(0) == 2 and named.count(1) == 2  # texts without words are in no group
+    assert named.count(None) == 1 and named.count(6) == 1 and 7 not in named
+    assert nd.drop_near_duplicates(nothing).count() == 0 and nd.classes(nothing).count() == 0
+    same = spark.createDataFrame([(5, "a b c d e f g")] * 4 + [(None, "a b c d e f g")] * 3, "doc_id bigint, text string")
+    assert [tuple(r) for r in nd.drop_near_duplicates(same).collect()] == [(5, "a b c d e f g")]
+    unnamed = spark.createDataFrame([(None, "k l m")] * 3, "doc_id bigint, text string")
+    assert nd.drop_near_duplicates(unnamed).count() == 1
+
+
+def test_signatures_agree_with_the_chance_of_weighted_similarity():
+    own = np.random.default_rng(5)
+    keys = wd.mix(own.integers(0, 1 << 62, 900).astype(np.uint64))
+    agree, true = [], []
+    for seed in range(12):
+        weights = np.random.default_rng(seed).uniform(0.2, 6, (2, 900)) * (np.random.default_rng(seed + 99).random((2, 900)) < 0.9)
+        weights[1, :700] = weights[0, :700]
+        doc, at = np.nonzero(weights)
+        found = nd.signatures(doc, keys[at], weights[doc, at], 2, 200)
+        agree.append((found[0] == found[1]).mean())
+        true.append(np.minimum(*weights).sum() / np.maximum(*weights).sum())
+    assert abs(np.mean(agree) - np.mean(true)) < 0.03
+    assert (found > 0).all()
+
+
+def test_signatures_do_not_depend_on_the_batch():
+    texts = [sentence(n, 80 + n) for n in (1, 3, 50, 900)]
+
+    def sign(batch):
+        for low, high, cut in wd.cuts(pa.array(batch)):
+            doc, key, weight = nd.shingles(cut)
+            return nd.signatures(doc, key, weight.astype(float), high - low, 60)
+
+    together = sign(texts)
+    assert all((sign([text])[0] == together[n]).all() for n, text in enumerate(texts))
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(n, n + 1) for n in range(40)] + [(100, 101)], "a bigint, b bigint")
+    found = {r.text: r["class"] for r in nd.components(links).collect()}
+    assert found == {**{n: 0 for n in range(41)}, 100: 100, 101: 100}

@@ -1,0 +1,152 @@
+from itertools import combinations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from braidsearch.llm import packing as pk
+from braidsearch.llm import sharding as sh
+from braidsearch.llm import tokenids as ti
+
+from .conftest import EDGE, sentence
+
+
+def padding(lengths, ends):
+    return sum(min(e for e in ends if e >= n) - n for n in lengths)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=30), st.integers(1, 4))
+def test_boundaries_have_least_padding(lengths, buckets):
+    longest, count = np.unique(lengths, return_counts=True)
+    ends = pk.boundaries(longest, count, longest * count, buckets)
+    best = min(
+        padding(lengths, [*cut, longest[-1]])
+        for k in range(min(buckets, len(longest)))
+        for cut in combinations(longest[:-1].tolist(), k)
+    )
+    assert padding(lengths, ends) == best and len(ends) <= buckets and ends == sorted(set(ends))
+
+
+def test_long_lengths_share_cells(spark):
+    lengths = spark.createDataFrame([(n,) for n in [0, 1, 511, 512, 513, 514, 10**6, 10**6 + 1, 2**40]], "n_tokens bigint")
+    longest, count, total = pk.histogram(lengths)
+    assert longest.tolist() == [0, 1, 511, 513, 514, 10**6 + 1, 2**40] and count.tolist() == [1, 1, 1, 2, 1, 2, 1]
+
+
+@pytest.mark.parametrize("chunk", [1024, 7])
+def test_batches_fill_the_budget(spark, chunk):
+    rows = [(n, n * n % 97) for n in range(500)] + [(None, 5), (None, None), (3, 9), (3, 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, size bigint").withColumn("text", F.lit("x"))
+    found = pk.pack(docs, F.col("size"), buckets=4, budget=400, chunk=chunk).toPandas()
+    assert len(found) == len(rows) and found.bucket.nunique() == 4
+    for (_, batch), group in found.groupby(["bucket", "batch"]):
+        room = max(1, 400 // max(1, group.padded_to.iloc[0]))
+        last = found[found.bucket == group.bucket.iloc[0]].batch.max()
+        assert sorted(group.slot) == list(range(len(group))) and len(group) <= room
+        assert len(group) == room or batch == last
+    assert (found.n_tokens <= found.padded_to).all()
+
+
+def test_packing_query(against_sql, edge, nothing):
+    assert len(against_sql("op1_length_buckets", documents=edge)) == edge.count()
+    assert pk.pack(nothing).count() == 0
+
+
+# --- shards
+
+
+def test_table_is_filled_in_turns():
+    owners = sh.lookup_table(("c", "a", "b"), 101)
+    counts = sorted(owners.count(name) for name in "abc")
+    assert len(owners) == 101 and counts == [33, 34, 34]
+    # each shard owns the first free slot of its walk, turn by turn
+    walks = {
+        name: [(sh._number(f"{name}|offset") + n * (sh._number(f"{name}|step") % 100 + 1)) % 101 for n in range(101)]
+        for name in "abc"
+    }
+    taken = {}
+    while len(taken) < 101:
+        for name in "abc":
+            free = [slot for slot in walks[name] if slot not in taken]
+            if free:
+                taken[free[0]] = name
+    assert owners == [taken[slot] for slot in range(101)]
+
+
+def test_most_slots_keep_their_owner():
+    before, after = sh.lookup_table(sh.SHARDS), sh.lookup_table(sh.SHARDS[:-1])
+    moved = sum(a != b for a, b in zip(before, after, strict=True) if a != sh.SHARDS[-1])
+    assert moved < 0.1 * len(before)
+
+
+def test_bad_tables_are_refused():
+    for names, slots in (((), 7), (("a",), 8), (tuple("abcdefgh"), 7), (("a",), 1_000_033)):
+        with pytest.raises(ValueError):
+            sh.lookup_table(names, slots)
+
+
+def test_shard_query(spark, against_sql, edge, nothing, tmp_path):
+    against_sql("op4_shard_table", documents=edge)
+    placed = sh.place(edge)
+    assert placed.columns == [*edge.columns, "_slot", "shard"] and placed.count() == edge.count()
+    assert sh.place(nothing).count() == 0
+    sh.write_shards(edge, str(tmp_path / "shards"), files=2)
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == edge.count()
+
+
+# --- token ids
+
+
+def test_rooms_give_the_closest_fit():
+    rooms = ti.Rooms(100)
+    for row, room in enumerate([40, 7, 99, 40]):
+        rooms.add(room, row)
+    assert [rooms.take(n) for n in (8, 41, 100, 40, 1, 1)] == [(40, 3), (99, 2), None, (40, 0), (7, 1), None]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60))
+def test_best_fit_is_that_of_a_plain_search(sizes):
+    sizes = sorted(sizes, reverse=True)
+    rows = ti.best_fit(sizes, 50)
+    rooms = []
+    for size in sizes:
+        fits = [(room, n) for n, room in enumerate(rooms) if room >= size]
+        if fits:
+            rooms[min(fits)[1]] -= size
+        else:
+            rooms.append(50 - size)
+    assert sorted(50 - sum(sizes[n] for n in row) for row in rows) == sorted(rooms)
+    assert sorted(n for row in rows for n in row) == list(range(len(sizes)))
+
+
+def test_packed_rows_give_back_every_text(spark, tmp_path):
+    texts = [*EDGE, sentence(900, 4) + " end", "a" * 200_000 + " " + "b c" * 40_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    codec = ti.encoding(open(ti.VOCABULARY, "rb").read())
+    parts, mark = {}, 50_256
+    found = ti.write_packed(docs, str(tmp_path / "packed"), length=256).collect()
+    for row in found:
+        ids = np.frombuffer(row.ids, "<u2")
+        assert len(ids) == 256 and row.cu_seqlens[-1] == row.n_tokens and (ids[row.n_tokens :] == mark).all()
+        assert row.resets == row.cu_seqlens[:-1]
+        places = ti.positions(row.cu_seqlens, row.first_positions, 256)
+        for n, key in enumerate(zip(row.doc_ids, row.pieces, strict=True)):
+            start, end = row.cu_seqlens[n : n + 2]
+            parts[key] = ids[start:end]
+            assert places[start] == key[1] * 256 and places[end - 1] == key[1] * 256 + end - start - 1
+    for n, text in enumerate(texts):
+        pieces = [parts[key] for key in sorted(key for key in parts if key[0] == n)]
+        assert all(len(piece) == 256 for piece in pieces[:-1])
+        whole = np.concatenate(pieces)
+        assert whole[-1] == mark and codec.decode(whole[:-1].tolist()) == (text or "")
+
+
+def test_token_edges(spark, edge, nothing):
+    assert sum(len(r.doc_ids) for r in ti.pack(edge).collect()) >= edge.count()
+    assert ti.pack(nothing).count() == 0
+    same = spark.createDataFrame([(1, "x y z")] * 9 + [(None, None)] * 3, "doc_id bigint, text string")
+    assert sorted(len(r.doc_ids) for r in ti.pack(same).collect()) == [12]
