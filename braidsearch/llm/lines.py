@@ -5,9 +5,9 @@ tokens, where a token that holds a digit is a variable field. Lines that end in
 from enough documents are generalised: a token at a place of the leaf is constant if `LEAST_DOCS`
 lines of the leaf and one in `SHARE` of them have it there, anything else is a variable field. What
 is constant in a line is its template, if that is at least `CONSTANT` of its tokens. A template recurs if it stands in
-`LEAST_DOCS` documents that are told apart by a sketch, the smallest hash of their lines, and if
-these sketches are at least half as many as the texts that hold it: near copies of a text share
-all its lines and mostly its sketch, and are left to near-duplicate removal. Lines of recurring
+`LEAST_DOCS` documents that are told apart by a sketch, the smallest and largest hash of their lines,
+and if these sketches are at least half as many as the texts that hold it: near copies of a text
+share nearly all lines and mostly the sketch, and are left to near-duplicate removal. Lines of recurring
 templates are dropped from all documents.
 
 Only DataFrame functions run. Leaves and templates are counted by aggregates that combine in each
@@ -48,7 +48,8 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 def leaves(docs: DataFrame, text: str, depth: int) -> DataFrame:
     """``key, line, at, leaf, sketch`` for every line that is not blank, texts named by content."""
     lines = _texts(docs, text).withColumn("lines", F.split("text", "\n")).drop("text")
-    sketched = lines.withColumn("sketch", F.expr("array_min(transform(lines, l -> xxhash64(l)))"))
+    hashes = lines.withColumn("hashes", F.expr("transform(lines, l -> xxhash64(l))"))
+    sketched = hashes.withColumn("sketch", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")))
     each = sketched.select("key", "sketch", F.posexplode("lines").alias("at", "line"))
     each = each.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     # every blank ends a token, so the number of tokens needs no list of them
