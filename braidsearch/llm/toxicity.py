@@ -6,16 +6,17 @@ severity is the sum of these probabilities.
 
 Features of a text are its distinct words and their openings of four and five bytes, hashed. Which
 of them are kept (`FEATURES`, by how unevenly they stand in both classes) is counted over the
-training sample inside tasks, so the driver only sees the chosen ones. The sample is the
-`SAMPLE` labelled documents with the smallest id hash; scoring reads every document, one narrow
-pass in which nothing is shuffled.
+training sample inside tasks, so the driver only sees the chosen ones. The sample is
+about `SAMPLE` labelled documents, taken by a hash of their ids; scoring reads every document, one
+narrow pass in which nothing is shuffled.
 
 Where labels only say toxic or not, `severity_grades` orders the toxic ones by how many of the most
 telling features they hold.
 
 Defined results: null and empty texts have no features, so they get the score of the bare
 thresholds; documents without labels are only scored; a null label takes no part; an id with several
-labels counts each; without toxic labels everything has severity 0; an empty table gives no rows.
+labels counts once with the highest, one that several documents have with its smallest text; without
+toxic labels everything has severity 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from braidsearch.llm import words as wd
 from braidsearch.session import materialize
 
-# Labelled documents that a model is fitted on, at most.
+# Labelled documents that a model is fitted on, about; never more than there are.
 SAMPLE = 20_000
 # Hashed features, and how many of them a model keeps.
 BITS = 20
@@ -129,13 +130,20 @@ def _matched(features: np.ndarray, cut: wd.Cut) -> tuple[np.ndarray, np.ndarray]
 
 
 def sample(docs: DataFrame, labels: DataFrame, grade: str, rows: int, text: str = "text") -> DataFrame:
-    """``(text, grade, doc_id)`` of the ``rows`` labelled documents with the smallest id hash."""
-    chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(grade).isNotNull())
-    chosen = chosen.select("doc_id", F.col(grade).cast("int").alias("grade"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(rows)
-    # at most ``rows`` ids, 12 bytes each
-    joined = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return materialize(joined.select("text", "grade", "doc_id"), "toxicity-sample")
+    """``(text, grade, doc_id)`` of about ``rows`` labelled documents, all if there are no more.
+
+    Ids are taken by a hash of theirs, so no task gathers and no row travels that is not taken.
+    """
+    graded = labels.filter(F.col("doc_id").isNotNull() & F.col(grade).isNotNull())
+    graded = graded.groupBy("doc_id").agg(F.max(F.col(grade).cast("int")).alias("grade"))
+    n = graded.count()
+    if n > rows:
+        steps = 1 << 40
+        graded = graded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(steps * rows / n))
+    # about ``rows`` ids, 12 bytes each
+    joined = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(graded), "doc_id")
+    one = joined.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    return materialize(one.select("text", "grade", "doc_id"), "toxicity-sample")
 
 
 def chosen_features(rows: DataFrame, keep: int) -> tuple[np.ndarray, np.ndarray]:

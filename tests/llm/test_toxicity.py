@@ -66,9 +66,14 @@ def test_drop_keeps_clean_rows_unchanged(labelled, model):
     assert left.filter("severity = 0").exceptAll(docs).count() == 0 and left.filter("severity = 0").count() == 480
 
 
-def test_sample_is_bounded_and_of_labelled_rows(labelled):
-    taken = tx.sample(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic"), "toxic", 50)
-    assert taken.count() == 50
+def test_sample_is_bounded_and_of_labelled_rows(spark, labelled):
+    docs, labels = labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic")
+    assert 25 < tx.sample(docs, labels, "toxic", 50).count() < 80
+    assert tx.sample(docs, labels, "toxic", 600).count() == 600
+    # an id of many rows counts once
+    hot = docs.union(spark.range(500).selectExpr("1", "concat('text ', id)"))
+    many = labels.union(spark.range(500).selectExpr("1", "0"))
+    assert tx.sample(hot, many, "toxic", 1000).count() == 600
 
 
 def test_edges(spark, edge, nothing, labelled, model):
