@@ -13,9 +13,10 @@ coordinate with the probability of their similarity.
 
 *Banded join.* ``ROWS`` coordinates are a band; texts that agree in a band meet in a bucket. With 24
 bands of 5 a pair of similarity 0.8 meets with probability 0.99993. Every meeting pair is decided
-by its shingles, but no group is paired with itself: members are first compared with the first of
-their bucket, what proves similar is one class, and only members of different classes that still
-share a bucket are compared further, unless their weights alone forbid a link.
+by its shingles, but no group is paired with itself: members are first compared with the head of
+their bucket, the one that meets most texts, and what proves similar is one class. Then only members
+of different classes that still share a bucket are compared: those outside the bucket's largest class
+against all others, in tiles of bounded size, inside tasks that return links and no pairs.
 
 Exact copies of words are one text from the start, so any number of them costs one signature, and
 links and classes are joins and aggregates of ids; nothing is collected.
@@ -43,6 +44,9 @@ SIMILAR = 0.8
 ROWS, BANDS = 5, 24
 # Height of the lowest rank cell; each further one is as high as all below it.
 LOWEST = 0.125
+# Members of a bucket on each side of a tile, rows that a task compares at once, and shared elements it
+# holds.
+TILE, GROUP_ROWS, SHARED = 256, 2000, 1 << 21
 # Bytes of ids that may be broadcast to pick the texts to compare.
 BROADCAST_BYTES = 64 << 20
 
@@ -283,33 +287,36 @@ def classes(docs: DataFrame, rows: int = ROWS, n_bands: int = BANDS, similar: fl
         .select("text", "doc_id", "copy", "weight", "bands"),
         "neardup-texts",
     )
-    members = texts.select("text", "weight", F.posexplode("bands").alias("band", "key")).drop("band")
-    heads = members.groupBy("key").agg(F.min("text").alias("head"), F.count("*").alias("n"))
-    buckets = members.join(heads.filter(F.col("n") > 1), "key").select("key", "text", "weight", "head")
-    buckets = materialize(buckets, "neardup-buckets")
-    pairs = buckets.filter(F.col("head") != F.col("text")).select(F.col("head").alias("a"), F.col("text").alias("b"))
-    elements = materialize(_elements(docs, texts, buckets.select("text").distinct()), "neardup-elements")
-
-    # first with the earliest head only: most of a group falls together here
-    tried = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "neardup-tried")
-    links = similar_pairs(tried, elements, similar)
-    found = buckets.select("text").distinct().withColumn("class", F.col("text"))
-    found = _merged(found, links)
-
-    # then with the heads of all buckets, then between the classes that are left in a bucket
-    for pick in (_with_heads, _between_classes):
-        more = materialize(
-            pick(buckets, found, similar).join(tried, ["a", "b"], "left_anti"), "neardup-tried"
-        )
-        if more.isEmpty():
-            continue
-        linked = similar_pairs(more, elements, similar)
-        ends = linked.join(found.select(F.col("text").alias("a"), F.col("class").alias("class_a")), "a").join(
-            found.select(F.col("text").alias("b"), F.col("class").alias("class_b")), "b"
-        )
-        between = ends.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        found = _merged(found, between.filter(F.col("a") != F.col("b")))
-        tried = tried.union(more)
+    members = texts.select("text", "weight", F.explode("bands").alias("key"))
+    met = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    buckets = materialize(members.join(met, "key"), "neardup-buckets")
+    # the texts that meet most others are the likeliest to be similar to all of a group
+    company = buckets.groupBy("text").agg(F.sum("n").alias("company"))
+    ranked = buckets.join(company, "text")
+    first = F.struct("company", -F.col("text"))
+    heads = ranked.groupBy("key").agg(F.max(first).alias("best"))
+    heads = heads.select("key", (-F.col("best.col2")).alias("head"), F.col("best.company").alias("company"))
+    pairs = buckets.join(heads, "key").filter(F.col("head") != F.col("text"))
+    pairs = materialize(
+        pairs.groupBy(F.col("head").alias("a"), F.col("text").alias("b")).agg(
+            F.max("company").alias("company"), F.max("weight").alias("weight_b")
+        ),
+        "neardup-heads",
+    )
+    wanted = buckets.select("text").distinct()
+    elements = materialize(_elements(docs, texts, wanted), "neardup-elements")
+
+    # first with one head each: most of a group falls together here
+    best = F.max_by("a", F.struct("company", -F.col("a"))).alias("a")
+    tried = materialize(pairs.groupBy("b").agg(best).select("a", "b"), "neardup-tried")
+    found = wanted.withColumn("class", F.col("text"))
+    found = _merged(found, similar_pairs(tried, elements, similar))
+    # then with the heads of all buckets, where classes differ
+    more = materialize(_with_heads(pairs, found, texts, similar).join(tried, ["a", "b"], "left_anti"), "neardup-tried")
+    found = _merged(found, _between(similar_pairs(more, elements, similar), found))
+    # then all that still share a bucket
+    links = materialize(_across(buckets, found, elements, similar), "neardup-across")
+    found = _merged(found, _between(similar_pairs(links, elements, similar), found))
 
     of_text = firsts.join(found, "text", "left").select("copy", F.coalesce("class", "text").alias("group"))
     grouped = with_words.join(of_text, "copy").select("row", "doc_id", "copy", "group")
@@ -326,33 +333,105 @@ def _possible(similar: float):
     return low >= F.lit(similar) * high - F.lit(1e-9)
 
 
-def _with_heads(buckets: DataFrame, found: DataFrame, similar: float) -> DataFrame:
+def _between(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between texts as links between their classes."""
+    of_a = found.select(F.col("text").alias("a"), F.col("class").alias("class_a"))
+    of_b = found.select(F.col("text").alias("b"), F.col("class").alias("class_b"))
+    ends = links.join(of_a, "a").join(of_b, "b").filter(F.col("class_a") != F.col("class_b"))
+    return ends.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def _with_heads(pairs: DataFrame, found: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Members and heads of buckets that are in different classes."""
-    pairs = buckets.filter(F.col("head") != F.col("text")).select(
-        F.col("head").alias("a"), F.col("text").alias("b"), F.col("weight").alias("weight_b")
-    )
+    weights = texts.select(F.col("text").alias("a"), F.col("weight").alias("weight_a"))
     of_a = found.select(F.col("text").alias("a"), F.col("class").alias("class_a"))
     of_b = found.select(F.col("text").alias("b"), F.col("class").alias("class_b"))
-    heads = buckets.filter(F.col("head") == F.col("text")).select(
-        F.col("text").alias("a"), F.col("weight").alias("weight_a")
-    ).distinct()
-    pairs = pairs.distinct().join(heads, "a").filter(_possible(similar))
-    pairs = pairs.join(of_a, "a").join(of_b, "b").filter(F.col("class_a") != F.col("class_b"))
-    return pairs.select("a", "b")
+    open_pairs = pairs.join(of_a, "a").join(of_b, "b").filter(F.col("class_a") != F.col("class_b"))
+    return open_pairs.join(weights, "a").filter(_possible(similar)).select("a", "b")
+
 
+def _across(buckets: DataFrame, found: DataFrame, elements: DataFrame, similar: float) -> DataFrame:
+    """Links between members of different classes in one bucket, at least one for each two classes.
 
-def _between_classes(buckets: DataFrame, found: DataFrame, similar: float) -> DataFrame:
-    """Members of different classes in one bucket; only buckets that hold several classes count."""
+    Members outside the largest class of a bucket meet all members, in tiles of `TILE` rows.
+    Shingles travel as 32 bits, which can only find too much; links are decided in full afterwards.
+    """
     members = buckets.join(found, "text").select("key", "text", "weight", "class")
-    spread = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    mixed = spread.filter(F.col("low") != F.col("high")).select("key")
-    members = materialize(members.join(mixed, "key"), "neardup-mixed")
-    a = members.select("key", F.col("text").alias("a"), F.col("weight").alias("weight_a"), F.col("class").alias("class_a"))
-    b = members.select("key", F.col("text").alias("b"), F.col("weight").alias("weight_b"), F.col("class").alias("class_b"))
-    pairs = a.join(b, "key").filter(
-        (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & _possible(similar)
-    )
-    return pairs.select("a", "b").distinct()
+    sizes = members.groupBy("key", "class").agg(F.count("*").alias("n"))
+    spread = sizes.groupBy("key").agg(
+        F.max_by("class", F.struct("n", "class")).alias("main"), F.sum("n").alias("all"),
+        (F.sum("n") - F.max("n")).alias("outside"),
+    ).filter(F.col("outside") > 0)
+    mixed = materialize(members.join(spread, "key"), "neardup-mixed")
+    short = elements.select("text", F.transform("elements", lambda e: F.shiftright(e, 32).cast("int")).alias("elements"))
+    down, over = (F.ceil(F.col(side) / TILE).cast("int") for side in ("outside", "all"))
+
+    def tiled(rows: DataFrame, own: str, n_own, other: str, n_other) -> DataFrame:
+        dealt = rows.withColumn(own, F.pmod(F.xxhash64("text"), n_own).cast("int"))
+        every = dealt.withColumn(other, F.explode(F.sequence(F.lit(0), n_other - 1)))
+        # one number for the tile: rows of different tiles are never compared
+        tile = F.xxhash64("key", "down", "over").alias("tile")
+        joined = every.select(tile, "text", "weight", "class").join(short, "text")
+        # both sides come from the same rows, so each names its columns anew
+        return joined.select(*(F.col(name).alias(name) for name in joined.columns))
+
+    left = tiled(mixed.filter(F.col("class") != F.col("main")), "down", down, "over", over)
+    right = tiled(mixed, "over", over, "down", down)
+    groups = max(1, mixed.count() // GROUP_ROWS)
+
+    def dealt(rows: DataFrame):
+        return rows.groupBy(F.pmod(F.xxhash64("tile"), F.lit(groups)).alias("group"))
+
+    return dealt(left).cogroup(dealt(right)).applyInArrow(_compared(similar), "a bigint, b bigint").distinct()
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(row, element mixed with the row's tile) of all rows."""
+    sets = table["elements"].combine_chunks()
+    row = np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy())
+    tile = table["tile"].to_numpy().astype(np.int64).view(np.uint64)
+    element = sets.flatten().to_numpy().astype(np.int64).view(np.uint64)
+    return row, wd.mix(tile[row] + element * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _compared(similar: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts_a, weight_a = left["text"].to_numpy(), left["weight"].to_numpy()
+        texts_b, weight_b = right["text"].to_numpy(), right["weight"].to_numpy()
+        ones, others = [], []
+        class_a, class_b = left["class"].to_numpy(), right["class"].to_numpy()
+        row_a, key_a = _flat(left)
+        row_b, key_b = _flat(right)
+        order = np.argsort(key_a)
+        row_a, key_a = row_a[order], key_a[order]
+        low = np.searchsorted(key_a, key_b, "left")
+        count = np.searchsorted(key_a, key_b, "right") - low
+        ends = np.cumsum(np.bincount(row_b, count, minlength=len(texts_b))).astype(np.int64)
+        first = np.searchsorted(row_b, np.arange(len(texts_b) + 1))
+        start = 0
+        while start < len(texts_b):
+            done = ends[start - 1] if start else 0
+            # as many rows of the right as share a bounded number of elements with the left
+            end = max(start + 1, int(np.searchsorted(ends, done + SHARED, "right")))
+            end = min(end, start + max(1, SHARED // max(1, len(texts_a))))
+            part = slice(first[start], first[end])
+            n = count[part]
+            at = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = row_a[at] * (end - start) + np.repeat(row_b[part] - start, n)
+            shared = np.bincount(cell, minlength=len(texts_a) * (end - start))
+            hit = np.flatnonzero(shared)
+            i, j = hit // (end - start), hit % (end - start) + start
+            union = weight_a[i] + weight_b[j] - shared[hit]
+            good = (shared[hit] >= similar * union - 1e-9) & (class_a[i] != class_b[j])
+            ones.append(texts_a[i[good]])
+            others.append(texts_b[j[good]])
+            start = end
+        empty = np.zeros(0, np.int64)
+        found = np.stack([np.concatenate([empty, *ones]), np.concatenate([empty, *others])])
+        found = np.unique(np.sort(found, axis=0), axis=1)
+        return pa.table({"a": found[0].astype(np.int64), "b": found[1].astype(np.int64)})
+
+    return run
 
 
 def _with_copy_key(docs: DataFrame, name: str) -> DataFrame:
