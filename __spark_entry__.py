@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from braidsearch.functions import text as tx
 from braidsearch.functions import vectors as vx
 from braidsearch.operators import bm25, context, dense, fusion, rerank
-from braidsearch.operators.index import build_index, count_terms, index_rows, postings
+from braidsearch.operators.index import count_terms, index_rows, postings
 from braidsearch.operators.ranking import rounded
 from braidsearch.plans import ingest, retrieve
-from braidsearch.session import fanout, fresh_path, spread
+from braidsearch.session import fanout, fresh_path, materialize, spread
 from braidsearch.sources import corpus, models
 from braidsearch.sources.collection import Collection
 
@@ -87,10 +87,16 @@ def corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "model")
-    bm25.fit(build_index(_docs(spark, sf_dir)), path)
+    bm25.fit(_rows(spark, sf_dir), path, tx.analysis_of(tx.simple_tokens))
     return models.load_model(spark, path).vocabulary.select("term", "df")
 
 
+def bm25_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "model-json")
+    models.export_json(bm25.fit(_rows(spark, sf_dir)), path)
+    return models.import_json(spark, path)[1]
+
+
 def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     path = fresh_path(spark, "collection")
@@ -102,6 +108,10 @@ def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         "metadata", F.create_map(F.lit("category"), F.lit("updated"))
     )
     collection.upsert(collection.encode(again))
+    # the third brings new texts under the ids of the French documents
+    third = F.create_map(F.lit("category"), F.lit("third"))
+    french = docs.filter(category == "fr").withColumn("text", F.concat("text", F.lit(" (new)")))
+    collection.upsert(collection.encode(french.withColumn("metadata", third)))
     rows = collection.read()
     return rows.select("content_id", "doc_id", _titled(rows)[1])
 
@@ -135,6 +145,16 @@ def ingest_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(collection)
 
 
+def ingest_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, then the Okapi list over all that is stored."""
+    path, docs = fresh_path(spark, "collection"), _docs(spark, sf_dir)
+    first = F.try_element_at("metadata", F.lit("category")).isin("en", "fr")
+    for batch in (docs.filter(first), docs.filter(~first)):
+        ingest.ingest_upsert(spark, batch, path, f"{path}-model", buckets=fanout(docs))
+    retriever = retrieve.open_retriever(spark, path, f"{path}-model")
+    return retriever.sparse(retriever.ask(_questions(spark, sf_dir)))
+
+
 def _ingested(collection: Collection) -> DataFrame:
     return collection.read().select(
         "doc_id",
@@ -211,7 +231,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = bm25.fit(build_index(_docs(spark, sf_dir)))
+    model = bm25.fit(_rows(spark, sf_dir))
     return model.vocabulary.agg(
         F.lit(model.n_docs).cast("bigint").alias("n_docs"),
         F.round(F.lit(model.avgdl), 6).alias("avgdl"),
@@ -221,21 +241,21 @@ def bm25_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def okapi_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = bm25.fit(build_index(_docs(spark, sf_dir)))
+    model = bm25.fit(_rows(spark, sf_dir))
     idf = bm25.okapi_idf(model.n_docs, model.mean_idf)
     return model.vocabulary.select("term", rounded(idf).alias("idf"))
 
 
 def sparse_doc_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = build_index(_docs(spark, sf_dir))
-    weights = bm25.encode_documents(index, bm25.fit(index))
+    rows = materialize(_rows(spark, sf_dir), "counted")
+    weights = bm25.encode_documents(rows, bm25.fit(rows))
     return weights.select(
         F.col("doc_id").alias("id"), "term", rounded(F.col("weight")).alias("weight")
     )
 
 
 def sparse_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = bm25.fit(build_index(_docs(spark, sf_dir)))
+    model = bm25.fit(_rows(spark, sf_dir))
     weights = bm25.encode_queries(bm25.question_terms(_questions(spark, sf_dir)), model)
     return weights.select(
         F.col("query_id").alias("id"), "term", rounded(F.col("weight")).alias("weight")
@@ -405,8 +425,8 @@ def rag_rerank_prompt_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = [
-    doc_source, corpus_roundtrip, bm25_model_roundtrip, collection_upsert, collection_rebuild,
-    ingest_report, ingest_upsert, ingest_rebuild,
+    doc_source, corpus_roundtrip, bm25_model_roundtrip, bm25_model_json, collection_upsert, collection_rebuild,
+    ingest_report, ingest_upsert, ingest_rebuild, ingest_two_batches,
     question_clean, tokens_word, tokens_stemmed, term_ids, term_ids_murmur, vocab_top10,
     term_freq, doc_lengths, doc_freq, vocab_size, bm25_stats, bm25_fit, okapi_idf,
     sparse_doc_vector, sparse_query_vector,

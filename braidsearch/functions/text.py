@@ -7,6 +7,7 @@ one row at a time, so analysing a corpus needs no shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import astuple, dataclass, replace
 from functools import cache
 from pathlib import Path
 
@@ -31,6 +32,30 @@ LANGUAGES = {"en": "english", "fr": "french", "de": "german", "es": "spanish"}
 PREVIEW_CHARS = 150
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """What an analyzer does, as saved models state it; None where it is not known."""
+
+    lower_case: bool | None = None
+    remove_punctuation: bool | None = None
+    remove_stopwords: bool | None = None
+    stem: bool | None = None
+    language: str | None = None
+
+    def flags(self) -> tuple:
+        return astuple(self)
+
+    def agrees(self, other: Analysis) -> bool:
+        """Whether no flag that both know differs."""
+        pairs = zip(self.flags(), other.flags(), strict=True)
+        return all(a == b for a, b in pairs if a is not None and b is not None)
+
+
+def analysis_of(analyzer: Analyzer) -> Analysis:
+    """The ``analysis`` an analyzer carries; nothing is known of one without it."""
+    return getattr(analyzer, "analysis", Analysis())
+
+
 def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -45,12 +70,26 @@ def whitespace_tokens(text: Column) -> Column:
     return F.array_remove(F.split(_text(text), WHITESPACE), "")
 
 
+simple_tokens.analysis = Analysis(True, True, False, False)
+whitespace_tokens.analysis = Analysis(False, False, False, False)
+
+
 def word_tokens(text: Column, stop_words: Sequence[str] = ()) -> Column:
     """Lower-cased words (hyphenated words whole, possessive 's apart) without stop words."""
     words = F.regexp_extract_all(F.lower(_text(text)), F.lit(WORD), F.lit(0))
     return drop_words(words, stop_words)
 
 
+def words_without(language: str) -> Analyzer:
+    """The analyzer `word_tokens` with the stop words of ``language``."""
+
+    def analyzer(text: Column) -> Column:
+        return word_tokens(text, stop_words(language))
+
+    analyzer.analysis = Analysis(True, True, True, False, LANGUAGES.get(language, language))
+    return analyzer
+
+
 def drop_words(tokens: Column, words: Sequence[str]) -> Column:
     # a literal list this long becomes a hash-set lookup in the optimizer
     return F.filter(tokens, lambda t: ~t.isin(*words)) if words else tokens
@@ -88,10 +127,16 @@ def light_stem(token: Column) -> Column:
 
 
 def stemmed(analyzer: Analyzer) -> Analyzer:
-    # the possessive token 's would stem to a bare apostrophe, so it is left as it is
-    return lambda text: F.transform(
-        analyzer(text), lambda t: F.when(t == "'s", t).otherwise(light_stem(t))
-    )
+    """``analyzer`` with `light_stem` on every token."""
+
+    def stemming(text: Column) -> Column:
+        # the possessive token 's would stem to a bare apostrophe, so it is left as it is
+        return F.transform(
+            analyzer(text), lambda t: F.when(t == "'s", t).otherwise(light_stem(t))
+        )
+
+    stemming.analysis = replace(analysis_of(analyzer), stem=True)
+    return stemming
 
 
 def term_counts(tokens: Column) -> Column:

@@ -139,12 +139,14 @@ def bucket_numbers(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return sides @ (1 << np.arange(len(planes), dtype=np.int64))
 
 
-def lsh_bucket(vector: Column, bits: int, dim: int) -> Column:
-    """Random-hyperplane bucket of each vector, in ``[0, 2**bits)``."""
-    planes = hyperplanes(bits, dim)
+def lsh_buckets(vector: Column, bits: int, tables: int, dim: int) -> Column:
+    """The random-hyperplane bucket of a vector in each hash table, in ``[0, 2**bits)``."""
+    planes = hyperplanes(bits * tables, dim)
 
-    @F.arrow_udf(T.LongType())
-    def bucket(vectors: pa.Array) -> pa.Array:
-        return pa.array(bucket_numbers(matrix(vectors, dim), planes))
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def buckets(vectors: pa.Array) -> pa.Array:
+        rows = matrix(vectors, dim)
+        own = [bucket_numbers(rows, planes[t * bits : (t + 1) * bits]) for t in range(tables)]
+        return list_column(np.stack(own, axis=1)) if len(rows) else pa.array([], pa.list_(pa.int64()))
 
-    return bucket(vector)
+    return buckets(vector)

@@ -16,26 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidsearch.functions.text import Analyzer, simple_tokens, term_id
+from braidsearch.functions.text import Analysis, Analyzer, simple_tokens, term_id
 from braidsearch.operators.index import count_terms, postings, unfold_terms
 from braidsearch.operators.ranking import (
     broadcast_within,
     fits_broadcast,
     text_bytes,
 )
+from braidsearch.schemas import MODEL_STATS
 from braidsearch.session import fresh_path
 
 # Parameters of the two weightings and the floor of negative Okapi idf.
 VECTOR_K1, OKAPI_K1, B = 1.2, 1.5, 0.75
 OKAPI_FLOOR = 0.25
 
-# Ways a term's postings are split when the questions are too many to broadcast.
-SALTS = 32
-
 
 @dataclass(frozen=True)
 class Bm25Model:
-    """A fitted corpus: a few scalars and the vocabulary table ``(term, term_id, df)``."""
+    """A fitted corpus: a few scalars and the vocabulary table ``(term, term_id, df)``.
+
+    ``k1`` and ``b`` are those of the vector weighting, ``analysis`` says how texts were cut.
+    """
 
     n_docs: int
     avgdl: float
@@ -43,6 +44,9 @@ class Bm25Model:
     sum_df: int
     mean_idf: float
     vocabulary: DataFrame
+    k1: float = VECTOR_K1
+    b: float = B
+    analysis: Analysis = Analysis()
 
 
 def copies_of(index: DataFrame) -> Column:
@@ -76,32 +80,52 @@ def okapi_idf(n_docs: int, mean_idf: float) -> Column:
     return F.when(idf < 0, F.lit(OKAPI_FLOOR * mean_idf)).otherwise(idf)
 
 
-def fit(index: DataFrame, path: str | None = None) -> Bm25Model:
+def fit(
+    index: DataFrame,
+    path: str | None = None,
+    analysis: Analysis = Analysis(),
+    k1: float = VECTOR_K1,
+    b: float = B,
+) -> Bm25Model:
     """Fit the model and save it under ``path`` (default: the shared work folder).
 
-    ``path/df`` holds the vocabulary, ``path/stats`` one row of scalars.
+    ``path/df`` holds the vocabulary, ``path/stats`` one row of scalars. Texts are analysed once: the
+    lengths of all documents add up to the terms' counts, which are kept with the vocabulary,
+    and counting documents needs no text. Only ``(term, counts)`` is shuffled.
     """
     spark = index.sparkSession
     path = path or fresh_path(spark, "model")
-    stats = corpus_stats(index).select("n_docs", "avgdl").first()
-    if stats.n_docs == 0:
+    n_docs = index.agg(F.coalesce(F.sum(copies_of(index)), F.lit(0))).first()[0]
+    if n_docs == 0:
         raise ValueError("cannot fit BM25 on an empty corpus")
-    vocabulary = doc_freq(index).select("term", term_id(F.col("term")).alias("term_id"), "df")
+    listed = unfold_terms(index, copies_of(index).alias("copies"))
+    counted = listed.groupBy("term").agg(
+        F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("count")
+    )
+    vocabulary = counted.select("term", term_id(F.col("term")).alias("term_id"), "df", "count")
     vocabulary.write.mode("overwrite").parquet(f"{path}/df")
-    one_row = spark.createDataFrame([stats], "n_docs long, avgdl double").coalesce(1)
-    one_row.write.mode("overwrite").parquet(f"{path}/stats")
-    return model_of(int(stats.n_docs), float(stats.avgdl), spark.read.parquet(f"{path}/df"))
-
-
-def model_of(n_docs: int, avgdl: float, vocabulary: DataFrame) -> Bm25Model:
+    written = spark.read.parquet(f"{path}/df")
+    total = written.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    row = (int(n_docs), total / n_docs, k1, b, *analysis.flags())
+    spark.createDataFrame([row], MODEL_STATS).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return model_of(int(n_docs), total / n_docs, written.drop("count"), k1, b, analysis)
+
+
+def model_of(
+    n_docs: int,
+    avgdl: float,
+    vocabulary: DataFrame,
+    k1: float = VECTOR_K1,
+    b: float = B,
+    analysis: Analysis = Analysis(),
+) -> Bm25Model:
     totals = vocabulary.agg(
         F.count("*").alias("n_terms"),
         F.coalesce(F.sum("df"), F.lit(0)).alias("sum_df"),
         F.coalesce(F.avg(raw_okapi_idf(n_docs)), F.lit(0.0)).alias("mean_idf"),
     ).first()
-    return Bm25Model(
-        n_docs, avgdl, int(totals.n_terms), int(totals.sum_df), float(totals.mean_idf), vocabulary
-    )
+    scalars = (int(totals.n_terms), int(totals.sum_df), float(totals.mean_idf))
+    return Bm25Model(n_docs, avgdl, *scalars, vocabulary, k1, b, analysis)
 
 
 def length_norm(avgdl: float, k1: float, b: float) -> Column:
@@ -109,9 +133,9 @@ def length_norm(avgdl: float, k1: float, b: float) -> Column:
     return k1 * (1 - b + b * F.col("dl") / (avgdl or 1.0))
 
 
-def vector_weight(model: Bm25Model, tf: Column, k1: float = VECTOR_K1, b: float = B) -> Column:
+def vector_weight(model: Bm25Model, tf: Column) -> Column:
     """Saturated document weight in [0, 1), for a row with column ``dl``."""
-    return tf / (length_norm(model.avgdl, k1, b) + tf)
+    return tf / (length_norm(model.avgdl, model.k1, model.b) + tf)
 
 
 def okapi_weight(model: Bm25Model, tf: Column, k1: float = OKAPI_K1, b: float = B) -> Column:
@@ -206,18 +230,12 @@ def sparse_scores(doc_weights: DataFrame, query_weights: DataFrame, size: int) -
 
     ``size`` bounds the bytes of ``query_weights``. Within the broadcast limit the postings stay
     where they are: with an index bucketed by ``doc_id`` the sum needs no shuffle
-    either. Beyond it both sides are shuffled by term and salt, so that the
-    postings of one hot term are spread over `SALTS` tasks.
+    either. Beyond it both sides are shuffled by term; AQE splits the postings of a hot term over as
+    many tasks as their bytes need.
     """
     q = query_weights.withColumnRenamed("weight", "query_weight")
-    if fits_broadcast(size):
-        matched = doc_weights.join(F.broadcast(q), "term")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        salt_of_doc = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        matched = doc_weights.withColumn("salt", salt_of_doc).join(
-            q.withColumn("salt", salts).hint("shuffle_merge"), ["term", "salt"]
-        )
+    asked = F.broadcast(q) if fits_broadcast(size) else q.hint("shuffle_merge")
+    matched = doc_weights.join(asked, "term")
     score = F.sum(F.col("weight") * F.col("query_weight"))
     return matched.groupBy("query_id", "doc_id").agg(score.alias("score"))
 

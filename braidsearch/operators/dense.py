@@ -7,13 +7,12 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidsearch.functions.vectors import DEFAULT_DIM, hyperplanes, lsh_bucket
+from braidsearch.functions.vectors import DEFAULT_DIM, as_double, lsh_buckets
+from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, top_by_score
 from braidsearch.operators.scoring import Scoring, topk
 
-
-# Bits of a bucket number, and buckets that a filter may name.
-MAX_BITS = 16
-NAMED_BUCKETS = 2000
+# Bits of a bucket number, bits in which a probed bucket may differ, hash tables.
+BITS, RADIUS, TABLES = 6, 1, 12
 
 
 def dense_topk(
@@ -33,67 +32,70 @@ def dense_topk(
     return topk(questions, vectors, Scoring(k=k, dim=dim, metric=metric), n_questions)
 
 
-def bucket_bits(n_vectors: int, per_bucket: int = 32) -> int:
-    """Bits for about ``per_bucket`` vectors per bucket; the number of buckets follows the table."""
-    return max(1, min(MAX_BITS, (n_vectors // per_bucket).bit_length() - 1))
-
-
-def add_bucket(vectors: DataFrame, bits: int, dim: int = DEFAULT_DIM) -> DataFrame:
-    """Add the hyperplane bucket of each vector, the partition column of a bucketed store."""
-    return vectors.withColumn("bucket", lsh_bucket(F.col("embedding"), bits, dim))
+def add_buckets(
+    vectors: DataFrame, bits: int = BITS, tables: int = TABLES, dim: int = DEFAULT_DIM
+) -> DataFrame:
+    """One row for each vector and hash table, with the table's number and the hyperplane bucket."""
+    numbered = lsh_buckets(F.col("embedding"), bits, tables, dim)
+    return vectors.select("*", F.posexplode(numbered).alias("hash_table", "bucket"))
 
 
-def write_buckets(vectors: DataFrame, path: str, bits: int, dim: int = DEFAULT_DIM) -> None:
-    """Store vectors in one folder per bucket; a hot bucket is split over several tasks."""
-    add_bucket(vectors, bits, dim).hint("rebalance", "bucket").write.partitionBy(
-        "bucket"
-    ).parquet(path)
+def write_buckets(
+    vectors: DataFrame, path: str, bits: int = BITS, tables: int = TABLES, dim: int = DEFAULT_DIM
+) -> None:
+    """Store vectors in a folder for each table and bucket; a hot bucket is split over several tasks."""
+    rows = add_buckets(vectors, bits, tables, dim).hint("rebalance", "hash_table", "bucket")
+    rows.write.partitionBy("hash_table", "bucket").parquet(path)
 
 
 def probes(
-    questions: DataFrame, bits: int, dim: int = DEFAULT_DIM, radius: int = 2
+    questions: DataFrame,
+    bits: int = BITS,
+    tables: int = TABLES,
+    dim: int = DEFAULT_DIM,
+    radius: int = RADIUS,
 ) -> DataFrame:
-    """Distinct buckets at most ``radius`` bits from a question's own; at most 2**bits."""
+    """``(query_id, embedding, hash_table, bucket)``: buckets at most ``radius`` bits from the question's."""
     flips = [
         F.lit(sum(1 << bit for bit in flipped))
         for distance in range(radius + 1)
         for flipped in combinations(range(bits), distance)
     ]
     flipped = F.array(*flips).cast("array<bigint>")
-    near = F.transform(flipped, lambda flip: F.col("bucket").bitwiseXOR(flip))
-    bucketed = add_bucket(questions, bits, dim)
-    return bucketed.select(F.explode(near).alias("bucket")).distinct()
+    near = F.transform(flipped, lambda flip: F.col("own").bitwiseXOR(flip))
+    own = add_buckets(questions, bits, tables, dim).withColumnRenamed("bucket", "own")
+    return own.select("query_id", "embedding", "hash_table", F.explode(near).alias("bucket"))
 
 
 def lsh_topk(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = 5,
-    bits: int | None = None,
+    bits: int = BITS,
+    tables: int = TABLES,
     dim: int = DEFAULT_DIM,
-    radius: int = 2,
+    radius: int = RADIUS,
+    n_questions: int | None = None,
 ) -> DataFrame:
     """Approximate best ``k`` by dot product: only vectors of near buckets are scored.
 
-    A bucket is near if at most ``radius`` bits differ; a larger radius finds more
-    and reads more.
-
-    ``vectors`` may carry a ``bucket`` column (see `write_buckets`); then only the
-    folders of the probed buckets are read, as long as a filter can name these. A
-    stored table needs the ``bits`` it was written with; else they follow its size.
+    A vector is scored if in one of ``tables`` hash tables its bucket of ``bits`` bits differs from the
+    question's in at most ``radius``. More tables and a larger radius find more and score more, more
+    bits find and score less. ``vectors`` may be a table from `write_buckets` with the same ``bits``
+    and ``tables``; the join then reads only the folders that are probed.
     """
-    if bits is None:
-        bits = bucket_bits(vectors.count())
-    if bits > MAX_BITS:
-        raise ValueError(f"at most {MAX_BITS} bits, so that the probed buckets stay few")
-    if "bucket" in vectors.columns:
-        wanted = probes(questions, bits, dim, radius)
-        named = [row.bucket for row in wanted.limit(NAMED_BUCKETS + 1).collect()]
-        if len(named) <= NAMED_BUCKETS:
-            vectors = vectors.filter(F.col("bucket").isin(named))
-        else:
-            vectors = vectors.join(F.broadcast(wanted), "bucket", "left_semi")
-    scoring = Scoring(
-        k=k, dim=dim, metric="dot", planes=hyperplanes(bits, dim), radius=radius
+    n_questions = questions.count() if n_questions is None else n_questions
+    asked = probes(questions.select("query_id", "embedding"), bits, tables, dim, radius)
+    near = sum(1 for d in range(radius + 1) for _ in combinations(range(bits), d))
+    asked = asked.withColumnRenamed("embedding", "asked")
+    size = n_questions * tables * near * (4 * dim + ROW_BYTES)
+    if "bucket" not in vectors.columns:
+        vectors = add_buckets(vectors.select("doc_id", "embedding"), bits, tables, dim)
+    met = vectors.select("doc_id", "embedding", "hash_table", "bucket").join(
+        broadcast_within(asked, size), ["hash_table", "bucket"]
     )
-    return topk(questions, vectors, scoring)
+    products = F.zip_with(as_double(F.col("embedding")), as_double(F.col("asked")), lambda a, b: a * b)
+    score = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    # a pair that meets in several tables is one
+    scored = met.groupBy("query_id", "doc_id").agg(F.max(score).alias("score"))
+    return top_by_score(scored, k)

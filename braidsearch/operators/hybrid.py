@@ -1,52 +1,29 @@
-"""Searches over index rows that hold terms and vector together.
+"""Searches by terms, and by terms and vector together.
 
-Dense and padded searches score every document, matching or not, so these run
-through `scoring.topk`: one pass over the index, nothing shuffled but the best k
-per task.
+Sparse scores are a join of postings with the asked terms and a sum by question and document.
+In an index bucketed by ``doc_id`` neither the postings nor the sums are shuffled, and Catalyst
+keeps the best k of each task before the ranking, so only those travel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidsearch.functions.vectors import DEFAULT_DIM
 from braidsearch.operators.bm25 import (
     Bm25Model,
     encode_queries,
-    okapi_queries,
-    okapi_weight,
+    okapi_scores,
+    sparse_scores,
     terms_size,
     vector_weight,
+    weigh_terms,
 )
+from braidsearch.operators.ranking import top_by_score
 from braidsearch.operators.scoring import Scoring, topk
 
 
-def _weighted_rows(index: DataFrame, weight) -> DataFrame:
-    columns = [c for c in ("doc_id", "embedding") if c in index.columns]
-    return index.select(
-        *columns,
-        F.col("terms.term").alias("terms"),
-        F.transform("terms", lambda t: weight(t["tf"]).cast("double")).alias("weights"),
-    )
-
-
-def _packed_queries(questions: DataFrame, query_weights: DataFrame) -> DataFrame:
-    """One row per question; a question's terms are bounded by its own text."""
-    packed = query_weights.groupBy("query_id").agg(
-        F.collect_list(F.struct("term", "weight")).alias("pairs")
-    )
-
-    def column(name: str, kind: str) -> Column:
-        return F.coalesce(F.col(f"pairs.{name}"), F.array().cast(f"array<{kind}>"))
-
-    return questions.join(packed, "query_id", "left").select(
-        *questions.columns,
-        column("term", "string").alias("terms"),
-        column("weight", "double").alias("weights"),
-    )
-
-
 def okapi_topk(
     questions: DataFrame,
     q_terms: DataFrame,
@@ -54,7 +31,6 @@ def okapi_topk(
     model: Bm25Model,
     k: int = 5,
     pad: bool = True,
-    n_questions: int | None = None,
     size: int | None = None,
 ) -> DataFrame:
     """Best ``k`` documents of each question by Okapi BM25.
@@ -62,11 +38,37 @@ def okapi_topk(
     With ``pad`` the list always has ``k`` rows while there are documents: those
     without a match score 0. Without it only matching documents are listed.
     """
-    size = terms_size(q_terms) if size is None else size
-    asked = _packed_queries(questions.select("query_id"), okapi_queries(q_terms, model, size))
-    rows = _weighted_rows(index, lambda tf: okapi_weight(model, tf))
-    scoring = Scoring(k=k, metric=None, sparse=True, matched=not pad)
-    return topk(asked, rows, scoring, n_questions, size)
+    scores = okapi_scores(q_terms, index, model, size)
+    found = top_by_score(scores, k)
+    if not pad:
+        return found
+    padding = _unmatched(questions.select("query_id"), scores, index, model, k)
+    return top_by_score(found.select("query_id", "doc_id", "score").unionByName(padding), k)
+
+
+def _unmatched(
+    questions: DataFrame, scores: DataFrame, index: DataFrame, model: Bm25Model, k: int
+) -> DataFrame:
+    """``(query_id, doc_id, 0.0)`` for documents without a match, at least those a list can need.
+
+    A list needs padding only if fewer than ``k`` documents score above 0; then among the ``2 * k``
+    smallest ids at least ``k`` score 0 or are not matched. Where common terms count against a document,
+    matched ones may lie below all others; then more ids are taken until there are enough.
+    """
+    n, n_questions = 2 * k, questions.count()
+    while True:
+        ids = [row.doc_id for row in index.select("doc_id").orderBy("doc_id").limit(n).collect()]
+        listed = F.explode(F.array(*map(F.lit, ids)).cast("array<bigint>"))
+        pairs = questions.select("query_id", listed.alias("doc_id"))
+        matched = scores.filter(F.col("doc_id").isin(ids)).select("query_id", "doc_id")
+        free = pairs.join(matched, ["query_id", "doc_id"], "left_anti")
+        if model.mean_idf >= 0 or len(ids) < n:
+            break
+        enough = free.groupBy("query_id").count().filter(F.col("count") >= k)
+        if enough.count() == n_questions:
+            break
+        n *= 8
+    return free.withColumn("score", F.lit(0.0))
 
 
 def convex_topk(
@@ -82,14 +84,18 @@ def convex_topk(
 ) -> DataFrame:
     """Best ``k`` by ``alpha * dense + (1 - alpha) * sparse``.
 
-    ``questions`` holds ``(query_id, embedding)``, ``q_terms`` their terms.
+    ``questions`` holds ``(query_id, embedding)``, ``q_terms`` their terms. Sparse scores are summed
+    first and join the rows of their documents; every document has a dense score.
     """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be between 0 and 1")
     size = terms_size(q_terms) if size is None else size
-    asked = _packed_queries(
-        questions.select("query_id", "embedding"), encode_queries(q_terms, model, size)
-    )
-    rows = _weighted_rows(index, lambda tf: vector_weight(model, tf))
-    scoring = Scoring(k=k, dim=dim, metric="dot", sparse=True, alpha=alpha)
-    return topk(asked, rows, scoring, n_questions, size)
+    weights = weigh_terms(index, vector_weight(model, F.col("tf")))
+    scores = sparse_scores(weights, encode_queries(q_terms, model, size), size)
+    # a document has at most one score for each question
+    packed = scores.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "score")).alias("matches"))
+    none = F.array().cast("array<struct<query_id:bigint,score:double>>")
+    rows = index.select("doc_id", "embedding").join(packed, "doc_id", "left")
+    rows = rows.withColumn("matches", F.coalesce("matches", none))
+    scoring = Scoring(k=k, dim=dim, metric="dot", alpha=alpha, matches=True)
+    return topk(questions, rows, scoring, n_questions)

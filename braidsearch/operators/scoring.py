@@ -1,15 +1,13 @@
 """Scoring of whole question blocks against batches of stored vectors.
 
 Exact dense search has to look at every (question, vector) pair, but it need not
-make a row of each. Each task multiplies its vectors with a block of questions and
+make a row of each. Each task multiplies its vectors with blocks of questions and
 keeps its best k per question, so a task emits at most ``questions * k`` rows and
 only those are shuffled.
 
-A question block is bounded by `BLOCK_QUESTIONS` and by the bytes of its terms. It
-travels to the tasks with the function. A few blocks more mean a few passes over
-the stored rows, still without shuffling these. Beyond `PASSES` the questions are
-not gathered at all: vectors and questions are both cut into bounded pieces by
-hash, and each piece of vectors meets each piece of questions in its own group.
+Questions travel to the tasks with the function, `PASS_BYTES` of them at a time. A task keeps each
+batch of stored rows and goes through the blocks of `BLOCK_QUESTIONS` one by one, so the stored
+rows are read once for as many questions as that holds, and once more for each further lot.
 """
 
 from __future__ import annotations
@@ -20,21 +18,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidsearch.functions.vectors import bucket_numbers, matrix
-from braidsearch.operators.ranking import (
-    BROADCAST_BYTES,
-    SCORE_DIGITS,
-    fits_broadcast,
-    top_by_score,
-)
+from braidsearch.functions.vectors import matrix
+from braidsearch.operators.ranking import ROW_BYTES, SCORE_DIGITS, top_by_score
 
+# Questions that are multiplied at once, bytes of them that a task holds, scores it holds at once.
 BLOCK_QUESTIONS = 4096
-PASSES = 8
-GROUP_VECTORS = 10_000
+PASS_BYTES = 64 << 20
 CELLS = 1 << 21
 
 CANDIDATES = pa.schema(
@@ -47,67 +39,36 @@ CANDIDATES_DDL = "query_id long, doc_id long, score double"
 class Scoring:
     """How a question and a vector are compared.
 
-    ``metric`` is "dot" or "l2" (squared distance, smaller is better), or None when
-    there is no dense part. ``alpha`` weighs the dense part against the sparse one.
-    ``matched`` limits the pairs to those that share a term.
-    ``planes`` limits the pairs to those whose buckets differ in at most ``radius`` bits.
+    ``metric`` is "dot" or "l2" (squared distance, smaller is better). ``alpha`` weighs the dense
+    part; with ``matches`` the stored rows bring sparse scores for the rest.
     """
 
     k: int
-    dim: int = 0
-    metric: str | None = "dot"
-    sparse: bool = False
+    dim: int
+    metric: str = "dot"
     alpha: float = 1.0
-    matched: bool = False
-    planes: np.ndarray | None = None
-    radius: int = 0
+    matches: bool = False
 
 
 class Block:
-    """A bounded set of questions as arrays: ids, dense matrix, term weights by term."""
+    """A bounded set of questions as arrays: ids in ascending order and their vectors."""
 
     def __init__(self, questions: pa.Table, scoring: Scoring):
         columns = questions.combine_chunks()
         self.ids = columns["query_id"].to_numpy()
-        if scoring.metric:
-            self.dense = matrix(_chunk(columns["embedding"]), scoring.dim)
-        if scoring.planes is not None:
-            self.buckets = bucket_numbers(self.dense, scoring.planes)
-        if scoring.sparse:
-            self._by_term(_chunk(columns["terms"]), _chunk(columns["weights"]))
-
-    def _by_term(self, terms: pa.ListArray, weights: pa.ListArray) -> None:
-        owner = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy())
-        coded = terms.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        order = np.argsort(codes, kind="stable")
-        self.vocabulary = coded.dictionary
-        self.owner = owner[order]
-        self.weight = weights.flatten().to_numpy()[order]
-        counts = np.bincount(codes, minlength=len(self.vocabulary))
-        self.start = np.concatenate([[0], np.cumsum(counts)])
-
-    def sparse_scores(
-        self, terms: pa.ListArray, weights: pa.ListArray
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, questions) sums of document weight times question weight, and
-        the number of shared terms."""
-        rows, width = len(terms), len(self.ids)
-        code = pc.fill_null(pc.index_in(terms.flatten(), value_set=self.vocabulary), -1)
-        code = code.to_numpy()
-        hit = np.flatnonzero(code >= 0)
-        doc = np.repeat(np.arange(rows), terms.value_lengths().to_numpy())[hit]
-        doc_weight = weights.flatten().to_numpy()[hit]
-        code = code[hit]
-        shared = self.start[code + 1] - self.start[code]
-        # entry j of a hit is question entry start + j of its term
-        step = np.arange(shared.sum()) - np.repeat(np.cumsum(shared) - shared, shared)
-        entry = np.repeat(self.start[code], shared) + step
-        cell = np.repeat(doc, shared) * width + self.owner[entry]
-        amount = np.repeat(doc_weight, shared) * self.weight[entry]
-        sums = np.bincount(cell, weights=amount, minlength=rows * width)
-        counts = np.bincount(cell, minlength=rows * width)
-        return sums.reshape(rows, width), counts.reshape(rows, width)
+        self.dense = matrix(_chunk(columns["embedding"]), scoring.dim)
+
+    def match_scores(self, matches: pa.ListArray) -> np.ndarray:
+        """(documents, questions) sparse scores, 0 where a document brings none."""
+        doc = np.repeat(np.arange(len(matches)), matches.value_lengths().fill_null(0).to_numpy())
+        pairs = matches.flatten()
+        question, score = (pairs.field(n).to_numpy(zero_copy_only=False) for n in (0, 1))
+        at = np.searchsorted(self.ids, question)
+        mine = at < len(self.ids)
+        mine[mine] = self.ids[at[mine]] == question[mine]
+        sums = np.zeros((len(matches), len(self.ids)))
+        sums[doc[mine], at[mine]] = score[mine]
+        return sums
 
     def dense_scores(self, vectors: np.ndarray, metric: str) -> np.ndarray:
         dots = vectors @ self.dense.T
@@ -136,11 +97,9 @@ class Best:
         self.doc = np.empty(0, dtype=np.int64)
         self.key = np.empty(0, dtype=np.float64)
 
-    def add(self, ids: np.ndarray, keys: np.ndarray, allowed: np.ndarray | None) -> None:
+    def add(self, ids: np.ndarray, keys: np.ndarray) -> None:
         if len(ids) == 0:
             return
-        if allowed is not None:
-            keys = np.where(allowed, keys, -np.inf)
         floor = self.bound
         if len(ids) > self.k:
             floor = np.maximum(floor, np.partition(keys, -self.k, axis=0)[-self.k])
@@ -170,22 +129,12 @@ def score_batch(best: Best, block: Block, scoring: Scoring, batch: pa.RecordBatc
     step = max(1, CELLS // max(1, len(block.ids)))
     for offset in range(0, batch.num_rows, step):
         part = batch.slice(offset, step)
-        ids = part["doc_id"].to_numpy()
-        scores, allowed = 0.0, None
-        if scoring.metric:
-            vectors = matrix(_chunk(part["embedding"]), scoring.dim)
-            scores = scoring.alpha * block.dense_scores(vectors, scoring.metric)
-            if scoring.planes is not None:
-                differing = bucket_numbers(vectors, scoring.planes)[:, None] ^ block.buckets
-                allowed = np.bitwise_count(differing) <= scoring.radius
-        if scoring.sparse:
-            share = 1.0 - scoring.alpha if scoring.metric else 1.0
-            sums, counts = block.sparse_scores(_chunk(part["terms"]), _chunk(part["weights"]))
-            scores = scores + share * sums
-            if scoring.matched:
-                allowed = counts > 0 if allowed is None else allowed & (counts > 0)
+        vectors = matrix(_chunk(part["embedding"]), scoring.dim)
+        scores = scoring.alpha * block.dense_scores(vectors, scoring.metric)
+        if scoring.matches:
+            scores = scores + (1.0 - scoring.alpha) * block.match_scores(_chunk(part["matches"]))
         keys = _round(scores)
-        best.add(ids, -keys if scoring.metric == "l2" else keys, allowed)
+        best.add(part["doc_id"].to_numpy(), -keys if scoring.metric == "l2" else keys)
 
 
 def topk(
@@ -193,68 +142,32 @@ def topk(
     stored: DataFrame,
     scoring: Scoring,
     n_questions: int | None = None,
-    size: int = 0,
 ) -> DataFrame:
     """Ranked list of the best ``scoring.k`` stored rows per question.
 
-    ``questions``: ``query_id`` and, as the scoring needs, ``embedding``, ``terms``
-    and ``weights``. ``stored``: the same with ``doc_id``. ``n_questions`` and the bytes
-    of their terms, ``size``, decide whether one block holds them all.
+    ``questions``: ``query_id, embedding``. ``stored``: ``doc_id, embedding`` and, if the scoring says so,
+    ``matches``, an array of question ids and sparse scores.
     """
-    wanted = ["embedding"] if scoring.metric else []
-    wanted += ["terms", "weights"] if scoring.sparse else []
-    questions = questions.select("query_id", *wanted)
-    stored = stored.select("doc_id", *wanted)
+    questions = questions.select("query_id", "embedding")
+    stored = stored.select("doc_id", "embedding", *(["matches"] if scoring.matches else []))
     n_questions = questions.count() if n_questions is None else n_questions
-    ascending = scoring.metric == "l2"
-    # twice as many blocks as needed, since a hash does not fill them evenly
-    blocks = 2 * max(-(-n_questions // BLOCK_QUESTIONS), -(-size // BROADCAST_BYTES))
-    if n_questions <= BLOCK_QUESTIONS and fits_broadcast(size):
-        found = _one_block(questions, stored, scoring)
-    elif blocks <= PASSES:
-        number = block_number("query_id", blocks)
-        parts = [questions.filter(number == block) for block in range(blocks)]
-        found = reduce(DataFrame.unionByName, [_one_block(p, stored, scoring) for p in parts])
-    else:
-        found = _block_pairs(questions, blocks, stored, scoring)
-    return top_by_score(found, scoring.k, ascending)
-
-
-def block_number(key: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    passes = max(1, -(-n_questions * (8 * scoring.dim + ROW_BYTES) // PASS_BYTES))
+    lots = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    found = [_one_pass(questions.filter(lots == lot), stored, scoring) for lot in range(passes)]
+    return top_by_score(reduce(DataFrame.unionByName, found), scoring.k, scoring.metric == "l2")
 
 
-def _one_block(questions: DataFrame, stored: DataFrame, scoring: Scoring) -> DataFrame:
-    block = Block(questions.toArrow(), scoring)
+def _one_pass(questions: DataFrame, stored: DataFrame, scoring: Scoring) -> DataFrame:
+    table = questions.toArrow().sort_by("query_id")
+    starts = range(0, max(1, table.num_rows), BLOCK_QUESTIONS)
+    blocks = [Block(table.slice(start, BLOCK_QUESTIONS), scoring) for start in starts]
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(block.ids), scoring.k)
+        bests = [Best(len(block.ids), scoring.k) for block in blocks]
         for batch in batches:
-            score_batch(best, block, scoring, batch)
-        yield best.candidates(block, scoring.metric != "l2")
+            for block, best in zip(blocks, bests, strict=True):
+                score_batch(best, block, scoring, batch)
+        for block, best in zip(blocks, bests, strict=True):
+            yield best.candidates(block, scoring.metric != "l2")
 
     return stored.mapInArrow(best_of_task, CANDIDATES_DDL)
-
-
-def _block_pairs(
-    questions: DataFrame, blocks: int, stored: DataFrame, scoring: Scoring
-) -> DataFrame:
-    pieces = -(-stored.select("doc_id").count() // GROUP_VECTORS) or 1
-
-    def numbered(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int):
-        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
-        cut = df.withColumn(own, block_number(key, n_own)).withColumn(other, every)
-        return cut.groupBy("block", "piece")
-
-    def best_of_pair(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        if asked.num_rows == 0:
-            return CANDIDATES.empty_table()
-        block = Block(asked, scoring)
-        best = Best(len(block.ids), scoring.k)
-        for batch in rows.to_batches():
-            score_batch(best, block, scoring, batch)
-        return pa.Table.from_batches([best.candidates(block, scoring.metric != "l2")])
-
-    asked = numbered(questions, "query_id", "block", blocks, "piece", pieces)
-    rows = numbered(stored, "doc_id", "piece", pieces, "block", blocks)
-    return asked.cogroup(rows).applyInArrow(best_of_pair, CANDIDATES_DDL)

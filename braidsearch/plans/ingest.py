@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidsearch.functions.text import Analyzer, simple_tokens
+from braidsearch.functions.text import Analyzer, analysis_of, simple_tokens
 from braidsearch.functions.vectors import DEFAULT_DIM, Embedder
 from braidsearch.operators.bm25 import Bm25Model, fit
 from braidsearch.sources.collection import Collection
@@ -21,14 +21,23 @@ def ingest_upsert(
     dim: int = DEFAULT_DIM,
     buckets: int | None = None,
 ) -> tuple[Collection, Bm25Model]:
-    """Fit BM25 on the batch, save it, and upsert the batch into the collection at ``path``.
+    """Upsert the batch into the collection at ``path``, fit BM25 on it and on all that is stored.
 
     Equal texts are merged first, so each is analysed and embedded once; their
-    number still counts in the statistics.
+    number still counts in the statistics. The model of the batch, returned and saved at
+    ``model_path``, weighs terms for the convex search. Okapi lists are always of the whole
+    collection, so a second model beside it covers that; its counts are read from stored terms.
     """
     collection = Collection.create(spark, path, "documents", dim, "dot", buckets)
     collection.upsert(collection.encode(docs, analyzer, embedder))
-    return collection, fit(collection.last_batch(), model_path)
+    analysis = analysis_of(analyzer)
+    fit(collection.read(), whole_model_path(model_path), analysis)
+    return collection, fit(collection.last_batch(), model_path, analysis)
+
+
+def whole_model_path(model_path: str) -> str:
+    """Where the model of the whole collection stands beside that of its last batch."""
+    return f"{model_path.rstrip('/')}-whole"
 
 
 def ingest_rebuild(
@@ -46,4 +55,6 @@ def ingest_rebuild(
     collection = Collection.create(spark, path, "documents", dim, "l2", buckets)
     collection.rebuild(collection.encode(docs, analyzer, embedder, merge=False))
     write_corpus(docs, corpus_path)
-    return collection, fit(collection.read(), model_path)
+    analysis = analysis_of(analyzer)
+    fit(collection.read(), whole_model_path(model_path), analysis)
+    return collection, fit(collection.read(), model_path, analysis)

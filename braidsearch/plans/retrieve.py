@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidsearch.functions.text import Analyzer, simple_tokens
+from braidsearch.functions.text import Analyzer, analysis_of, simple_tokens
 from braidsearch.functions.vectors import DEFAULT_DIM, Embedder, hashed_embedder
 from braidsearch.operators import context, fusion, hybrid
 from braidsearch.operators.bm25 import Bm25Model, fit
@@ -16,6 +16,7 @@ from braidsearch.operators.dense import dense_topk
 from braidsearch.operators.index import build_index, count_terms, unfold_terms
 from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, text_bytes
 from braidsearch.operators.rerank import Scorer, attach, overlap_score, rerank
+from braidsearch.plans.ingest import whole_model_path
 from braidsearch.session import materialize
 from braidsearch.sources.collection import Collection
 from braidsearch.sources.models import load_model
@@ -25,9 +26,6 @@ DEPTH = 5
 WEIGHTS = (0.5, 0.5)
 TOP_K = 3
 
-# Document ids that a filter may name.
-NAMED_IDS = 5000
-
 
 @dataclass(frozen=True)
 class Questions:
@@ -48,8 +46,10 @@ class Retriever:
     """An index with its model, and the documents whose text and metadata answers need.
 
     ``index`` has ``doc_id, content_id, dl, terms`` and, for the searches that use
-    vectors, ``embedding``; ``docs`` has ``doc_id, text, metadata``. ``bucketed`` says
-    that ``docs`` is a table bucketed by ``doc_id``, so that few ids touch few files.
+    vectors, ``embedding``; ``docs`` has ``doc_id, text, metadata``. ``model`` weighs terms for the convex
+    search, ``okapi`` (default: the same) scores the sparse lists and covers all of ``index``. Up to
+    ``named_ids`` ranked documents are named in a filter, so that of a table bucketed by ``doc_id``
+    only their buckets are read; more are joined. 0 for tables without buckets.
     """
 
     index: DataFrame
@@ -59,7 +59,8 @@ class Retriever:
     embedder: Embedder | None = None
     dim: int = DEFAULT_DIM
     metric: str = "l2"
-    bucketed: bool = False
+    okapi: Bm25Model | None = None
+    named_ids: int = 0
 
     def embed(self) -> Embedder:
         return self.embedder or hashed_embedder(self.dim)
@@ -86,8 +87,9 @@ class Retriever:
         return self._okapi(asked, k, pad=True)
 
     def _okapi(self, asked: Questions, k: int, pad: bool) -> DataFrame:
+        model = self.okapi or self.model
         return hybrid.okapi_topk(
-            asked.rows, asked.terms, self.index, self.model, k, pad, asked.count, asked.terms_size
+            asked.rows, asked.terms, self.index, model, k, pad, asked.terms_size
         )
 
     def dense(self, asked: Questions, k: int = DEPTH, metric: str | None = None) -> DataFrame:
@@ -124,7 +126,7 @@ class Retriever:
         without another shuffle.
         """
         docs, bound = self.docs, per_question * asked.count
-        if self.bucketed and bound <= NAMED_IDS:
+        if bound <= self.named_ids:
             ranked = materialize(ranked, "ranked")
             named = ranked.select("doc_id").distinct().collect()
             docs = docs.filter(F.col("doc_id").isin([row.doc_id for row in named]))
@@ -158,7 +160,8 @@ def index_documents(
     """Index ``(doc_id, text, metadata)`` and fit BM25 on it."""
     embed = (embedder or hashed_embedder(dim)) if dense else None
     index = build_index(docs, analyzer, embed)
-    return Retriever(index, docs, fit(index), analyzer, embedder, dim)
+    model = fit(index, analysis=analysis_of(analyzer))
+    return Retriever(index, docs, model, analyzer, embedder, dim)
 
 
 def open_retriever(
@@ -167,14 +170,21 @@ def open_retriever(
     model_path: str,
     analyzer: Analyzer = simple_tokens,
     embedder: Embedder | None = None,
+    named_ids: int = 5000,
 ) -> Retriever:
-    """A retriever over an ingested collection and its saved model; fails if either is missing."""
+    """A retriever over an ingested collection and its saved models; fails if one is missing.
+
+    The analyzer must be the one the collection was ingested with, as far as both state what they do.
+    """
     collection = Collection.open(spark, path)
     rows = collection.read()
     model = load_model(spark, model_path)
+    if not model.analysis.agrees(analysis_of(analyzer)):
+        raise ValueError(f"the model was fitted with {model.analysis}, not {analysis_of(analyzer)}")
+    whole = load_model(spark, whole_model_path(model_path))
     docs = rows.select("doc_id", "text", "metadata")
     return Retriever(
-        rows, docs, model, analyzer, embedder, collection.dim, collection.metric, bucketed=True
+        rows, docs, model, analyzer, embedder, collection.dim, collection.metric, whole, named_ids
     )
 
 

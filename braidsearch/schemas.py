@@ -36,6 +36,18 @@ BM25_JSON = T.StructType([
     T.StructField("language", T.StringType()),
 ])
 
+MODEL_STATS = T.StructType([
+    T.StructField("n_docs", T.LongType()),
+    T.StructField("avgdl", T.DoubleType()),
+    T.StructField("k1", T.DoubleType()),
+    T.StructField("b", T.DoubleType()),
+    T.StructField("lower_case", T.BooleanType()),
+    T.StructField("remove_punctuation", T.BooleanType()),
+    T.StructField("remove_stopwords", T.BooleanType()),
+    T.StructField("stem", T.BooleanType()),
+    T.StructField("language", T.StringType()),
+])
+
 COLLECTION_META = T.StructType([
     T.StructField("name", T.StringType(), False),
     T.StructField("dim", T.IntegerType(), False),
@@ -43,6 +55,12 @@ COLLECTION_META = T.StructType([
     T.StructField("buckets", T.IntegerType(), False),
 ])
 
+COLLECTION_LOG = T.StructType([
+    T.StructField("version", T.IntegerType()),
+    T.StructField("base", T.IntegerType()),
+    T.StructField("buckets", T.IntegerType()),
+])
+
 RANKED = T.StructType([
     T.StructField("query_id", T.LongType(), False),
     T.StructField("doc_id", T.LongType(), False),

@@ -1,14 +1,16 @@
 """A stored collection: text, metadata, counted terms and vector of every document.
 
-A collection is a folder. ``meta`` states name, vector width, metric and buckets.
-Every change is written as a new version folder, so a reader never sees half of it
-and nothing overwrites the data it is computed from; a version counts once its number
-stands in ``versions``.
+A collection is a folder. ``meta`` states name, vector width, metric and buckets. Every batch is a
+version: its rows in a folder of their own, its keys beside them, and the keys of earlier rows it
+replaces. Nothing that is stored is written again, a reader leaves out replaced rows, and a
+version counts once it stands in ``log``. A row is replaced by a later one with the same text or
+the same ``doc_id``, so both are unique among the rows that are read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,22 +23,29 @@ from braidsearch.functions.vectors import (
     hashed_embedder,
 )
 from braidsearch.operators.index import count_terms
-from braidsearch.operators.ranking import fits_broadcast, text_bytes
-from braidsearch.schemas import COLLECTION_META
-from braidsearch.sources.tables import path_exists, read_bucketed, write_bucketed
+from braidsearch.schemas import COLLECTION_LOG, COLLECTION_META
+from braidsearch.sources.tables import drop_path, path_exists, read_bucketed, write_bucketed
+
+
+KEYS = "version int, doc_id bigint, content_id string"
 
 
 def latest_by_content(docs: DataFrame) -> DataFrame:
     """The document that stands for each text: ``(content_id, doc_id, copies)``.
 
-    The highest ``seq`` (default: ``doc_id``) wins. Only keys and numbers are
-    shuffled, and they combine map-side: a text that fills a third of the batch
-    reaches its reducer as one row per task.
+    The highest ``seq`` (default: ``doc_id``) wins, ties go to the greater ``doc_id``. Only keys and
+    numbers are shuffled, and they combine map-side: a text that fills a third of the batch
+    reaches its reducer as one row per task. An id that stands for several texts keeps the latest.
     """
     seq = F.col("seq") if "seq" in docs.columns else F.col("doc_id")
     keyed = docs.select(content_key(F.col("text")).alias("content_id"), "doc_id", seq.alias("seq"))
-    return keyed.groupBy("content_id").agg(
-        F.max_by("doc_id", "seq").alias("doc_id"), F.count("*").alias("copies")
+    order = F.struct("seq", "doc_id")
+    by_text = keyed.groupBy("content_id").agg(
+        F.max_by("doc_id", order).alias("doc_id"), F.count("*").alias("copies"), F.max("seq").alias("seq")
+    )
+    newest = F.struct("seq", "content_id")
+    return by_text.groupBy("doc_id").agg(
+        F.max_by("content_id", newest).alias("content_id"), F.max_by("copies", newest).alias("copies")
     )
 
 
@@ -59,8 +68,8 @@ class Collection:
     ) -> Collection:
         """Create the collection unless it exists; then width and metric must agree.
 
-        ``buckets`` (default: ``spark.sql.shuffle.partitions``) stay for its lifetime:
-        size them for the corpus it is to hold.
+        ``buckets`` (default: ``spark.sql.shuffle.partitions``) are those of each batch; size them by
+        its bytes. `compact` may choose others for what has been gathered.
         """
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         if not path_exists(spark, f"{path}/meta"):
@@ -80,19 +89,42 @@ class Collection:
         meta = spark.read.schema(COLLECTION_META).parquet(f"{path}/meta").first()
         return Collection(spark, path, meta.dim, meta.metric, meta.buckets)
 
+    def _log(self) -> list:
+        """``(version, base, buckets)`` of every finished version, one row for each batch."""
+        log = f"{self.path}/log"
+        if not path_exists(self.spark, log):
+            return []
+        return self.spark.read.schema(COLLECTION_LOG).parquet(log).orderBy("version").collect()
+
     def version(self) -> int:
         """Highest version that was written to its end, 0 when nothing was ingested."""
-        log = f"{self.path}/versions"
-        if not path_exists(self.spark, log):
-            return 0
-        return self.spark.read.schema("version int").parquet(log).agg(F.max("version")).first()[0]
+        return max((entry.version for entry in self._log()), default=0)
+
+    def _live(self) -> list:
+        """The versions that count: from the latest rebuild or compaction on."""
+        log = self._log()
+        return [entry for entry in log if entry.version >= log[-1].base]
 
     def read(self) -> DataFrame:
-        """The current rows; use the columns you need, the rest is not read."""
-        version = self.version()
-        if version == 0:
+        """The current rows; use the columns you need, the rest is not read.
+
+        Rows that a later batch replaced are left out by their keys; after a rebuild or a
+        compaction there are none, and the table is read as it is, bucketed by ``doc_id``.
+        """
+        live = self._live()
+        if not live:
             raise FileNotFoundError(f"collection {self.path} is empty; run the ingestion first")
-        return read_bucketed(self.spark, self._folder(version), "doc_id", self.buckets)
+        batches = [
+            read_bucketed(self.spark, self._folder(v.version), "doc_id", v.buckets) for v in live
+        ]
+        if len(live) == 1:
+            return batches[0]
+        rows = reduce(DataFrame.unionByName, batches)
+        gone = reduce(
+            DataFrame.unionByName,
+            [self.spark.read.schema(KEYS).parquet(self._folder(v.version, "gone")) for v in live[1:]],
+        )
+        return rows.join(gone.distinct(), ["version", "doc_id", "content_id"], "left_anti")
 
     def encode(
         self,
@@ -111,11 +143,13 @@ class Collection:
         given = [c for c in ("embedding",) if c in docs.columns]
         placed = docs.select("doc_id", "text", "metadata", *given)
         placed = placed.repartition(self.buckets, "doc_id")
+        placed = placed.withColumn("content_id", content_key(F.col("text")))
         if merge:
+            latest = latest_by_content(docs).withColumnRenamed("content_id", "kept")
             # hash-joined within the buckets, so the texts are not sorted
-            placed = placed.join(latest_by_content(docs).hint("shuffle_hash"), "doc_id")
+            placed = placed.join(latest.hint("shuffle_hash"), "doc_id")
+            placed = placed.filter(F.col("content_id") == F.col("kept")).drop("kept")
         else:
-            placed = placed.withColumn("content_id", content_key(F.col("text")))
             placed = placed.withColumn("copies", F.lit(1).cast("bigint"))
         counted = count_terms(placed, analyzer)
         if given:
@@ -124,40 +158,64 @@ class Collection:
         return counted.withColumn("embedding", embed(F.col("text"), F.col("terms")))
 
     def upsert(self, rows: DataFrame) -> None:
-        """Add encoded, merged rows; a text already stored is replaced.
+        """Add encoded, merged rows; stored rows with their text or their id are replaced.
 
-        Stored rows are never shuffled. They are streamed past the keys of the batch
-        when these are few enough to broadcast; for a larger batch the ids of replaced
-        rows are found by key and then dropped within the buckets.
+        Only the batch is written. Which stored rows it replaces is found on keys alone, by two
+        joins that Spark may broadcast or shuffle; either way the same rows go.
         """
-        version = self.version()
-        added = rows.withColumn("version", F.lit(version + 1))
-        if version:
-            keys = rows.select("content_id")
-            added = self._without(keys).unionByName(added)
-        self._write(added, version + 1)
-
-    def _without(self, keys: DataFrame) -> DataFrame:
-        stored = self.read()
-        if fits_broadcast(keys.agg(text_bytes(F.col("content_id"))).first()[0]):
-            return stored.join(F.broadcast(keys), "content_id", "left_anti")
-        replaced = stored.select("doc_id", "content_id").join(keys, "content_id", "left_semi")
-        dropped = replaced.select("doc_id").hint("shuffle_hash")
-        return stored.join(dropped, "doc_id", "left_anti")
-
-    def rebuild(self, rows: DataFrame) -> None:
+        log = self._live()
+        version = self.version() + 1
+        added = self._write_rows(rows, version)
+        if log:
+            stored = reduce(
+                DataFrame.unionByName,
+                [self.spark.read.schema(KEYS).parquet(self._folder(v.version, "keys")) for v in log],
+            )
+            same_text = stored.join(added.select("content_id"), "content_id", "left_semi")
+            same_id = stored.join(added.select("doc_id"), "doc_id", "left_semi")
+            gone = same_text.unionByName(same_id).distinct()
+            gone.write.mode("overwrite").parquet(self._folder(version, "gone"))
+        self._finish(version, log[-1].base if log else version)
+
+    def rebuild(self, rows: DataFrame, buckets: int | None = None) -> None:
         """Replace everything; rows with the same text stay separate."""
         version = self.version() + 1
-        self._write(rows.withColumn("version", F.lit(version)), version)
+        self._write_rows(rows, version, buckets)
+        self._finish(version, version, buckets)
+
+    def compact(self, buckets: int | None = None) -> None:
+        """Write the current rows as one version, in ``buckets`` if given: size them by what is stored."""
+        rows = self.read()
+        self.rebuild(rows.repartition(buckets or self.buckets, "doc_id"), buckets)
+
+    def remove_old(self) -> list[int]:
+        """Delete the versions that no longer count; no reader may be at work on them."""
+        live = {entry.version for entry in self._live()}
+        old = [entry.version for entry in self._log() if entry.version not in live]
+        removed = []
+        for version in old:
+            for kind in ("rows", "keys", "gone"):
+                if drop_path(self.spark, self._folder(version, kind)) and kind == "rows":
+                    removed.append(version)
+        return removed
 
     def last_batch(self) -> DataFrame:
         """The rows that the latest upsert or rebuild brought."""
-        return self.read().filter(F.col("version") == self.version())
-
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v{version:06d}"
-
-    def _write(self, rows: DataFrame, version: int) -> None:
-        write_bucketed(rows, self._folder(version), "doc_id", self.buckets)
-        done = self.spark.createDataFrame([(version,)], "version int").coalesce(1)
-        done.write.mode("append").parquet(f"{self.path}/versions")
+        entry = self._live()[-1]
+        return read_bucketed(self.spark, self._folder(entry.version), "doc_id", entry.buckets)
+
+    def _folder(self, version: int, kind: str = "rows") -> str:
+        return f"{self.path}/{kind}/v{version:06d}"
+
+    def _write_rows(self, rows: DataFrame, version: int, buckets: int | None = None) -> DataFrame:
+        """Write a batch and its keys; returns the keys."""
+        stamped = rows.withColumn("version", F.lit(version))
+        folder = self._folder(version)
+        written = write_bucketed(stamped, folder, "doc_id", buckets or self.buckets)
+        keys = self._folder(version, "keys")
+        written.select("version", "doc_id", "content_id").write.mode("overwrite").parquet(keys)
+        return self.spark.read.schema(KEYS).parquet(keys)
+
+    def _finish(self, version: int, base: int, buckets: int | None = None) -> None:
+        done = self.spark.createDataFrame([(version, base, buckets or self.buckets)], COLLECTION_LOG)
+        done.coalesce(1).write.mode("append").parquet(f"{self.path}/log")

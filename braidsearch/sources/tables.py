@@ -41,9 +41,23 @@ def read_bucketed(
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet table is readable at ``path``, on any file system Spark knows."""
+    """Whether there is a Parquet table at ``path``, on any file system Spark knows.
+
+    Only a missing path counts as none; a table that is there but cannot be read is an error.
+    """
     try:
         spark.read.parquet(path).schema
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True
+
+
+def drop_path(spark: SparkSession, path: str) -> bool:
+    """Delete the files at ``path`` and the table that was opened on them; whether there were any."""
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return bool(files.delete(folder, True))

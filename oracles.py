@@ -308,16 +308,16 @@ scored AS (SELECT query_id, vec_id AS doc_id, list_sum(list_transform(range(1, 6
 LSH_BUCKETS = """
 planes AS MATERIALIZED (SELECT p, list(1 - 2 * (('0x' || substr(md5(p || ':' || d), 1, 8))::BIGINT % 2)
         ORDER BY d)::DOUBLE[] AS plane
-    FROM range(16) a(p), range(64) b(d)
-    WHERE p < (SELECT least(16, greatest(1, floor(log2(count(*) // 32)))) FROM embeddings)
-    GROUP BY p),
-vb AS (SELECT vec_id, sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << p ELSE 0 END)::BIGINT
-    AS b FROM vec, planes GROUP BY vec_id),
-cb AS (SELECT query_id, sum(CASE WHEN list_dot_product(c, plane) >= 0 THEN 1 << p ELSE 0 END)::BIGINT
-    AS b FROM cent, planes GROUP BY query_id),
+    FROM range(72) a(p), range(64) b(d) GROUP BY p),
+vb AS (SELECT vec_id, p // 6 AS t,
+        sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << (p % 6) ELSE 0 END)::BIGINT AS b
+    FROM vec, planes GROUP BY ALL),
+cb AS (SELECT query_id, p // 6 AS t,
+        sum(CASE WHEN list_dot_product(c, plane) >= 0 THEN 1 << (p % 6) ELSE 0 END)::BIGINT AS b
+    FROM cent, planes GROUP BY ALL),
+met AS (SELECT DISTINCT query_id, vec_id FROM cb JOIN vb USING (t) WHERE bit_count(xor(cb.b, vb.b)) <= 1),
 scored AS (SELECT query_id, vec_id AS doc_id, list_dot_product(c, v) AS score
-    FROM cent JOIN cb USING (query_id), vec JOIN vb USING (vec_id)
-    WHERE bit_count(xor(cb.b, vb.b)) <= 2)"""
+    FROM met JOIN cent USING (query_id) JOIN vec USING (vec_id))"""
 
 BY_VECTOR = "SELECT query_id, doc_id AS vec_id, score, rank FROM best"
 
@@ -327,15 +327,37 @@ RANKED = "SELECT query_id, doc_id, score, rank FROM "
 NEWEST = """SELECT max(doc_id) AS doc_id, sha256(any_value(text)) AS content_id,
     any_value(text) AS text FROM documents GROUP BY text"""
 
+TWO_BATCHES = f"""
+batches AS (SELECT doc_id, text, lang NOT IN ('en', 'fr') AS second FROM documents),
+latest AS MATERIALIZED (SELECT text,
+        coalesce(max(doc_id) FILTER (second), max(doc_id)) AS doc_id,
+        CASE WHEN bool_or(second) THEN count(*) FILTER (second) ELSE count(*) END AS copies
+    FROM batches GROUP BY text),
+ana AS MATERIALIZED (SELECT doc_id, copies, {simple('text')} AS toks FROM latest),
+len AS MATERIALIZED (SELECT doc_id, copies, len(toks)::BIGINT AS dl FROM ana),
+tf AS MATERIALIZED (SELECT doc_id, copies, term, count(*) AS tf
+    FROM (SELECT doc_id, copies, unnest(toks) AS term FROM ana) GROUP BY ALL),
+df AS MATERIALIZED (SELECT term, sum(copies)::BIGINT AS df FROM tf GROUP BY term),
+st AS MATERIALIZED (SELECT sum(copies)::BIGINT AS n, sum(dl * copies)::DOUBLE / sum(copies) AS avgdl
+    FROM len)"""
+
 ORACLES: dict[str, Callable[[], str]] = {
     "doc_source": lambda: SOURCE,
     "corpus_roundtrip": lambda: SOURCE,
     "bm25_model_roundtrip": lambda: query(corpus(), select="SELECT term, df FROM df"),
-    "collection_upsert": lambda: """SELECT sha256(text) AS content_id,
+    "collection_upsert": lambda: """WITH two AS (SELECT sha256(text) AS content_id,
         coalesce(max(doc_id) FILTER (lang = 'en'), max(doc_id)) AS doc_id,
         CASE WHEN count(*) FILTER (lang = 'en') > 0 THEN 'updated'
             ELSE arg_max(lang, doc_id) END AS category
-        FROM documents GROUP BY text""",
+        FROM documents GROUP BY text),
+        three AS (SELECT sha256(text || ' (new)') AS content_id, max(doc_id) AS doc_id, 'third' AS category
+        FROM documents WHERE lang = 'fr' GROUP BY text)
+        SELECT * FROM two WHERE doc_id NOT IN (SELECT doc_id FROM three) UNION ALL SELECT * FROM three""",
+    "bm25_model_json": lambda: query(corpus(), MURMUR, select="SELECT term_id, df FROM ids"),
+    "ingest_two_batches": lambda: query(
+        TWO_BATCHES, asked(), OKAPI_IDF, OKAPI_SCORES, ranked("best", "okapi", "score", 5),
+        select=RANKED + "best",
+    ),
     "collection_rebuild": lambda: "SELECT doc_id, sha256(text) AS content_id FROM documents",
     "ingest_report": lambda: """SELECT count(*) AS n_ingested,
         count(DISTINCT text) AS n_distinct_content FROM documents""",

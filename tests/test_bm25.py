@@ -3,11 +3,12 @@ from brute import close, okapi, simple, sparse_dot, top
 from conftest import ASKED, EDGE_TEXTS, TEXTS, document_rows, ranked_rows
 from pyspark.sql import functions as F
 
-from braidsearch.functions.text import whitespace_tokens
-from braidsearch.operators import bm25, ranking, scoring
+from braidsearch.functions.text import analysis_of, simple_tokens, whitespace_tokens
+from braidsearch.operators import bm25, ranking
 from braidsearch.operators.hybrid import okapi_topk
-from braidsearch.operators.index import build_index
+from braidsearch.operators.index import build_index, index_rows
 from braidsearch.schemas import DOCUMENTS, QUESTIONS
+from braidsearch.sources import models
 
 PLAIN = [text for text, _, _ in TEXTS]
 
@@ -119,30 +120,59 @@ def test_pair_scores_are_brute_force(index, model, q_terms):
     assert all(s == 0 for q in wanted for d, s in wanted[q].items() if (q, d) not in found)
 
 
-def test_many_questions_take_the_salted_join(monkeypatch, index, model, q_terms):
+def test_many_questions_are_joined_by_shuffle(monkeypatch, index, model, q_terms):
     wanted = pair_scores(bm25.okapi_scores(q_terms, index, model))
     monkeypatch.setattr(ranking, "BROADCAST_BYTES", 2)
     scores = bm25.okapi_scores(q_terms, index, model)
-    assert "salt" in scores._jdf.queryExecution().toString()
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [term" in plan
     assert pair_scores(scores) == wanted
 
 
-@pytest.mark.parametrize("passes", [8, 0])
 @pytest.mark.parametrize("pad", [True, False])
-def test_many_questions_in_blocks(
-    monkeypatch, questions, index, model, q_terms, pad, passes
-):
+def test_lists_do_not_depend_on_the_join(monkeypatch, questions, index, model, q_terms, pad):
     wanted = ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad))
-    monkeypatch.setattr(scoring, "PASSES", passes)
-    monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 2)
-    monkeypatch.setattr(scoring, "GROUP_VECTORS", 2)
-    assert ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad)) == wanted
-    monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 4096)
     monkeypatch.setattr(ranking, "BROADCAST_BYTES", 2)
-    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 200)
     assert ranked_rows(okapi_topk(questions, q_terms, index, model, 3, pad)) == wanted
 
 
+def test_sparse_lists_run_in_spark_alone(questions, index, model, q_terms):
+    found = okapi_topk(questions, q_terms, index, model, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "WindowGroupLimit" in plan
+
+
+def test_padding_looks_further_where_terms_count_against(spark):
+    # every document but the last holds the term, which most documents hold
+    texts = ["sea"] * 60 + [""]
+    docs = spark.createDataFrame([(n, t, {}) for n, t in enumerate(texts)], DOCUMENTS)
+    questions = spark.createDataFrame([(0, "sea")], QUESTIONS)
+    index = build_index(docs)
+    model = bm25.fit(index)
+    assert model.mean_idf < 0
+    found = ranked_rows(okapi_topk(questions, bm25.question_terms(questions), index, model, k=2))
+    close(found, top(okapi(texts, ["sea"]), 2))
+    assert found[0][0] == (60, 0.0)
+
+
+def test_model_states_how_it_was_made(spark, docs, tmp_path):
+    path = str(tmp_path / "model")
+    fitted = bm25.fit(build_index(docs), path, analysis_of(simple_tokens), k1=0.9, b=0.4)
+    loaded = models.load_model(spark, path)
+    assert (loaded.k1, loaded.b, loaded.analysis) == (0.9, 0.4, fitted.analysis)
+    assert (loaded.analysis.stem, loaded.analysis.remove_stopwords) == (False, False)
+    row = bm25.encode_documents(build_index(docs), loaded).filter("doc_id = 0 and term = 'rivers'").first()
+    tokens = simple(PLAIN[0])
+    assert row.weight == pytest.approx(1 / (0.9 * (0.6 + 0.4 * len(tokens) / loaded.avgdl) + 1))
+
+
+def test_fit_shuffles_no_text_and_writes_no_index(docs):
+    fitted = bm25.fit(index_rows(docs))
+    again = bm25.fit(build_index(docs))
+    for field in ("n_docs", "avgdl", "n_terms", "sum_df", "mean_idf"):
+        assert getattr(fitted, field) == getattr(again, field)
+
+
 def test_query_weights_sum_to_one(q_terms, model):
     weights = bm25.encode_queries(q_terms, model)
     sums = weights.groupBy("query_id").agg(F.sum("weight").alias("s")).collect()

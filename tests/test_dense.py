@@ -7,9 +7,10 @@ from conftest import ASKED, TEXTS, ranked_rows
 from pyspark.sql import functions as F
 
 from braidsearch.functions import vectors as vx
-from braidsearch.operators import bm25, dense, scoring
+from braidsearch.operators import bm25, dense, ranking, scoring
 from braidsearch.operators.hybrid import convex_topk
 from braidsearch.operators.index import build_index, count_terms
+from braidsearch.session import materialize
 
 PLAIN = [text for text, _, _ in TEXTS]
 VECTORS = "doc_id long, embedding array<float>"
@@ -47,17 +48,24 @@ def test_exact_topk_is_brute_force(random_vectors, metric, k):
     close(found, top(scores(asked, rows, metric), k, descending=metric == "dot"))
 
 
-@pytest.mark.parametrize("passes", [8, 0])
+@pytest.mark.parametrize("pass_bytes", [1 << 26, 300])
 @pytest.mark.parametrize("metric", ["dot", "l2"])
-def test_many_questions(monkeypatch, random_vectors, metric, passes):
+def test_many_questions(monkeypatch, random_vectors, metric, pass_bytes):
     questions, stored, _, _ = random_vectors
     wanted = ranked_rows(dense.dense_topk(questions, stored, 4, 8, metric))
-    monkeypatch.setattr(scoring, "PASSES", passes)
-    monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 4)
-    monkeypatch.setattr(scoring, "GROUP_VECTORS", 10)
+    monkeypatch.setattr(scoring, "PASS_BYTES", pass_bytes)
+    monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 2)
     assert ranked_rows(dense.dense_topk(questions, stored, 4, 8, metric)) == wanted
 
 
+def test_blocks_of_questions_read_the_stored_rows_once(monkeypatch, spark, random_vectors):
+    questions, stored, _, _ = random_vectors
+    stored = materialize(stored, "vectors")
+    monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 2)
+    plan = dense.dense_topk(questions, stored, 4, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_small_steps_do_not_change_results(monkeypatch, random_vectors):
     questions, stored, _, _ = random_vectors
     wanted = ranked_rows(dense.dense_topk(questions, stored, 4, 8))
@@ -147,8 +155,8 @@ def test_convex_topk_is_brute_force(spark, docs, questions):
         convex_topk(asked, terms, index, model, 4, 1.5, 32)
 
 
-@pytest.mark.parametrize("passes", [8, 0])
-def test_convex_of_many_questions(monkeypatch, docs, questions, passes):
+@pytest.mark.parametrize("pass_bytes", [1 << 26, 700])
+def test_convex_of_many_questions(monkeypatch, docs, questions, pass_bytes):
     embed = vx.hashed_embedder(32)
     index = build_index(docs, embedder=embed)
     model = bm25.fit(index)
@@ -156,9 +164,8 @@ def test_convex_of_many_questions(monkeypatch, docs, questions, passes):
     asked = asked.withColumn("embedding", embed(F.col("question"), F.col("terms")))
     terms = bm25.question_terms(questions)
     wanted = ranked_rows(convex_topk(asked, terms, index, model, 4, dim=32))
-    monkeypatch.setattr(scoring, "PASSES", passes)
+    monkeypatch.setattr(scoring, "PASS_BYTES", pass_bytes)
     monkeypatch.setattr(scoring, "BLOCK_QUESTIONS", 2)
-    monkeypatch.setattr(scoring, "GROUP_VECTORS", 2)
     assert ranked_rows(convex_topk(asked, terms, index, model, 4, dim=32)) == wanted
 
 
@@ -175,42 +182,41 @@ def clustered(spark):
 def test_lsh_recall(spark):
     asked, stored = clustered(spark)
     exact = ranked_rows(dense.dense_topk(asked, stored, 5, 16))
-    near = ranked_rows(dense.lsh_topk(asked, stored, 5, 6, 16))
+    near = ranked_rows(dense.lsh_topk(asked, stored, 5, 6, 8, 16, 1))
     hits = sum(len({d for d, _ in exact[q]} & {d for d, _ in near.get(q, [])}) for q in exact)
     assert hits / 50 >= 0.9
-    everything = dense.lsh_topk(asked, stored, 5, 6, 16, radius=6)
+    everything = dense.lsh_topk(asked, stored, 5, 6, 1, 16, radius=6)
     assert ranked_rows(everything) == exact
 
 
+def test_lsh_meets_in_buckets_only(spark):
+    asked, stored = clustered(spark)
+    found = dense.lsh_topk(asked, stored, 5, 6, 8, 16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join [hash_table" in plan and "CartesianProduct" not in plan
+
+
 def test_lsh_from_stored_buckets(monkeypatch, spark, tmp_path):
     asked, stored = clustered(spark)
     path = str(tmp_path / "buckets")
-    dense.write_buckets(stored, path, 6, 16)
+    dense.write_buckets(stored, path, 6, 4, 16)
     kept = spark.read.parquet(path)
-    ranked = dense.lsh_topk(asked, kept, 5, 6, 16)
-    wanted = ranked_rows(dense.lsh_topk(asked, stored, 5, 6, 16))
-    assert ranked_rows(ranked) == wanted
-    one = dense.lsh_topk(asked.filter("query_id = 0"), kept, 5, 6, 16)
+    wanted = ranked_rows(dense.lsh_topk(asked, stored, 5, 6, 4, 16))
+    assert ranked_rows(dense.lsh_topk(asked, kept, 5, 6, 4, 16)) == wanted
+    one = dense.lsh_topk(asked.filter("query_id = 0"), kept, 5, 6, 4, 16)
     assert ranked_rows(one) == {0: wanted[0]}
-    assert "PartitionFilters: [bucket" in one._jdf.queryExecution().toString()
-    monkeypatch.setattr(dense, "NAMED_BUCKETS", 3)
-    assert ranked_rows(dense.lsh_topk(asked, kept, 5, 6, 16)) == wanted
-    with pytest.raises(ValueError, match="16 bits"):
-        dense.lsh_topk(asked, kept, 5, 20, 16)
-
-
-def test_bits_follow_the_table():
-    sizes = [0, 31, 64, 500, 2000, 1 << 40]
-    assert [dense.bucket_bits(n) for n in sizes] == [1, 1, 1, 3, 5, 16]
+    assert "dynamicpruning" in one._jdf.queryExecution().toString()
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 0)
+    assert ranked_rows(dense.lsh_topk(asked, kept, 5, 6, 4, 16)) == wanted
 
 
-def test_bucket_matches_planes(spark):
+def test_buckets_match_planes(spark):
     _, stored = clustered(spark)
-    planes = vx.hyperplanes(6, 16)
+    planes = vx.hyperplanes(12, 16)
     assert set(np.unique(planes)) == {-1.0, 1.0}
-    for row in dense.add_bucket(stored, 6, 16).collect():
+    for row in dense.add_buckets(stored, 6, 2, 16).collect():
         sides = planes @ np.array(row.embedding) >= 0
-        assert row.bucket == sum(1 << p for p in range(6) if sides[p])
+        assert row.bucket == sum(1 << p for p in range(6) if sides[6 * row.hash_table + p])
 
 
 def test_model_slot(spark, docs):

@@ -151,6 +151,28 @@ def test_rebuild_then_ask(spark, docs, questions, tmp_path):
     )
 
 
+def test_an_id_that_comes_back_gives_each_source_once(spark, tmp_path):
+    paths = str(tmp_path / "c"), str(tmp_path / "m")
+    for rows in ([(1, "zebra runs"), (2, "zebra sleeps"), (4, "lion")], [(1, "zebra eats"), (3, "zebra drinks")]):
+        frame = spark.createDataFrame([(i, t, {}) for i, t in rows], DOCUMENTS)
+        ingest.ingest_upsert(spark, frame, *paths)
+    opened = retrieve.open_retriever(spark, *paths)
+    row = retrieve.hybrid_prompts(opened, spark.createDataFrame([(0, "zebra")], QUESTIONS), 3).first()
+    assert row.n_sources == 3 and [s["rank"] for s in row.source_documents] == [1, 2, 3]
+    assert "zebra runs" not in row.prompt
+
+
+def test_a_second_batch_does_not_hide_the_first(spark, tmp_path):
+    paths = str(tmp_path / "c"), str(tmp_path / "m")
+    for first, texts in ((0, ["zebra runs", "lion", "gnu"]), (3, ["sea", "salt", "ship"])):
+        frame = spark.createDataFrame([(first + n, t, {}) for n, t in enumerate(texts)], DOCUMENTS)
+        ingest.ingest_upsert(spark, frame, *paths)
+    opened = retrieve.open_retriever(spark, *paths)
+    assert opened.okapi.n_docs == 6 and opened.model.n_docs == 3
+    found = ranked_rows(opened.sparse(opened.ask(spark.createDataFrame([(0, "zebra")], QUESTIONS))))
+    assert [d for d, _ in found[0]] == [0]
+
+
 def test_model_slots(spark, docs, questions):
     def load():
         keys = ["sea", "bread", "ship", "river"]

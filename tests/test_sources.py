@@ -4,9 +4,10 @@ import pytest
 from conftest import TEXTS
 from pyspark.sql import functions as F
 
-from braidsearch.functions.text import stemmed, stop_words, word_tokens
-from braidsearch.operators import bm25, ranking
+from braidsearch.functions.text import analysis_of, simple_tokens, stemmed, words_without
+from braidsearch.operators import bm25
 from braidsearch.operators.index import build_index
+from braidsearch.plans import ingest, retrieve
 from braidsearch.schemas import DOCUMENTS
 from braidsearch.session import fresh_path, materialize, spread, workdir
 from braidsearch.sources import corpus, models
@@ -75,17 +76,66 @@ def test_upsert(spark, tmp_path):
     assert [(t.term, t.tf) for t in row.terms] == [("c", 1)] and len(row.embedding) == 16
 
 
-def test_large_batches_are_joined_by_shuffle(monkeypatch, spark, tmp_path):
-    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 0)
+@pytest.mark.parametrize("limit", ["-1", "10485760"])
+def test_upsert_keeps_every_text_and_id_once(spark, tmp_path, limit):
+    """The same rows go whether Spark broadcasts the keys or shuffles them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16)
+        for rows in (
+            [(5, "alpha sea", "1"), (6, "gamma", "1")], [(5, "beta salt", "2")], [(9, "alpha sea", "3")],
+        ):
+            collection.upsert(collection.encode(batch(spark, rows)))
+        assert state(collection) == [(5, "beta salt", "2"), (6, "gamma", "1"), (9, "alpha sea", "3")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_batch_may_repeat_ids(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16)
+    rows = batch(spark, [(1, "a", "x"), (1, "b", "y"), (2, "a", "z")]).withColumn("seq", F.expr("cast(metadata['v'] as string)"))
+    collection.upsert(collection.encode(rows))
+    assert state(collection) == [(1, "b", "y"), (2, "a", "z")]
+
+
+def files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_small_batch_writes_no_stored_row_again(spark, tmp_path):
     collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16)
-    collection.upsert(collection.encode(batch(spark, [(1, "a", "1"), (2, "b", "1")])))
-    collection.upsert(collection.encode(batch(spark, [(3, "a", "2")])))
-    assert state(collection) == [(2, "b", "1"), (3, "a", "2")]
-    keys = collection.read().select("content_id")
-    plan = collection._without(keys)._jdf.queryExecution().executedPlan().toString()
-    # the first scan is the one of the stored rows
-    above = plan.split("FileScan")[0]
-    assert "ShuffledHashJoin [doc_id" in above and "Exchange" not in above
+    collection.upsert(collection.encode(batch(spark, [(n, f"text {n}", "1") for n in range(200)])))
+    stored = files(tmp_path / "c" / "rows")
+    collection.upsert(collection.encode(batch(spark, [(7, "text seven", "2")])))
+    after = files(tmp_path / "c" / "rows")
+    assert stored.items() <= after.items()
+    added = spark.read.parquet(str(tmp_path / "c" / "rows" / "v000002"))
+    assert added.count() == 1 and collection.read().count() == 200
+
+
+def test_compact_and_remove_old(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16, buckets=2)
+    for n in range(3):
+        collection.upsert(collection.encode(batch(spark, [(1, f"text {n}", str(n)), (n + 10, "same", str(n))])))
+    wanted = state(collection)
+    assert collection.remove_old() == [] and state(collection) == wanted
+    collection.compact(buckets=3)
+    assert collection.remove_old() == [1, 2, 3] and state(collection) == wanted
+    assert sorted(p.name for p in (tmp_path / "c" / "rows").iterdir() if p.is_dir()) == ["v000004"]
+    assert collection.remove_old() == []
+    plan = collection.read().groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "3 out of 3" in plan or "Exchange" not in plan
+    collection.upsert(collection.encode(batch(spark, [(77, "later", "9")])))
+    assert len(state(collection)) == len(wanted) + 1
+
+
+def test_a_damaged_log_is_an_error(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16)
+    (tmp_path / "c" / "log").mkdir()
+    (tmp_path / "c" / "log" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|log"):
+        collection.version()
 
 
 def test_rebuild_keeps_copies(spark, tmp_path):
@@ -147,20 +197,19 @@ def test_model_roundtrip(spark, docs, tmp_path):
         assert getattr(loaded, field) == getattr(fitted, field)
 
 
-def english(text):
-    return stemmed(lambda t: word_tokens(t, stop_words("en")))(text)
+ENGLISH = stemmed(words_without("en"))
 
 
 def test_json_exchange(spark, docs, questions, tmp_path):
-    fitted = bm25.fit(build_index(docs, english))
+    fitted = bm25.fit(build_index(docs, ENGLISH), None, analysis_of(ENGLISH))
     path = str(tmp_path / "json")
     models.export_json(fitted, path)
     stats, df = models.import_json(spark, path)
     row = stats.first()
     assert (row.n_docs, row.avgdl, row.k1, row.b) == (6, fitted.avgdl, 1.2, 0.75)
-    assert row.lower_case and row.stem and row.language == "english"
+    assert row.lower_case and row.remove_stopwords and row.stem and row.language == "english"
     assert df.count() == fitted.n_terms
-    terms = bm25.question_terms(questions, english)
+    terms = bm25.question_terms(questions, ENGLISH)
     imported = models.imported_model(terms, stats, df)
 
     def weights(model):
@@ -169,13 +218,33 @@ def test_json_exchange(spark, docs, questions, tmp_path):
 
     assert weights(imported) == weights(fitted)
     assert (imported.n_terms, imported.sum_df) == (fitted.n_terms, fitted.sum_df)
+    assert imported.analysis == fitted.analysis
 
 
-def test_export_is_bounded(monkeypatch, spark, docs, tmp_path):
-    fitted = bm25.fit(build_index(docs))
-    monkeypatch.setattr(models, "EXPORT_TERMS", 3)
-    with pytest.raises(ValueError, match="Parquet"):
-        models.export_json(fitted, str(tmp_path / "json"))
+def test_json_of_simple_tokens_claims_no_stemming(spark, docs, tmp_path):
+    path = str(tmp_path / "json")
+    models.export_json(bm25.fit(build_index(docs), None, analysis_of(simple_tokens)), path)
+    row = models.import_json(spark, path)[0].first()
+    assert (row.lower_case, row.remove_stopwords, row.stem, row.language) == (True, False, False, None)
+
+
+def test_a_foreign_object_keeps_its_parameters(spark, questions, tmp_path):
+    path = tmp_path / "model.json"
+    known = {"indices": [3968454862, 1], "values": [2.0, 1.0]}
+    flags = {"lower_case": True, "remove_punctuation": True, "remove_stopwords": True, "stem": True, "language": "english"}
+    path.write_text(json.dumps({"avgdl": 4.5, "n_docs": 3, "doc_freq": known, "b": 0.6, "k1": 2.0, **flags}, indent=1))
+    stats, df = models.import_json_object(spark, str(path))
+    model = models.imported_model(bm25.question_terms(questions), stats, df)
+    assert (model.n_docs, model.avgdl, model.k1, model.b, model.n_terms) == (3, 4.5, 2.0, 0.6, 2)
+    assert model.analysis.stem and model.analysis.language == "english"
+
+
+def test_a_model_of_another_analyzer_is_refused(spark, docs, tmp_path):
+    path, model_path = str(tmp_path / "c"), str(tmp_path / "m")
+    ingest.ingest_upsert(spark, docs, path, model_path, analyzer=ENGLISH)
+    with pytest.raises(ValueError, match="fitted with"):
+        retrieve.open_retriever(spark, path, model_path)
+    assert retrieve.open_retriever(spark, path, model_path, ENGLISH).model.analysis.stem
 
 
 def test_work_folder(spark):
