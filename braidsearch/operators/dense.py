@@ -12,7 +12,7 @@ from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, top_by_sc
 from braidsearch.operators.scoring import Scoring, topk
 
 # Bits of a bucket number, bits in which a probed bucket may differ, hash tables.
-BITS, RADIUS, TABLES = 6, 1, 12
+BITS, RADIUS, TABLES = 10, 2, 12
 
 
 def dense_topk(

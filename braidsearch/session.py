@@ -32,14 +32,14 @@ def local_session(cores: str | int = "*", app: str = "braidsearch", **conf: str)
 def workdir(spark: SparkSession) -> str:
     """The shared folder for written intermediates: ``spark.checkpoint.dir`` when it is set.
 
-    Only a local master may fall back to a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so that is an error.
+    Only a master that is one process, as in tests, may fall back to a temporary folder; executors of
+    their own, ``local-cluster`` included, would not see it, so that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = context.applicationId
     if app not in _LOCAL_WORKDIRS:

@@ -308,14 +308,14 @@ scored AS (SELECT query_id, vec_id AS doc_id, list_sum(list_transform(range(1, 6
 LSH_BUCKETS = """
 planes AS MATERIALIZED (SELECT p, list(1 - 2 * (('0x' || substr(md5(p || ':' || d), 1, 8))::BIGINT % 2)
         ORDER BY d)::DOUBLE[] AS plane
-    FROM range(72) a(p), range(64) b(d) GROUP BY p),
-vb AS (SELECT vec_id, p // 6 AS t,
-        sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << (p % 6) ELSE 0 END)::BIGINT AS b
+    FROM range(120) a(p), range(64) b(d) GROUP BY p),
+vb AS (SELECT vec_id, p // 10 AS t,
+        sum(CASE WHEN list_dot_product(v, plane) >= 0 THEN 1 << (p % 10) ELSE 0 END)::BIGINT AS b
     FROM vec, planes GROUP BY ALL),
-cb AS (SELECT query_id, p // 6 AS t,
-        sum(CASE WHEN list_dot_product(c, plane) >= 0 THEN 1 << (p % 6) ELSE 0 END)::BIGINT AS b
+cb AS (SELECT query_id, p // 10 AS t,
+        sum(CASE WHEN list_dot_product(c, plane) >= 0 THEN 1 << (p % 10) ELSE 0 END)::BIGINT AS b
     FROM cent, planes GROUP BY ALL),
-met AS (SELECT DISTINCT query_id, vec_id FROM cb JOIN vb USING (t) WHERE bit_count(xor(cb.b, vb.b)) <= 1),
+met AS (SELECT DISTINCT query_id, vec_id FROM cb JOIN vb USING (t) WHERE bit_count(xor(cb.b, vb.b)) <= 2),
 scored AS (SELECT query_id, vec_id AS doc_id, list_dot_product(c, v) AS score
     FROM met JOIN cent USING (query_id) JOIN vec USING (vec_id))"""
 
