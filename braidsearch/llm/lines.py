@@ -76,8 +76,9 @@ def recurring_lines(
 ) -> DataFrame:
     """``key, at, line, template``: the lines of recurring templates, for each distinct text."""
     rows = leaves(docs, text, depth)
-    common = _recurring(rows.select("leaf", "key", "sketch"), "leaf", least)
-    rows = materialize(rows.join(common.hint("shuffle_hash"), "leaf"), "line-leaves")
+    # written first, so that the join stands alone and Spark may split a hot leaf in it
+    common = materialize(_recurring(rows.select("leaf", "key", "sketch"), "leaf", least), "line-common")
+    rows = materialize(rows.join(common, "leaf"), "line-leaves")
 
     # constants of a leaf: at most SHARE at each place
     tokens = rows.select("leaf", F.posexplode(F.split(F.expr(MASKED.format("line")), " ")).alias("place", "token"))
