@@ -4,11 +4,11 @@ Every line is led down a tree of fixed depth: first its number of tokens, then i
 tokens, where a token that holds a digit is a variable field. Lines that end in one leaf and come
 from enough documents are generalised: a token at a place of the leaf is constant if `LEAST_DOCS`
 lines of the leaf and one in `SHARE` of them have it there, anything else is a variable field. What
-is constant in a line is its template, if that is at least `CONSTANT` of its tokens. A template recurs if it stands in
-`LEAST_DOCS` documents that are told apart by a sketch, the smallest and largest hash of their lines,
-and if these sketches are at least half as many as the texts that hold it: near copies of a text
-share nearly all lines and mostly the sketch, and are left to near-duplicate removal. Lines of recurring
-templates are dropped from all documents.
+is constant in a line is its template, if that is at least `CONSTANT` of its tokens. A template recurs if texts of
+`LEAST_DOCS` families hold it; a family is the near copies of one text, found by their shingles at the
+similarity at which near-duplicates are removed (`families`), so a text and its near copies count once and are
+left to near-duplicate removal, however many they are, and veto no line that other texts hold too.
+Lines of recurring templates are dropped from all documents.
 
 Only DataFrame functions run. Leaves and templates are counted by aggregates that combine in each
 task first, never gathered; texts are named by their content, so copies of a text are one; lines go
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidsearch.llm import families as fm
 from braidsearch.llm import words as wd
 from braidsearch.session import materialize
 
@@ -32,6 +33,8 @@ LEAST_DOCS = 8
 SHARE = 16
 # Least part of a line that is constant in its template.
 CONSTANT = 0.7
+# Shingle similarity from which two texts are of one family, as in `neardup`.
+SIMILAR = 0.8
 
 # A token that holds a digit is a variable field.
 FIELD = "<*>"
@@ -46,38 +49,46 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def leaves(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """``key, line, at, leaf, sketch`` for every line that is not blank, texts named by content."""
-    lines = _texts(docs, text).withColumn("lines", F.split("text", "\n")).drop("text")
-    hashes = lines.withColumn("hashes", F.expr("transform(lines, l -> xxhash64(l))"))
-    sketched = hashes.withColumn("sketch", F.xxhash64(F.array_min("hashes"), F.array_max("hashes")))
-    each = sketched.select("key", "sketch", F.posexplode("lines").alias("at", "line"))
-    each = each.withColumn("line", F.trim("line")).filter(F.col("line") != "")
+    """``key, id, line, at, leaf`` for every line that is not blank, texts named by content."""
+    lines = _texts(docs, text).select("key", F.xxhash64("key").alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    each = lines.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     # every blank ends a token, so the number of tokens needs no list of them
     size = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
     leading = F.substring_index("line", " ", depth)
     masked = F.when(leading.rlike("[0-9]"), F.expr(MASKED.format(f"substring_index(line, ' ', {depth})")))
     leaf = F.xxhash64(size, F.coalesce(masked, leading))
-    return each.select("key", "line", "at", leaf.alias("leaf"), "sketch")
+    return each.select("key", "id", "line", "at", leaf.alias("leaf"))
 
 
-def _recurring(rows: DataFrame, key: str, least: int) -> DataFrame:
-    """The ``key`` values held by at least ``least`` sketches and half as many as texts.
+def families(docs: DataFrame, text: str) -> DataFrame:
+    """``id, family`` of the texts that have near copies."""
+    texts = _texts(docs, text).select(F.xxhash64("key").alias("id"), "text")
+    return fm.connected(fm.edges(texts, SIMILAR), "family")
 
-    Two aggregates: rows of one text meet in the first, so a hot key is spread by text.
+
+def _recurring(rows: DataFrame, key: str, least: int, near: DataFrame) -> DataFrame:
+    """The ``key`` values held by texts of at least ``least`` families.
+
+    Aggregates of ids: rows of one text meet in the first, texts of one family in the second, so a hot
+    key is spread by text.
     """
-    texts = rows.groupBy(key, "key").agg(F.min("sketch").alias("sketch"))
-    sketches = texts.groupBy(key, "sketch").agg(F.count("*").alias("texts"))
-    held = sketches.groupBy(key).agg(F.count("*").alias("sketches"), F.sum("texts").alias("texts"))
-    return held.filter((F.col("sketches") >= least) & (2 * F.col("sketches") >= F.col("texts"))).select(key)
+    texts = rows.groupBy(key, "id").agg(F.count("*").alias("n"))
+    # fewer texts are fewer families
+    many = texts.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(key)
+    named = texts.join(many, key).join(near, "id", "left").select(key, F.coalesce("family", "id").alias("family"))
+    held = named.groupBy(key, "family").agg(F.count("*").alias("texts"))
+    held = held.groupBy(key).agg(F.count("*").alias("families"))
+    return held.filter(F.col("families") >= least).select(key)
 
 
 def recurring_lines(
     docs: DataFrame, text: str = "text", depth: int = DEPTH, least: int = LEAST_DOCS
 ) -> DataFrame:
     """``key, at, line, template``: the lines of recurring templates, for each distinct text."""
+    near = families(docs, text)
     rows = leaves(docs, text, depth)
     # written first, so that the join stands alone and Spark may split a hot leaf in it
-    common = materialize(_recurring(rows.select("leaf", "key", "sketch"), "leaf", least), "line-common")
+    common = materialize(_recurring(rows.select("leaf", "id"), "leaf", least, near), "line-common")
     rows = materialize(rows.join(common, "leaf"), "line-leaves")
 
     # constants of a leaf: at most SHARE at each place
@@ -91,15 +102,15 @@ def recurring_lines(
     )
     placed = F.expr(f"transform(split({MASKED.format('line')}, ' '), (t, i) -> concat(i, ':', t))")
     held = rows.join(constants, "leaf").withColumn("placed", placed).select(
-        "key", "at", "line", "sketch", "leaf",
+        "key", "id", "at", "line", "leaf",
         F.size("placed").alias("size"), F.array_intersect("placed", "constants").alias("constant"),
     )
     constant = held.filter(F.size("constant") >= F.lit(CONSTANT) * F.col("size"))
     constant = constant.select(
-        "key", "at", "line", "sketch", F.xxhash64("leaf", "constant").alias("template")
+        "key", "id", "at", "line", F.xxhash64("leaf", "constant").alias("template")
     )
     constant = materialize(constant, "line-templates")
-    again = _recurring(constant.select("template", "key", "sketch"), "template", least)
+    again = _recurring(constant.select("template", "id"), "template", least, near)
     return constant.join(again, "template").select("key", "at", "line", "template")
 
 

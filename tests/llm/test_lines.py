@@ -65,3 +65,24 @@ def test_edges(edge, nothing):
 def test_only_spark_functions_run(docs):
     plan = ln.drop_recurring_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def cleaned(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [r.text for r in ln.drop_recurring_lines(rows).orderBy("doc_id").collect()]
+
+
+def one_edit(text, n):
+    words = text.split(" ")
+    words[n % len(words)] = f"edit{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}"
+    return " ".join(words)
+
+
+def test_a_large_family_of_near_copies_vetoes_no_shared_line(spark):
+    shared = sentence(60, 1)
+    unrelated = [f"{sentence(9, 100 + n)}\n{shared}\n{sentence(9, 9000 + n)}" for n in range(20)]
+    body = [sentence(10, 20_000 + n) for n in range(31)]
+    near = ["\n".join([one_edit(" ".join(body[:1]), n), *body[1:15], shared, *body[15:]]) for n in range(10)]
+    near += ["\n".join([*body[:k], one_edit(body[k], n), *body[k + 1 : 31], shared]) for k in range(31) for n in range(3)]
+    after = cleaned(spark, unrelated + near)
+    assert after == [text.replace(f"{shared}\n", "").replace(f"\n{shared}", "") for text in unrelated + near]
