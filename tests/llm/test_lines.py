@@ -86,3 +86,16 @@ def test_a_large_family_of_near_copies_vetoes_no_shared_line(spark):
     near += ["\n".join([*body[:k], one_edit(body[k], n), *body[k + 1 : 31], shared]) for k in range(31) for n in range(3)]
     after = cleaned(spark, unrelated + near)
     assert after == [text.replace(f"{shared}\n", "").replace(f"\n{shared}", "") for text in unrelated + near]
+
+
+@pytest.mark.parametrize("own", [1, 4])
+def test_a_passage_of_several_lines_in_short_texts_goes(spark, own):
+    passage = "\n".join(sentence(9, n) for n in range(6))
+    texts = [passage + "".join(f"\n{sentence(9, 1000 + 10 * n + k)}" for k in range(own)) for n in range(40)]
+    assert cleaned(spark, texts) == [text.removeprefix(f"{passage}\n") for text in texts]
+
+
+def test_word_edits_in_long_lines_lose_no_text(spark):
+    body = [sentence(150, n) for n in range(3)]
+    texts = ["\n".join(one_edit(line, 150 * n + 40 + k) for k, line in enumerate(body)) for n in range(16)]
+    assert cleaned(spark, texts) == texts
