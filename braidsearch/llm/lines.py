@@ -3,7 +3,9 @@
 Every line is led down a tree of fixed depth: first its number of tokens, then its leading `DEPTH`
 tokens, where a token that holds a digit is a variable field. Lines that end in one leaf and come
 from enough documents are generalised: a token at a place of the leaf is constant if `LEAST_DOCS`
-lines of the leaf and one in `SHARE` of them have it there, anything else is a variable field. What
+lines of the leaf have it there, anything else is a variable field. A second template of the line takes
+as constant only what one in `SHARE` lines of the leaf has too, and the line with its digits masked is a
+third, whatever else its leaf holds; one of them that recurs is enough. What
 is constant in a line is its template, if that is at least `CONSTANT` of its tokens. A template recurs if texts of
 `LEAST_DOCS` families hold it; a family is the near copies of one text, found by their shingles at the
 similarity at which near-duplicates are removed (`families`), so a text and its near copies count once and are
@@ -91,27 +93,41 @@ def recurring_lines(
     common = materialize(_recurring(rows.select("leaf", "id"), "leaf", least, near), "line-common")
     rows = materialize(rows.join(common, "leaf"), "line-leaves")
 
-    # constants of a leaf: at most SHARE at each place
-    tokens = rows.select("leaf", F.posexplode(F.split(F.expr(MASKED.format("line")), " ")).alias("place", "token"))
-    sizes = rows.groupBy("leaf").agg(F.count("*").alias("lines"))
+    rows = rows.withColumn("whole", F.xxhash64("leaf", F.expr(MASKED.format("line"))))
+    split = f"split({MASKED.format('line')}, ' ')"
+    tokens = rows.select("key", "at", "leaf", F.posexplode(F.expr(split)).alias("place", "token"))
     counted = tokens.filter(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
-    often = counted.filter(F.col("n") >= least).join(sizes, "leaf")
-    often = often.filter(F.col("n") * SHARE >= F.col("lines"))
-    constants = often.groupBy("leaf").agg(
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("lines"))
+    often = materialize(counted.filter(F.col("n") >= least).join(sizes, "leaf"), "line-constants")
+
+    # constants of one in SHARE lines: at most SHARE at each place
+    constants = often.filter(F.col("n") * SHARE >= F.col("lines")).groupBy("leaf").agg(
         F.collect_list(F.concat_ws(":", "place", "token")).alias("constants")
     )
-    placed = F.expr(f"transform(split({MASKED.format('line')}, ' '), (t, i) -> concat(i, ':', t))")
-    held = rows.join(constants, "leaf").withColumn("placed", placed).select(
-        "key", "id", "at", "line", "leaf",
-        F.size("placed").alias("size"), F.array_intersect("placed", "constants").alias("constant"),
+    placed = F.expr(f"transform({split}, (t, i) -> concat(i, ':', t))")
+    size = F.size(F.expr(split))
+    held = rows.join(constants, "leaf").select(
+        "key", "id", "at", "line", "leaf", size.alias("size"),
+        F.array_intersect(placed, "constants").alias("constant"),
     )
-    constant = held.filter(F.size("constant") >= F.lit(CONSTANT) * F.col("size"))
-    constant = constant.select(
-        "key", "id", "at", "line", F.xxhash64("leaf", "constant").alias("template")
-    )
-    constant = materialize(constant, "line-templates")
-    again = _recurring(constant.select("template", "id"), "template", least, near)
-    return constant.join(again, "template").select("key", "at", "line", "template")
+
+    # in fuller leaves also constants of any share, joined token by token as they have no bound
+    rarer = often.filter(F.col("lines") > SHARE * least).select("leaf", "place", "token")
+    found = tokens.join(rarer, ["leaf", "place", "token"])
+    # repeated rows have one key and are one line
+    found = found.groupBy("key", "at").agg(F.array_sort(F.collect_set(F.struct("place", "token"))).alias("found"))
+    in_full = rows.join(found, ["key", "at"]).select(
+        "key", "id", "at", "line", "leaf", size.alias("size"),
+        F.transform("found", lambda f: F.concat_ws(":", f["place"], f["token"])).alias("constant"),
+    )
+
+    constant = held.unionByName(in_full).filter(F.size("constant") >= F.lit(CONSTANT) * F.col("size"))
+    template = F.xxhash64("leaf", "constant").alias("template")
+    whole = rows.select("key", "id", "at", "line", F.col("whole").alias("template"))
+    templates = materialize(constant.select("key", "id", "at", "line", template).unionByName(whole), "line-templates")
+    again = _recurring(templates.select("template", "id"), "template", least, near)
+    lines = templates.join(again, "template").groupBy("key", "at")
+    return lines.agg(F.first("line").alias("line"), F.min("template").alias("template"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:

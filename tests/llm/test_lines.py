@@ -99,3 +99,13 @@ def test_word_edits_in_long_lines_lose_no_text(spark):
     body = [sentence(150, n) for n in range(3)]
     texts = ["\n".join(one_edit(line, 150 * n + 40 + k) for k, line in enumerate(body)) for n in range(16)]
     assert cleaned(spark, texts) == texts
+
+
+def test_a_full_leaf_hides_no_line(spark):
+    head = sentence(4, 77)
+    shared = f"{head} {sentence(16, 78)}"
+    named = [f"{head} {sentence(15, 79)} name{'abcdefghijkl'[n]}" for n in range(12)]
+    texts = [f"{sentence(9, 100 + n)}\n{shared}\n{named[n]}" for n in range(12)]
+    other = [f"{head} {sentence(16, 4000 + n)}" for n in range(400)]
+    after = cleaned(spark, [*texts, *other])
+    assert after == [*(text.split("\n")[0] for text in texts), *other]
