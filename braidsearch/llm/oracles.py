@@ -200,6 +200,61 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM docs LEFT JOIN found USING (r)
 """
 
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(name) for name in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+# CRC-32 of ASCII digits: each byte is mixed in, then eight times shifted (marked by -1)
+CRC = """list_reduce(
+  list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)"""
+
+OP12 = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS more,
+    doc_id IS NOT NULL AND xor({CRC}, 4294967295) % 7 = 0 AS tampered
+  FROM documents
+), placed AS (
+  SELECT *, coalesce('=' || lang, '') AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), nodes AS (
+  SELECT tree, 0 AS level, pos AS i, n, leaf AS hash FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2, n
+), subroots AS (
+  SELECT tree, hash AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos AS i, n, subroot AS hash FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY i))
+  FROM top WHERE n > 1 GROUP BY level, i // 2, n
+), paths AS (
+  SELECT p.tree, p.pos, 0 AS level, p.pos AS i, p.n, '' AS given,
+    CASE WHEN tampered THEN more ELSE leaf END AS folded FROM placed p
+  UNION ALL
+  SELECT p.tree, p.pos, p.level + 1, p.i // 2, (p.n + 1) // 2, given || coalesce(b.hash, ''),
+    CASE WHEN p.i % 2 = 1 THEN sha256(b.hash || folded) ELSE sha256(folded || coalesce(b.hash, '')) END
+  FROM paths p LEFT JOIN nodes b ON b.tree = p.tree AND b.level = p.level AND b.i = xor(p.i, 1) WHERE p.n > 1
+), whole AS (
+  SELECT p.tree, p.pos, 0 AS level, s.pos AS i, s.n, given, folded FROM paths p JOIN subroots s USING (tree) WHERE p.n = 1
+  UNION ALL
+  SELECT w.tree, w.pos, w.level + 1, w.i // 2, (w.n + 1) // 2, given || coalesce(b.hash, ''),
+    CASE WHEN w.i % 2 = 1 THEN sha256(b.hash || folded) ELSE sha256(folded || coalesce(b.hash, '')) END
+  FROM whole w LEFT JOIN top b ON b.level = w.level AND b.i = xor(w.i, 1) WHERE w.n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(given) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM placed JOIN subroots USING (tree) JOIN (SELECT tree, pos, given, folded FROM whole WHERE n = 1) w
+  ON w.tree = placed.tree AND w.pos = placed.pos, (SELECT hash AS root FROM top WHERE n = 1)
+"""
+
+
 ORACLES = {
     "op1_length_buckets": OP1,
     "op2_license_scan": OP2,
@@ -207,4 +262,5 @@ ORACLES = {
     "op5_decontaminate": OP5,
     "op8_secret_scan": OP8,
     "op10_exact_topk": OP10,
+    "op12_merkle_manifest": OP12,
 }

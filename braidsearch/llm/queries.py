@@ -9,6 +9,7 @@ from braidsearch.llm import (
     decontaminate,
     licenses,
     lines,
+    merkle,
     neardup,
     packing,
     secrets,
@@ -138,9 +139,16 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors.filter("vec_id % 50 = 0"), vectors, 5)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    held = merkle.checked(merkle.document_manifest(docs, tampered))
+    return held.withColumnRenamed("row_id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 REGISTERED = [
     op1_length_buckets, op2_license_scan, op3_packed_ids, op4_shard_table, op5_decontaminate, op6_toxicity,
-    op7_dart_minhash, op8_secret_scan, op9_line_templates, op10_exact_topk,
+    op7_dart_minhash, op8_secret_scan, op9_line_templates, op10_exact_topk, op12_merkle_manifest,
 ]
 
 
