@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from braidsearch.llm import (
     decontaminate,
+    divergence,
     licenses,
     lines,
     merkle,
@@ -146,9 +147,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumnRenamed("row_id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 REGISTERED = [
     op1_length_buckets, op2_license_scan, op3_packed_ids, op4_shard_table, op5_decontaminate, op6_toxicity,
     op7_dart_minhash, op8_secret_scan, op9_line_templates, op10_exact_topk, op12_merkle_manifest,
+    op13_source_divergence,
 ]
 
 
