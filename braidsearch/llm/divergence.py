@@ -43,8 +43,8 @@ TOP = 50
 HELD = 1 << 18
 # Bytes of a text that are cut at once.
 PIECE = 1 << 20
-# Rows of a chunk, sources of a block, numbers of a matrix.
-CHUNK_ROWS, BLOCK, CELLS = 1 << 18, 256, 1 << 20
+# Least rows of a chunk, sources of a block, numbers of a matrix.
+CHUNK_ROWS, BLOCK, CELLS = 1 << 14, 256, 1 << 20
 # Rows that are added to a partition's skyband at once, and skybands that are merged in one task.
 BUFFER, FAN_IN = 1 << 16, 32
 
@@ -189,7 +189,9 @@ def pairs(audit: Audit, chunk_rows: int = CHUNK_ROWS, block: int = BLOCK) -> Dat
     """``lang, source, item, value, rank``: the distance of each source to each other one of its language."""
     groups = audit.groups.withColumn("base", share(F.lit(0).cast("bigint"), F.col("total"), F.col("v")))
     groups = groups.withColumn("base", F.coalesce("base", F.lit(0)))
-    chunks = F.ceil((F.col("rows") + 1) / chunk_rows)
+    # a chunk reads at least as many rows as it returns sums
+    most = F.greatest(F.lit(chunk_rows), F.col("sources") * F.least("sources", F.lit(block)))
+    chunks = F.ceil((F.col("rows") + 1) / most)
     blocks = F.ceil(F.col("sources") / block)
     every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block")
     dealt = audit.terms.join(groups, ["lang", "source"]).select(

@@ -13,6 +13,7 @@ from braidsearch.llm import (
     merkle,
     neardup,
     packing,
+    pii,
     secrets,
     sharding,
     tokenids,
@@ -140,6 +141,23 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors.filter("vec_id % 50 = 0"), vectors, 5)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = pii.with_spans(docs, pii.fit(docs), "spans")
+    spans = F.col("spans")
+
+    def count(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in pii.BASE),
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined(spans).alias("spans"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(*merkle.FIELDS)
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
@@ -153,8 +171,8 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = [
     op1_length_buckets, op2_license_scan, op3_packed_ids, op4_shard_table, op5_decontaminate, op6_toxicity,
-    op7_dart_minhash, op8_secret_scan, op9_line_templates, op10_exact_topk, op12_merkle_manifest,
-    op13_source_divergence,
+    op7_dart_minhash, op8_secret_scan, op9_line_templates, op10_exact_topk, op11_personal_data,
+    op12_merkle_manifest, op13_source_divergence,
 ]
 
 
