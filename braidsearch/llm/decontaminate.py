@@ -175,7 +175,7 @@ def with_hits(
     for n, items in enumerate(blocks(benchmark, item_text, item_id, block_words)):
         if n:  # one set in memory at a time
             out = materialize(out, "decontaminate")
-        out = out.mapInArrow(one_pass(Windows(items, width), bool(n)), schema)
+        out = wd.mapped(out, one_pass(Windows(items, width), bool(n)), schema)
     return out
 
 
@@ -215,4 +215,4 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **optio
             columns[at] = pa.array(kept, texts.type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.mapInArrow(run, docs.schema)
+    return wd.mapped(found, run, docs.schema)

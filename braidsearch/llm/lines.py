@@ -10,11 +10,15 @@ is constant in a line is its template, if that is at least `CONSTANT` of its tok
 `LEAST_DOCS` families hold it; a family is the near copies of one text, found by their shingles at the
 similarity at which near-duplicates are removed (`families`), so a text and its near copies count once and are
 left to near-duplicate removal, however many they are, and veto no line that other texts hold too.
-Lines of recurring templates are dropped from all documents.
+
+A line of `LONG` tokens or more does not repeat by chance: word for word it recurs from `LONG_DOCS` families
+on, whose texts are not even half alike (`HALF`), so that versions of one text keep what they share.
+Lines of recurring templates are dropped from all documents; lines held by fewer families stay.
 
 Only DataFrame functions run. Leaves and templates are counted by aggregates that combine in each
 task first, never gathered; texts are named by their content, so copies of a text are one; lines go
-through one shuffle, texts through one more, when the lines to drop are joined to them.
+through one shuffle. Families are formed among the texts that hold a line repeated in texts enough, so only their
+words are read for them. Texts go through one shuffle more, when the lines to drop are joined to them.
 
 Defined results: null texts stay null, empty ones empty; blank lines are kept and belong to no
 template; line ends are ``\\n``; a text all of whose lines recur becomes empty; repeated rows and
@@ -35,8 +39,12 @@ LEAST_DOCS = 8
 SHARE = 16
 # Least part of a line that is constant in its template.
 CONSTANT = 0.7
-# Shingle similarity from which two texts are of one family, as in `neardup`.
+# Tokens of a long line, and the families from which on it recurs.
+LONG = 50
+LONG_DOCS = 2
+# Shingle similarity from which two texts are of one family, as in `neardup`, and for long lines.
 SIMILAR = 0.8
+HALF = 0.5
 
 # A token that holds a digit is a variable field.
 FIELD = "<*>"
@@ -51,7 +59,10 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def leaves(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """``key, id, line, at, leaf`` for every line that is not blank, texts named by content."""
+    """``key, id, line, at, size, leaf, long`` for every line that is not blank, texts named by content.
+
+    ``long`` names the line itself, null for short ones.
+    """
     lines = _texts(docs, text).select("key", F.xxhash64("key").alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     each = lines.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     # every blank ends a token, so the number of tokens needs no list of them
@@ -59,39 +70,60 @@ def leaves(docs: DataFrame, text: str, depth: int) -> DataFrame:
     leading = F.substring_index("line", " ", depth)
     masked = F.when(leading.rlike("[0-9]"), F.expr(MASKED.format(f"substring_index(line, ' ', {depth})")))
     leaf = F.xxhash64(size, F.coalesce(masked, leading))
-    return each.select("key", "id", "line", "at", leaf.alias("leaf"))
+    long = F.when(size >= LONG, F.xxhash64(F.lit("long"), "line"))
+    return each.select("key", "id", "line", "at", size.alias("size"), leaf.alias("leaf"), long.alias("long"))
 
 
-def families(docs: DataFrame, text: str) -> DataFrame:
-    """``id, family`` of the texts that have near copies."""
-    texts = _texts(docs, text).select(F.xxhash64("key").alias("id"), "text")
-    return fm.connected(fm.edges(texts, SIMILAR), "family")
+def families(docs: DataFrame, text: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, family`` of the texts among ``held`` (id) that have near copies there: near ones, and half alike."""
+    texts = _texts(docs, text).select(F.xxhash64("key").alias("id"), "text").join(held, "id", "left_semi")
+    edges = fm.edges(texts, HALF)
+    return fm.connected(edges.filter(F.col("similar") >= SIMILAR), "family"), fm.connected(edges, "family")
 
 
-def _recurring(rows: DataFrame, key: str, least: int, near: DataFrame) -> DataFrame:
-    """The ``key`` values held by texts of at least ``least`` families.
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """``key, id`` of the keys held by at least ``least`` (a column of ``rows``) texts.
 
-    Aggregates of ids: rows of one text meet in the first, texts of one family in the second, so a hot
-    key is spread by text.
+    Rows of one text meet in the first aggregate, so a hot key is spread by text.
     """
-    texts = rows.groupBy(key, "id").agg(F.count("*").alias("n"))
+    texts = rows.groupBy(key, "id").agg(F.first("least").alias("least"))
+    many = texts.groupBy(key).agg(F.count("*").alias("n"), F.first("least").alias("least"))
+    return texts.join(many.filter(F.col("n") >= F.col("least")).select(key), key)
+
+
+def _recurring(docs: DataFrame, text: str, templates: DataFrame) -> DataFrame:
+    """The templates held by texts of enough families."""
     # fewer texts are fewer families
-    many = texts.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(key)
-    named = texts.join(many, key).join(near, "id", "left").select(key, F.coalesce("family", "id").alias("family"))
-    held = named.groupBy(key, "family").agg(F.count("*").alias("texts"))
-    held = held.groupBy(key).agg(F.count("*").alias("families"))
-    return held.filter(F.col("families") >= least).select(key)
+    held = materialize(_repeated(templates, "template"), "line-held")
+    near, half = families(docs, text, held.select("id").distinct())
+    parts = []
+    for long, family in ((False, near), (True, half)):
+        mine = held.filter(F.col("least").eqNullSafe(LONG_DOCS) == F.lit(long))
+        named = mine.join(family, "id", "left").select("template", "least", F.coalesce("family", "id").alias("family"))
+        # texts of one family meet in the first aggregate
+        found = named.groupBy("template", "family").agg(F.first("least").alias("least"))
+        found = found.groupBy("template").agg(F.count("*").alias("families"), F.first("least").alias("least"))
+        parts.append(found.filter(F.col("families") >= F.col("least")).select("template"))
+    return parts[0].unionByName(parts[1]).distinct()
 
 
 def recurring_lines(
     docs: DataFrame, text: str = "text", depth: int = DEPTH, least: int = LEAST_DOCS
 ) -> DataFrame:
     """``key, at, line, template``: the lines of recurring templates, for each distinct text."""
-    near = families(docs, text)
-    rows = leaves(docs, text, depth)
-    # written first, so that the join stands alone and Spark may split a hot leaf in it
-    common = materialize(_recurring(rows.select("leaf", "id"), "leaf", least, near), "line-common")
-    rows = materialize(rows.join(common, "leaf"), "line-leaves")
+    every = leaves(docs, text, depth)
+    # written first, so that the joins stand alone and Spark may split a hot leaf in them
+    keys = F.array(
+        F.struct(F.col("leaf").alias("leaf"), F.lit(least).alias("least")),
+        F.struct(F.col("long").alias("leaf"), F.lit(LONG_DOCS).alias("least")),
+    )
+    counted = every.select("id", F.inline(keys)).filter("leaf is not null")
+    common = materialize(_repeated(counted, "leaf").select("leaf", "least").distinct(), "line-common")
+    rows = every.drop("size", "long").join(common.filter(F.col("least") == least).select("leaf"), "leaf")
+    rows = materialize(rows, "line-leaves")
+    long = every.select("key", "id", "at", "line", F.col("long").alias("template")).join(
+        common.filter(F.col("least") == LONG_DOCS).select(F.col("leaf").alias("template")), "template"
+    )
 
     rows = rows.withColumn("whole", F.xxhash64("leaf", F.expr(MASKED.format("line"))))
     split = f"split({MASKED.format('line')}, ' ')"
@@ -124,8 +156,10 @@ def recurring_lines(
     constant = held.unionByName(in_full).filter(F.size("constant") >= F.lit(CONSTANT) * F.col("size"))
     template = F.xxhash64("leaf", "constant").alias("template")
     whole = rows.select("key", "id", "at", "line", F.col("whole").alias("template"))
-    templates = materialize(constant.select("key", "id", "at", "line", template).unionByName(whole), "line-templates")
-    again = _recurring(templates.select("template", "id"), "template", least, near)
+    of_leaves = constant.select("key", "id", "at", "line", template).unionByName(whole)
+    templates = of_leaves.withColumn("least", F.lit(least)).unionByName(long.withColumn("least", F.lit(LONG_DOCS)))
+    templates = materialize(templates, "line-templates")
+    again = _recurring(docs, text, templates.select("template", "id", "least"))
     lines = templates.join(again, "template").groupBy("key", "at")
     return lines.agg(F.first("line").alias("line"), F.min("template").alias("template"))
 

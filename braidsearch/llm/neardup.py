@@ -44,6 +44,8 @@ SIMILAR = 0.8
 ROWS, BANDS = 5, 24
 # Height of the lowest rank cell; each further one is as high as all below it.
 LOWEST = 0.125
+# Texts whose darts a task throws at once: some 800 each, however short they are.
+SIGNED = 512
 # Members of a bucket on each side of a tile, rows that a task compares at once, and shared elements it
 # holds.
 TILE, GROUP_ROWS, SHARED = 256, 2000, 1 << 21
@@ -141,11 +143,11 @@ def signatures(doc, key, weight, n: int, k: int) -> np.ndarray:
     while left.any():
         mine = left[doc]
         first = np.full(n * k, np.inf)
-        parts = list(_darts(doc[mine], key[mine], weight[mine], reach, k))
-        for text, coordinate, rank, _ in parts:
-            np.minimum.at(first, text * k + coordinate, rank)
-        for text, coordinate, rank, dart in parts:
-            won = rank == first[text * k + coordinate]
+        # darts of one cell at a time, each beside the earliest so far
+        for text, coordinate, rank, dart in _darts(doc[mine], key[mine], weight[mine], reach, k):
+            place = text * k + coordinate
+            np.minimum.at(first, place, rank)
+            won = rank == first[place]
             found[text[won], coordinate[won]] = dart[won]
         empty = np.isinf(first).reshape(n, k).any(axis=1)
         left &= empty
@@ -174,7 +176,7 @@ def _copy_keys(cut: wd.Cut) -> list[bytes | None]:
 def _signed(rows: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, cut in wd.cuts(batch.column(1)):
+            for low, high, cut in wd.cuts(batch.column(1), SIGNED):
                 doc, key, weight = shingles(cut)
                 found = signatures(doc, key, weight.astype(float), high - low, rows * n_bands)
                 keys = bands(found, rows).astype(np.int64)
@@ -377,7 +379,9 @@ def _across(buckets: DataFrame, found: DataFrame, elements: DataFrame, similar:
 
     left = tiled(mixed.filter(F.col("class") != F.col("main")), "down", down, "over", over)
     right = tiled(mixed, "over", over, "down", down)
-    groups = max(1, mixed.count() // GROUP_ROWS)
+    # rows of all tiles, counted before any is made
+    tiles = F.sum((F.col("outside") * over + F.col("all") * down) / F.col("all"))
+    groups = max(1, int(mixed.agg(tiles).first()[0] or 0) // GROUP_ROWS)
 
     def dealt(rows: DataFrame):
         return rows.groupBy(F.pmod(F.xxhash64("tile"), F.lit(groups)).alias("group"))
@@ -445,7 +449,7 @@ def _with_copy_key(docs: DataFrame, name: str) -> DataFrame:
             keys = [key for _, _, cut in wd.cuts(batch.column(at)) for key in _copy_keys(cut)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return wd.mapped(docs, run, schema)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -460,19 +464,16 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     goes = rows.filter(
         ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("copy") == F.col("stays.copy")))
     )
-    goes = materialize(
-        goes.select(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy")), "neardup-gone"
-    )
+    key, gone_id, gone_copy = (wd.free_name(docs, name) for name in ("copy", "gone_id", "gone_copy"))
+    goes = materialize(goes.select(F.col("doc_id").alias(gone_id), F.col("copy").alias(gone_copy)), "neardup-gone")
     if goes.count() * 48 <= BROADCAST_BYTES:
         goes = F.broadcast(goes)
-    key = wd.free_name(docs, "copy")
     keyed = _with_copy_key(docs, key)
-    kept = keyed.join(
-        goes, (F.col(key) == F.col("gone_copy")) & keyed["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti"
-    )
+    same = (F.col(key) == F.col(gone_copy)) & F.col("doc_id").eqNullSafe(F.col(gone_id))
+    kept = keyed.join(goes, same, "left_anti")
     repeats = found.groupBy("doc_id", "copy").count().filter(F.col("count") > 1)
     if not repeats.isEmpty():
         kept = kept.filter(F.col(key).isNotNull()).dropDuplicates(["doc_id", key]).union(
             kept.filter(F.col(key).isNull())
         )
-    return kept.drop(key)
+    return kept.select(*wd.quoted(docs))

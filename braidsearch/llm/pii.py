@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from braidsearch.llm import words as wd
 from braidsearch.session import materialize
 
 # Different candidates on which the classifier is fitted, its hashed features, least probability of a span.
@@ -444,7 +445,7 @@ def with_spans(docs: DataFrame, model: Model, spans: str, text: str = "text", li
             found = [text_spans(value or "", model, limit) for value in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return wd.mapped(docs, run, schema)
 
 
 def joined(spans: Column) -> Column:
@@ -472,4 +473,4 @@ def redacted(docs: DataFrame, model: Model, text: str = "text", limit: float = L
             columns[at] = pa.array([one(value) for value in columns[at].to_pylist()], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return wd.mapped(docs, run, docs.schema)

@@ -75,12 +75,12 @@ def place(
     owners = table(docs.sparkSession, shards, slots)
     owners = owners.select(F.col("slot").alias(slot), F.col("shard").alias(shard))
     slotted = docs.withColumn(slot, slot_of(F.col(key), slots))
-    return slotted.join(F.broadcast(owners), slot).select(*docs.columns, slot, shard)
+    return slotted.join(F.broadcast(owners), slot).select(*wd.quoted(docs), slot, shard)
 
 
 def write_shards(docs: DataFrame, path: str, files: int = 1, **options) -> None:
     """Write ``docs`` to a folder for each shard, every shard in up to ``files`` parts."""
     placed = place(docs, **options)
     slot, shard = placed.columns[-2:]
-    part = F.pmod(F.xxhash64(*docs.columns), F.lit(files))
+    part = F.pmod(F.xxhash64(*wd.quoted(docs)), F.lit(files))
     placed.repartition(shard, part).drop(slot).write.partitionBy(shard).parquet(path)

@@ -267,7 +267,7 @@ def with_severity(docs: DataFrame, model: Model, severity: str, text: str = "tex
             )
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return wd.mapped(docs, run, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:

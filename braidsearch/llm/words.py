@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What stands between words, once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,6 +50,23 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name; ``run`` returns columns in the order of ``schema``."""
+    plain = T.StructType([T.StructField(f"c{n}", field.dataType) for n, field in enumerate(schema)])
+
+    def numbered(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain.names)
+
+    rows = df.toDF(*(f"c{n}" for n in range(len(df.columns))))
+    return rows.mapInArrow(numbered, plain).toDF(*schema.names)
+
+
 def _byte_codes() -> np.ndarray:
     """A 64-bit number for each byte; 0 for separators, equal for A-Z and a-z."""
     rng = np.random.Generator(np.random.PCG64(20240229))
@@ -124,12 +142,12 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold `SLICE_BYTES` together, or one longer text."""
+def slices(offsets: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` texts that hold `SLICE_BYTES` together, or one longer text."""
     low, n = 0, len(offsets) - 1
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, side="right")) - 1
-        high = min(n, max(high, low + 1))
+        high = min(n, max(high, low + 1), low + (most or n))
         yield low, high
         low = high
 
@@ -156,8 +174,8 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> Cut:
     return Cut(data, rolling, start, end, doc, rolling.pieces(start, end), first)
 
 
-def cuts(texts: pa.Array) -> Iterator[tuple[int, int, Cut]]:
-    """The texts of an Arrow column, slice by slice: first text, end, words."""
+def cuts(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, Cut]]:
+    """The texts of an Arrow column, slice by slice (`slices`): first text, end, words."""
     data, offsets = text_buffers(texts)
-    for low, high in slices(offsets):
+    for low, high in slices(offsets, most):
         yield low, high, cut(data, offsets[low : high + 1])

@@ -28,11 +28,11 @@ EDGE = [
     sentence(60, 2), sentence(60, 2) + " tail", "\n".join([sentence(9, 3)] * 5), "...!!!", "a" * 5000,
 ]
 
-SCHEMA = "doc_id bigint, text string, lang string, hits string, License string, `copy` string, severity string, slot int"
+SCHEMA = "doc_id bigint, text string, lang string, hits string, License string, `copy` string, severity string, slot int, `a.b` int"
 
 
 def rows(texts, first=0):
-    return [(first + n, text, "en", f"h{n}", None, "c", "s", n) for n, text in enumerate(texts)]
+    return [(first + n, text, "en", f"h{n}", None, "c", "s", n, n) for n, text in enumerate(texts)]
 
 
 @pytest.fixture(scope="session")

@@ -109,3 +109,17 @@ def test_a_full_leaf_hides_no_line(spark):
     other = [f"{head} {sentence(16, 4000 + n)}" for n in range(400)]
     after = cleaned(spark, [*texts, *other])
     assert after == [*(text.split("\n")[0] for text in texts), *other]
+
+
+@pytest.mark.parametrize("n", [2, 7])
+def test_a_long_line_of_few_unrelated_texts_goes(spark, n):
+    shared, short = sentence(60, 1), sentence(12, 2)
+    texts = [f"{sentence(99, 100 + k)}\n{shared}\n{short}\n{sentence(80, 900 + k)}" for k in range(n)]
+    assert cleaned(spark, texts) == [text.replace(f"{shared}\n", "") for text in texts]
+
+
+def test_versions_of_one_text_keep_their_long_lines(spark):
+    body = [sentence(70, n) for n in range(10)]
+    # three in ten lines differ: half alike, but no near copies
+    texts = ["\n".join([*body[:7], *(sentence(70, 100 * n + k) for k in range(3))]) for n in (1, 2)]
+    assert cleaned(spark, texts) == texts

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,34 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(40)] + [(100, 101)], "a bigint, b bigint")
     found = {r.text: r["class"] for r in nd.components(links).collect()}
     assert found == {**{n: 0 for n in range(41)}, 100: 100, 101: 100}
+
+
+def test_clashing_names(spark, texts):
+    names = ["gone_copy", "gone_id", "a.b", "group", "_copy", "copy"]
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{name}` int" for name in names)
+    docs = spark.createDataFrame([(n, t, *range(len(names))) for n, t in enumerate(texts[-20:])], schema)
+    kept = nd.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_memory_does_not_grow_with_the_number_of_short_texts():
+    def peak(n):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [sentence(15, i) for i in range(n)]})
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in nd._signed(5, 24)(iter([batch])))
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return used
+
+    peak(100)  # tables that are made once
+    assert peak(6000) < 1.5 * peak(1000) < 400 << 20
+
+
+def test_a_bucket_of_dissimilar_texts(spark):
+    """Texts that share half of their words meet in many buckets and are no copies."""
+    common = sentence(60, 300)
+    rows = [(n, f"{common} {sentence(45, 400 + n)}") for n in range(400)]
+    rows += [(1000 + n, rows[n][1]) for n in range(5)]
+    found = {r.doc_id: r["class"] for r in nd.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), rows=2).collect()}
+    assert found == {n: n for n in range(400)} | {1000 + n: n for n in range(5)}

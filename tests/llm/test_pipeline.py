@@ -57,4 +57,4 @@ def test_query_equals_sql(spark, against_sql, name):
 
 def test_every_operator_has_a_query(spark):
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
