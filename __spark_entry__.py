@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from braidsearch.functions import text as tx
 from braidsearch.functions import vectors as vx
-from braidsearch.operators import bm25, context, dense, fusion, rerank
+from braidsearch.operators import blockmax, bm25, context, dense, fusion, rerank
 from braidsearch.operators.index import count_terms, index_rows, postings
 from braidsearch.operators.ranking import rounded
 from braidsearch.plans import ingest, retrieve
@@ -270,6 +270,14 @@ def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retriever.sparse(retriever.ask(_questions(spark, sf_dir)))
 
 
+def bm25_blockmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of ``bm25_okapi_topk`` from stored blocks of postings."""
+    retriever = _retriever(spark, sf_dir, dense=False)
+    asked = retriever.ask(_questions(spark, sf_dir))
+    stored = blockmax.write_postings(retriever.index, retriever.model)
+    return blockmax.blockmax_topk(asked.terms, retriever.index, stored, size=asked.terms_size)
+
+
 def bm25_padded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     retriever = _retriever(spark, sf_dir, dense=False)
     return retriever.padded(retriever.ask(_questions(spark, sf_dir)))
@@ -430,7 +438,7 @@ REGISTERED = [
     question_clean, tokens_word, tokens_stemmed, term_ids, term_ids_murmur, vocab_top10,
     term_freq, doc_lengths, doc_freq, vocab_size, bm25_stats, bm25_fit, okapi_idf,
     sparse_doc_vector, sparse_query_vector,
-    bm25_okapi_topk, bm25_padded_topk, bm25_whitespace_topk,
+    bm25_okapi_topk, bm25_blockmax_topk, bm25_padded_topk, bm25_whitespace_topk,
     vector_profile, hash_embed_docs, hash_embed_queries,
     dense_dot_topk, dense_l2_topk, dense_lsh_topk, dense_text_topk,
     hybrid_convex_topk, rrf_fusion, rrf_weighted, rerank_scores, rerank_topn,

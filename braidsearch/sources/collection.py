@@ -137,11 +137,13 @@ class Collection:
 
         Texts are shuffled once, to their buckets, and analysed there. With ``merge``
         equal texts become the row of the latest one, so each is analysed and
-        embedded once; ``copies`` keeps their number. ``doc_id`` is unique in ``docs``.
+        embedded once; ``copies`` keeps their number. ``doc_id`` is unique in ``docs``; a row without one is an
+        error, since no later batch could replace it.
         A given ``embedding`` column is kept and must have the collection's width.
         """
         given = [c for c in ("embedding",) if c in docs.columns]
-        placed = docs.select("doc_id", "text", "metadata", *given)
+        unnamed = F.raise_error(F.lit("a document without doc_id cannot be stored")).cast("bigint")
+        placed = docs.select(F.coalesce("doc_id", unnamed).alias("doc_id"), "text", "metadata", *given)
         placed = placed.repartition(self.buckets, "doc_id")
         placed = placed.withColumn("content_id", content_key(F.col("text")))
         if merge:

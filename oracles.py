@@ -396,6 +396,9 @@ ORACLES: dict[str, Callable[[], str]] = {
     "bm25_okapi_topk": lambda: query(
         *SPARSE, ranked("best", "okapi", "score", 5), select=RANKED + "best"
     ),
+    "bm25_blockmax_topk": lambda: query(
+        *SPARSE, ranked("best", "okapi", "score", 5), select=RANKED + "best"
+    ),
     "bm25_padded_topk": lambda: query(
         *SPARSE, PADDED_SOURCE, ranked("best", "allok", "score", 5), select=RANKED + "best"
     ),

@@ -257,3 +257,15 @@ def test_work_folder(spark):
 
 def test_fixture_has_no_copies():
     assert len({t for t, _, _ in TEXTS}) == len(TEXTS)
+
+
+@pytest.mark.parametrize("merge", [True, False])
+def test_rows_without_id_are_refused(spark, tmp_path, merge):
+    rows = [(1, "one", {}), (None, "two", {}), (None, "three", {}), (4, "four", {})]
+    read = "doc_id bigint, text string, metadata map<string,string>"  # as files are read
+    collection = Collection.create(spark, str(tmp_path / "c"), "c", buckets=2)
+    with pytest.raises(Exception, match="without doc_id"):
+        collection.upsert(collection.encode(spark.createDataFrame(rows, read), merge=merge))
+    assert collection.version() == 0
+    collection.upsert(collection.encode(spark.createDataFrame([r for r in rows if r[0]], DOCUMENTS), merge=merge))
+    assert collection.read().count() == 2
