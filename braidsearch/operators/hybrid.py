@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from braidsearch.functions.vectors import DEFAULT_DIM
 from braidsearch.operators.bm25 import (
@@ -20,8 +21,12 @@ from braidsearch.operators.bm25 import (
     vector_weight,
     weigh_terms,
 )
-from braidsearch.operators.ranking import top_by_score
+from braidsearch.operators.ranking import keep_top, top_by_score
 from braidsearch.operators.scoring import Scoring, topk
+from braidsearch.session import materialize
+
+# Ids in a cell of the running order of all ids.
+CELL_IDS = 1024
 
 
 def okapi_topk(
@@ -52,25 +57,78 @@ def _unmatched(
     """``(query_id, doc_id, 0.0)`` for documents without a match, at least those a list can need.
 
     A list needs padding only if fewer than ``k`` documents score above 0; then among the ``2 * k``
-    smallest ids at least ``k`` score 0 or are not matched. Where common terms count against a document,
-    matched ones may lie below all others; then more ids are taken until there are enough.
+    smallest ids at least ``k`` score 0 or are not matched. Where common terms count against a document
+    (negative mean idf), matched ones may lie below all others; then the gaps between them are searched.
     """
-    n, n_questions = 2 * k, questions.count()
-    while True:
-        ids = [row.doc_id for row in index.select("doc_id").orderBy("doc_id").limit(n).collect()]
-        listed = F.explode(F.array(*map(F.lit, ids)).cast("array<bigint>"))
-        pairs = questions.select("query_id", listed.alias("doc_id"))
-        matched = scores.filter(F.col("doc_id").isin(ids)).select("query_id", "doc_id")
-        free = pairs.join(matched, ["query_id", "doc_id"], "left_anti")
-        if model.mean_idf >= 0 or len(ids) < n:
-            break
-        enough = free.groupBy("query_id").count().filter(F.col("count") >= k)
-        if enough.count() == n_questions:
-            break
-        n *= 8
+    matched = scores.select("query_id", "doc_id")
+    if model.mean_idf < 0:
+        return first_unmatched(questions, matched, index, k).withColumn("score", F.lit(0.0))
+    ids = [row.doc_id for row in index.select("doc_id").orderBy("doc_id").limit(2 * k).collect()]
+    listed = F.explode(F.array(*map(F.lit, ids)).cast("array<bigint>"))
+    pairs = questions.select("query_id", listed.alias("doc_id"))
+    free = pairs.join(matched.filter(F.col("doc_id").isin(ids)), ["query_id", "doc_id"], "left_anti")
     return free.withColumn("score", F.lit(0.0))
 
 
+def id_cells(index: DataFrame, size: int) -> DataFrame:
+    """``doc_id, cell, room``: the ids in running order, cut into cells ``0, 1, …`` of ``size`` ids.
+
+    ``room`` is the number of ids in the cell; only the last holds fewer than ``size``. A range sort gives the order
+    within partitions; a row for each partition tells how many ids come before it.
+    """
+    ordered = index.select("doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # written, so that the numbers are given once
+    numbered = materialize(ordered.withColumn("number", F.monotonically_increasing_id()), "id-order")
+    rows = 1 << 33  # the function counts rows from a multiple of this in each partition
+    placed = numbered.select(
+        "doc_id", F.floor(F.col("number") / rows).alias("part"), (F.col("number") % rows).alias("place")
+    )
+    by_part = placed.groupBy("part").agg(F.count("*").alias("n"))
+    in_order = Window.orderBy("part")
+    earlier = by_part.select(
+        "part",
+        (F.sum("n").over(in_order) - F.col("n")).alias("before"),
+        F.sum("n").over(Window.partitionBy()).alias("total"),
+    )
+    cell = F.floor((F.col("before") + F.col("place")) / size)
+    cells = placed.join(F.broadcast(earlier), "part").withColumn("cell", cell)
+    return cells.select("doc_id", "cell", F.least(F.lit(size), F.col("total") - cell * size).alias("room"))
+
+
+def first_unmatched(
+    questions: DataFrame, matched: DataFrame, index: DataFrame, k: int, size: int = CELL_IDS
+) -> DataFrame:
+    """``(query_id, doc_id)``: the ``k`` smallest ids of ``index`` that a question is not matched with.
+
+    ``matched`` holds distinct ``(query_id, doc_id)``. Matches are counted by question and cell of the running order, so
+    what is walked along are counts. The cells of a question are full up to the first that no match falls in;
+    of those before it only such as have free ids, until there are ``k``, are looked into: at most ``k`` cells and
+    the untouched one.
+    """
+    size = max(size, k)
+    cells = materialize(id_cells(index, size), "id-cells")
+    held = matched.join(cells, "doc_id").groupBy("query_id", "cell").agg(
+        (F.first("room") - F.count("*")).alias("free")
+    )
+    along = Window.partitionBy("query_id").orderBy("cell")
+    walked = held.select(
+        "query_id",
+        "cell",
+        "free",
+        (F.row_number().over(along) - 1).alias("nth"),
+        (F.sum("free").over(along) - F.col("free")).alias("before"),
+    )
+    # without a gap so far, the n-th cell with matches is the n-th of all
+    touched = materialize(walked.filter(F.col("cell") == F.col("nth")), "touched-cells")
+    some = touched.filter((F.col("before") < k) & (F.col("free") > 0)).select("query_id", "cell")
+    ends = touched.groupBy("query_id").agg((F.max("cell") + 1).alias("cell"), F.sum("free").alias("free"))
+    untouched = questions.select("query_id").join(ends, "query_id", "left")
+    untouched = untouched.filter(F.coalesce("free", F.lit(0)) < k)
+    wanted = some.unionByName(untouched.select("query_id", F.coalesce("cell", F.lit(0)).alias("cell")))
+    free = wanted.join(cells, "cell").join(matched, ["query_id", "doc_id"], "left_anti")
+    return keep_top(free.select("query_id", "doc_id"), k, [F.col("doc_id")]).drop("rank")
+
+
 def convex_topk(
     questions: DataFrame,
     q_terms: DataFrame,

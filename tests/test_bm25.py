@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from brute import close, okapi, simple, sparse_dot, top
 from conftest import ASKED, EDGE_TEXTS, TEXTS, document_rows, ranked_rows
@@ -5,7 +7,7 @@ from pyspark.sql import functions as F
 
 from braidsearch.functions.text import analysis_of, simple_tokens, whitespace_tokens
 from braidsearch.operators import bm25, ranking
-from braidsearch.operators.hybrid import okapi_topk
+from braidsearch.operators.hybrid import first_unmatched, okapi_topk
 from braidsearch.operators.index import build_index, index_rows
 from braidsearch.schemas import DOCUMENTS, QUESTIONS
 from braidsearch.sources import models
@@ -87,6 +89,39 @@ def test_negative_mean_idf_ranks_unmatched_first(spark):
     assert found[0][0] == (4, 0.0)
 
 
+def test_negative_mean_idf_of_many_documents(spark):
+    """Free ids lie after long runs of matched ones, between them, at both ends, or nowhere."""
+    texts = [
+        " ".join(
+            ["sea"] * (n < 8000 or n % 3 == 0) + ["sun"] * (n >= 1500) + ["salt"] * (n % 1000 != 7) + ["all"]
+        )
+        for n in range(10000)
+    ]
+    asked = ["sea", "sun", "salt", "sea sun", "all", "zebra", "salt all"]
+    docs = spark.createDataFrame([(n, t, {}) for n, t in enumerate(texts)], DOCUMENTS)
+    questions = spark.createDataFrame(list(enumerate(asked)), QUESTIONS)
+    index = build_index(docs)
+    model = bm25.fit(index)
+    assert model.mean_idf < 0
+    terms = bm25.question_terms(questions)
+    found = ranked_rows(okapi_topk(questions, terms, index, model, k=5))
+    close(found, top(okapi(texts, asked), 5))
+
+
+@pytest.mark.parametrize("size", [1, 4, 64])
+def test_first_unmatched_is_brute_force(spark, size):
+    rng = random.Random(size)
+    ids = sorted(rng.sample(range(-500, 5000), 300))
+    taken = {q: {d for n, d in enumerate(ids) if rng.random() < share or n < 70 * q} for q, share in enumerate((0, 0.2, 0.9, 0.99))}
+    taken[4], taken[5] = set(ids), set(ids[:-2])
+    index = spark.createDataFrame([(d,) for d in ids], "doc_id bigint").repartition(5)
+    matched = spark.createDataFrame([(q, d) for q, held in taken.items() for d in held], "query_id bigint, doc_id bigint")
+    questions = spark.createDataFrame([(q,) for q in range(7)], "query_id bigint")
+    found = first_unmatched(questions, matched, index, 4, size).collect()
+    wanted = {(q, d) for q in range(7) for d in [d for d in ids if d not in taken.get(q, ())][:4]}
+    assert len(found) == len(wanted) and {tuple(r) for r in found} == wanted
+
+
 def test_floor_of_common_terms(index, model):
     idf = {
         r.term: (r.df, r.idf)
