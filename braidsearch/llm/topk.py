@@ -1,12 +1,14 @@
 """Exact top-k inner products in three phases with a uniform threshold.
 
 The components of a vector are cut into ``parts``; each part ranks all vectors by its own share of
-the score. Phase one gathers, for every question and part, the best ``LIST`` entries of each task's
-list with their scores; the k-th best of them is a score that the k-th answer surely reaches. A
-vector whose shares all lie below that score / ``parts`` cannot reach it, so this cutoff is safe
-and goes to all tasks. Phase two collects the entries of all lists with a share at the cutoff or
-above. Phase three resolves the shares they lack, in the task that holds the vector, and keeps the
-k best scores of each question; the best of all tasks' are the answer.
+the score. No phase sums the shares of every pair.
+
+1. *Gather.* Every task lists, for each question and part, its ``LIST`` vectors with the greatest shares; only those
+   get their full scores, and the k best are sent on. The k-th best of all tasks is a score that the k-th
+   answer surely reaches. A vector whose shares all lie below that score / ``parts`` cannot reach it.
+2. *Collect.* This cutoff goes to all tasks, which collect the entries with a share at the cutoff or above.
+3. *Resolve.* The other shares of these entries are added, in the task that holds the vector; the k best scores of a
+   task are sent on, and the best of all tasks' are the answer.
 
 Equal vectors are one entry with its smallest ids, as many as an answer can name, so a vector
 that a third of all rows hold costs no more than any other. Questions are asked in blocks of
@@ -95,6 +97,11 @@ def _entries(numbers: np.ndarray, question, vec_id, score) -> pa.RecordBatch:
     )
 
 
+def _resolved(shares: np.ndarray, question: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Full scores of the given entries only."""
+    return shares[:, question, row].sum(axis=0).astype(np.int64)
+
+
 def _phase_one(questions: np.ndarray, numbers: np.ndarray, cuts: list[slice], k: int):
     """Of each question, the ``k`` best scores among the heads of a task's lists."""
 
@@ -103,33 +110,38 @@ def _phase_one(questions: np.ndarray, numbers: np.ndarray, cuts: list[slice], k:
         for batch in batches:
             for ids, rows in _steps(batch, len(questions), len(cuts)):
                 shares = _shares(questions, rows, cuts)
-                scores = shares.sum(axis=0)
                 size = min(LIST, len(ids))
                 heads = np.argpartition(shares, len(ids) - size, axis=2)[:, :, len(ids) - size :]
                 # an entry may head several lists
                 listed = np.unique(np.arange(len(questions))[None, :, None] * len(ids) + heads)
                 question, row = listed // len(ids), listed % len(ids)
-                more = (question, ids[row], scores[question, row].astype(np.int64))
+                more = (question, ids[row], _resolved(shares, question, row))
                 found = _best(*(np.concatenate(both) for both in zip(found, more, strict=True)), k)
         yield _entries(numbers, *found)
 
     return run
 
 
+def collect(shares: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(question, row)`` of the entries with a share at the cutoff, the only ones that can reach ``bound``.
+
+    ``shares`` by part, question and row are whole numbers, ``bound`` is one for each question.
+    """
+    # rounded up to whole numbers, as shares are, so that comparing stays in their type
+    cutoff = (-(-bound // len(shares))).astype(shares.dtype)
+    return np.nonzero((shares >= cutoff[None, :, None]).any(axis=0))
+
+
 def _phase_two_and_three(questions, numbers, cuts, bound: np.ndarray, k: int):
     """Entries with a share at the cutoff, their scores resolved: the ``k`` best of a task."""
-    # whole numbers, so that comparing stays in the type of the shares
-    cutoff = np.floor(bound / len(cuts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (np.zeros(0, np.int64),) * 3
         for batch in batches:
             for ids, rows in _steps(batch, len(questions), len(cuts)):
                 shares = _shares(questions, rows, cuts)
-                collected = (shares >= cutoff.astype(shares.dtype)[None, :, None]).any(axis=0)
-                scores = shares.sum(axis=0)
-                question, row = np.nonzero(collected & (scores >= bound.astype(shares.dtype)[:, None]))
-                more = (question, ids[row], scores[question, row].astype(np.int64))
+                question, row = collect(shares, bound)
+                more = (question, ids[row], _resolved(shares, question, row))
                 found = _best(*(np.concatenate(both) for both in zip(found, more, strict=True)), k)
         yield _entries(numbers, *found)
 
@@ -151,7 +163,7 @@ def _asked(entries: DataFrame, questions: np.ndarray, numbers: np.ndarray, k: in
     cuts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     gathered = entries.mapInArrow(_phase_one(questions, numbers, cuts, k), ENTRIES)
     at = {number: n for n, number in enumerate(numbers.tolist())}
-    bound = np.full(len(numbers), -(2.0**62))
+    bound = np.full(len(numbers), -(1 << 62), np.int64)
     # one row for each question of the block
     for row in _first(gathered, k).filter(F.col("n") == k).toArrow().to_pylist():
         bound[at[row["query_id"]]] = row["score"]

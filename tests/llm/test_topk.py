@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from braidsearch.llm import topk
@@ -53,3 +54,34 @@ def test_large_components_stay_exact(spark):
     found = topk.exact_topk(whole.filter("vec_id = 4"), whole, 5).collect()
     wanted = sorted(((-sum(a * b for a, b in zip(rows[4][1], v, strict=True)), i) for i, v in rows if i != 4))[:5]
     assert [(-r.score, r.vec_id) for r in sorted(found, key=lambda r: r["rank"])] == wanted
+
+
+@pytest.mark.parametrize("spread,most", [(0.05, 0.15), (1.0, 0.4)])
+def test_threshold_leaves_few_entries_to_resolve(spread, most):
+    """Every entry at the bound is collected; of vectors in clusters few others are."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(20, 64))
+    rows = centers[rng.integers(20, size=4000)] + spread * rng.normal(size=(4000, 64))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.int64)
+    cuts = [slice(n, n + 16) for n in range(0, 64, 16)]
+    shares = topk._shares(rows[:80], rows, cuts)
+    scores = rows[:80] @ rows.T
+    bound = np.sort(scores, axis=1)[:, -5]
+    question, row = topk.collect(shares, bound)
+    collected = set(zip(question.tolist(), row.tolist(), strict=True))
+    assert collected >= set(zip(*(side.tolist() for side in np.nonzero(scores >= bound[:, None])), strict=True))
+    assert len(collected) < most * scores.size
+    assert (topk._resolved(shares, question, row) == scores[question, row]).all()
+
+
+def test_threshold_below_zero_is_safe():
+    rng = np.random.default_rng(6)
+    rows = rng.integers(-50, 10, size=(300, 8))
+    cuts = [slice(0, 4), slice(4, 8)]
+    for asked in (-rows[:20], np.abs(rows[:20])):
+        shares, scores = topk._shares(asked, rows, cuts), asked @ rows.T
+        for place in (-1, -5, -300):
+            bound = np.sort(scores, axis=1)[:, place]
+            question, row = topk.collect(shares, bound)
+            collected = set(zip(question.tolist(), row.tolist(), strict=True))
+            assert collected >= set(zip(*(side.tolist() for side in np.nonzero(scores >= bound[:, None])), strict=True))
