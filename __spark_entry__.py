@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from braidsearch.functions import text as tx
 from braidsearch.functions import vectors as vx
-from braidsearch.operators import blockmax, bm25, context, dense, fusion, rerank
+from braidsearch.operators import blockmax, bm25, context, dense, fusion, rerank, threshold
 from braidsearch.operators.index import count_terms, index_rows, postings
 from braidsearch.operators.ranking import rounded
 from braidsearch.plans import ingest, retrieve
@@ -372,6 +372,16 @@ def hybrid_convex_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retriever.hybrid(retriever.ask(_questions(spark, sf_dir)))
 
 
+def hybrid_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of ``hybrid_convex_topk`` by the threshold algorithm over sorted lists."""
+    retriever = _retriever(spark, sf_dir)
+    asked = retriever.ask(_questions(spark, sf_dir))
+    stored = blockmax.write_postings(retriever.index, retriever.model, weighing=blockmax.VECTOR)
+    return threshold.threshold_topk(
+        asked.rows, asked.terms, retriever.index, stored, dim=retriever.dim, size=asked.terms_size
+    )
+
+
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     retriever = _retriever(spark, sf_dir)
     return retriever.ensemble(retriever.ask(_questions(spark, sf_dir)))
@@ -441,7 +451,7 @@ REGISTERED = [
     bm25_okapi_topk, bm25_blockmax_topk, bm25_padded_topk, bm25_whitespace_topk,
     vector_profile, hash_embed_docs, hash_embed_queries,
     dense_dot_topk, dense_l2_topk, dense_lsh_topk, dense_text_topk,
-    hybrid_convex_topk, rrf_fusion, rrf_weighted, rerank_scores, rerank_topn,
+    hybrid_convex_topk, hybrid_threshold_topk, rrf_fusion, rrf_weighted, rerank_scores, rerank_topn,
     context_block, citations, rag_prompt_batch, rag_prompt_stuff, rag_rerank_prompt_batch,
 ]
 

@@ -1,6 +1,6 @@
-"""Okapi search over postings in blocks, with MaxScore pruning.
+"""Search by terms over postings in blocks, with MaxScore pruning.
 
-Postings are stored once per model, ordered by term and falling weight, and cut into blocks of `BLOCK`;
+Postings are stored once per model and weighing (`OKAPI`, or `VECTOR` for the sparse part of the convex score), ordered by term and falling weight, and cut into blocks of `BLOCK`;
 a block knows its greatest weight. Folders by a hash of the term let a batch of questions read only the
 folders of its terms (dynamic partition pruning). The range sort spreads a hot term over as many
 files as it needs.
@@ -23,7 +23,7 @@ idf) no bound holds, and every matching document is a candidate.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +34,11 @@ from pyspark.sql.window import Window
 
 from braidsearch.operators.bm25 import (
     Bm25Model,
+    encode_queries,
     okapi_queries,
     okapi_weight,
     terms_size,
+    vector_weight,
     weigh_terms,
 )
 from braidsearch.operators.index import unfold_terms
@@ -53,12 +55,32 @@ SLACK = 2 * 10.0**-SCORE_DIGITS
 BLOCKS = "part int, term string, most double, docs array<bigint>, weights array<double>"
 
 
+@dataclass(frozen=True)
+class Weighing:
+    """What a posting and an asked term weigh; a score is the sum of their products.
+
+    ``posting(model, tf)`` is an expression over a row with ``dl``, ``asked(q_terms, model, size)`` a table
+    ``query_id, term, weight``; ``bounded(model)`` tells whether no weight is below 0.
+    """
+
+    posting: Callable[[Bm25Model, Column], Column]
+    asked: Callable[[DataFrame, Bm25Model, int], DataFrame]
+    bounded: Callable[[Bm25Model], bool]
+
+
+OKAPI = Weighing(okapi_weight, okapi_queries, lambda model: model.mean_idf >= 0)
+VECTOR = Weighing(vector_weight, encode_queries, lambda model: True)
+
+
 @dataclass(frozen=True)
 class Postings:
-    """Stored blocks, and the model whose weights they hold."""
+    """Stored blocks, the model whose weights they hold, which weights these are, and the number of
+    folders that terms are dealt to."""
 
     blocks: DataFrame
     model: Bm25Model
+    weighing: Weighing = OKAPI
+    parts: int = PARTS
 
 
 def part_of(term: Column, parts: int) -> Column:
@@ -94,52 +116,60 @@ def _packed(size: int):
 
 
 def write_postings(
-    index: DataFrame, model: Bm25Model, path: str | None = None, block: int = BLOCK, parts: int = PARTS
+    index: DataFrame,
+    model: Bm25Model,
+    path: str | None = None,
+    block: int = BLOCK,
+    parts: int = PARTS,
+    weighing: Weighing = OKAPI,
 ) -> Postings:
     """Store the blocks of ``index`` under ``path`` (default: the shared work folder)."""
     path = path or fresh_path(index.sparkSession, "postings")
-    weighed = weigh_terms(index, okapi_weight(model, F.col("tf")))
+    weighed = weigh_terms(index, weighing.posting(model, F.col("tf")))
     # the sort samples its input first, so that is written
     rows = materialize(weighed.withColumn("part", part_of(F.col("term"), parts)), "weighed")
     order = ["part", "term", F.desc("weight"), "doc_id"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     packed = ordered.select("part", "term", "doc_id", "weight").mapInArrow(_packed(block), BLOCKS)
     packed.write.partitionBy("part").parquet(path)
-    return read_postings(index.sparkSession, path, model)
+    return read_postings(index.sparkSession, path, model, weighing, parts)
 
 
-def read_postings(spark: SparkSession, path: str, model: Bm25Model) -> Postings:
-    return Postings(spark.read.schema(BLOCKS).parquet(path), model)
+def read_postings(
+    spark: SparkSession, path: str, model: Bm25Model, weighing: Weighing = OKAPI, parts: int = PARTS
+) -> Postings:
+    """The blocks under ``path``; weighing and number of folders must be those that they were written with."""
+    return Postings(spark.read.schema(BLOCKS).parquet(path), model, weighing, parts)
 
 
-def _asked_blocks(stored: Postings, asked: DataFrame, size: int, columns: list[str], parts: int) -> DataFrame:
+def _asked_blocks(stored: Postings, asked: DataFrame, size: int, columns: list[str]) -> DataFrame:
     """Blocks of the asked terms; the join on ``part`` prunes folders at run time.
 
     Spark only does so for a side that is filtered; no term is empty.
     """
-    asked = asked.filter(F.col("term") != "").withColumn("part", part_of(F.col("term"), parts))
+    asked = asked.filter(F.col("term") != "").withColumn("part", part_of(F.col("term"), stored.parts))
     return stored.blocks.select("part", "term", *columns).join(broadcast_within(asked, size), ["part", "term"])
 
 
-def full_scores(pairs: DataFrame, weights: DataFrame, index: DataFrame, model: Bm25Model, size: int) -> DataFrame:
+def full_scores(pairs: DataFrame, weights: DataFrame, index: DataFrame, stored: Postings, size: int) -> DataFrame:
     """``(query_id, doc_id, score)`` of the given distinct pairs, from the index rows of their documents."""
     rows = index.select("doc_id", "dl", "terms").join(pairs, "doc_id")
     held = unfold_terms(rows, "query_id", "doc_id", "dl")
     matched = held.join(broadcast_within(weights.withColumnRenamed("weight", "asked"), size), ["query_id", "term"])
-    score = F.sum(okapi_weight(model, F.col("tf")) * F.col("asked"))
+    score = F.sum(stored.weighing.posting(stored.model, F.col("tf")) * F.col("asked"))
     return matched.groupBy("query_id", "doc_id").agg(score.alias("score"))
 
 
-def bounds(stored: Postings, weights: DataFrame, size: int, parts: int = PARTS) -> DataFrame:
+def bounds(stored: Postings, weights: DataFrame, size: int) -> DataFrame:
     """``query_id, term, weight, most, bound``: the greatest weight of each asked term, and what it adds at most."""
     asked = weights.select("term").distinct()
-    most = _asked_blocks(stored, asked, size, ["most"], parts).groupBy("term").agg(F.max("most").alias("most"))
+    most = _asked_blocks(stored, asked, size, ["most"]).groupBy("term").agg(F.max("most").alias("most"))
     return weights.join(broadcast_within(most, size), "term").withColumn("bound", F.col("weight") * F.col("most"))
 
 
-def to_beat(stored: Postings, limits: DataFrame, k: int, size: int, parts: int = PARTS) -> DataFrame:
+def to_beat(stored: Postings, limits: DataFrame, k: int, size: int) -> DataFrame:
     """``query_id, beat``: a score that the k-th answer of a question reaches; no row where too few are known."""
-    lead = _asked_blocks(stored, limits.withColumnRenamed("most", "greatest"), size, ["most", "docs", "weights"], parts)
+    lead = _asked_blocks(stored, limits.withColumnRenamed("most", "greatest"), size, ["most", "docs", "weights"])
     lead = lead.filter(F.col("most") == F.col("greatest"))
     each = lead.select("query_id", "weight", F.inline(F.arrays_zip("docs", "weights")))
     partial = each.groupBy("query_id", F.col("docs").alias("doc_id")).agg(
@@ -175,11 +205,11 @@ def levels(limits: DataFrame, beat: DataFrame, size: int) -> DataFrame:
     return known.select("query_id", "term", "weight", "bound", "beat", "level", "rest", unseen)
 
 
-def seen_above(stored: Postings, known: DataFrame, size: int, parts: int = PARTS) -> DataFrame:
+def seen_above(stored: Postings, known: DataFrame, size: int) -> DataFrame:
     """``query_id, doc_id, score, most, unseen``: what postings above the level add to documents that may still reach
     the score to beat, and the most that these can score."""
     read = known.filter(F.col("bound") >= F.col("level"))
-    blocks = _asked_blocks(stored, read, size, ["most", "docs", "weights"], parts)
+    blocks = _asked_blocks(stored, read, size, ["most", "docs", "weights"])
 
     def reaches(weight: str) -> Column:
         return F.col("weight") * F.col(weight) >= F.col("level")
@@ -195,11 +225,9 @@ def seen_above(stored: Postings, known: DataFrame, size: int, parts: int = PARTS
     return seen.filter(F.col("most") >= F.col("beat")).select("query_id", "doc_id", "score", "most")
 
 
-def candidates(
-    stored: Postings, limits: DataFrame, beat: DataFrame, k: int, size: int, parts: int = PARTS
-) -> DataFrame:
+def candidates(stored: Postings, limits: DataFrame, beat: DataFrame, k: int, size: int) -> DataFrame:
     """``query_id, doc_id`` of every document that may be among the best ``k``."""
-    seen = materialize(seen_above(stored, levels(limits, beat, size), size, parts), "seen")
+    seen = materialize(seen_above(stored, levels(limits, beat, size), size), "seen")
     # what was seen is a closer score to beat than that of the leads
     closer = materialize(_kth(seen, k), "asked-beat")
     left = seen.join(broadcast_within(closer, size), "query_id", "left")
@@ -207,18 +235,18 @@ def candidates(
 
 
 def blockmax_topk(
-    q_terms: DataFrame, index: DataFrame, stored: Postings, k: int = 5, size: int | None = None, parts: int = PARTS
+    q_terms: DataFrame, index: DataFrame, stored: Postings, k: int = 5, size: int | None = None
 ) -> DataFrame:
-    """Best ``k`` matching documents of each question by Okapi BM25, as `hybrid.okapi_topk` without padding.
+    """Best ``k`` matching documents of each question; by `OKAPI` weights the list of `hybrid.okapi_topk` without padding.
 
     ``index`` are the rows that ``stored`` was written from, ``q_terms`` the terms of the questions.
     """
     size = terms_size(q_terms) if size is None else size
-    weights = materialize(okapi_queries(q_terms, stored.model, size), "asked-terms")
-    limits = materialize(bounds(stored, weights, size, parts), "asked-bounds")
-    if stored.model.mean_idf >= 0:
-        beat = materialize(to_beat(stored, limits, k, size, parts), "asked-beat")
+    weights = materialize(stored.weighing.asked(q_terms, stored.model, size), "asked-terms")
+    limits = materialize(bounds(stored, weights, size), "asked-bounds")
+    if stored.weighing.bounded(stored.model):
+        beat = materialize(to_beat(stored, limits, k, size), "asked-beat")
     else:
         beat = limits.select("query_id", F.lit(0.0).alias("beat")).limit(0)
-    pairs = materialize(candidates(stored, limits, beat, k, size, parts), "candidates")
-    return top_by_score(full_scores(pairs, weights, index, stored.model, size), k)
+    pairs = materialize(candidates(stored, limits, beat, k, size), "candidates")
+    return top_by_score(full_scores(pairs, weights, index, stored, size), k)

@@ -432,6 +432,7 @@ ORACLES: dict[str, Callable[[], str]] = {
         corpus(), asked(), *DENSE, ranked("best", "pairs", "dot", 5), select=RANKED + "best"
     ),
     "hybrid_convex_topk": lambda: query(*HYBRID, select=RANKED + "hybrid"),
+    "hybrid_threshold_topk": lambda: query(*HYBRID, select=RANKED + "hybrid"),
     "rrf_fusion": lambda: query(*ENSEMBLE, select=RANKED + "fused"),
     "rrf_weighted": lambda: query(
         *SPARSE, ranked("sparsetop", "okapi", "score", 5),

@@ -37,7 +37,7 @@ def test_equals_the_scan(spark, block, parts, k):
     index, model = corpus(spark, texts)
     q_terms = asked(spark, questions)
     stored = bx.write_postings(index, model, block=block, parts=parts)
-    found = ranked_rows(bx.blockmax_topk(q_terms, index, stored, k, parts=parts))
+    found = ranked_rows(bx.blockmax_topk(q_terms, index, stored, k))
     rows = spark.createDataFrame(list(enumerate(questions)), QUESTIONS)
     assert found == ranked_rows(hybrid.okapi_topk(rows, q_terms, index, model, k, pad=False))
 
@@ -80,9 +80,9 @@ def test_few_documents_are_scored_in_full(spark):
     size = bm25.terms_size(q_terms)
     stored = bx.write_postings(index, model, block=8, parts=4)
     weights = bm25.okapi_queries(q_terms, model, size)
-    limits = bx.bounds(stored, weights, size, 4)
-    beat = bx.to_beat(stored, limits, 5, size, 4)
-    assert bx.candidates(stored, limits, beat, 5, size, 4).count() <= 12
+    limits = bx.bounds(stored, weights, size)
+    beat = bx.to_beat(stored, limits, 5, size)
+    assert bx.candidates(stored, limits, beat, 5, size).count() <= 12
     levels = {r.term: r for r in bx.levels(limits, beat, size).collect()}
     assert levels["common"].bound < levels["common"].level < levels["rare1"].bound
     unseen = sum(r.rest for r in levels.values())
