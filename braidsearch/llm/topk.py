@@ -7,8 +7,8 @@ the score. No phase sums the shares of every pair.
    get their full scores, and the k best are sent on. The k-th best of all tasks is a score that the k-th
    answer surely reaches. A vector whose shares all lie below that score / ``parts`` cannot reach it.
 2. *Collect.* This cutoff goes to all tasks, which collect the entries with a share at the cutoff or above.
-3. *Resolve.* The other shares of these entries are added, in the task that holds the vector; the k best scores of a
-   task are sent on, and the best of all tasks' are the answer.
+3. *Resolve.* The other shares of these entries are added, in the task that holds the vector; of those that reach the
+   score to beat, a task sends its k best on, and the best of all tasks' are the answer.
 
 Equal vectors are one entry with its smallest ids, as many as an answer can name, so a vector
 that a third of all rows hold costs no more than any other. Questions are asked in blocks of
@@ -141,7 +141,9 @@ def _phase_two_and_three(questions, numbers, cuts, bound: np.ndarray, k: int):
             for ids, rows in _steps(batch, len(questions), len(cuts)):
                 shares = _shares(questions, rows, cuts)
                 question, row = collect(shares, bound)
-                more = (question, ids[row], _resolved(shares, question, row))
+                scores = _resolved(shares, question, row)
+                reach = scores >= bound[question]
+                more = (question[reach], ids[row[reach]], scores[reach])
                 found = _best(*(np.concatenate(both) for both in zip(found, more, strict=True)), k)
         yield _entries(numbers, *found)
 
