@@ -60,6 +60,22 @@ def doc_freq(index: DataFrame) -> DataFrame:
     return listed.groupBy("term").agg(F.sum("copies").alias("df"))
 
 
+def term_totals(index: DataFrame) -> DataFrame:
+    """``(term, df, count)``: documents that hold a term and how often it stands in them.
+
+    Totals of several tables add up. Only ``(term, counts)`` is shuffled.
+    """
+    listed = unfold_terms(index, copies_of(index).alias("copies"))
+    return listed.groupBy("term").agg(
+        F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("count")
+    )
+
+
+def number_of_docs(index: DataFrame) -> Column:
+    """Aggregate: documents that the rows stand for."""
+    return F.coalesce(F.sum(copies_of(index)), F.lit(0))
+
+
 def corpus_stats(index: DataFrame) -> DataFrame:
     """One row ``(n_docs, total_dl, avgdl)``; empty documents count."""
     copies = copies_of(index)
@@ -89,20 +105,30 @@ def fit(
 ) -> Bm25Model:
     """Fit the model and save it under ``path`` (default: the shared work folder).
 
-    ``path/df`` holds the vocabulary, ``path/stats`` one row of scalars. Texts are analysed once: the
-    lengths of all documents add up to the terms' counts, which are kept with the vocabulary,
-    and counting documents needs no text. Only ``(term, counts)`` is shuffled.
+    Texts are analysed once; counting documents needs no text.
+    """
+    n_docs = index.agg(number_of_docs(index)).first()[0]
+    return fit_totals(term_totals(index), n_docs, path, analysis, k1, b)
+
+
+def fit_totals(
+    totals: DataFrame,
+    n_docs: int,
+    path: str | None = None,
+    analysis: Analysis = Analysis(),
+    k1: float = VECTOR_K1,
+    b: float = B,
+) -> Bm25Model:
+    """Fit the model from `term_totals` of ``n_docs`` documents and save it under ``path``.
+
+    ``path/df`` holds the vocabulary, ``path/stats`` one row of scalars. The lengths of all documents add up
+    to the terms' counts, which are kept with the vocabulary.
     """
-    spark = index.sparkSession
+    spark = totals.sparkSession
     path = path or fresh_path(spark, "model")
-    n_docs = index.agg(F.coalesce(F.sum(copies_of(index)), F.lit(0))).first()[0]
     if n_docs == 0:
         raise ValueError("cannot fit BM25 on an empty corpus")
-    listed = unfold_terms(index, copies_of(index).alias("copies"))
-    counted = listed.groupBy("term").agg(
-        F.sum("copies").alias("df"), F.sum(F.col("tf") * F.col("copies")).alias("count")
-    )
-    vocabulary = counted.select("term", term_id(F.col("term")).alias("term_id"), "df", "count")
+    vocabulary = totals.select("term", term_id(F.col("term")).alias("term_id"), "df", "count")
     vocabulary.write.mode("overwrite").parquet(f"{path}/df")
     written = spark.read.parquet(f"{path}/df")
     total = written.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from braidsearch.functions.text import Analyzer, analysis_of, simple_tokens
 from braidsearch.functions.vectors import DEFAULT_DIM, Embedder
-from braidsearch.operators.bm25 import Bm25Model, fit
+from braidsearch.operators.bm25 import Bm25Model, fit_totals
 from braidsearch.sources.collection import Collection
 from braidsearch.sources.corpus import write_corpus
 
@@ -26,13 +26,14 @@ def ingest_upsert(
     Equal texts are merged first, so each is analysed and embedded once; their
     number still counts in the statistics. The model of the batch, returned and saved at
     ``model_path``, weighs terms for the convex search. Okapi lists are always of the whole
-    collection, so a second model beside it covers that; its counts are read from stored terms.
+    collection, so a second model beside it covers that. Both are fitted from maintained counts: no stored row is
+    read but those that the batch replaces.
     """
     collection = Collection.create(spark, path, "documents", dim, "dot", buckets)
     collection.upsert(collection.encode(docs, analyzer, embedder))
     analysis = analysis_of(analyzer)
-    fit(collection.read(), whole_model_path(model_path), analysis)
-    return collection, fit(collection.last_batch(), model_path, analysis)
+    fit_totals(*collection.term_totals(), whole_model_path(model_path), analysis)
+    return collection, fit_totals(*collection.term_totals(last_batch=True), model_path, analysis)
 
 
 def whole_model_path(model_path: str) -> str:
@@ -56,5 +57,6 @@ def ingest_rebuild(
     collection.rebuild(collection.encode(docs, analyzer, embedder, merge=False))
     write_corpus(docs, corpus_path)
     analysis = analysis_of(analyzer)
-    fit(collection.read(), whole_model_path(model_path), analysis)
-    return collection, fit(collection.read(), model_path, analysis)
+    counted = collection.term_totals()
+    fit_totals(*counted, whole_model_path(model_path), analysis)
+    return collection, fit_totals(*counted, model_path, analysis)

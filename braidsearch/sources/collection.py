@@ -5,6 +5,10 @@ version: its rows in a folder of their own, its keys beside them, and the keys o
 replaces. Nothing that is stored is written again, a reader leaves out replaced rows, and a
 version counts once it stands in ``log``. A row is replaced by a later one with the same text or
 the same ``doc_id``, so both are unique among the rows that are read.
+
+Term counts are maintained: a version keeps those of its batch (``batch``) and those of all that is stored once
+it counts (``whole``): the earlier whole plus the batch minus the rows that it is the first to replace. So
+statistics of the collection are never counted anew; of stored rows only the replaced ones are read.
 """
 
 from __future__ import annotations
@@ -22,12 +26,27 @@ from braidsearch.functions.vectors import (
     check_width,
     hashed_embedder,
 )
+from braidsearch.operators.bm25 import number_of_docs, term_totals
 from braidsearch.operators.index import count_terms
 from braidsearch.schemas import COLLECTION_LOG, COLLECTION_META
 from braidsearch.sources.tables import drop_path, path_exists, read_bucketed, write_bucketed
 
 
 KEYS = "version int, doc_id bigint, content_id string"
+# Counts of terms; the row without a term has the number of documents as its ``df``.
+COUNTS = "term string, df bigint, count bigint"
+
+
+def counts_of(rows: DataFrame) -> DataFrame:
+    docs = rows.agg(number_of_docs(rows).alias("df"))
+    docs = docs.select(F.lit(None).cast("string").alias("term"), "df", F.lit(0).cast("bigint").alias("count"))
+    return term_totals(rows).unionByName(docs)
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """Counts of several tables as one, without terms that no document holds any more."""
+    total = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("count").alias("count"))
+    return total.filter("term is null or df > 0")
 
 
 def latest_by_content(docs: DataFrame) -> DataFrame:
@@ -177,12 +196,14 @@ class Collection:
             same_id = stored.join(added.select("doc_id"), "doc_id", "left_semi")
             gone = same_text.unionByName(same_id).distinct()
             gone.write.mode("overwrite").parquet(self._folder(version, "gone"))
+        self._add_counts(version, log)
         self._finish(version, log[-1].base if log else version)
 
     def rebuild(self, rows: DataFrame, buckets: int | None = None) -> None:
         """Replace everything; rows with the same text stay separate."""
         version = self.version() + 1
         self._write_rows(rows, version, buckets)
+        self._add_counts(version, [], buckets)
         self._finish(version, version, buckets)
 
     def compact(self, buckets: int | None = None) -> None:
@@ -196,7 +217,7 @@ class Collection:
         old = [entry.version for entry in self._log() if entry.version not in live]
         removed = []
         for version in old:
-            for kind in ("rows", "keys", "gone"):
+            for kind in ("rows", "keys", "gone", "batch", "whole"):
                 if drop_path(self.spark, self._folder(version, kind)) and kind == "rows":
                     removed.append(version)
         return removed
@@ -206,6 +227,53 @@ class Collection:
         entry = self._live()[-1]
         return read_bucketed(self.spark, self._folder(entry.version), "doc_id", entry.buckets)
 
+    def term_totals(self, last_batch: bool = False) -> tuple[DataFrame, int]:
+        """Maintained `bm25.term_totals` and the number of documents: of all that is stored, or of the last batch.
+
+        Equal to counting `read` or `last_batch`, but no stored row is read.
+        """
+        entry = self._live()[-1]
+        kept = self._counts(entry.version, "batch" if last_batch else "whole")
+        if kept is None:
+            # written before counts were kept
+            kept = counts_of(self.last_batch() if last_batch else self.read())
+        return kept.filter("term is not null"), kept.filter("term is null").first().df
+
+    def _counts(self, version: int, kind: str) -> DataFrame | None:
+        folder = self._folder(version, kind)
+        return self.spark.read.schema(COUNTS).parquet(folder) if path_exists(self.spark, folder) else None
+
+    def _add_counts(self, version: int, log: list, buckets: int | None = None) -> None:
+        """Write the counts of a version that is written but does not count yet; ``log`` are those it adds to."""
+        rows = read_bucketed(self.spark, self._folder(version), "doc_id", buckets or self.buckets)
+        counts_of(rows).write.mode("overwrite").parquet(self._folder(version, "batch"))
+        whole = self._counts(version, "batch")
+        if log:
+            before = self._counts(log[-1].version, "whole")
+            if before is None:
+                before = counts_of(self.read())
+            whole = whole.unionByName(before)
+            replaced = self._newly_gone(version, log)
+            if replaced is not None:
+                less = [F.col("term"), (-F.col("df")).alias("df"), (-F.col("count")).alias("count")]
+                whole = whole.unionByName(counts_of(replaced).select(*less))
+        summed(whole).write.mode("overwrite").parquet(self._folder(version, "whole"))
+
+    def _newly_gone(self, version: int, log: list) -> DataFrame | None:
+        """Stored rows that ``version`` is the first to replace, from the batches that hold any; None without such."""
+        keys = ["version", "doc_id", "content_id"]
+        gone = self.spark.read.schema(KEYS).parquet(self._folder(version, "gone"))
+        earlier = [self.spark.read.schema(KEYS).parquet(self._folder(v.version, "gone")) for v in log[1:]]
+        if earlier:
+            gone = gone.join(reduce(DataFrame.unionByName, earlier), keys, "left_anti")
+        held = {row.version for row in gone.select("version").distinct().collect()}
+        batches = [
+            read_bucketed(self.spark, self._folder(v.version), "doc_id", v.buckets).select(*keys, "copies", "terms")
+            for v in log
+            if v.version in held
+        ]
+        return reduce(DataFrame.unionByName, batches).join(gone, keys, "left_semi") if batches else None
+
     def _folder(self, version: int, kind: str = "rows") -> str:
         return f"{self.path}/{kind}/v{version:06d}"
 

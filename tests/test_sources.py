@@ -10,8 +10,10 @@ from braidsearch.operators.index import build_index
 from braidsearch.plans import ingest, retrieve
 from braidsearch.schemas import DOCUMENTS
 from braidsearch.session import fresh_path, materialize, spread, workdir
+from braidsearch.sources import collection as sources
 from braidsearch.sources import corpus, models
 from braidsearch.sources.collection import Collection, latest_by_content
+from braidsearch.sources.tables import drop_path
 
 
 def batch(spark, rows):
@@ -269,3 +271,71 @@ def test_rows_without_id_are_refused(spark, tmp_path, merge):
     assert collection.version() == 0
     collection.upsert(collection.encode(spark.createDataFrame([r for r in rows if r[0]], DOCUMENTS), merge=merge))
     assert collection.read().count() == 2
+
+
+def counted(totals):
+    terms, n_docs = totals
+    return sorted(map(tuple, terms.select("term", "df", "count").collect())), n_docs
+
+
+def recounted(rows):
+    return counted((bm25.term_totals(rows), rows.agg(bm25.number_of_docs(rows)).first()[0]))
+
+
+BATCHES = [
+    [(1, "a b b", "1"), (2, "c", "1"), (3, "c", "1"), (4, "only here", "1")],
+    [(5, "d a", "2")],  # replaces nothing
+    [(1, "a e", "3"), (6, "c", "3")],  # an id, and a text that stood for two documents
+    [(1, "f", "4"), (4, "", "4"), (7, "d a", "4")],  # an id again, an emptied text, a text
+]
+
+
+def test_counts_are_maintained_over_batches(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "documents", 8, buckets=2)
+    for rows in BATCHES:
+        collection.upsert(collection.encode(batch(spark, rows)))
+        assert counted(collection.term_totals()) == recounted(collection.read())
+        assert counted(collection.term_totals(last_batch=True)) == recounted(collection.last_batch())
+    assert "only" not in [term for term, _, _ in counted(collection.term_totals())[0]]
+    before = counted(collection.term_totals())
+    collection.compact(3)
+    assert counted(collection.term_totals()) == before == recounted(collection.read())
+    collection.rebuild(collection.encode(batch(spark, BATCHES[0]), merge=False))
+    assert counted(collection.term_totals()) == recounted(collection.read())
+
+
+def test_stored_rows_are_only_read_where_some_are_replaced(spark, tmp_path, monkeypatch):
+    collection = Collection.create(spark, str(tmp_path / "c"), "documents", 8, buckets=2)
+    collection.upsert(collection.encode(batch(spark, BATCHES[0])))
+    log = collection._log()
+    opened = []
+    real = sources.read_bucketed
+    monkeypatch.setattr(sources, "read_bucketed", lambda s, path, *rest: opened.append(path) or real(s, path, *rest))
+    collection.upsert(collection.encode(batch(spark, BATCHES[1])))
+    assert set(opened) == {collection._folder(2)}
+    assert collection._newly_gone(2, log) is None
+
+
+def test_counts_of_a_collection_that_kept_none(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "documents", 8, buckets=2)
+    collection.upsert(collection.encode(batch(spark, BATCHES[0])))
+    for kind in ("batch", "whole"):
+        assert drop_path(spark, collection._folder(1, kind))
+    assert counted(collection.term_totals()) == recounted(collection.read())
+    collection.upsert(collection.encode(batch(spark, BATCHES[2])))
+    assert counted(collection.term_totals()) == recounted(collection.read())
+
+
+def test_models_of_two_batches_equal_refitting(spark, tmp_path):
+    path = str(tmp_path / "c")
+    for rows in (BATCHES[0], BATCHES[2]):
+        collection, model = ingest.ingest_upsert(spark, batch(spark, rows), path, f"{path}-model", dim=8, buckets=2)
+    for found, rows in (
+        (model, collection.last_batch()),
+        (models.load_model(spark, ingest.whole_model_path(f"{path}-model")), collection.read()),
+    ):
+        again = bm25.fit(rows)
+        assert (found.n_docs, found.avgdl, found.n_terms, found.sum_df) == (
+            again.n_docs, again.avgdl, again.n_terms, again.sum_df,
+        )
+        assert sorted(map(tuple, found.vocabulary.collect())) == sorted(map(tuple, again.vocabulary.collect()))
