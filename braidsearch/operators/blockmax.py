@@ -2,8 +2,8 @@
 
 Postings are stored once per model and weighing (`OKAPI`, or `VECTOR` for the sparse part of the convex score), ordered by term and falling weight, and cut into blocks of `BLOCK`;
 a block knows its greatest weight. Folders by a hash of the term let a batch of questions read only the
-folders of its terms (dynamic partition pruning). The range sort spreads a hot term over as many
-files as it needs.
+folders of its terms (dynamic partition pruning). The blocks of a hot term are spread over the tasks and
+files of its folder.
 
 A search takes three steps for all questions at once.
 
@@ -23,6 +23,7 @@ idf) no bound holds, and every matching document is a candidate.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -47,12 +48,15 @@ from braidsearch.session import fresh_path, materialize
 
 BLOCK = 128
 PARTS = 64
+# Postings that a task packs at a time, some 50 MB.
+HELD = 1 << 20
 # Share of the score to beat that postings below the level may add up to.
 UNSEEN = 0.1
 # What rounding scores may add to one, so that ties after rounding are not lost.
 SLACK = 2 * 10.0**-SCORE_DIGITS
 
 BLOCKS = "part int, term string, most double, docs array<bigint>, weights array<double>"
+PACKED = "part int, term string, most double, held bigint, docs array<bigint>, weights array<double>"
 
 
 @dataclass(frozen=True)
@@ -87,30 +91,69 @@ def part_of(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def _packed(size: int):
-    """Blocks of up to ``size`` postings of one term, from sorted ``part, term, doc_id, weight``."""
+def _blocks(table: pa.Table, size: int) -> pa.RecordBatch:
+    """Blocks of up to ``size`` postings from ``part, term, doc_id, weight`` in any order; ``held`` counts those of the term."""
+    terms = table.column("term").combine_chunks().dictionary_encode()
+    codes = terms.indices.to_numpy(zero_copy_only=False)
+    docs, weights = (table.column(name).to_numpy() for name in ("doc_id", "weight"))
+    order = np.lexsort((docs, -weights, codes))
+    codes = codes[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    held = np.diff(np.append(first, len(codes)))
+    place = np.arange(len(codes)) - np.repeat(first, held)
+    starts = np.flatnonzero(place % size == 0)
+    ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            table.column("part").combine_chunks().take(pa.array(order[starts])),
+            terms.dictionary.take(pa.array(codes[starts])),
+            pa.array(weights[order[starts]]),
+            pa.array(np.repeat(held, held)[starts]),
+            pa.ListArray.from_arrays(ends, pa.array(docs[order])),
+            pa.ListArray.from_arrays(ends, pa.array(weights[order])),
+        ],
+        names=["part", "term", "most", "held", "docs", "weights"],
+    )
+
+
+def _gathered(size: int):
+    """Blocks of the postings ``part, term, doc_id, weight`` of a task, `HELD` at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                yield _blocks(pa.Table.from_batches(held), size)
+                held, n = [], 0
+        if n:
+            yield _blocks(pa.Table.from_batches(held), size)
+
+    return run
+
+
+def _merged(size: int):
+    """Blocks of one term joined into new ones by falling weight; rows come sorted by part and term.
+
+    Up to `HELD` postings are joined at a time, so a term with more of them gives several runs of blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes = batch.column("term").dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            new = np.append(True, codes[1:] != codes[:-1])
-            first = np.flatnonzero(new)
-            place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
-            starts = np.flatnonzero(place % size == 0)
-            ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
-            heads = pa.array(starts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("part").take(heads),
-                    batch.column("term").take(heads),
-                    batch.column("weight").take(heads),
-                    pa.ListArray.from_arrays(ends, batch.column("doc_id")),
-                    pa.ListArray.from_arrays(ends, batch.column("weight")),
-                ],
-                names=["part", "term", "most", "docs", "weights"],
-            )
+            lengths = batch.column("docs").value_lengths().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // HELD)) + 1
+            for start, end in itertools.pairwise([0, *cuts, batch.num_rows]):
+                if start == end:
+                    continue
+                rows = batch.slice(start, end - start)
+                owner = pa.array(np.repeat(np.arange(end - start), lengths[start:end]))
+                columns = [
+                    rows.column("part").take(owner), rows.column("term").take(owner),
+                    rows.column("docs").flatten(), rows.column("weights").flatten(),
+                ]
+                joined = pa.table(columns, names=["part", "term", "doc_id", "weight"])
+                yield _blocks(joined, size).select(["part", "term", "most", "docs", "weights"])
 
     return run
 
@@ -123,15 +166,24 @@ def write_postings(
     parts: int = PARTS,
     weighing: Weighing = OKAPI,
 ) -> Postings:
-    """Store the blocks of ``index`` under ``path`` (default: the shared work folder)."""
+    """Store the blocks of ``index`` under ``path`` (default: the shared work folder).
+
+    Postings are packed where the index is read, so a term is shuffled once for each block and not for each
+    document. Blocks are dealt by folder and to places inside it: one for each `HELD` postings that the term should
+    have in all, by what it has among those packed together and the size of the index.
+    """
     path = path or fresh_path(index.sparkSession, "postings")
     weighed = weigh_terms(index, weighing.posting(model, F.col("tf")))
-    # the sort samples its input first, so that is written
-    rows = materialize(weighed.withColumn("part", part_of(F.col("term"), parts)), "weighed")
-    order = ["part", "term", F.desc("weight"), "doc_id"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = ordered.select("part", "term", "doc_id", "weight").mapInArrow(_packed(block), BLOCKS)
-    packed.write.partitionBy("part").parquet(path)
+    rows = weighed.select(part_of(F.col("term"), parts).alias("part"), "term", "doc_id", "weight")
+    packed = rows.mapInArrow(_gathered(block), PACKED)
+    spread = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts)
+    places = F.ceil(F.col("held") * F.lit(model.sum_df / HELD**2))
+    place = F.xxhash64("term") % 1024 + F.pmod(F.xxhash64(F.element_at("docs", 1)), places)
+    task = F.col("part") * spread + F.pmod(place, F.lit(spread))
+    placed = packed.repartitionById(parts * spread, task.cast("int"))
+    ordered = placed.sortWithinPartitions("part", "term", F.desc("most"))
+    merged = ordered.select("part", "term", "docs", "weights").mapInArrow(_merged(block), BLOCKS)
+    merged.write.partitionBy("part").parquet(path)
     return read_postings(index.sparkSession, path, model, weighing, parts)
 
 
@@ -215,13 +267,15 @@ def seen_above(stored: Postings, known: DataFrame, size: int) -> DataFrame:
         return F.col("weight") * F.col(weight) >= F.col("level")
 
     each = blocks.filter(reaches("most")).select(
-        "query_id", "weight", "level", "rest", "beat", "unseen", F.inline(F.arrays_zip("docs", "weights"))
+        "query_id", "weight", "level", "rest", F.inline(F.arrays_zip("docs", "weights"))
     )
     adds = F.col("weight") * F.col("weights")
     seen = each.filter(reaches("weights")).groupBy("query_id", F.col("docs").alias("doc_id")).agg(
-        F.sum(adds).alias("score"), (F.sum(adds - F.col("rest")) + F.first("unseen")).alias("most"),
-        F.first("beat").alias("beat"),
+        F.sum(adds).alias("score"), F.sum("rest").alias("rest")
     )
+    asked = known.select("query_id", "beat", "unseen").distinct()
+    seen = seen.join(broadcast_within(asked, size), "query_id")
+    seen = seen.withColumn("most", F.col("score") - F.col("rest") + F.col("unseen"))
     return seen.filter(F.col("most") >= F.col("beat")).select("query_id", "doc_id", "score", "most")
 
 

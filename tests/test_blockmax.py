@@ -103,3 +103,18 @@ def test_nothing_asked(spark):
     stored = bx.write_postings(index, model)
     assert bx.blockmax_topk(asked(spark, []).limit(0), index, stored).collect() == []
     assert bx.blockmax_topk(asked(spark, ["zebra"]), index, stored).collect() == []
+
+
+def test_a_hot_term_is_spread_and_whole(spark, monkeypatch):
+    """Places for few postings each, so that one word needs many; every posting stays, once."""
+    monkeypatch.setattr(bx, "HELD", 64)
+    texts = ["hot " + ("rare" if n == 7 else f"w{n % 20}") for n in range(400)]
+    index, model = corpus(spark, texts)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    stored = bx.write_postings(index.repartition(3), model, block=8, parts=2)
+    files = stored.blocks.filter("term = 'hot'").select("_metadata.file_name").distinct().count()
+    assert files == int(tasks) // 2
+    kept = [(b.term, d) for b in stored.blocks.collect() for d in b.docs]
+    assert sorted(kept) == sorted((word, n) for n, text in enumerate(texts) for word in text.split())
+    found = ranked_rows(bx.blockmax_topk(asked(spark, ["hot rare"]), index, stored, 3))
+    assert found[0][0][0] == 7
