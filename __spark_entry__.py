@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from braidsearch.functions import text as tx
 from braidsearch.functions import vectors as vx
 from braidsearch.operators import blockmax, bm25, context, dense, fusion, rerank, threshold
-from braidsearch.operators.index import count_terms, index_rows, postings
+from braidsearch.operators.index import buckets_for, count_terms, index_rows, postings
 from braidsearch.operators.ranking import rounded
 from braidsearch.plans import ingest, retrieve
-from braidsearch.session import fanout, fresh_path, materialize, spread
+from braidsearch.session import fresh_path, materialize, spread
 from braidsearch.sources import corpus, models
 from braidsearch.sources.collection import Collection
 
@@ -100,7 +100,7 @@ def bm25_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     path = fresh_path(spark, "collection")
-    collection = Collection.create(spark, path, "documents", buckets=fanout(docs))
+    collection = Collection.create(spark, path, "documents", buckets=buckets_for(docs))
     collection.upsert(collection.encode(docs))
     # the second batch brings the English documents again, with a new category
     category = F.try_element_at("metadata", F.lit("category"))
@@ -119,7 +119,7 @@ def collection_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     path = fresh_path(spark, "collection")
-    collection = Collection.create(spark, path, "documents", buckets=fanout(docs))
+    collection = Collection.create(spark, path, "documents", buckets=buckets_for(docs))
     for _ in range(2):
         collection.rebuild(collection.encode(docs, merge=False))
     return collection.read().select("doc_id", "content_id")
@@ -132,7 +132,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, docs = fresh_path(spark, "collection"), _docs(spark, sf_dir)
     collection, _ = ingest.ingest_upsert(
-        spark, docs, path, f"{path}-model", buckets=fanout(docs)
+        spark, docs, path, f"{path}-model", buckets=buckets_for(docs)
     )
     return _ingested(collection)
 
@@ -140,7 +140,7 @@ def ingest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, docs = fresh_path(spark, "collection"), _docs(spark, sf_dir)
     collection, _ = ingest.ingest_rebuild(
-        spark, docs, path, f"{path}-corpus", f"{path}-model", buckets=fanout(docs)
+        spark, docs, path, f"{path}-corpus", f"{path}-model", buckets=buckets_for(docs)
     )
     return _ingested(collection)
 
@@ -149,8 +149,9 @@ def ingest_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, then the Okapi list over all that is stored."""
     path, docs = fresh_path(spark, "collection"), _docs(spark, sf_dir)
     first = F.try_element_at("metadata", F.lit("category")).isin("en", "fr")
+    buckets = buckets_for(docs)
     for batch in (docs.filter(first), docs.filter(~first)):
-        ingest.ingest_upsert(spark, batch, path, f"{path}-model", buckets=fanout(docs))
+        ingest.ingest_upsert(spark, batch, path, f"{path}-model", buckets=buckets)
     retriever = retrieve.open_retriever(spark, path, f"{path}-model")
     return retriever.sparse(retriever.ask(_questions(spark, sf_dir)))
 

@@ -7,15 +7,20 @@ are picked, before anything is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidsearch.functions.columns import let
 from braidsearch.functions.text import Analyzer, content_key, simple_tokens, term_counts
 from braidsearch.functions.vectors import Embedder
+from braidsearch.operators.ranking import text_bytes
 from braidsearch.session import fanout, fresh_path
 from braidsearch.sources.tables import write_bucketed
 
+# Documents that a task holds at most, and bytes of their texts: sums by question and document, the sort
+# before a write and what is sent to Python grow with them.
+TASK_ROWS, TASK_BYTES = 4096, 8 << 20
+
 
 def count_terms(
     df: DataFrame, analyzer: Analyzer = simple_tokens, text: str = "text"
@@ -41,6 +46,21 @@ def index_rows(
     return counted.select(*columns)
 
 
+def places_for(spark: SparkSession, rows: int, size: int) -> int:
+    """Tasks (or buckets) that hold `TASK_ROWS` and `TASK_BYTES` of ``rows`` documents of ``size`` bytes each.
+
+    They grow with the documents, so that a task does not; Spark allows no more buckets than its setting says.
+    """
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(1, -(-rows // TASK_ROWS), -(-size // TASK_BYTES)))
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets of an index of ``docs``: those of `fanout`, more where a bucket would hold too much for a task."""
+    rows, size = docs.agg(F.count("*"), text_bytes(F.coalesce("text", F.lit("")))).first()
+    return max(fanout(docs), places_for(docs.sparkSession, rows, size))
+
+
 def build_index(
     docs: DataFrame,
     analyzer: Analyzer = simple_tokens,
@@ -54,7 +74,7 @@ def build_index(
     runs in as many tasks as there are buckets.
     """
     spark = docs.sparkSession
-    buckets = buckets or fanout(docs)
+    buckets = buckets or buckets_for(docs)
     placed = docs.select("doc_id", "text").repartition(buckets, "doc_id")
     rows = index_rows(placed, analyzer, embedder)
     return write_bucketed(rows, path or fresh_path(spark, "index"), "doc_id", buckets)
