@@ -13,7 +13,7 @@ from braidsearch.functions.vectors import DEFAULT_DIM, Embedder, hashed_embedder
 from braidsearch.operators import context, fusion, hybrid
 from braidsearch.operators.bm25 import Bm25Model, fit
 from braidsearch.operators.dense import dense_topk
-from braidsearch.operators.index import build_index, count_terms, unfold_terms
+from braidsearch.operators.index import build_index, count_terms, places_for, unfold_terms
 from braidsearch.operators.ranking import ROW_BYTES, broadcast_within, text_bytes
 from braidsearch.operators.rerank import Scorer, attach, overlap_score, rerank
 from braidsearch.plans.ingest import whole_model_path
@@ -49,7 +49,8 @@ class Retriever:
     vectors, ``embedding``; ``docs`` has ``doc_id, text, metadata``. ``model`` weighs terms for the convex
     search, ``okapi`` (default: the same) scores the sparse lists and covers all of ``index``. Up to
     ``named_ids`` ranked documents are named in a filter, so that of a table bucketed by ``doc_id``
-    only their buckets are read; more are joined. 0 for tables without buckets.
+    only their buckets are read; more are joined. 0 for tables without buckets. An ``index`` that is not bucketed
+    by ``doc_id`` is dealt by it to ``dealt`` tasks where scores are summed.
     """
 
     index: DataFrame
@@ -61,6 +62,11 @@ class Retriever:
     metric: str = "l2"
     okapi: Bm25Model | None = None
     named_ids: int = 0
+    dealt: int = 0
+
+    @property
+    def by_document(self) -> DataFrame:
+        return self.index.repartition(self.dealt, "doc_id") if self.dealt else self.index
 
     def embed(self) -> Embedder:
         return self.embedder or hashed_embedder(self.dim)
@@ -89,7 +95,7 @@ class Retriever:
     def _okapi(self, asked: Questions, k: int, pad: bool) -> DataFrame:
         model = self.okapi or self.model
         return hybrid.okapi_topk(
-            asked.rows, asked.terms, self.index, model, k, pad, asked.terms_size
+            asked.rows, asked.terms, self.by_document, model, k, pad, asked.terms_size
         )
 
     def dense(self, asked: Questions, k: int = DEPTH, metric: str | None = None) -> DataFrame:
@@ -101,7 +107,7 @@ class Retriever:
         return hybrid.convex_topk(
             asked.rows,
             asked.terms,
-            self.index,
+            self.by_document,
             self.model,
             k,
             alpha,
@@ -183,8 +189,10 @@ def open_retriever(
         raise ValueError(f"the model was fitted with {model.analysis}, not {analysis_of(analyzer)}")
     whole = load_model(spark, whole_model_path(model_path))
     docs = rows.select("doc_id", "text", "metadata")
+    # rows of several batches are not bucketed; without a shuffle by document every pair of question and document is shuffled
+    dealt = 0 if collection.gathered() else places_for(spark, whole.n_docs, whole.sum_df * ROW_BYTES)
     return Retriever(
-        rows, docs, model, analyzer, embedder, collection.dim, collection.metric, whole, named_ids
+        rows, docs, model, analyzer, embedder, collection.dim, collection.metric, whole, named_ids, dealt
     )
 
 

@@ -124,6 +124,10 @@ class Collection:
         log = self._log()
         return [entry for entry in log if entry.version >= log[-1].base]
 
+    def gathered(self) -> bool:
+        """Whether the current rows are one version, which is read as a bucketed table."""
+        return len(self._live()) == 1
+
     def read(self) -> DataFrame:
         """The current rows; use the columns you need, the rest is not read.
 

@@ -6,7 +6,7 @@ from conftest import ASKED, TEXTS, ranked_rows
 from pyspark.sql import functions as F
 
 from braidsearch.functions.vectors import model_embedder
-from braidsearch.operators import context
+from braidsearch.operators import context, index
 from braidsearch.plans import ingest, retrieve
 from braidsearch.schemas import DOCUMENTS, QUESTIONS
 
@@ -208,3 +208,32 @@ def test_partitioning_does_not_change_results(docs, questions):
         return ranked_rows(retriever.ensemble(retriever.ask(questions.repartition(3))))
 
     assert lists(docs.coalesce(1)) == lists(docs.repartition(6))
+
+
+def test_buckets_grow_with_the_documents(spark, monkeypatch):
+    rows = [(n, f"sea salt {n}", {}) for n in range(60)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    monkeypatch.setattr(index, "TASK_ROWS", 4)
+    # more than the 4 shuffle partitions of the session
+    assert index.buckets_for(docs) == 15
+    found = retrieve.index_documents(docs, dense=False)
+    scored = found.sparse(found.ask(spark.createDataFrame([(0, "salt 7")], QUESTIONS)))
+    held = found.index.groupBy(F.spark_partition_id()).count()
+    assert scored.count() == 5
+    assert len(found.index.inputFiles()) > 8
+    assert held.agg(F.sum("count")).first()[0] == 60
+    monkeypatch.setattr(index, "TASK_BYTES", 100)
+    assert index.buckets_for(docs) > 40
+
+
+def test_scores_of_two_batches_are_summed_by_document(spark, questions, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TASK_ROWS", 1)
+    path = str(tmp_path / "c")
+    for batch in (docs.filter("doc_id < 3"), docs.filter("doc_id >= 3")):
+        ingest.ingest_upsert(spark, batch, path, path + "-model", buckets=index.buckets_for(docs))
+    found = retrieve.open_retriever(spark, path, path + "-model")
+    assert found.dealt >= len(TEXTS)
+    assert found.by_document.rdd.getNumPartitions() == found.dealt
+    close(ranked_rows(found.padded(found.ask(questions))), top(okapi(PLAIN, ASKED), 5))
+    alone = retrieve.index_documents(docs)
+    assert not alone.dealt and alone.by_document is alone.index
