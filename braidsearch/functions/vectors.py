@@ -8,7 +8,8 @@ model goes into the same slot through `model_embedder` and looks at the text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from pyspark.sql import types as T
 
 DEFAULT_DIM = 384
 
+# Rows and counted terms that a worker folds at once, some 20 MB.
+FOLD_ROWS, FOLD_TERMS = 1024, 1 << 17
+
 Embedder = Callable[[Column, Column], Column]
 
 
@@ -72,6 +76,14 @@ def big_endian_words(digests: pa.Array) -> np.ndarray:
     return words.reshape(-1, 4).astype(np.int64)
 
 
+def pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of up to `FOLD_ROWS` rows, cut where their ``lengths`` pass a multiple of `FOLD_TERMS`."""
+    lot = np.cumsum(lengths) // FOLD_TERMS
+    ends = np.arange(1, len(lengths))
+    cuts = ends[(np.diff(lot) > 0) | (ends % FOLD_ROWS == 0)]
+    return itertools.pairwise([0, *cuts.tolist(), len(lengths)])
+
+
 def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
     """Signed feature hashing of counted terms to ``dim`` numbers of unit length.
 
@@ -80,11 +92,8 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
     A document without terms keeps the zero vector.
     """
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def fold(digests: pa.Array, counts: pa.Array) -> pa.Array:
+    def folded(digests: pa.Array, counts: pa.Array) -> pa.Array:
         rows = len(digests)
-        if rows == 0:
-            return pa.array([], pa.list_(pa.float32()))
         row = np.repeat(np.arange(rows), digests.value_lengths().to_numpy())
         words = big_endian_words(digests.flatten())
         signed = counts.flatten().to_numpy() * np.where(words[:, 1] % 2 == 0, 1, -1)
@@ -93,6 +102,13 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         return list_column((sums / np.where(length == 0, 1.0, length)).astype(np.float32))
 
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def fold(digests: pa.Array, counts: pa.Array) -> pa.Array:
+        if len(digests) == 0:
+            return pa.array([], pa.list_(pa.float32()))
+        parts = pieces(digests.value_lengths().to_numpy())
+        return pa.concat_arrays(folded(digests[low:high], counts[low:high]) for low, high in parts)
+
     def embed(_text: Column, terms: Column) -> Column:
         # Two arguments on purpose: `terms` then stays a column of its own. Spark cannot
         # call a Python function on the nested lambdas that count the terms.

@@ -27,7 +27,7 @@ from braidsearch.operators.ranking import ROW_BYTES, SCORE_DIGITS, top_by_score
 # Questions that are multiplied at once, bytes of them that a task holds, scores it holds at once.
 BLOCK_QUESTIONS = 4096
 PASS_BYTES = 64 << 20
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 CANDIDATES = pa.schema(
     [("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]

@@ -230,3 +230,22 @@ def test_model_slot(spark, docs):
     }
     with pytest.raises(Exception, match="width 3"):
         build_index(docs, embedder=vx.model_embedder(load, 3)).collect()
+
+
+def test_a_large_batch_is_folded_in_pieces(spark, monkeypatch):
+    assert list(vx.pieces(np.array([3, 0, 2]))) == [(0, 3)]
+    monkeypatch.setattr(vx, "FOLD_ROWS", 4)
+    monkeypatch.setattr(vx, "FOLD_TERMS", 10)
+    cut = list(vx.pieces(np.array([1, 1, 1, 1, 1, 9, 0, 30, 2])))
+    assert cut == [(0, 4), (4, 5), (5, 7), (7, 8), (8, 9)]
+    monkeypatch.undo()
+    rows = [(n, f"a{n % 7} a{n % 7} b{n}") for n in range(2 * vx.FOLD_ROWS + 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def folded(tasks):
+        counted = count_terms(docs.repartition(tasks, "doc_id"))
+        found = counted.select("doc_id", vx.hashed_embedder(8)(F.col("text"), F.col("terms")).alias("v"))
+        return {row.doc_id: row.v for row in found.collect()}
+
+    whole = folded(1)
+    assert whole == folded(6) and len(whole) == len(rows)
