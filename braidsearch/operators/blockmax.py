@@ -1,9 +1,10 @@
 """Search by terms over postings in blocks, with MaxScore pruning.
 
-Postings are stored once per model and weighing (`OKAPI`, or `VECTOR` for the sparse part of the convex score), ordered by term and falling weight, and cut into blocks of `BLOCK`;
+Postings are stored once per model and weighing (`OKAPI`, or `VECTOR` for the sparse part of the convex score). Documents are dealt
+to shares by a hash of their id; in a share postings are ordered by term and falling weight, and cut into blocks of `BLOCK`;
 a block knows its greatest weight. Folders by a hash of the term let a batch of questions read only the
-folders of its terms (dynamic partition pruning). The blocks of a hot term are spread over the tasks and
-files of its folder.
+folders of its terms (dynamic partition pruning). In a folder the table is bucketed by share, so the postings of a hot term are
+spread over all shares, and what a question's terms add to a document meets in one task.
 
 A search takes three steps for all questions at once.
 
@@ -16,14 +17,13 @@ A search takes three steps for all questions at once.
    documents that can reach it are candidates.
 3. *Scores.* Candidates are scored in full from the index rows of their documents, and ranked.
 
-Sums run where postings are read; what is shuffled are documents seen above the level, not every pair of question and
-matching document. Bounds need weights of at least 0; where common terms count against a document (negative mean
+Sums run where postings are read, share by share, and are not shuffled; the number of shares grows with the documents, so that a
+task does not. Bounds need weights of at least 0; where common terms count against a document (negative mean
 idf) no bound holds, and every matching document is a candidate.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from braidsearch.operators.bm25 import (
@@ -43,20 +44,23 @@ from braidsearch.operators.bm25 import (
     weigh_terms,
 )
 from braidsearch.operators.index import unfold_terms
-from braidsearch.operators.ranking import SCORE_DIGITS, broadcast_within, top_by_score
+from braidsearch.operators.ranking import ROW_BYTES, SCORE_DIGITS, broadcast_within, keep_top, top_by_score
 from braidsearch.session import fresh_path, materialize
+from braidsearch.sources.tables import read_bucketed, write_bucketed
 
 BLOCK = 128
 PARTS = 64
 # Postings that a task packs at a time, some 50 MB.
 HELD = 1 << 20
+# Documents and postings of a share, which one task packs and sums.
+SHARE_DOCS, SHARE_POSTINGS = 1 << 13, 1 << 22
 # Share of the score to beat that postings below the level may add up to.
 UNSEEN = 0.1
 # What rounding scores may add to one, so that ties after rounding are not lost.
 SLACK = 2 * 10.0**-SCORE_DIGITS
 
-BLOCKS = "part int, term string, most double, docs array<bigint>, weights array<double>"
-PACKED = "part int, term string, most double, held bigint, docs array<bigint>, weights array<double>"
+# ``share`` is the smallest id of the documents dealt there, ``held`` the number of postings of a block.
+BLOCKS = "share bigint, term string, most double, held int, docs array<bigint>, weights array<double>, part int"
 
 
 @dataclass(frozen=True)
@@ -92,32 +96,33 @@ def part_of(term: Column, parts: int) -> Column:
 
 
 def _blocks(table: pa.Table, size: int) -> pa.RecordBatch:
-    """Blocks of up to ``size`` postings from ``part, term, doc_id, weight`` in any order; ``held`` counts those of the term."""
+    """Blocks of up to ``size`` postings from ``share, part, term, doc_id, weight`` of one share, in any order."""
     terms = table.column("term").combine_chunks().dictionary_encode()
     codes = terms.indices.to_numpy(zero_copy_only=False)
     docs, weights = (table.column(name).to_numpy() for name in ("doc_id", "weight"))
     order = np.lexsort((docs, -weights, codes))
     codes = codes[order]
     first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
-    held = np.diff(np.append(first, len(codes)))
-    place = np.arange(len(codes)) - np.repeat(first, held)
+    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
     starts = np.flatnonzero(place % size == 0)
     ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
+    lead = pa.array(order[starts])
     return pa.RecordBatch.from_arrays(
         [
-            table.column("part").combine_chunks().take(pa.array(order[starts])),
+            table.column("share").combine_chunks().take(lead),
             terms.dictionary.take(pa.array(codes[starts])),
             pa.array(weights[order[starts]]),
-            pa.array(np.repeat(held, held)[starts]),
+            pa.array(np.diff(np.append(starts, len(codes))).astype(np.int32)),
             pa.ListArray.from_arrays(ends, pa.array(docs[order])),
             pa.ListArray.from_arrays(ends, pa.array(weights[order])),
+            table.column("part").combine_chunks().take(lead),
         ],
-        names=["part", "term", "most", "held", "docs", "weights"],
+        names=["share", "term", "most", "held", "docs", "weights", "part"],
     )
 
 
 def _gathered(size: int):
-    """Blocks of the postings ``part, term, doc_id, weight`` of a task, `HELD` at a time."""
+    """Blocks of the postings of a task, `HELD` at a time; a term with more of them gives several runs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -133,29 +138,11 @@ def _gathered(size: int):
     return run
 
 
-def _merged(size: int):
-    """Blocks of one term joined into new ones by falling weight; rows come sorted by part and term.
-
-    Up to `HELD` postings are joined at a time, so a term with more of them gives several runs of blocks.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = batch.column("docs").value_lengths().to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // HELD)) + 1
-            for start, end in itertools.pairwise([0, *cuts, batch.num_rows]):
-                if start == end:
-                    continue
-                rows = batch.slice(start, end - start)
-                owner = pa.array(np.repeat(np.arange(end - start), lengths[start:end]))
-                columns = [
-                    rows.column("part").take(owner), rows.column("term").take(owner),
-                    rows.column("docs").flatten(), rows.column("weights").flatten(),
-                ]
-                joined = pa.table(columns, names=["part", "term", "doc_id", "weight"])
-                yield _blocks(joined, size).select(["part", "term", "most", "docs", "weights"])
-
-    return run
+def shares_for(spark: SparkSession, model: Bm25Model, parts: int) -> int:
+    """Shares that hold `SHARE_DOCS` documents and `SHARE_POSTINGS` postings of the model's corpus; more where tasks are many."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions")) // parts
+    return min(most, max(1, tasks, -(-model.n_docs // SHARE_DOCS), -(-model.sum_df // SHARE_POSTINGS)))
 
 
 def write_postings(
@@ -168,30 +155,31 @@ def write_postings(
 ) -> Postings:
     """Store the blocks of ``index`` under ``path`` (default: the shared work folder).
 
-    Postings are packed where the index is read, so a term is shuffled once for each block and not for each
-    document. Blocks are dealt by folder and to places inside it: one for each `HELD` postings that the term should
-    have in all, by what it has among those packed together and the size of the index.
+    Index rows are shuffled once, to the share of their document, and packed there; no posting is shuffled. A share is named
+    by its smallest id, which falls into the bucket of that share by Spark's own rule.
     """
-    path = path or fresh_path(index.sparkSession, "postings")
-    weighed = weigh_terms(index, weighing.posting(model, F.col("tf")))
-    rows = weighed.select(part_of(F.col("term"), parts).alias("part"), "term", "doc_id", "weight")
-    packed = rows.mapInArrow(_gathered(block), PACKED)
-    spread = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts)
-    places = F.ceil(F.col("held") * F.lit(model.sum_df / HELD**2))
-    place = F.xxhash64("term") % 1024 + F.pmod(F.xxhash64(F.element_at("docs", 1)), places)
-    task = F.col("part") * spread + F.pmod(place, F.lit(spread))
-    placed = packed.repartitionById(parts * spread, task.cast("int"))
-    ordered = placed.sortWithinPartitions("part", "term", F.desc("most"))
-    merged = ordered.select("part", "term", "docs", "weights").mapInArrow(_merged(block), BLOCKS)
-    merged.write.partitionBy("part").parquet(path)
-    return read_postings(index.sparkSession, path, model, weighing, parts)
+    spark = index.sparkSession
+    path = path or fresh_path(spark, "postings")
+    shares = shares_for(spark, model, parts)
+    number = F.pmod(F.hash(F.col("doc_id").cast("bigint")), F.lit(shares))
+    names = index.select("doc_id", number.alias("number")).groupBy("number").agg(F.min("doc_id").alias("share"))
+    rows = index.select("doc_id", "dl", "terms", number.alias("number")).repartitionById(shares, F.col("number"))
+    rows = rows.join(broadcast_within(names, shares * ROW_BYTES), "number")
+    weight = weighing.posting(model, F.col("tf")).alias("weight")
+    weighed = unfold_terms(rows, "share", "doc_id", "dl")
+    weighed = weighed.select("share", part_of(F.col("term"), parts).alias("part"), "term", "doc_id", weight)
+    write_bucketed(weighed.mapInArrow(_gathered(block), BLOCKS), f"{path}/blocks", "share", shares, "part")
+    spark.range(1).select(F.lit(shares).alias("shares")).coalesce(1).write.parquet(f"{path}/shares")
+    return read_postings(spark, path, model, weighing, parts)
 
 
 def read_postings(
     spark: SparkSession, path: str, model: Bm25Model, weighing: Weighing = OKAPI, parts: int = PARTS
 ) -> Postings:
     """The blocks under ``path``; weighing and number of folders must be those that they were written with."""
-    return Postings(spark.read.schema(BLOCKS).parquet(path), model, weighing, parts)
+    shares = spark.read.schema("shares int").parquet(f"{path}/shares").first().shares
+    blocks = read_bucketed(spark, f"{path}/blocks", "share", shares, T.StructType.fromDDL(BLOCKS), "part")
+    return Postings(blocks, model, weighing, parts)
 
 
 def _asked_blocks(stored: Postings, asked: DataFrame, size: int, columns: list[str]) -> DataFrame:
@@ -213,18 +201,22 @@ def full_scores(pairs: DataFrame, weights: DataFrame, index: DataFrame, stored:
 
 
 def bounds(stored: Postings, weights: DataFrame, size: int) -> DataFrame:
-    """``query_id, term, weight, most, bound``: the greatest weight of each asked term, and what it adds at most."""
+    """``query_id, term, weight, most, lead, bound``: the greatest weight of each asked term, that of the last of its first
+    blocks, which hold `BLOCK` postings of all shares, and what the term adds at most."""
     asked = weights.select("term").distinct()
-    most = _asked_blocks(stored, asked, size, ["most"]).groupBy("term").agg(F.max("most").alias("most"))
+    first = keep_top(_asked_blocks(stored, asked, size, ["most", "held"]), BLOCK, [F.desc("most"), F.desc("held")], "term")
+    falling = Window.partitionBy("term").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("before", F.coalesce(F.sum("held").over(falling), F.lit(0))).filter(F.col("before") < BLOCK)
+    most = first.groupBy("term").agg(F.max("most").alias("most"), F.min("most").alias("lead"))
     return weights.join(broadcast_within(most, size), "term").withColumn("bound", F.col("weight") * F.col("most"))
 
 
 def to_beat(stored: Postings, limits: DataFrame, k: int, size: int) -> DataFrame:
     """``query_id, beat``: a score that the k-th answer of a question reaches; no row where too few are known."""
-    lead = _asked_blocks(stored, limits.withColumnRenamed("most", "greatest"), size, ["most", "docs", "weights"])
-    lead = lead.filter(F.col("most") == F.col("greatest"))
-    each = lead.select("query_id", "weight", F.inline(F.arrays_zip("docs", "weights")))
-    partial = each.groupBy("query_id", F.col("docs").alias("doc_id")).agg(
+    lead = _asked_blocks(stored, limits.drop("most"), size, ["share", "most", "docs", "weights"])
+    lead = lead.filter(F.col("most") >= F.col("lead"))
+    each = lead.select("share", "query_id", "weight", F.inline(F.arrays_zip("docs", "weights")))
+    partial = each.groupBy("share", "query_id", F.col("docs").alias("doc_id")).agg(
         F.sum(F.col("weight") * F.col("weights")).alias("score")
     )
     return _kth(partial, k)
@@ -261,16 +253,17 @@ def seen_above(stored: Postings, known: DataFrame, size: int) -> DataFrame:
     """``query_id, doc_id, score, most, unseen``: what postings above the level add to documents that may still reach
     the score to beat, and the most that these can score."""
     read = known.filter(F.col("bound") >= F.col("level"))
-    blocks = _asked_blocks(stored, read, size, ["most", "docs", "weights"])
+    blocks = _asked_blocks(stored, read, size, ["share", "most", "docs", "weights"])
 
     def reaches(weight: str) -> Column:
         return F.col("weight") * F.col(weight) >= F.col("level")
 
     each = blocks.filter(reaches("most")).select(
-        "query_id", "weight", "level", "rest", F.inline(F.arrays_zip("docs", "weights"))
+        "share", "query_id", "weight", "level", "rest", F.inline(F.arrays_zip("docs", "weights"))
     )
     adds = F.col("weight") * F.col("weights")
-    seen = each.filter(reaches("weights")).groupBy("query_id", F.col("docs").alias("doc_id")).agg(
+    # a document is in one share, so its sums stay in the share's task
+    seen = each.filter(reaches("weights")).groupBy("share", "query_id", F.col("docs").alias("doc_id")).agg(
         F.sum(adds).alias("score"), F.sum("rest").alias("rest")
     )
     asked = known.select("query_id", "beat", "unseen").distinct()

@@ -13,20 +13,29 @@ def _table_name(path: str) -> str:
     return "braid_" + hashlib.md5(path.encode()).hexdigest()[:20]
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
-    """Write ``df`` and return the table.
+def write_bucketed(
+    df: DataFrame, path: str, key: str, buckets: int, folder: str | None = None
+) -> DataFrame:
+    """Write ``df`` and return the table, with a folder for each value of column ``folder`` if given.
 
-    Rows already partitioned by ``key`` give one file per bucket; others are not
+    Rows already partitioned by ``key`` give one file per bucket (and folder); others are not
     shuffled either, their tasks write a file for each bucket they meet.
     """
     name = _table_name(path)
     writer = df.write.format("parquet").mode("overwrite").bucketBy(buckets, key)
+    if folder:
+        writer = writer.partitionBy(folder)
     writer.option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
 def read_bucketed(
-    spark: SparkSession, path: str, key: str, buckets: int, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    key: str,
+    buckets: int,
+    schema: T.StructType | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Open a bucketed table by its path, also in a session that did not write it."""
     name = _table_name(path)
@@ -34,9 +43,11 @@ def read_bucketed(
         fields = (schema or spark.read.parquet(path).schema).fields
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         spark.sql(
-            f"CREATE TABLE {name} ({columns}) USING parquet "
+            f"CREATE TABLE {name} ({columns}) USING parquet {f'PARTITIONED BY ({folder}) ' if folder else ''}"
             f"CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
+        if folder:
+            spark.catalog.recoverPartitions(name)
     return spark.table(name)
 
 

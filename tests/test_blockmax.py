@@ -6,6 +6,7 @@ from braidsearch.operators import bm25, hybrid
 from braidsearch.operators import blockmax as bx
 from braidsearch.operators.index import index_rows
 from braidsearch.schemas import QUESTIONS
+from braidsearch.session import materialize
 from tests import brute
 from tests.conftest import ASKED, TEXTS, ranked_rows
 
@@ -118,3 +119,36 @@ def test_a_hot_term_is_spread_and_whole(spark, monkeypatch):
     assert sorted(kept) == sorted((word, n) for n, text in enumerate(texts) for word in text.split())
     found = ranked_rows(bx.blockmax_topk(asked(spark, ["hot rare"]), index, stored, 3))
     assert found[0][0][0] == 7
+
+
+def test_shares_grow_with_the_documents_and_sums_stay_in_them(spark, monkeypatch):
+    monkeypatch.setattr(bx, "SHARE_DOCS", 50)
+    texts, questions = zipf(300, 5)
+    index, model = corpus(spark, texts)
+    q_terms = asked(spark, questions)
+    stored = bx.write_postings(index, model, block=8, parts=2)
+    rows = stored.blocks.collect()
+    held = {}
+    for row in rows:
+        held.setdefault(row.share, set()).update(row.docs)
+    assert len(held) == 7 and all(row.held == len(row.docs) for row in rows)
+    assert sum(map(len, held.values())) == sum(1 for text in texts if text)
+    size = bm25.terms_size(q_terms)
+    limits = materialize(bx.bounds(stored, bm25.okapi_queries(q_terms, model, size), size), "limits")
+    known = materialize(bx.levels(limits, bx.to_beat(stored, limits, 3, size), size), "levels")
+    plan = bx.seen_above(stored, known, size)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not [line for line in dealt if "share" in line or "doc" in line]
+    rows = spark.createDataFrame(list(enumerate(questions)), QUESTIONS)
+    found = ranked_rows(bx.blockmax_topk(q_terms, index, stored, 3))
+    assert found == ranked_rows(hybrid.okapi_topk(rows, q_terms, index, model, 3, pad=False))
+
+
+def test_postings_are_opened_by_their_path(spark, tmp_path):
+    index, model = corpus(spark, ["a b", "b c", "c c a"])
+    path = f"{tmp_path}/postings"
+    written = {(b.term, *b.docs) for b in bx.write_postings(index, model, path, parts=2).blocks.collect()}
+    for table in spark.catalog.listTables():
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    opened = bx.read_postings(spark, path, model, parts=2).blocks
+    assert {(b.term, *b.docs) for b in opened.collect()} == written
