@@ -60,7 +60,8 @@ UNSEEN = 0.1
 SLACK = 2 * 10.0**-SCORE_DIGITS
 
 # ``share`` is the smallest id of the documents dealt there, ``held`` the number of postings of a block.
-BLOCKS = "share bigint, term string, most double, held int, docs array<bigint>, weights array<double>, part int"
+PACKED = "share bigint, term string, most double, held int, docs array<bigint>, weights array<double>"
+BLOCKS = f"{PACKED}, part int"
 
 
 @dataclass(frozen=True)
@@ -96,7 +97,7 @@ def part_of(term: Column, parts: int) -> Column:
 
 
 def _blocks(table: pa.Table, size: int) -> pa.RecordBatch:
-    """Blocks of up to ``size`` postings from ``share, part, term, doc_id, weight`` of one share, in any order."""
+    """Blocks of up to ``size`` postings from ``share, term, doc_id, weight`` of one share, in any order."""
     terms = table.column("term").combine_chunks().dictionary_encode()
     codes = terms.indices.to_numpy(zero_copy_only=False)
     docs, weights = (table.column(name).to_numpy() for name in ("doc_id", "weight"))
@@ -106,18 +107,16 @@ def _blocks(table: pa.Table, size: int) -> pa.RecordBatch:
     place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
     starts = np.flatnonzero(place % size == 0)
     ends = pa.array(np.append(starts, len(codes)).astype(np.int32))
-    lead = pa.array(order[starts])
     return pa.RecordBatch.from_arrays(
         [
-            table.column("share").combine_chunks().take(lead),
+            table.column("share").combine_chunks().take(pa.array(order[starts])),
             terms.dictionary.take(pa.array(codes[starts])),
             pa.array(weights[order[starts]]),
             pa.array(np.diff(np.append(starts, len(codes))).astype(np.int32)),
             pa.ListArray.from_arrays(ends, pa.array(docs[order])),
             pa.ListArray.from_arrays(ends, pa.array(weights[order])),
-            table.column("part").combine_chunks().take(lead),
         ],
-        names=["share", "term", "most", "held", "docs", "weights", "part"],
+        names=["share", "term", "most", "held", "docs", "weights"],
     )
 
 
@@ -166,9 +165,9 @@ def write_postings(
     rows = index.select("doc_id", "dl", "terms", number.alias("number")).repartitionById(shares, F.col("number"))
     rows = rows.join(broadcast_within(names, shares * ROW_BYTES), "number")
     weight = weighing.posting(model, F.col("tf")).alias("weight")
-    weighed = unfold_terms(rows, "share", "doc_id", "dl")
-    weighed = weighed.select("share", part_of(F.col("term"), parts).alias("part"), "term", "doc_id", weight)
-    write_bucketed(weighed.mapInArrow(_gathered(block), BLOCKS), f"{path}/blocks", "share", shares, "part")
+    weighed = unfold_terms(rows, "share", "doc_id", "dl").select("share", "term", "doc_id", weight)
+    packed = weighed.mapInArrow(_gathered(block), PACKED).withColumn("part", part_of(F.col("term"), parts))
+    write_bucketed(packed, f"{path}/blocks", "share", shares, "part")
     spark.range(1).select(F.lit(shares).alias("shares")).coalesce(1).write.parquet(f"{path}/shares")
     return read_postings(spark, path, model, weighing, parts)
 
