@@ -42,15 +42,13 @@ def sketches(texts: DataFrame, id: str = "id") -> DataFrame:
 def edges(texts: DataFrame, least: float) -> DataFrame:
     """``a, b, similar``: texts and a smaller member of one of their buckets, at least so similar."""
     known = materialize(sketches(texts), "family-sketches")
-    orders = _orders()
-    mixed = known.select("id", F.expr("transform(sketch, x -> xxhash64(x))").alias("mixed"))
-    bands = F.array(
-        *(
-            F.xxhash64(F.lit(n), *(F.expr(f"array_min(transform(mixed, x -> x ^ {c}L))") for c in orders[2 * n : 2 * n + 2]))
-            for n in range(BANDS)
-        )
-    )
-    met = materialize(mixed.select("id", F.explode(bands).alias("band")), "family-bands")
+    # least elements as aggregates: compiled, where a function over each array is not
+    mixed = known.select("id", F.explode("sketch").alias("x")).select("id", F.xxhash64("x").alias("x"))
+    firsts = mixed.groupBy("id").agg(
+        *(F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"first_{n}") for n, c in enumerate(_orders()))
+    )
+    bands = F.array(*(F.xxhash64(F.lit(n), f"first_{2 * n}", f"first_{2 * n + 1}") for n in range(BANDS)))
+    met = materialize(firsts.select("id", F.explode(bands).alias("band")), "family-bands")
     heads = met.groupBy("band").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
     pairs = met.join(heads, "band").filter("id != b").select(F.col("id").alias("a"), "b").distinct()
     of_a = known.select(F.col("id").alias("a"), F.col("sketch").alias("of_a"))

@@ -48,7 +48,8 @@ HALF = 0.5
 
 # A token that holds a digit is a variable field.
 FIELD = "<*>"
-MASKED = r"regexp_replace({}, r'[^ ]*[0-9][^ ]*', '" + FIELD + "')"
+# tried at the start of each token only, without going back
+MASKED = r"regexp_replace({}, r'(?<![^ ])[^ 0-9]*+[0-9][^ ]*+', '" + FIELD + "')"
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -66,7 +67,7 @@ def leaves(docs: DataFrame, text: str, depth: int) -> DataFrame:
     lines = _texts(docs, text).select("key", F.xxhash64("key").alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     each = lines.withColumn("line", F.trim("line")).filter(F.col("line") != "")
     # every blank ends a token, so the number of tokens needs no list of them
-    size = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     leading = F.substring_index("line", " ", depth)
     masked = F.when(leading.rlike("[0-9]"), F.expr(MASKED.format(f"substring_index(line, ' ', {depth})")))
     leaf = F.xxhash64(size, F.coalesce(masked, leading))
@@ -81,20 +82,22 @@ def families(docs: DataFrame, text: str, held: DataFrame) -> tuple[DataFrame, Da
     return fm.connected(edges.filter(F.col("similar") >= SIMILAR), "family"), fm.connected(edges, "family")
 
 
-def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """``key, id`` of the keys held by at least ``least`` (a column of ``rows``) texts.
+def _once_a_text(rows: DataFrame, key: str) -> DataFrame:
+    """``key, id, least``; rows of one text meet in this aggregate, so a hot key is spread by text."""
+    return rows.groupBy(key, "id").agg(F.first("least").alias("least"))
 
-    Rows of one text meet in the first aggregate, so a hot key is spread by text.
-    """
-    texts = rows.groupBy(key, "id").agg(F.first("least").alias("least"))
+
+def _repeated(texts: DataFrame, key: str) -> DataFrame:
+    """``key, least`` of the keys that at least ``least`` of ``texts`` hold."""
     many = texts.groupBy(key).agg(F.count("*").alias("n"), F.first("least").alias("least"))
-    return texts.join(many.filter(F.col("n") >= F.col("least")).select(key), key)
+    return many.filter(F.col("n") >= F.col("least")).select(key, "least")
 
 
 def _recurring(docs: DataFrame, text: str, templates: DataFrame) -> DataFrame:
     """The templates held by texts of enough families."""
     # fewer texts are fewer families
-    held = materialize(_repeated(templates, "template"), "line-held")
+    texts = _once_a_text(templates, "template")
+    held = materialize(texts.join(_repeated(texts, "template").select("template"), "template"), "line-held")
     near, half = families(docs, text, held.select("id").distinct())
     parts = []
     for long, family in ((False, near), (True, half)):
@@ -112,21 +115,22 @@ def recurring_lines(
 ) -> DataFrame:
     """``key, at, line, template``: the lines of recurring templates, for each distinct text."""
     every = leaves(docs, text, depth)
-    # written first, so that the joins stand alone and Spark may split a hot leaf in them
+    # written first, so that the join stands alone and Spark may split a hot leaf in it
     keys = F.array(
-        F.struct(F.col("leaf").alias("leaf"), F.lit(least).alias("least")),
-        F.struct(F.col("long").alias("leaf"), F.lit(LONG_DOCS).alias("least")),
+        F.struct(F.col("leaf").alias("leaf"), F.lit(least).alias("least"), F.lit(False).alias("whole")),
+        F.struct(F.col("long").alias("leaf"), F.lit(LONG_DOCS).alias("least"), F.lit(True).alias("whole")),
     )
     counted = every.select("id", F.inline(keys)).filter("leaf is not null")
-    common = materialize(_repeated(counted, "leaf").select("leaf", "least").distinct(), "line-common")
-    rows = every.drop("size", "long").join(common.filter(F.col("least") == least).select("leaf"), "leaf")
-    rows = materialize(rows, "line-leaves")
-    long = every.select("key", "id", "at", "line", F.col("long").alias("template")).join(
-        common.filter(F.col("least") == LONG_DOCS).select(F.col("leaf").alias("template")), "template"
-    )
-
-    rows = rows.withColumn("whole", F.xxhash64("leaf", F.expr(MASKED.format("line"))))
-    split = f"split({MASKED.format('line')}, ' ')"
+    common = materialize(_repeated(_once_a_text(counted, "leaf"), "leaf"), "line-common")
+    # short and long keys together, so that the texts are cut into lines once more and not twice
+    keyed = every.select("key", "id", "at", "line", "size", F.inline(keys)).filter("leaf is not null")
+    masked = F.when(~F.col("whole"), F.expr(MASKED.format("line")))
+    kept = keyed.join(common, ["leaf", "least"]).withColumn("masked", masked).drop("least")
+    kept = materialize(kept, "line-leaves")
+    rows = kept.filter(~F.col("whole")).drop("whole")
+    long = kept.filter("whole").select("key", "id", "at", "line", F.col("leaf").alias("template"))
+
+    split = "split(masked, ' ')"
     tokens = rows.select("key", "at", "leaf", F.posexplode(F.expr(split)).alias("place", "token"))
     counted = tokens.filter(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
     sizes = rows.groupBy("leaf").agg(F.count("*").alias("lines"))
@@ -137,9 +141,8 @@ def recurring_lines(
         F.collect_list(F.concat_ws(":", "place", "token")).alias("constants")
     )
     placed = F.expr(f"transform({split}, (t, i) -> concat(i, ':', t))")
-    size = F.size(F.expr(split))
     held = rows.join(constants, "leaf").select(
-        "key", "id", "at", "line", "leaf", size.alias("size"),
+        "key", "id", "at", "line", "leaf", "size",
         F.array_intersect(placed, "constants").alias("constant"),
     )
 
@@ -149,13 +152,13 @@ def recurring_lines(
     # repeated rows have one key and are one line
     found = found.groupBy("key", "at").agg(F.array_sort(F.collect_set(F.struct("place", "token"))).alias("found"))
     in_full = rows.join(found, ["key", "at"]).select(
-        "key", "id", "at", "line", "leaf", size.alias("size"),
+        "key", "id", "at", "line", "leaf", "size",
         F.transform("found", lambda f: F.concat_ws(":", f["place"], f["token"])).alias("constant"),
     )
 
     constant = held.unionByName(in_full).filter(F.size("constant") >= F.lit(CONSTANT) * F.col("size"))
     template = F.xxhash64("leaf", "constant").alias("template")
-    whole = rows.select("key", "id", "at", "line", F.col("whole").alias("template"))
+    whole = rows.select("key", "id", "at", "line", F.xxhash64("leaf", "masked").alias("template"))
     of_leaves = constant.select("key", "id", "at", "line", template).unionByName(whole)
     templates = of_leaves.withColumn("least", F.lit(least)).unionByName(long.withColumn("least", F.lit(LONG_DOCS)))
     templates = materialize(templates, "line-templates")

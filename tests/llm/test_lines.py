@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from braidsearch.llm import families as fm
 from braidsearch.llm import lines as ln
 
 from .conftest import sentence
@@ -123,3 +124,33 @@ def test_versions_of_one_text_keep_their_long_lines(spark):
     # three in ten lines differ: half alike, but no near copies
     texts = ["\n".join([*body[:7], *(sentence(70, 100 * n + k) for k in range(3))]) for n in (1, 2)]
     assert cleaned(spark, texts) == texts
+
+
+def test_texts_are_cut_into_lines_twice_for_templates(docs, monkeypatch):
+    cut = {}
+
+    def noted(df, label):
+        cut[label] = df._jdf.queryExecution().optimizedPlan().toString().count("posexplode(split(text#")
+        return materialize(df, label)
+
+    materialize = ln.materialize
+    monkeypatch.setattr(ln, "materialize", noted)
+    ln.recurring_lines(docs)
+    assert cut.pop("line-common") == cut.pop("line-leaves") == 1
+    assert not any(cut.values())
+
+
+def test_a_field_is_a_token_with_a_digit(spark):
+    texts = ["a1 b 2", "1", "ab1cd2ef gh", "x  7  y", "né1 é2é ß", "tab\t3 end", "none here", "", "9 9 9", "a-1, (b)2c. d"]
+    frame = spark.createDataFrame([(text,) for text in texts], "line string")
+    found = [r.masked for r in frame.select(F.expr(ln.MASKED.format("line")).alias("masked")).collect()]
+    assert found == [" ".join(ln.FIELD if set(token) & set("0123456789") else token for token in text.split(" ")) for text in texts]
+
+
+def test_bands_are_least_elements_of_two_orders(spark):
+    texts = spark.createDataFrame([(n, sentence(40 + n, n // 2)) for n in range(8)], "id bigint, text string")
+    sketch = {r.id: r.sketch for r in fm.sketches(texts).collect()}
+    both = [sorted({*sketch[a], *sketch[b]})[: fm.KEPT] for a, b in ((1, 0), (3, 2))]
+    wanted = [len({*sketch[a]} & {*sketch[b]} & {*some}) / len(some) for (a, b), some in zip(((1, 0), (3, 2)), both, strict=True)]
+    found = {(r.a, r.b): r.similar for r in fm.edges(texts, 0.5).collect()}
+    assert [found[1, 0], found[3, 2]] == wanted
