@@ -50,3 +50,7 @@ def bounded_sums(spark, folder, query, monkeypatch):
 
 def test_padded_lists(spark, tmp_path, monkeypatch):
     bounded_sums(spark, tmp_path, registered.bm25_padded_topk, monkeypatch)
+
+
+def test_citations(spark, tmp_path, monkeypatch):
+    bounded_sums(spark, tmp_path, registered.citations, monkeypatch)
