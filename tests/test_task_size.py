@@ -54,3 +54,7 @@ def test_padded_lists(spark, tmp_path, monkeypatch):
 
 def test_citations(spark, tmp_path, monkeypatch):
     bounded_sums(spark, tmp_path, registered.citations, monkeypatch)
+
+
+def test_reranked_prompts(spark, tmp_path, monkeypatch):
+    bounded_sums(spark, tmp_path, registered.rag_rerank_prompt_batch, monkeypatch)
