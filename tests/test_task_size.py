@@ -58,3 +58,7 @@ def test_citations(spark, tmp_path, monkeypatch):
 
 def test_reranked_prompts(spark, tmp_path, monkeypatch):
     bounded_sums(spark, tmp_path, registered.rag_rerank_prompt_batch, monkeypatch)
+
+
+def test_relevance_scores(spark, tmp_path, monkeypatch):
+    bounded_sums(spark, tmp_path, registered.rerank_scores, monkeypatch)
