@@ -62,3 +62,7 @@ def test_reranked_prompts(spark, tmp_path, monkeypatch):
 
 def test_relevance_scores(spark, tmp_path, monkeypatch):
     bounded_sums(spark, tmp_path, registered.rerank_scores, monkeypatch)
+
+
+def test_reranked_lists(spark, tmp_path, monkeypatch):
+    bounded_sums(spark, tmp_path, registered.rerank_topn, monkeypatch)
