@@ -66,3 +66,7 @@ def test_relevance_scores(spark, tmp_path, monkeypatch):
 
 def test_reranked_lists(spark, tmp_path, monkeypatch):
     bounded_sums(spark, tmp_path, registered.rerank_topn, monkeypatch)
+
+
+def test_stuffed_prompts(spark, tmp_path, monkeypatch):
+    bounded_sums(spark, tmp_path, registered.rag_prompt_stuff, monkeypatch)
