@@ -70,3 +70,12 @@ def test_reranked_lists(spark, tmp_path, monkeypatch):
 
 def test_stuffed_prompts(spark, tmp_path, monkeypatch):
     bounded_sums(spark, tmp_path, registered.rag_prompt_stuff, monkeypatch)
+
+
+def test_rebuilt_collection(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "TASK_ROWS", ROWS, raising=False)
+    rows = registered.ingest_rebuild(spark, written(spark, tmp_path))
+    assert rows.count() == DOCS
+    # a task writes the rows that it has encoded as one file
+    stored = spark.read.parquet(*rows.inputFiles()).groupBy(F.input_file_name()).count()
+    assert stored.agg(F.max("count")).first()[0] <= MOST
