@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ DEFAULT_DIM = 384
 # Rows and counted terms that a worker folds at once, some 20 MB.
 FOLD_ROWS, FOLD_TERMS = 1024, 1 << 17
 
+# What `hashed_embedder` makes of a document's tokens at once.
+COUNTED = "dl bigint, terms array<struct<term: string, tf: int>>, embedding array<float>"
+
 Embedder = Callable[[Column, Column], Column]
 
 
@@ -99,8 +103,7 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
         signed = counts.flatten().to_numpy() * np.where(words[:, 1] % 2 == 0, 1, -1)
         cell = row * dim + words[:, 0] % dim
         sums = np.bincount(cell, weights=signed, minlength=rows * dim).reshape(rows, dim)
-        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        return list_column((sums / np.where(length == 0, 1.0, length)).astype(np.float32))
+        return list_column(unit_rows(sums))
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def fold(digests: pa.Array, counts: pa.Array) -> pa.Array:
@@ -115,9 +118,70 @@ def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
         digests = F.transform(terms, lambda t: F.unhex(F.md5(t["term"])))
         return fold(digests, terms["tf"])
 
+    @F.arrow_udf(COUNTED)
+    def count_and_fold(tokens: pa.Array) -> pa.Array:
+        lengths = tokens.value_lengths().fill_null(0).to_numpy()
+        coded, words = term_codes(tokens.flatten())
+        hashed = big_endian_words(md5(words))
+        bucket, sign = hashed[:, 0] % dim, np.where(hashed[:, 1] % 2 == 0, 1, -1)
+        starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        sizes, terms, counts, vectors = [], [], [], []
+        for low, high in pieces(lengths) if len(lengths) else ():
+            rows = high - low
+            cells = np.repeat(np.arange(rows), lengths[low:high]) * len(words) + coded[starts[low] : starts[high]]
+            cells, tf = np.unique(cells, return_counts=True)
+            row, term = np.divmod(cells, max(1, len(words)))
+            cell, signed = row * dim + bucket[term], tf * sign[term]
+            sums = np.bincount(cell, weights=signed, minlength=rows * dim).reshape(rows, dim)
+            vectors.append(unit_rows(sums))
+            sizes.append(np.bincount(row, minlength=rows))
+            terms.append(term.astype(np.int32))
+            counts.append(tf.astype(np.int32))
+        listed = pa.StructArray.from_arrays(
+            [words.take(pa.array(joined(terms, np.int32))), pa.array(joined(counts, np.int32))], ["term", "tf"]
+        )
+        offsets = np.concatenate([[0], np.cumsum(joined(sizes, np.int64))]).astype(np.int32)
+        columns = [
+            pa.array(lengths.astype(np.int64), mask=tokens.is_null().to_numpy(zero_copy_only=False)),
+            pa.ListArray.from_arrays(pa.array(offsets), listed),
+            list_column(np.concatenate(vectors or [np.empty((0, dim), np.float32)])),
+        ]
+        return pa.StructArray.from_arrays(columns, ["dl", "terms", "embedding"])
+
+    embed.of_tokens = count_and_fold
     return embed
 
 
+def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *parts])
+
+
+def term_codes(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each token as the number of its term, and the terms in Spark's order, that of their UTF-8 bytes."""
+    if tokens.null_count:
+        raise ValueError("an analyzer must not give a null token")
+    coded = tokens.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def md5(words: pa.Array) -> pa.Array:
+    digests = pa.array([], pa.binary(16))
+    for at in range(0, len(words), FOLD_TERMS):
+        some = words.slice(at, FOLD_TERMS).cast(pa.binary()).to_pylist()
+        some = pa.array([hashlib.md5(word).digest() for word in some], pa.binary(16))
+        digests = pa.concat_arrays([digests, some])
+    return digests
+
+
+def unit_rows(sums: np.ndarray) -> np.ndarray:
+    """Rows of unit length; a row of zeros stays."""
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return (sums / np.where(length == 0, 1.0, length)).astype(np.float32)
+
+
 def model_embedder(load_model: Callable[[], Callable], dim: int, batch_size: int = 64) -> Embedder:
     """Slot for a real model: ``load_model`` runs once per Python worker and returns
     a function from an array of texts to a ``(rows, dim)`` float32 array."""

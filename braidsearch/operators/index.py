@@ -35,6 +35,19 @@ def count_terms(
     return df.withColumn("_counted", counted).select(*df.columns, "_counted.*")
 
 
+def count_and_embed(df: DataFrame, analyzer: Analyzer, embedder: Embedder, text: str = "text") -> DataFrame:
+    """`count_terms` and the vector of every row.
+
+    An embedder that looks at terms only (``of_tokens``) counts them too, so tokens go to Python once; the rows are
+    the same.
+    """
+    of_tokens = getattr(embedder, "of_tokens", None)
+    if of_tokens is None:
+        return count_terms(df, analyzer, text).withColumn("embedding", embedder(F.col(text), F.col("terms")))
+    counted = df.withColumn("_counted", of_tokens(analyzer(F.col(text))))
+    return counted.select(*df.columns, "_counted.*")
+
+
 def index_rows(
     docs: DataFrame, analyzer: Analyzer = simple_tokens, embedder: Embedder | None = None
 ) -> DataFrame:

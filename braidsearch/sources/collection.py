@@ -27,7 +27,7 @@ from braidsearch.functions.vectors import (
     hashed_embedder,
 )
 from braidsearch.operators.bm25 import number_of_docs, term_totals
-from braidsearch.operators.index import count_terms
+from braidsearch.operators.index import count_and_embed, count_terms
 from braidsearch.schemas import COLLECTION_LOG, COLLECTION_META
 from braidsearch.sources.tables import drop_path, path_exists, read_bucketed, write_bucketed
 
@@ -171,16 +171,14 @@ class Collection:
         placed = placed.withColumn("content_id", content_key(F.col("text")))
         if merge:
             latest = latest_by_content(docs).withColumnRenamed("content_id", "kept")
-            # hash-joined within the buckets, so the texts are not sorted
-            placed = placed.join(latest.hint("shuffle_hash"), "doc_id")
-            placed = placed.filter(F.col("content_id") == F.col("kept")).drop("kept")
+            placed = self._in_buckets(placed, latest, self.buckets)
+            placed = placed.filter(F.array_contains(F.array("kept"), F.col("content_id"))).drop("kept")
         else:
             placed = placed.withColumn("copies", F.lit(1).cast("bigint"))
-        counted = count_terms(placed, analyzer)
         if given:
+            counted = count_terms(placed, analyzer)
             return counted.withColumn("embedding", check_width(F.col("embedding"), self.dim))
-        embed = embedder or hashed_embedder(self.dim)
-        return counted.withColumn("embedding", embed(F.col("text"), F.col("terms")))
+        return count_and_embed(placed, analyzer, embedder or hashed_embedder(self.dim))
 
     def upsert(self, rows: DataFrame) -> None:
         """Add encoded, merged rows; stored rows with their text or their id are replaced.
@@ -261,7 +259,9 @@ class Collection:
             if replaced is not None:
                 less = [F.col("term"), (-F.col("df")).alias("df"), (-F.col("count")).alias("count")]
                 whole = whole.unionByName(counts_of(replaced).select(*less))
-        summed(whole).write.mode("overwrite").parquet(self._folder(version, "whole"))
+            whole = summed(whole)
+        # those of one batch are summed already
+        whole.write.mode("overwrite").parquet(self._folder(version, "whole"))
 
     def _newly_gone(self, version: int, log: list) -> DataFrame | None:
         """Stored rows that ``version`` is the first to replace, from the batches that hold any; None without such."""
@@ -271,12 +271,26 @@ class Collection:
         if earlier:
             gone = gone.join(reduce(DataFrame.unionByName, earlier), keys, "left_anti")
         held = {row.version for row in gone.select("version").distinct().collect()}
-        batches = [
-            read_bucketed(self.spark, self._folder(v.version), "doc_id", v.buckets).select(*keys, "copies", "terms")
-            for v in log
-            if v.version in held
-        ]
-        return reduce(DataFrame.unionByName, batches).join(gone, keys, "left_semi") if batches else None
+        batches = [self._rows_of(v, gone) for v in log if v.version in held]
+        return reduce(DataFrame.unionByName, batches) if batches else None
+
+    def _rows_of(self, entry, keys: DataFrame) -> DataFrame:
+        """Rows of one batch whose ``(version, doc_id, content_id)`` is in ``keys``."""
+        rows = read_bucketed(self.spark, self._folder(entry.version), "doc_id", entry.buckets)
+        rows = rows.select("version", "doc_id", "content_id", "copies", "terms")
+        own = keys.filter(F.col("version") == entry.version).groupBy("doc_id")
+        own = own.agg(F.collect_set("content_id").alias("listed"))
+        found = self._in_buckets(rows, own, entry.buckets)
+        return found.filter(F.array_contains("listed", F.col("content_id"))).drop("listed")
+
+    @staticmethod
+    def _in_buckets(rows: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
+        """Join ``rows``, dealt to ``buckets`` by ``doc_id``, with ``keys``, one row per ``doc_id``: only ``keys`` are shuffled.
+
+        They are hashed, so the rows are not sorted. What else must agree is no matter of equality (``==``), which Spark
+        would make a key of the join; it then shuffles the rows anew, and each task writes a file for every bucket.
+        """
+        return rows.join(keys.repartition(buckets, "doc_id").hint("shuffle_hash"), "doc_id")
 
     def _folder(self, version: int, kind: str = "rows") -> str:
         return f"{self.path}/{kind}/v{version:06d}"

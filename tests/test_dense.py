@@ -6,10 +6,11 @@ from brute import close, simple, sparse_dot, top
 from conftest import ASKED, TEXTS, ranked_rows
 from pyspark.sql import functions as F
 
+from braidsearch.functions import text as tx
 from braidsearch.functions import vectors as vx
 from braidsearch.operators import bm25, dense, ranking, scoring
 from braidsearch.operators.hybrid import convex_topk
-from braidsearch.operators.index import build_index, count_terms
+from braidsearch.operators.index import build_index, count_and_embed, count_terms
 from braidsearch.session import materialize
 
 PLAIN = [text for text, _, _ in TEXTS]
@@ -249,3 +250,19 @@ def test_a_large_batch_is_folded_in_pieces(spark, monkeypatch):
 
     whole = folded(1)
     assert whole == folded(6) and len(whole) == len(rows)
+
+
+@pytest.mark.parametrize("analyzer", [tx.simple_tokens, tx.whitespace_tokens, tx.stemmed(tx.word_tokens)])
+def test_counting_with_the_vector_gives_the_same_rows(spark, edge_docs, analyzer):
+    many = [(n, f"\uffff z{n % 7} z{n % 7} \U0001d400 É{n} " * (n % 5)) for n in range(2 * vx.FOLD_ROWS + 5)]
+    many += [(-1, None), (-2, "")]
+    docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(many, "doc_id long, text string"))
+    embed = vx.hashed_embedder(16)
+    kept = ["doc_id", "text", "dl", "terms", "embedding"]
+    counted = count_terms(docs, analyzer)
+    wanted = counted.withColumn("embedding", embed(F.col("text"), F.col("terms"))).select(kept)
+    found = count_and_embed(docs.coalesce(1), analyzer, embed).select(kept)
+    assert found.dtypes == wanted.dtypes
+    assert sorted(found.collect(), key=str) == sorted(wanted.collect(), key=str)
+    blank = count_and_embed(docs.filter("doc_id < 0"), analyzer, embed).select("dl", "terms", "embedding")
+    assert [tuple(row) for row in blank.collect()] == [(0, [], [0.0] * 16)] * 2

@@ -316,6 +316,45 @@ def test_stored_rows_are_only_read_where_some_are_replaced(spark, tmp_path, monk
     assert collection._newly_gone(2, log) is None
 
 
+def test_texts_are_shuffled_once_and_a_bucket_is_a_file(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16, buckets=7)
+    rows = batch(spark, [(n, f"text {n % 150}", "1") for n in range(200)]).repartition(5)
+    encoded = collection.encode(rows)
+    plan = encoded._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [doc_id" in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "ENSURE" in line and "text" in line]
+    collection.upsert(encoded)
+    collection.upsert(collection.encode(batch(spark, [(n, f"text {n}", "2") for n in range(100, 160)])))
+    for version in (1, 2):
+        assert len(list((tmp_path / "c" / "rows" / f"v{version:06d}").glob("*.parquet"))) <= 7
+
+
+def test_replaced_rows_are_found_in_their_buckets(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16, buckets=7)
+    collection.upsert(collection.encode(batch(spark, [(n, f"text {n}", "1") for n in range(60)])))
+    log = collection._log()
+    collection.upsert(collection.encode(batch(spark, [(3, "three", "2"), (70, "text 4", "2"), (5, "text 5", "2")])))
+    found = collection._newly_gone(2, log)
+    assert sorted(row.doc_id for row in found.collect()) == [3, 4, 5]
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression [doc_id" in plan
+    # what is shuffled does not hold the terms
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Scan parquet" in line and "terms" in line]
+    assert shuffled and all("Bucketed: true" in line for line in shuffled)
+
+
+def test_a_key_that_stands_twice_is_replaced_twice(spark, tmp_path):
+    collection = Collection.create(spark, str(tmp_path / "c"), "docs", dim=16, buckets=3)
+    twice = batch(spark, [(1, "a", "1"), (1, "a", "1"), (1, "b", "1"), (2, "b", "1"), (3, "c", "1")])
+    collection.rebuild(collection.encode(twice, merge=False))
+    log = collection._log()
+    collection.upsert(collection.encode(batch(spark, [(9, "a", "2")])))
+    found = collection._newly_gone(2, log).collect()
+    assert sorted((row.doc_id, len(row.terms)) for row in found) == [(1, 1), (1, 1)]
+    assert counted(collection.term_totals()) == recounted(collection.read())
+
+
 def test_counts_of_a_collection_that_kept_none(spark, tmp_path):
     collection = Collection.create(spark, str(tmp_path / "c"), "documents", 8, buckets=2)
     collection.upsert(collection.encode(batch(spark, BATCHES[0])))
